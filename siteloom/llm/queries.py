@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import line_dedup
+from siteloom.llm import byte_bpe, line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def rank_file() -> str:
+    """The rank file of op4 and of the pipeline."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), rank_file())
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_byte_bpe": op4_byte_bpe}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
