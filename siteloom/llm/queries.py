@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import byte_bpe, line_dedup
+from siteloom.llm import byte_bpe, line_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), rank_file())
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_byte_bpe": op4_byte_bpe}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("rk")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_byte_bpe, op9_quality_rules)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
