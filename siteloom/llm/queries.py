@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import byte_bpe, line_dedup, quality_rules, sharding
+from siteloom.llm import byte_bpe, line_dedup, mixing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("rk")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_table(spark, sf_dir, "documents")).drop("rk", "copies")
+
+
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_byte_bpe, op5_ring_sharding, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op9_quality_rules)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
