@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import byte_bpe, language_id, line_dedup, mixing, quality_rules, sharding
+from siteloom.llm import byte_bpe, language_id, line_dedup, mixing, quality_rules, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +45,15 @@ def _remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(5) == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"), _remainder(3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
