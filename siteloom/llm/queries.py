@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import byte_bpe, language_id, line_dedup, mixing, quality_rules, sharding, toxicity
+from siteloom.llm import byte_bpe, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("rk")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("rk")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(_table(spark, sf_dir, "documents")).drop("rk", "copies")
 
@@ -53,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"), _remainder(3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
