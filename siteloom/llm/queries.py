@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import byte_bpe, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, toxicity
+from siteloom.llm import ann, byte_bpe, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), rank_file())
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
@@ -61,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"), _remainder(3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op8_substring_dedup, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op7_nearest_neighbours, op8_substring_dedup, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
