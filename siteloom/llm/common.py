@@ -19,6 +19,9 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WEIGHTS = np.array([xxhash.xxh3_64_intdigest(f"place{i}") | 1 for i in range(64)], dtype=np.uint64)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; a local one is made only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +38,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siteloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    # once the table is written, nothing reads the shuffle files that led to it
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,10 +6,12 @@ share a key are candidates.  Identical sets are one node from the start.  Candid
 held to the Jaccard similarity that their registers estimate, less the matches that chance
 gives, and then confirmed on the full shingle sets.
 
-No group is ever paired within itself: first each node meets the least node of its bands only;
-then, among the bands whose nodes are not all in one component yet, those outside a band's
-largest component meet the others.  That finds every link that the bands can show up to
-connection, which is all that components need.
+No group is ever paired within itself.  Shingles that no other candidate holds bound what a node
+can share with any partner, and with it the partner's size; nodes that bound rules out leave.
+Then each node meets one node only, the one of its bands that is shared the most; then, among
+the bands whose nodes are not all in one component yet, those outside a band's largest component
+meet the others, within those bounds.
+That finds every link that the bands can show up to connection, which is all that components need.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Sets below this size are not judged by estimate; nodes in a block of a band.
+SMALL, CHUNK = REGISTERS // 2, 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,20 +121,22 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), batch.column(0).take(take), batch.column(1).take(take)], names=["band", "node", "n"])
 
 
-def _estimate(least: float, sigmas: float):
-    """Keeps pairs whose estimate, with ``sigmas`` standard deviations of doubt, reaches ``least``; small sets, whose registers lean on few shingles, all stay."""
+def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float, sigmas: float = 5.0) -> np.ndarray:
+    """Whether the estimate, with ``sigmas`` standard deviations of doubt, reaches ``least``; small sets, whose registers lean on few shingles, always may."""
+    if not len(a):
+        return np.empty(0, dtype=bool)
+    c = chance(n, m)
+    j = ((a == b).mean(axis=1) - c) / (1 - c)
+    doubt = sigmas * np.sqrt(least * (1 - least) / REGISTERS)
+    return (j >= least - doubt) | (np.minimum(n, m) < SMALL)
 
+
+def _estimate(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3))
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
-            c = chance(n, m)
-            j = ((a == b).mean(axis=1) - c) / (1 - c)
-            doubt = sigmas * np.sqrt(least * (1 - least) / REGISTERS)
-            keep = (j >= least - doubt) | (np.minimum(n, m) < 4 * REGISTERS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(_likely(a, b, n, m, least)))
 
     return run
 
@@ -152,26 +158,84 @@ def _confirm(percent: int):
     return run
 
 
+def _columns(entries: pa.ListScalar) -> tuple[np.ndarray, ...]:
+    rows = entries.values
+    own = [rows.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+    return *own, np.frombuffer(b"".join(rows.field(4).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _meet(percent: int):
+    """Pairs of a band's minor nodes with others of another component that sizes, bounds and
+    estimates allow; each pair comes from the first of its shared bands only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for band, main, minors, others in zip(*batch.columns, strict=True):
+                v, n_v, most_v, r_v, s_v = _columns(minors)
+                u, n_u, most_u, r_u, s_u = _columns(others)
+                ok = (r_v[:, None] != r_u) & ((r_u == main.as_py()) | (u < v[:, None]))
+                ok &= (100 * np.minimum(n_v[:, None], n_u) >= percent * np.maximum(n_v[:, None], n_u)) & (n_u <= most_v[:, None]) & (n_v[:, None] <= most_u)
+                i, j = np.nonzero(ok)
+                if not len(i):
+                    continue
+                k_v, k_u = band_keys(s_v), band_keys(s_u)
+                here = int(np.argmax(k_v[0] == band.as_py()))
+                for part in range(0, len(i), 65536):
+                    x, y = i[part : part + 65536], j[part : part + 65536]
+                    first = (k_v[x] == k_u[y]).argmax(axis=1) == here
+                    x, y = x[first], y[first]
+                    likely = _likely(s_v[x], s_u[y], n_v[x].astype(float), n_u[y].astype(float), percent / 100)
+                    us.append(np.minimum(v[x], u[y])[likely])
+                    vs.append(np.maximum(v[x], u[y])[likely])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
 class _Finder:
     def __init__(self, docs: DataFrame, nodes: DataFrame, percent: int):
         self.docs, self.nodes, self.percent = docs, nodes, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """Shingle sets of the nodes (column node), from one document of each."""
+        found = nodes.join(self.nodes.select("node", "doc_id", "rk"), "node")
+        texts = same(self.docs, found, "inner").select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
+        return materialise(texts.mapInArrow(_sets, "node long, shingles binary"), "shingle-sets")
+
+    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (u, v of nodes) that hold on the full sets."""
         side = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
         other = side.withColumnsRenamed({"u": "v", "n_u": "n_v", "s_u": "s_v"})
         pairs = pairs.join(side, "u").join(other, "v").where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
-        likely = pairs.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_estimate(self.percent / 100, 6.0), "u long, v long")
+        likely = pairs.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_estimate(self.percent / 100), "u long, v long")
         likely = materialise(likely, "likely-pairs")
-        needed = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct().join(self.nodes.select("node", "doc_id", "rk"), "node")
-        texts = same(self.docs, needed, "inner").select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
-        sets = materialise(texts.mapInArrow(_sets, "node long, shingles binary"), "shingle-sets")
+        if sets is None:
+            sets = self.sets(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct())
         x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         full = likely.join(x, "u").join(y, "v").select("u", "v", "x", "y")
         return materialise(full.mapInArrow(_confirm(self.percent), "u long, v long"), "links")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s = np.frombuffer(raw, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), node, dtype=np.int64))], names=["shingle", "node"])
+
+
+def _largest_partner(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, most: the most shingles that a partner of it among ``sets`` can have.
+
+    With u of its n shingles in no other of the sets, a pair shares n - u at most, and
+    100 * shared >= percent * (n + m - shared) bounds the partner's m."""
+    alone = sets.mapInArrow(_spread, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    own = sets.select("node").join(nodes.select("node", "n"), "node").join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("u")), "node", "left")
+    shared = F.col("n") - F.coalesce("u", F.lit(0).cast("long"))
+    return own.select("node", F.floor(((100 + percent) * shared - percent * F.col("n")) / percent).alias("most"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, rk, n_shingles, component_id, kept for every row.
 
@@ -180,7 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with nothing).  Two documents are linked when 100 * intersection >= percent * union.
     component_id: the smallest doc_id reachable, null if the component has none; kept: doc_id is
     that.  Equality of shingles is that of 64-bit hashes.  A pair at the threshold is missed
-    with a chance of (1 - 0.85 ** 5) ** 32, under one in a hundred million.
+    where it shares fewer than two of the 32 bands: a chance of two in ten million.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rk", row_key())
     signed = keyed.select("doc_id", "rk", F.col("text").cast("binary").alias("text"))
@@ -193,22 +257,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bands = nodes.select("node", "n", "sketch").mapInArrow(_bands, "band long, node long, n long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("band", "head")
     members = materialise(bands.join(shared, "band"), "band-members")
-    # each node meets the least node that shares a band with it
-    stars = members.where(F.col("node") != F.col("head")).groupBy("node").agg(F.min("head").alias("head"))
-    links = finder.links(stars.select(F.col("head").alias("u"), F.col("node").alias("v")))
+    # a pair at the threshold shares fourteen bands; a node with one shared band has no such partner
+    often = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
+    members = materialise(members.join(often, "node"), "often-members")
+    sets = finder.sets(members.select("node").distinct())
+    bounds = materialise(_largest_partner(sets, nodes, percent), "bounds")
+    members = members.drop("head").join(bounds, "node").where(100 * F.col("most") >= percent * F.col("n"))
+    # each node meets the most shared node of its bands, for its size
+    fit = F.col("most") / F.col("n")
+    heads = members.groupBy("band").agg(F.max(F.struct(fit.alias("fit"), "node")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "head")
+    members = materialise(members.join(heads, "band"), "able-members")
+    stars = members.where(F.col("node") != F.col("head.node")).groupBy("node").agg(F.max("head").alias("head"))
+    links = finder.links(stars.select(F.col("head.node").alias("u"), F.col("node").alias("v")), sets)
     # what the bands can still tell: nodes outside the largest component of a band against the others
     roots = components(links)
-    named = members.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    named = members.drop("head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialise(named, "named-members")
     per = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
     open_bands = per.where("roots > 1").select("band", F.col("most.root").alias("main"))
-    open_members = materialise(named.join(open_bands, "band"), "open-members")
-    minor = open_members.where(F.col("root") != F.col("main")).select("band", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("r_v"))
-    others = open_members.select("band", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("r_u"), "main")
-    apart = (F.col("r_u") != F.col("r_v")) & ((F.col("r_u") == F.col("main")) | (F.col("u") < F.col("v")))
-    near = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    rest = minor.join(others, "band").where(apart & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    every = links.union(finder.links(rest))
+    able = materialise(named.join(open_bands, "band"), "open-members")
+    able = able.join(nodes.select("node", "sketch"), "node")
+    sizes = able.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    able = able.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)))
+    entry = F.collect_list(F.struct("node", "n", "most", "root", "sketch"))
+    others = able.groupBy("band", "chunk", "main").agg(entry.alias("others")).drop("chunk")
+    minors = able.where(F.col("root") != F.col("main")).groupBy("band", "chunk").agg(entry.alias("minors")).drop("chunk")
+    met = minors.join(others, "band").select("band", "main", "minors", "others")
+    rest = materialise(met.mapInArrow(_meet(percent), "u long, v long"), "rest-pairs").distinct()
+    every = links.union(finder.links(rest, sets))
     roots = components(every)
 
     final = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
