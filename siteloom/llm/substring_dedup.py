@@ -90,9 +90,9 @@ _NODES = "p long, q long, doc long, rk long, pos int, state int"
 
 
 def _walk_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves in order.  A leaf is dropped if its document comes after its node's first one.  The
-    leaves of a partition's first node stay open, as the node may have begun in the partition
-    before; the first and the last node each leave an edge with their first document here."""
+    """Leaves in order.  A leaf is dropped if its document comes after its node's first one.  Those
+    of the first document of a partition's first node stay open, as the node may have begun in the
+    partition before; the first and the last node each leave an edge with their first document here."""
     key, lowest, leads = None, None, True
     for batch in batches:
         n = batch.num_rows
@@ -108,7 +108,7 @@ def _walk_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of the partition's first node: the open ones
         first_here = key is None
         opens = (node == 1) if first_here else (node == 0) & leads
-        state = np.where(opens, _OPEN, np.where(doc > low, _DROP, -1)).astype(np.int32)
+        state = np.where(doc > low, _DROP, np.where(opens, _OPEN, -1)).astype(np.int32)
         keep = np.flatnonzero(state >= 0)
         out = batch.take(pa.array(keep))
         yield pa.RecordBatch.from_arrays([*out.columns, pa.array(state[keep])], names=["p", "q", "doc", "rk", "pos", "state"])
