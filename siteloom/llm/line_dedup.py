@@ -50,34 +50,40 @@ def _hash_lines(min_chars: int):
 
 
 def _stream_runs(min_docs: int, keep_first: bool):
-    """Runs of one hash in a sorted partition.  The first run leaves open rows (it may have begun
-    earlier), the last one too unless it has reached min_docs; both leave a summary."""
+    """Runs of one hash in a sorted partition.  A run that reaches min_docs here is dropped.  The first
+    and the last run may go on in a neighbour partition: while they are shorter their rows stay
+    open, and both leave a summary.  With keep_first the first row of the first run stays open too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, n_docs, first, leads, held = None, None, 0, None, True, []
+
+        def close(last: bool) -> list[tuple]:
+            if not (leads or last):
+                return []
+            return [*((*r, _OPEN, 0) for r in held), (*first, _EDGE, n_docs)]
+
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             out: list[tuple] = []
             for row in zip(*cols, strict=True):
                 if row[:2] != key:
-                    if key is not None and leads:
-                        out.append((*first, _EDGE, n_docs))
+                    if key is not None:
+                        out += close(False)
                     leads = key is None
                     key, doc, n_docs, first, held = row[:2], None, 0, row, []
                 if row[2:4] != doc or n_docs == 0:
                     doc, n_docs = row[2:4], n_docs + 1
-                if leads:
-                    out.append((*row, _OPEN, 0))
-                elif n_docs < min_docs:
-                    held.append(row)
-                else:
-                    out += [(*r, _DROP, 0) for r in held if not (keep_first and r is first)]
+                held.append(row)
+                if n_docs >= min_docs:
+                    for r in held:
+                        if not (keep_first and r is first):
+                            out.append((*r, _DROP, 0))
+                        elif leads:
+                            out.append((*r, _OPEN, 0))
                     held = []
-                    if not (keep_first and row is first):
-                        out.append((*row, _DROP, 0))
             yield _batch(out)
         if key is not None:
-            yield _batch([*((*r, _OPEN, 0) for r in held), (*first, _EDGE, n_docs)])
+            yield _batch(close(True))
 
     return run
 
@@ -128,7 +134,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     # two summaries a partition at most
     place = F.struct("doc_id", "rk", "pos")
     edges = runs.where(F.col("state") == _EDGE).groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs)
-    settled = runs.where(F.col("state") == _OPEN).join(edges, ["h1", "h2"])
+    settled = runs.where(F.col("state") == _OPEN).join(F.broadcast(edges), ["h1", "h2"])
     if keep_first:
         settled = settled.where(~place.eqNullSafe(F.col("first")))
     cols = ["doc_id", "rk", "pos", "n_lines"]
