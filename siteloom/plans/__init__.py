@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages"]
+MODULES = ["pages", "site"]
 
 
 def _all(name: str) -> dict:
