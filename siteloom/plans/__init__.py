@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages", "site"]
+MODULES = ["pages", "site", "collected"]
 
 
 def _all(name: str) -> dict:

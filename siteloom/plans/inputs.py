@@ -41,7 +41,7 @@ CTES = {"fetches": FETCHES}
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input, from its SQL text over the given tables."""
-    text = CTES[name]
+    text = CTES[name].replace("URLLIST", f"listagg({_ENTRY}, '') within group (order by page_id)")
     for t in TABLES:
         if f"from {t}" in text:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"siteloom_{t}")
@@ -49,12 +49,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+#: The one aggregate that the two engines spell differently.
+_ENTRY = "concat('<url><loc>', url, '</loc></url>')"
 TABLES = ("pages", "events", "documents", "conversations")
 
 
 def with_inputs(sql: str, *names: str) -> str:
     """DuckDB text with the derived inputs as common tables before it."""
-    own = ", ".join(f"{n} as ({CTES[n]})" for n in names)
+    own = ", ".join(f"{n} as ({CTES[n]})" for n in names).replace("URLLIST", f"string_agg({_ENTRY}, '' order by page_id)")
     sql = sql.strip()
     if sql.startswith("with recursive"):
         return f"with recursive {own}, {sql[14:]}"
