@@ -12,9 +12,11 @@ DEPTH = 16
 
 def _type_names(node: Column) -> Column:
     """@type of a variant object: one string or an array of them."""
-    one = F.try_variant_get(node, "$['@type']", "string")
-    many = F.try_variant_get(node, "$['@type']", "array<string>")
-    return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+    declared = F.try_variant_get(node, "$['@type']", "variant")
+    text = lambda v: F.schema_of_variant(v) == "STRING"
+    many = F.filter(F.try_variant_get(declared, "$", "array<variant>"), text)
+    names = F.when(text(declared), F.array(declared)).otherwise(F.coalesce(many, F.array().cast("array<variant>")))
+    return F.transform(names, lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def with_schema(signals: DataFrame) -> DataFrame:
