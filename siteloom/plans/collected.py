@@ -8,7 +8,7 @@ from siteloom.functions import redact, urls
 from siteloom.operators import collected, findings, page_signals, report, site_facts
 from siteloom.plans import pages as page_plans
 from siteloom.plans.inputs import CTES, frame, with_inputs
-from siteloom.plans.pages import _ALL, SIGNALS, _normal, _signals
+from siteloom.plans.pages import _ALL, SIGNALS, _kept, _normal
 from siteloom.sources.tables import table
 from siteloom.streaming import incremental
 
@@ -122,7 +122,7 @@ def q_cache_statistics(spark, d):
 
 
 def _technical(spark, d):
-    return report.with_ordinal(findings.technical(_signals(spark, d)))
+    return report.with_ordinal(findings.technical(_kept(spark, d)))
 
 
 def q_report_priorities(spark, d):
@@ -134,7 +134,7 @@ def q_report_findings(spark, d):
 
 
 def q_report_text(spark, d):
-    s = _signals(spark, d)
+    s = _kept(spark, d)
     f = findings.technical(s)
     return report.text_report(f, findings.scorecard(f, s)).drop("run_id")
 

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from siteloom.functions.text import SPACES, WS
 from siteloom.operators import findings, images, jsonld, link_graph, page_signals
 from siteloom.plans.inputs import frame, with_inputs
+from siteloom.sources.scratch import keep
 
 
 def _signals(spark, d) -> DataFrame:
     return jsonld.with_schema(page_signals.page_signals(frame(spark, d, "fetches")))
 
 
+def _kept(spark, d) -> DataFrame:
+    """Page signals as a table: html is scanned once, however many aggregations follow."""
+    return keep(_signals(spark, d), "page-signals")
+
+
 def _pages(spark, d) -> DataFrame:
     return frame(spark, d, "fetches").select("run_id", "site", "crawl_seq", "url", "status")
 
@@ -44,28 +50,28 @@ GROUPS = {
 
 
 def _group(name):
-    return lambda spark, d: _flat(findings.run_page_checks(_signals(spark, d), GROUPS[name]))
+    return lambda spark, d: _flat(findings.run_page_checks(_kept(spark, d), GROUPS[name]))
 
 
 def q_duplicate_findings(spark, d):
-    s = _signals(spark, d)
+    s = _kept(spark, d)
     a = findings.duplicates(s, "title", "tech.duplicate_title", "tech_duplicate_title", "%1$d pages have duplicate titles (%2$d unique duplicates)")
     b = findings.duplicates(s, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions")
     return _flat(a.unionByName(b))
 
 
 def q_site_scorecard(spark, d):
-    s = _signals(spark, d)
+    s = _kept(spark, d)
     return findings.scorecard(findings.technical(s), s).drop("run_id")
 
 
 def q_category_scores(spark, d):
-    s = _signals(spark, d)
+    s = _kept(spark, d)
     return findings.category_scores(findings.technical(s), s).drop("run_id")
 
 
 def q_findings_summary(spark, d):
-    return findings.summary(findings.technical(_signals(spark, d))).drop("run_id")
+    return findings.summary(findings.technical(_kept(spark, d))).drop("run_id")
 
 
 def q_page_links(spark, d):
