@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact, urls
-from siteloom.operators import collected, findings, page_signals, report, site_facts
+from siteloom.operators import collected, collectors, findings, page_signals, report, site_facts
 from siteloom.plans import pages as page_plans
 from siteloom.plans.inputs import CTES, frame, with_inputs
 from siteloom.plans.pages import _ALL, SIGNALS, _kept, _normal
+from siteloom.plans.site import _CH, _h
 from siteloom.sources.tables import table
 from siteloom.streaming import incremental
 
@@ -149,6 +150,44 @@ def q_findings_dedup(spark, d):
     return findings.dedupe(twice).select("site", "check_id", "type")
 
 
+CTES["responses"] = f"""select run_id, site, case k when 0 then '/.well-known/security.txt' else '/humans.txt' end as path, case when (sid + k) % 3 = 0 then 404 else 200 end as status, concat('body of ', site) as body from {_S} cross join (select 0 as k union all select 1) w where (sid + k) % 4 <> 1"""
+CTES["dns"] = f"""select run_id, site, case (sid + pos) % 3 when 0 then 'A' when 1 then 'AAAA' else 'CNAME' end as rtype, pos, concat('v', cast(pos as varchar(5))) as value, 60 * (1 + sid % 5) + pos as ttl from {_S} cross join (select 0 as pos union all select 1 union all select 2 union all select 3) p where pos <= sid % 4"""
+CTES["serp_items"] = """select 'r1' as run_id, cast(page_id % 30 as varchar(10)) as site, 1 + page_id % 2 as provider, page_id as pos, case page_id % 2 when 0 then concat('{"position":', cast(page_id % 10 as varchar(5)), ',"title":"t","link":"', url, '"}') else concat('{"type":"', case page_id % 3 when 0 then 'paid' else 'organic' end, '","url":"', url, '","description":"d"}') end as item from pages"""
+
+
+def q_well_known(spark, d):
+    return collectors.well_known(frame(spark, d, "sites"), frame(spark, d, "responses")).drop("run_id")
+
+
+def q_security_txt(spark, d):
+    return collectors.security_txt_findings(collectors.well_known(frame(spark, d, "sites"), frame(spark, d, "responses"))).drop("run_id")
+
+
+def q_dns_facts(spark, d):
+    out = collectors.dns_facts(frame(spark, d, "dns")).drop("run_id")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("a_records", "aaaa_records", "cname_chain")})
+
+
+def q_serp_results(spark, d):
+    return collectors.serp_results(frame(spark, d, "serp_items")).drop("run_id")
+
+
+def q_host_variants(spark, d):
+    return collectors.host_variants(frame(spark, d, "sites")).drop("run_id")
+
+
+def q_crawl_findings(spark, d):
+    chains = site_facts.redirect_chains(frame(spark, d, "hops"))
+    refs = collected.sitemap_refs(frame(spark, d, "robots"))
+    pages = frame(spark, d, "urls")
+    return collectors.crawl_findings(refs, collected.sitemap_urls(frame(spark, d, "sitemap_files"), refs), frame(spark, d, "sites"), chains, site_facts.host_rules(chains), collectors.parameterised_count(pages)).drop("run_id")
+
+
+def q_request_blocks(spark, d):
+    s = _kept(spark, d)
+    return collectors.request_blocks(findings.technical(s), s, findings.category(F.col("type"))).drop("run_id")
+
+
 def q_stream_page_signals(spark, d):
     schema = table(spark, d, "pages").schema
     stream = incremental.read_files(spark, f"{d}/pages.parquet*", schema)
@@ -218,6 +257,24 @@ _PRIO = "prio as (select * from (select *, row_number() over (partition by site
 _sr = "case severity when 'critical' then 0 when 'warning' then 1 when 'info' then 2 else 4 end"
 
 ORACLE_SQL = {
+    "well_known": _duck(f"select s.site, p as path, r.status, case when r.status between 200 and 299 then r.body[1:2000] else '' end as body_snippet from sites s cross join (select unnest({collectors.WELL_KNOWN}) as p) w left join responses r on r.site = s.site and r.path = p", "sites", "responses"),
+    "security_txt": _duck("select s.site, 'sec.security_txt' as check_id, 'sec_missing_csp' as type, 'info' as severity, 'security.txt not found at /.well-known/security.txt' as message from sites s where not exists (select 1 from responses r where r.site = s.site and r.path = '/.well-known/security.txt' and r.status = 200)", "sites", "responses"),
+    "dns_facts": _duck("select *, a_records <> '' as resolved, aaaa_records <> '' as has_ipv6 from (select site, coalesce(string_agg(value, ',' order by pos) filter (rtype = 'A'), '') as a_records, coalesce(string_agg(value, ',' order by pos) filter (rtype = 'AAAA'), '') as aaaa_records, coalesce(string_agg(value, ',' order by pos) filter (rtype = 'CNAME'), '') as cname_chain, max(ttl) as ttl from dns group by site)", "dns"),
+    "serp_results": _duck("""select site, coalesce(cast(json_extract_string(item, '$.position') as int), 0) as position, coalesce(json_extract_string(item, '$.title'), '') as title, json_extract_string(item, '$.link') as url, '' as snippet from serp_items where provider = 1
+      union all select site, row_number() over (partition by site order by pos)::int, '', json_extract_string(item, '$.url'), json_extract_string(item, '$.description') from serp_items where provider = 2 and json_extract_string(item, '$.type') = 'organic'""", "serp_items"),
+    "host_variants": _duck("select site, v.variant, concat(v.scheme, '://', case when v.own then site when site like 'www.%' then site[5:] else concat('www.', site) end) as start from sites cross join (values ('httpRoot', 'http', true), ('httpsRoot', 'https', true), ('httpWww', 'http', false), ('httpsWww', 'https', false)) v(variant, scheme, own)", "sites"),
+    "crawl_findings": _duck(f"""{_SM}, {_CH}, f as (select s.site, (select count(*) from refs r where r.site = s.site) as refs, (select count(*) from sitemap_urls u where u.site = s.site) as found, (select count(*) from sitemap_urls u where u.site = s.site and seq <= 100 and lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) <> s.site) as other,
+      (select count(*) from chains c where c.site = s.site and len(c.c) > 3) as long, (select {_h('https_root')} <> {_h('https_www')} and {_h('https_root')} <> concat('www.', {_h('https_www')}) and {_h('https_www')} <> concat('www.', {_h('https_root')}) from finals n where n.site = s.site) as clash,
+      (select http_root like 'http://%' from finals n where n.site = s.site) as stays, (select count(*) from (select site, regexp_extract(url, '[?]([^#]*)', 1) as q, row_number() over (partition by site order by crawl_seq) as r from urls) p where p.site = s.site and r <= 200 and q <> '') as params from sites s)
+      select site, 'crawl.sitemap_missing' as check_id, 'crawl_sitemap_missing' as type, 'warning' as severity, 'No sitemap.xml found or referenced in robots.txt' as message from f where refs = 0 and found = 0
+      union all select site, 'crawl.sitemap_empty', 'crawl_sitemap_empty', 'warning', 'Sitemap referenced but could not be parsed or is empty' from f where refs > 0 and found = 0
+      union all select site, 'crawl.sitemap_foreign_host', 'crawl_sitemap_missing', 'info', 'Sitemap contains URLs with non-canonical hostnames' from f where other > 0
+      union all select site, 'crawl.redirect_chain', 'crawl_unreachable', 'warning', concat('Excessive redirect chains detected (', long, ' chains with >3 hops)') from f where long > 0
+      union all select site, 'crawl.host_conflict', 'crawl_unreachable', 'warning', 'Inconsistent host configuration: www and non-www hosts serve different content' from f where clash
+      union all select site, 'crawl.http_no_https', 'crawl_unreachable', 'critical', 'HTTP root does not redirect to HTTPS' from f where stays
+      union all select site, 'crawl.param_urls', 'crawl_unreachable', 'info', concat('Detected ', params, ' URLs with query parameters') from f where params > 0""", "robots", "sitemap_files", "sites", "hops", "urls"),
+    "request_blocks": _duck(f"""with {SIGNALS}, {_ALL} select s.site, s.category, coalesce(string_agg(concat('[', severity, '] ', type, ': ', message), chr(10) order by check_id) filter (check_id is not null), 'No findings in this category') as block
+      from (select distinct site, unnest(['crawl', 'technical', 'security', 'performance', 'visual', 'serp']) as category from signals) s left join technical t on s.site = t.site and s.category = {_CAT} group by all""", "fetches"),
     "url_normalise": f"select page_id, {_normal('url')} as normal, {page_plans._key('url')} as link_key from pages",
     "url_clean": _duck("""select page_id, case when u = '' then '' else concat('https://', u) end as cleaned from (select page_id, case when b <> '' and not contains(b, '.') and not contains(b, ':') then concat(b, '.com') else b end as u from (
       select page_id, regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(t, '(?i)(https?://.*)$', 1), ''), t), '(?i)^((https?|htp|http|htps|ttps?):?/+)+', ''), '^/+', '') as b from (select page_id, regexp_replace(regexp_replace(trim(typed), '^["''<(\\[{]+|["''>)\\]}]+$', '', 'g'), '\\s+', '', 'g') as t from typed)))""".replace("\\\\", "\\"), "typed"),
