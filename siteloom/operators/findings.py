@@ -29,41 +29,39 @@ class PageCheck:
     check_id: str
     type: str
     severity: str
-    matches: Column
+    matches: str
     message: str
     samples: int = 20
-    weight: Column | None = None
+    weight: str | None = None
 
 
 TITLE_MAX, TITLE_MIN, DESCRIPTION_MAX = 60, 30, 155
 
 
-def _is_product() -> Column:
-    return F.col("url").contains("/product") | F.col("url").contains("/item") | F.col("url").contains("/p/")
+IS_PRODUCT = "(contains(url, '/product') or contains(url, '/item') or contains(url, '/p/'))"
+NO_H2 = "(size(headings.h3) > 0 and size(headings.h2) = 0)"
+NO_H3 = "(size(headings.h4) > 0 and size(headings.h3) = 0)"
 
 
 def page_checks() -> list[PageCheck]:
-    """The page rules. ``%d`` in a message is the count."""
-    c = F.col
-    no_h2 = (F.size("headings.h3") > 0) & (F.size("headings.h2") == 0)
-    no_h3 = (F.size("headings.h4") > 0) & (F.size("headings.h3") == 0)
+    """The page rules, predicates as SQL text over page signals. ``%d`` in a message is the count."""
     return [
-        PageCheck("tech.missing_title", "tech_missing_title", "critical", c("title").isNull(), "%d pages are missing title tags"),
-        PageCheck("tech.title_long", "tech_title_too_long", "info", c("title_length") > TITLE_MAX, f"%d pages have titles longer than {TITLE_MAX} characters", 10),
-        PageCheck("tech.title_short", "tech_title_too_short", "info", c("title").isNotNull() & (c("title_length") < TITLE_MIN), f"%d pages have titles shorter than {TITLE_MIN} characters", 10),
-        PageCheck("tech.missing_desc", "tech_missing_meta_desc", "warning", c("meta_description").isNull(), "%d pages are missing meta descriptions"),
-        PageCheck("tech.desc_long", "tech_meta_desc_too_long", "info", c("meta_description_length") > DESCRIPTION_MAX, f"%d pages have meta descriptions longer than {DESCRIPTION_MAX} characters", 10),
-        PageCheck("tech.missing_h1", "tech_missing_h1", "warning", c("h1_count") == 0, "%d pages are missing H1 tags"),
-        PageCheck("tech.multiple_h1", "tech_multiple_h1", "info", c("h1_count") > 1, "%d pages have multiple H1 tags", 10),
-        PageCheck("tech.heading_hierarchy", "tech_missing_h1", "info", no_h2 | no_h3, "%d pages have heading hierarchy issues", 10, no_h2.cast("long") + no_h3.cast("long")),
-        PageCheck("tech.missing_canonical", "tech_missing_canonical", "warning", c("canonical").isNull(), "%d pages are missing canonical tags"),
-        PageCheck("tech.canonical_mismatch", "tech_canonical_mismatch", "info", c("canonical").isNotNull() & ~c("canonical_self"), "%d pages have non-self-referencing canonicals", 10),
-        PageCheck("tech.product_schema", "tech_missing_viewport", "warning", _is_product() & ~c("has_product_schema"), "%d product pages missing Product schema markup", 10),
-        PageCheck("tech.schema_invalid", "tech_missing_viewport", "info", c("invalid_schema_count") > 0, "%d pages have schema validation errors", 10),
-        PageCheck("tech.mixed_content", "sec_mixed_content", "critical", c("mixed_content"), "%d pages have mixed content (HTTP assets on HTTPS pages)"),
-        PageCheck("tech.viewport", "tech_missing_viewport", "warning", ~c("has_viewport"), "%d pages are missing viewport meta tag"),
-        PageCheck("tech.charset", "tech_missing_charset", "info", ~c("has_charset"), "%d pages are missing charset declaration", 10),
-        PageCheck("tech.lang", "tech_missing_lang", "info", ~c("has_lang"), "%d pages are missing lang attribute", 10),
+        PageCheck("tech.missing_title", "tech_missing_title", "critical", "title is null", "%d pages are missing title tags"),
+        PageCheck("tech.title_long", "tech_title_too_long", "info", f"title_length > {TITLE_MAX}", f"%d pages have titles longer than {TITLE_MAX} characters", 10),
+        PageCheck("tech.title_short", "tech_title_too_short", "info", f"title is not null and title_length < {TITLE_MIN}", f"%d pages have titles shorter than {TITLE_MIN} characters", 10),
+        PageCheck("tech.missing_desc", "tech_missing_meta_desc", "warning", "meta_description is null", "%d pages are missing meta descriptions"),
+        PageCheck("tech.desc_long", "tech_meta_desc_too_long", "info", f"meta_description_length > {DESCRIPTION_MAX}", f"%d pages have meta descriptions longer than {DESCRIPTION_MAX} characters", 10),
+        PageCheck("tech.missing_h1", "tech_missing_h1", "warning", "h1_count = 0", "%d pages are missing H1 tags"),
+        PageCheck("tech.multiple_h1", "tech_multiple_h1", "info", "h1_count > 1", "%d pages have multiple H1 tags", 10),
+        PageCheck("tech.heading_hierarchy", "tech_missing_h1", "info", f"{NO_H2} or {NO_H3}", "%d pages have heading hierarchy issues", 10, f"cast({NO_H2} as bigint) + cast({NO_H3} as bigint)"),
+        PageCheck("tech.missing_canonical", "tech_missing_canonical", "warning", "canonical is null", "%d pages are missing canonical tags"),
+        PageCheck("tech.canonical_mismatch", "tech_canonical_mismatch", "info", "canonical is not null and not canonical_self", "%d pages have non-self-referencing canonicals", 10),
+        PageCheck("tech.product_schema", "tech_missing_viewport", "warning", f"{IS_PRODUCT} and not has_product_schema", "%d product pages missing Product schema markup", 10),
+        PageCheck("tech.schema_invalid", "tech_missing_viewport", "info", "invalid_schema_count > 0", "%d pages have schema validation errors", 10),
+        PageCheck("tech.mixed_content", "sec_mixed_content", "critical", "mixed_content", "%d pages have mixed content (HTTP assets on HTTPS pages)"),
+        PageCheck("tech.viewport", "tech_missing_viewport", "warning", "not has_viewport", "%d pages are missing viewport meta tag"),
+        PageCheck("tech.charset", "tech_missing_charset", "info", "not has_charset", "%d pages are missing charset declaration", 10),
+        PageCheck("tech.lang", "tech_missing_lang", "info", "not has_lang", "%d pages are missing lang attribute", 10),
     ]
 
 
@@ -79,7 +77,7 @@ def run_page_checks(signals: DataFrame, only: list[str] | None = None) -> DataFr
         if unknown := set(only) - {c.check_id for c in checks}:
             raise ValueError(f"unknown checks: {sorted(unknown)}")
         checks = [c for c in checks if c.check_id in only]
-    broken = F.array_compact(F.array(*(F.when(c.matches, F.struct(F.lit(i).alias("i"), (c.weight if c.weight is not None else F.lit(1)).cast("long").alias("w"))) for i, c in enumerate(checks))))
+    broken = F.array_compact(F.array(*(F.when(F.expr(c.matches), F.struct(F.lit(i).alias("i"), F.expr(c.weight or "1").cast("long").alias("w"))) for i, c in enumerate(checks))))
     rows = signals.select(*KEY, "crawl_seq", "url", F.explode(broken).alias("b")).select(*KEY, "crawl_seq", "url", "b.i", "b.w")
     most = max(c.samples for c in checks)
     place = F.row_number().over(Window.partitionBy(*KEY, "i").orderBy("crawl_seq", "url"))

@@ -22,3 +22,11 @@ def test_plans_stay_native(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert done.returncode == 0
