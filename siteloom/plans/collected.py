@@ -98,7 +98,7 @@ def q_model_findings(spark, d):
 
 
 def q_llm_cost(spark, d):
-    return collected.run_costs(frame(spark, d, "traces")).withColumn("shown", collected.show_cost(F.col("cost")))
+    return collected.run_costs(frame(spark, d, "traces")).withColumns({"shown": collected.show_cost(F.col("cost")), "cost_nano": F.round(F.col("cost") * 1e9).cast("long")}).drop("cost")
 
 
 def q_stage_durations(spark, d):
@@ -298,7 +298,7 @@ ORACLE_SQL = {
       case lower(f.severity) when 'critical' then 'critical' when 'high' then 'warning' when 'low' then 'info' else 'info' end as severity, f.description as message from (
       select conv_id, turn, unnest(from_json(json_extract(b, '$.findings'), '[{"category":"VARCHAR","severity":"VARCHAR","description":"VARCHAR"}]')) as f, generate_subscripts(from_json(json_extract(b, '$.findings'), '[{"category":"VARCHAR","severity":"VARCHAR","description":"VARCHAR"}]'), 1) as i
       from (select conv_id, turn, regexp_extract(text, '(?s)([{].*[}])', 1) as b from answers where contains(text, '{')))""", "answers"),
-    "llm_cost": _duck(f"""with p as (select * from (values {", ".join(f"('{m}', {a}, {b})" for m, (a, b) in collected.PRICES.items())}) v(model, i, o)) select run_id, steps, prompt_tokens, output_tokens, cost, case when cost < 0.01 then concat('$', format('{{:.4f}}', cost)) else concat('$', format('{{:.2f}}', cost)) end as shown from (
+    "llm_cost": _duck(f"""with p as (select * from (values {", ".join(f"('{m}', {a}, {b})" for m, (a, b) in collected.PRICES.items())}) v(model, i, o)) select run_id, steps, prompt_tokens, output_tokens, round(cost * 1e9)::bigint as cost_nano, case when cost < 0.01 then concat('$', format('{{:.4f}}', cost)) else concat('$', format('{{:.2f}}', cost)) end as shown from (
       select run_id, count(*) as steps, sum(prompt_tokens)::bigint as prompt_tokens, sum(output_tokens)::bigint as output_tokens, sum(coalesce(prompt_tokens, 0) / 1000.0 * coalesce(i, 0.00025)::double + output_tokens / 1000.0 * coalesce(o, 0.001)::double) as cost from traces left join p using (model) group by run_id)""", "traces"),
     "stage_durations": """with e as (select concat('run', user_id % 50) as run_id, event_type as stage, ts as a, ts + to_seconds(event_id % 500) as b from events) select run_id, stage, sum(epoch_ms(b) - epoch_ms(a))::bigint as duration_ms from e group by all
       union all select run_id, 'total', epoch_us(max(b)) // 1000 - epoch_us(min(a)) // 1000 from e group by run_id""",
