@@ -142,7 +142,8 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", row_key())
     copies = _copies(keyed)
     anchors = materialise(keyed.select("rk", F.col("text").cast("binary").alias("text")).mapInArrow(_anchors(window), "anchor long, rk long, span long"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("anchor")
+    # a table of its own, so that a very common anchor's rows can be split among tasks of the join
+    shared = materialise(anchors.groupBy("anchor").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("anchor"), "shared-anchors")
     spans = anchors.join(shared, "anchor").groupBy("rk").agg(F.collect_list("span").alias("spans")).withColumnRenamed("rk", "k")
     spans = materialise(spans.join(copies.select(F.col("rk").alias("k")), "k", "left_anti"), "spans")
     texts = keyed.join(spans, F.col("rk") == F.col("k")).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "rk", F.col("text").cast("binary").alias("text"), "spans")
