@@ -89,7 +89,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slot": np.arange(DIM + 1, dtype=np.int32), "n": np.append(df, n)})
 
 
-def learn(docs: DataFrame, clusters: int = 4, rounds: int = 8, sample: int = 2000) -> list[tuple[str, np.ndarray, float]]:
+def learn(docs: DataFrame, clusters: int = 4, rounds: int = 8, sample: int = 1000) -> list[tuple[str, np.ndarray, float]]:
     """Centroids of each language from at most ``sample`` documents of it (a stated bound; those of
     least row hash), and the cosine under which a text is rejected.  Rows without lang or text teach nothing.
 
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, clusters: int = 4, rounds: int = 8, sample: int = 200
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     known = known.withColumn("order", F.xxhash64("doc_id"))
-    # the limit of a ranked window is applied before rows are shuffled
+    # the limit of a ranked window is applied before rows are shuffled, if it is 1000 at most
     least = Window.partitionBy("lang").orderBy("order", "doc_id")
     ranks = known.select("lang", "doc_id", "order").withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     rows = known.join(F.broadcast(ranks), ["doc_id", "lang"])  # at most ``sample`` rows a language
