@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,41 @@ def page_signal_stream(pages: DataFrame, signals: Callable[[DataFrame], DataFram
     return signals(pages)
 
 
+def _lives(ttl: int):
+    """Rows of one key against the snapshots kept so far, in order of time; the state is the times of those, sorted."""
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.sort_values(list(rows.columns), kind="stable")
+        times = list(state.get[0]) if state.exists else []
+        keep = []
+        for t in rows["at"].tolist():
+            i = bisect.bisect_right(times, t)
+            keep.append(i == 0 or t > times[i - 1] + ttl)
+            if keep[-1]:
+                times.insert(i, t)
+        state.update((times,))
+        yield rows[keep]
+
+    return run
+
+
 def reuse_snapshots(snapshots: DataFrame, ttl: str = "12 hours") -> DataFrame:
-    """The first snapshot of each key within the time to live; later ones are dropped. Ones a little beyond it may be dropped too; the batch form is exact."""
-    return snapshots.withWatermark("collected_at", ttl).dropDuplicatesWithinWatermark(["cache_key"])
+    """A snapshot of each key, and the next one when the time to live of the one kept last has passed; those it covers are dropped.
+
+    Rows of a micro-batch are taken in order of time (ties: of their other columns as text), so files read at once, or in order of
+    time over several batches, give what the batch rule gives. No row is dropped as late: one from before a kept snapshot
+    is held to the kept one before it. Rows without a time are not told apart and all go. The state has a number for each kept snapshot.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
+    rest = [c for c in snapshots.columns if c not in ("cache_key", "collected_at")]
+    # other columns pass through pandas as text, which would make nullable integers floats
+    rows = snapshots.where("collected_at is not null").select("cache_key", F.unix_micros("collected_at").alias("at"), *(F.col(c).cast("string").alias(c) for c in rest))
+    schema = ", ".join(["cache_key string", "at long", *(f"`{c}` string" for c in rest)])
+    micros = int(pd.Timedelta(ttl).total_seconds() * 1_000_000)
+    kept = rows.groupBy("cache_key").applyInPandasWithState(_lives(micros), schema, "times array<long>", "append", "NoTimeout")
+    back = {"collected_at": F.timestamp_micros("at")} | {c: F.col(c).cast(kinds[c]) for c in rest}
+    return kept.select(*(back.get(c, F.col(c)).alias(c) for c in snapshots.columns))
 
 
 def refresh_counts(signals: DataFrame, every: Callable[[], DataFrame], name: str, recount: Callable[[DataFrame], DataFrame]) -> DataFrame:
