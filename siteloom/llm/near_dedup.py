@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with nothing).  Two documents are linked when 100 * intersection >= percent * union.
     component_id: the smallest doc_id reachable, null if the component has none; kept: doc_id is
     that.  Equality of shingles is that of 64-bit hashes.  A pair at the threshold is missed
-    where it shares fewer than two of the 32 bands: a chance of two in ten million.
+    where it shares fewer than two of the 32 bands: a chance of two in ten million at 85, of five
+    in a hundred thousand at 80.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rk", row_key())
     signed = keyed.select("doc_id", "rk", F.col("text").cast("binary").alias("text"))
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bands = nodes.select("node", "n", "sketch").mapInArrow(_bands, "band long, node long, n long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("band", "head")
     members = materialise(bands.join(shared, "band"), "band-members")
-    # a pair at the threshold shares fourteen bands; a node with one shared band has no such partner
+    # a pair at the threshold shares fourteen bands (ten at 80); a node with one shared band has no such partner
     often = members.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
     members = materialise(members.join(often, "node"), "often-members")
     sets = finder.sets(members.select("node").distinct())

@@ -294,3 +294,23 @@ def test_pipeline_stages(spark, docs):
     assert df.where("doc_id >= 100").count() == 0 and df.where(F.col("text").contains("shared head")).count() == 0
     out = corpus_pipeline.tokens(spark, df, None).collect()
     assert out and all(r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_pipeline_links_near_copies_from_0_8(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for g in range(20):
+        base = [f"g{g}x{i}" for i in range(104)]
+        own = list(base)
+        own[50] = "changed"
+        own[rng.randint(60, 90)] = "again"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]  # 90 of 110 shingles: 0.818
+        low = [f"low{g}x{i}" for i in range(104)]
+        rows += [(1000 + 2 * g, " ".join(low)), (1001 + 2 * g, " ".join("changed" if i in (30, 50, 70) else w for i, w in enumerate(low)))]  # 85 of 115: 0.739
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        both = len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1]))
+        assert 0.8 <= both < 0.85 if a[0] < 1000 else both < 0.8
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs(*rows), None).collect()}
+    assert kept == {2 * g for g in range(20)} | {1000 + i for i in range(40)}
