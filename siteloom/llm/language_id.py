@@ -62,7 +62,7 @@ def _damp(counts: np.ndarray) -> np.ndarray:
 
 def _learn_one(clusters: int, rounds: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id"])
+        pdf = pdf.sort_values(["order", "doc_id", "text"])
         x = _unit(_damp(np.stack([grams(r) for t in pdf["text"] if (r := letters(t))] or [np.zeros(DIM, dtype=np.float32)])) * np.frombuffer(pdf["idf"].iloc[0], dtype=np.float32))
         # spread-out first centres, then spherical k-means
         centres = [_unit(x.mean(axis=0))]
@@ -89,23 +89,38 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slot": np.arange(DIM + 1, dtype=np.int32), "n": np.append(df, n)})
 
 
-def learn(docs: DataFrame, clusters: int = 4, rounds: int = 8, sample: int = 1000) -> list[tuple[str, np.ndarray, float]]:
+def sampled(known: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows (lang, doc_id, text, order) a language, those of least row hash; rows of one doc_id and text count once."""
+    from pyspark.sql import Window
+
+    keyed = known.withColumns({"order": F.xxhash64("doc_id"), "key": F.xxhash64("text")})
+    # the limit of a ranked window is applied before rows are shuffled, if it is 1000 at most: each part of a language has its share
+    parts = -(-sample // 1000)
+    rows = keyed.select("lang", "doc_id", "key", "order").distinct().withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts)))
+    least = Window.partitionBy("lang", "part").orderBy("order", "doc_id", "key")
+    ranks = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample // parts).select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    found = keyed.join(F.broadcast(ranks), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))  # at most ``sample`` documents a language
+    return found.groupBy("lang", "doc_id", "key", "order").agg(F.first("text").alias("text")).drop("key")
+
+
+def frequencies(known: DataFrame) -> np.ndarray:
+    """Documents of ``known`` that hold each feature, over all rows; the last number is that of all documents with letters."""
+    slots = known.select("text").mapInPandas(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(DIM + 1)
+    df[slots["slot"].to_numpy()] = slots["n"]
+    return df
+
+
+def learn(docs: DataFrame, clusters: int = 4, rounds: int = 8, sample: int = 2000) -> list[tuple[str, np.ndarray, float]]:
     """Centroids of each language from at most ``sample`` documents of it (a stated bound; those of
-    least row hash), and the cosine under which a text is rejected.  Rows without lang or text teach nothing.
+    least row hash), and the cosine under which a text is rejected; document frequencies are those
+    of all rows.  Rows without lang or text teach nothing.
 
     The driver holds the centroids: languages times clusters vectors of DIM numbers.
     """
-    from pyspark.sql import Window
-
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    known = known.withColumn("order", F.xxhash64("doc_id"))
-    # the limit of a ranked window is applied before rows are shuffled, if it is 1000 at most
-    least = Window.partitionBy("lang").orderBy("order", "doc_id")
-    ranks = known.select("lang", "doc_id", "order").withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    rows = known.join(F.broadcast(ranks), ["doc_id", "lang"])  # at most ``sample`` rows a language
-    slots = rows.select("text").mapInPandas(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(DIM + 1)
-    df[slots["slot"].to_numpy()] = slots["n"]
+    df = frequencies(known)
+    rows = sampled(known, sample)
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + np.float32(0.1)
     learned = rows.withColumn("idf", F.lit(idf.tobytes())).groupBy("lang").applyInPandas(_learn_one(clusters, rounds), "lang string, centroid binary, least double")
     found = sorted(map(tuple, learned.collect()))

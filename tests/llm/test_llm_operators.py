@@ -314,3 +314,22 @@ def test_pipeline_links_near_copies_from_0_8(spark, docs):
         assert 0.8 <= both < 0.85 if a[0] < 1000 else both < 0.8
     kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs(*rows), None).collect()}
     assert kept == {2 * g for g in range(20)} | {1000 + i for i in range(40)}
+
+
+def test_language_id_counts_all_rows_and_samples_documents_once(spark, docs):
+    rows = [(i, f"common word{i % 7}", "xx") for i in range(300)] + [(500 + i, f"common rare{'qz'[i % 2]}", "yy") for i in range(50)]
+    rows += [(7, "hot row", "xx")] * 100 + [(None, "no id", "xx")] * 3 + [(900, "12 ...", "xx")]
+    want = np.zeros(language_id.DIM + 1)
+    for _, t, _ in rows:
+        if raw := language_id.letters(t):
+            want += np.append(language_id.grams(raw) > 0, True)
+    known = docs(*rows).select("doc_id", "text", "lang")
+    assert (language_id.frequencies(known) == want).all()
+    found = [(r["lang"], r["doc_id"], r["text"]) for r in language_id.sampled(known, 2000).collect()]
+    assert sorted(found, key=str) == sorted({(lang, i, t) for i, t, lang in rows}, key=str)
+    few = collections.Counter(r["lang"] for r in language_id.sampled(known, 40).collect())
+    assert few == {"xx": 40, "yy": 40}
+    # the weights of a model do not depend on the sample
+    idf = np.log((1 + want[-1]) / (1 + want[:-1])).astype(np.float32) + np.float32(0.1)
+    model = language_id.learn(docs(*rows), sample=10)
+    assert {m[0] for m in model} == {"xx", "yy"} and all((m[1][1] == idf).all() for m in model)
