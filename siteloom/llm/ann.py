@@ -218,6 +218,11 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return v.where(F.exists("embedding", lambda v: v != 0)).drop("bad")
 
 
+def in_blocks(queries: DataFrame) -> DataFrame:
+    """Adds block: about BLOCK queries have one, however many vectors are equal."""
+    return queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // BLOCK)))).cast("int"))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which ``is_query`` (a Column over vec_id)
     holds its ``k`` nearest other rows by cosine in double precision, ties to the smaller vec_id.
@@ -237,9 +242,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     index = points.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, graph binary, nodes binary")
     index = materialise(index, "index")
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // (50 * BLOCK))))).cast("int"))
-    blocks = blocks.groupBy("block").applyInArrow(_block, "block int, queries binary, vectors binary")
+    queries = materialise(rows.where(is_query).dropDuplicates(["vec_id"]), "queries")
+    blocks = in_blocks(queries).groupBy("block").applyInArrow(_block, "block int, queries binary, vectors binary")
     # a stated query set against all rows, in blocks: each block of queries meets each shard
     met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard")
     met = met.select("shard", "graph", "nodes", "queries", "vectors").sortWithinPartitions("shard")

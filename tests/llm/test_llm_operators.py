@@ -333,3 +333,25 @@ def test_language_id_counts_all_rows_and_samples_documents_once(spark, docs):
     idf = np.log((1 + want[-1]) / (1 + want[:-1])).astype(np.float32) + np.float32(0.1)
     model = language_id.learn(docs(*rows), sample=10)
     assert {m[0] for m in model} == {"xx", "yy"} and all((m[1][1] == idf).all() for m in model)
+
+
+def test_nearest_neighbours_of_many_equal_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    sizes, in_blocks = [], ann.in_blocks
+
+    def seen(queries):
+        out = in_blocks(queries)
+        sizes.extend(r["count"] for r in out.groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(ann, "in_blocks", seen)
+    # 1000 queries over three distinct vectors
+    df = spark.createDataFrame([(i, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]][i % 3]) for i in range(1000)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.lit(True)).collect()
+    assert sum(sizes) == 1000 and max(sizes) <= 2 * 64
+    per = collections.defaultdict(list)
+    for r in got:
+        per[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert len(per) == 1000
+    for q, own in per.items():
+        assert sorted(own) == list(enumerate([i for i in range(q % 3, 1000, 3) if i != q][:5], 1))
