@@ -20,12 +20,15 @@ WEIGHTS = np.array([xxhash.xxh3_64_intdigest(f"place{i}") | 1 for i in range(64)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one is made only where none is named."""
+    """The shared folder that the session names in spark.checkpoint.dir.  Without one only a local session gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -48,6 +51,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that Python workers get are bounded in bytes, unless the session says how: thousands of very long texts are never held at once."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(16 << 20))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Final avalanche of 64-bit hashes."""
     x = x ^ (x >> np.uint64(30))
@@ -88,7 +97,12 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def same(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
-    """Join on doc_id (null equals null) and rk; the right side's keys go."""
+def same(left: DataFrame, right: DataFrame, how: str = "left", key: str = "rk") -> DataFrame:
+    """Join on doc_id (null equals null) and the row key, which ``left`` holds as ``key``; the right side's keys go."""
     r = right.withColumnsRenamed({"doc_id": "__r_id", "rk": "__r_rk"})
-    return left.join(r, left["doc_id"].eqNullSafe(r["__r_id"]) & (left["rk"] == r["__r_rk"]), how).drop("__r_id", "__r_rk")
+    return left.join(r, F.col("doc_id").cast("long").eqNullSafe(F.col("__r_id").cast("long")) & (F.col(key) == F.col("__r_rk")), how).drop("__r_id", "__r_rk")
+
+
+def only(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are those of a row (doc_id, rk) of ``good``, with all their own columns."""
+    return same(docs.withColumn("__rk", row_key()), good, "left_semi", "__rk").drop("__rk")

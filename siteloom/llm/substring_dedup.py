@@ -1,16 +1,18 @@
-"""Substring deduplication: passages that a document shares with an earlier one.
-
-Suffixes (of words) are the leaves of a suffix tree that is never built in one place.  A suffix
-is keyed by hashes of its prefixes of PREFIX words and of the whole window; in the order of
-these keys equal prefixes stand together, so a range of that order is a set of subtrees whose
-root prefixes are as long as balance asks: Spark's range partitioning picks the bounds, and a
-subtree too large for one range goes on in the next.  A run of equal keys is an internal node as
-deep as the window: a repeat.  Its first leaf is the earliest document.  Overlapping repeats of
-a document join to its maximal ones.
-
-Only suffixes that can repeat enter: each window has an anchor, the word 5-gram of least hash in
-it, which equal windows share; anchors seen in one document only rule their windows out.  Whole
-copies of an earlier text are settled by their text's hash and enter no tree.
+"""Substring deduplication by prefix-partitioned suffix trees over words.
+
+A suffix of a document is followed as deep as the window.  Prefixes of growing length split the
+suffixes into groups that fit in memory: a first pass counts suffixes in buckets of prefix hashes,
+for several lengths; a suffix belongs to the shortest prefix whose bucket is small enough, and one
+whose whole window is still too common is dealt by document as well.  A partition holds whole
+groups.  Sorted by their words, the leaves of each subtree stand in order, and the words that a
+leaf shares with the one before it (its LCP) tell the internal nodes: where that reaches the
+window, both hang below one deep node, a repeat, whose first leaf is of the earliest document.
+Deep nodes of consecutive suffixes follow each other by suffix links, so a document's overlapping
+windows join to its maximal repeats.
+
+Only suffixes that can repeat enter a tree: each window has an anchor, the word 5-gram of least
+hash in it, which equal windows share; anchors seen in one document only rule their windows out.
+Whole copies of an earlier text are settled by their text's hash.
 """
 
 from __future__ import annotations
@@ -21,28 +23,49 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import WordHashes, materialise, row_key, same, windows
+from siteloom.llm.common import WordHashes, bounded_batches, materialise, row_key, same, windows
 
-ANCHOR, PREFIX = 5, 4
+ANCHOR = 5
+#: Words of the shortest prefix, and by how much it grows.
+PREFIX, GROW = 4, 3
+#: Suffixes that a group of one prefix may hold; most buckets in which they are counted, a length.
+GROUP, BUCKETS = 1 << 18, 1 << 20
+#: Bytes of the hash that stands for a word in a suffix; the window's own 64 bits confirm a deep node.
+WORD_BYTES, CHUNK = 3, 200_000
 _LAST = (1 << 63) - 1
 
 
-def _anchors(window: int):
-    """(anchor, row, windows from and to) of each document; one row for each place of an anchor."""
+def lengths(window: int) -> list[int]:
+    """Prefix lengths, shortest first; the last is the window."""
+    return [*range(min(PREFIX, window), window, GROW), window]
+
+
+def bucket_count(suffixes: int) -> int:
+    """A power of two: four buckets or more for what one group may hold."""
+    return min(BUCKETS, max(64, 1 << (4 * suffixes // GROUP).bit_length()))
+
+
+def _profile(window: int, buckets: int):
+    """Two kinds of rows: (0, anchor, row, windows from and to), one for each place of an anchor; and
+    (prefix length, bucket, null, suffixes), once a task: a bounded array of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        width = window - ANCHOR + 1
+        counts = {k: np.zeros(buckets, dtype=np.int64) for k in lengths(window)}
         for batch in batches:
             keys, spans, lens = [], [], []
             for text in batch.column(1).to_pylist():
-                grams = windows(hashes.of((text or b"").split()), ANCHOR)
-                width = window - ANCHOR + 1
+                w = hashes.of((text or b"").split())
+                grams = windows(w, ANCHOR)
                 if len(grams) < width:
                     lens.append(0)
                     continue
+                for k, seen in counts.items():
+                    seen += np.bincount((windows(w, k, 1)[: len(w) - window + 1] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
                 at = sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 last = np.append(first[1:], len(at)) - 1
@@ -51,19 +74,71 @@ def _anchors(window: int):
                 lens.append(len(first))
             take = pa.array(np.repeat(np.arange(len(lens)), lens))
             none = [np.empty(0, dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or none)), batch.column(0).take(take), pa.array(np.concatenate(spans or none))], names=["anchor", "rk", "span"])
+            keys = np.concatenate(keys or none)
+            yield _rows(np.zeros(len(keys), dtype=np.int32), keys, batch.column(0).take(take), np.concatenate(spans or none))
+        for k, seen in counts.items():
+            held = np.flatnonzero(seen)
+            yield _rows(np.full(len(held), k, dtype=np.int32), held, pa.nulls(len(held), pa.int64()), seen[held])
 
     return run
 
 
-def _suffixes(window: int):
-    """Keys of the suffixes that begin in the given spans of windows."""
+def _rows(length: np.ndarray, key: np.ndarray, rk: pa.Array, span: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(length), pa.array(key), rk, pa.array(span)], names=["length", "key", "rk", "span"])
+
+
+class Splits:
+    """Which prefix a suffix is grouped by: buckets that hold too many are marked at every length but the
+    last, and at the last they have the number of parts into which documents are dealt."""
+
+    def __init__(self, window: int, buckets: int, heavy: dict[int, tuple[np.ndarray, np.ndarray]], group: int):
+        self.window, self.buckets = window, buckets
+        self.full = {}
+        for k in lengths(window):
+            at, n = heavy.get(k, (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)))
+            parts = np.zeros(buckets, dtype=np.int64)
+            parts[at] = -(-n // group)
+            self.full[k] = parts
+
+    def keys(self, w: np.ndarray, at: np.ndarray, rk: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the suffixes at ``at`` of a document with word hashes w: the hash of the prefix, and the part (from 1; 0 undealt)."""
+        key, part = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.int32)
+        open_ = np.arange(len(at))
+        for k in lengths(self.window):
+            if not len(open_):
+                break
+            h = windows(w, k, 1)[at[open_]]
+            parts = self.full[k][(h & np.uint64(self.buckets - 1)).astype(np.int64)]
+            key[open_] = h
+            if k == self.window:
+                part[open_] = np.where(parts > 0, 1 + (rk % np.maximum(parts, 1)), 0)
+            open_ = open_[parts > 0]
+        return key, part
+
+
+def _split(profile: DataFrame, window: int, buckets: int, suffixes: int) -> Splits:
+    """The driver holds the buckets that are too full: a quarter of BUCKETS at most for each length."""
+    group = max(GROUP, 4 * suffixes // buckets)
+    full = profile.where("length > 0").groupBy("length", "key").agg(F.sum("span").alias("n")).where(F.col("n") > group).toPandas()
+    heavy = {int(k): (rows["key"].to_numpy(), rows["n"].to_numpy()) for k, rows in full.groupby("length")}
+    return Splits(window, buckets, heavy, group)
+
+
+def _suffixes(splits: Splits):
+    """The suffixes that begin in the given spans of windows: key of the prefix and part, the words after the
+    shortest prefix with the window's hash at the end, document, row and place.  A row equal to the one before it adds none."""
+    window = splits.window
+    tail = window - lengths(window)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        before, held, size = None, [], 0
         for batch in batches:
-            p, q, pos, lens = [], [], [], []
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+            docs, rks, texts = (batch.column(i).to_pylist() for i in range(3))
+            for doc, rk, text, spans in zip(docs, rks, texts, batch.column(3), strict=True):
+                if (doc, rk) == before:
+                    continue
+                before = (doc, rk)
                 w = hashes.of((text or b"").split())
                 n = max(len(w) - window + 1, 0)
                 spans = spans.values.to_numpy()
@@ -71,90 +146,123 @@ def _suffixes(window: int):
                 np.add.at(edge, np.minimum(spans >> 32, n), 1)
                 np.add.at(edge, np.minimum((spans & 0xFFFFFFFF) + 1, n), -1)
                 at = np.flatnonzero(edge[:-1].cumsum() > 0)
-                p.append(windows(w, PREFIX, 1)[at].view(np.int64))
-                q.append(windows(w, window, 2)[at].view(np.int64))
-                pos.append(at.astype(np.int32))
-                lens.append(len(at))
-            if not lens:
-                continue
-            take = pa.array(np.repeat(np.arange(len(lens)), lens))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(p)), pa.array(np.concatenate(q)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(pos))], names=["p", "q", "doc", "rk", "pos"]
-            )
+                if not len(at):
+                    continue
+                key, part = splits.keys(w, at, rk)
+                raw = np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+                words = raw[at[:, None] + np.arange(window - tail, window)].reshape(len(at), -1)
+                whole = windows(w, window, 2)[at].view(np.uint8).reshape(-1, 8)
+                held.append((key.view(np.int64), part, np.hstack([words, whole]), np.full(len(at), doc), np.full(len(at), rk), at.astype(np.int32)))
+                size += len(at)
+                if size >= CHUNK:
+                    yield _leaves(held)
+                    held, size = [], 0
+        if held:
+            yield _leaves(held)
 
     return run
 
 
+def _leaves(held: list[tuple]) -> pa.RecordBatch:
+    key, part, words, doc, rk, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+    suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(words.shape[1]), len(words), [None, pa.py_buffer(np.ascontiguousarray(words))]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), suffix, pa.array(doc), pa.array(rk), pa.array(pos)], names=["key", "part", "suffix", "doc", "rk", "pos"])
+
+
 _DROP, _OPEN, _EDGE = 0, 1, 2
-_NODES = "p long, q long, doc long, rk long, pos int, state int"
+_LEAVES = "key long, part int, suffix binary, doc long, rk long, pos int"
+
+
+def lcp(suffixes: np.ndarray) -> np.ndarray:
+    """Words (after the shortest prefix) that each row shares with the row before it; one more where the whole windows agree.
+
+    suffixes: rows of bytes, sorted, of one subtree.  Internal nodes of the tree are the runs of rows at or above a depth."""
+    tail = (suffixes.shape[1] - 8) // WORD_BYTES
+    equal = np.ones((len(suffixes), tail + 1), dtype=bool)
+    words = suffixes[:, : tail * WORD_BYTES].reshape(len(suffixes), tail, WORD_BYTES)
+    equal[1:, :tail] = (words[1:] == words[:-1]).all(axis=2)
+    equal[1:, tail] = (suffixes[1:, -8:] == suffixes[:-1, -8:]).all(axis=1)
+    equal[0] = False
+    return np.where(equal.all(axis=1), tail + 1, equal.argmin(axis=1))
 
 
 def _walk_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves in order.  A leaf is dropped if its document comes after its node's first one.  Those
-    of the first document of a partition's first node stay open, as the node may have begun in the
-    partition before; the first and the last node each leave an edge with their first document here."""
-    key, lowest, leads = None, None, True
+    """Leaves of whole subtrees in order.  A leaf below a deep node goes if its document comes after the
+    node's first one.  Where a group is dealt into parts, the first document's leaves stay open and the
+    node leaves an edge with that document."""
+    last, low = None, 0
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        p, q, doc = (batch.column(i).to_numpy() for i in range(3))
-        new = np.ones(n, dtype=bool)
-        new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        new[0] = key != (p[0], q[0])
-        begins = np.flatnonzero(new)
-        node = np.cumsum(new)
-        low = np.concatenate([[lowest if lowest is not None else 0], doc[begins]])[node]
-        # rows of the partition's first node: the open ones
-        first_here = key is None
-        opens = (node == 1) if first_here else (node == 0) & leads
-        state = np.where(doc > low, _DROP, np.where(opens, _OPEN, -1)).astype(np.int32)
+        key, part, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+        width = len(batch.column(2)[0].as_py())
+        suffix = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(n, width)
+        deep = lcp(suffix) > (width - 8) // WORD_BYTES
+        deep[1:] &= (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+        deep[0] = last == (key[0], part[0], suffix[0].tobytes())
+        begins = np.flatnonzero(~deep)
+        first = np.concatenate([[low], doc[begins]])[np.cumsum(~deep)]
+        state = np.where(doc > first, _DROP, np.where(part > 0, _OPEN, -1)).astype(np.int32)
         keep = np.flatnonzero(state >= 0)
-        out = batch.take(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(state[keep])], names=["p", "q", "doc", "rk", "pos", "state"])
-        if first_here:
-            yield _edge(p[0], q[0], doc[0])
-        leads = bool(opens[-1])
-        key, lowest = (p[-1], q[-1]), low[-1]
-    if key is not None and not leads:
-        yield _edge(*key, lowest)
+        yield _nodes(batch.take(pa.array(keep)), state[keep])
+        edges = begins[part[begins] > 0]
+        if len(edges):
+            yield _nodes(batch.take(pa.array(edges)), np.full(len(edges), _EDGE, dtype=np.int32))
+        last, low = (key[-1], part[-1], suffix[-1].tobytes()), first[-1]
+
+
+def _nodes(rows: pa.RecordBatch, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(state)], names=[*rows.schema.names, "state"])
 
 
-def _edge(p: int, q: int, doc: int) -> pa.RecordBatch:
-    cols = [pa.array([int(x)], pa.int64()) for x in (p, q, doc, 0)] + [pa.array([x], pa.int32()) for x in (0, _EDGE)]
-    return pa.RecordBatch.from_arrays(cols, names=["p", "q", "doc", "rk", "pos", "state"])
+def _copies(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, rk of documents whose whole text (by 128 bits of hashes and its length) is that of a document
+    with a smaller doc_id; and the bytes of all texts."""
+    narrow = keyed.select("doc_id", "rk", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("len"))
+    narrow = materialise(narrow, "texts")
+    text = ["h", "h2", "len"]
+    groups = narrow.groupBy(*text).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1 and low is not null").drop("n")
+    # a table of its own, so that the join can broadcast it or split a very large group of copies
+    groups = materialise(groups, "copied-texts")
+    later = narrow.join(groups, text).where(F.coalesce(F.col("doc_id") > F.col("low"), F.lit(True)))
+    return materialise(later.select("doc_id", "rk").distinct(), "copies"), narrow.agg(F.sum("len")).first()[0] or 0
 
 
-def _copies(keyed: DataFrame) -> DataFrame:
-    """doc_id, rk of documents whose whole text is that of a document with a smaller doc_id."""
-    narrow = materialise(keyed.select("doc_id", "rk", F.xxhash64("text").alias("h"), F.octet_length("text").alias("len")), "texts")
-    groups = narrow.where("doc_id is not null").groupBy("h", "len").agg(F.min("doc_id").alias("low"))
-    later = narrow.join(groups, ["h", "len"]).where(F.coalesce(F.col("doc_id") > F.col("low"), F.lit(True)))
-    return materialise(later.select("doc_id", "rk").distinct(), "copies")
+def _partitions(spark: SparkSession, suffixes: int) -> int:
+    """Partitions of about a million suffixes, as many as the session shuffles into at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes // (1 << 20)))
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, rk, whole (boolean), starts (array of int) of documents with windows that also
     start in a document with a smaller doc_id; whole: all of the text is such a copy, and starts is null.
 
-    A null doc_id counts as the largest.  Equality of windows is that of 128 bits of hashes.
+    A null doc_id counts as the largest; rows equal in doc_id and text are one document.  Windows are
+    equal if 64 bits of hashes of the window, as many of the prefix and 24 of each other word agree.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", row_key())
-    copies = _copies(keyed)
-    anchors = materialise(keyed.select("rk", F.col("text").cast("binary").alias("text")).mapInArrow(_anchors(window), "anchor long, rk long, span long"), "anchors")
+    bounded_batches(keyed.sparkSession)
+    copies, size = _copies(keyed)
+    suffixes = size // 6 + 1  # about as many as words
+    buckets = bucket_count(suffixes)
+    profile = keyed.select("rk", F.col("text").cast("binary").alias("text")).mapInArrow(_profile(window, buckets), "length int, key long, rk long, span long")
+    profile = materialise(profile, "profile")
+    anchors = profile.where("length = 0").select(F.col("key").alias("anchor"), "rk", "span")
     # a table of its own, so that a very common anchor's rows can be split among tasks of the join
     shared = materialise(anchors.groupBy("anchor").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("anchor"), "shared-anchors")
-    spans = anchors.join(shared, "anchor").groupBy("rk").agg(F.collect_list("span").alias("spans")).withColumnRenamed("rk", "k")
+    spans = anchors.join(shared, "anchor").groupBy("rk").agg(F.collect_set("span").alias("spans")).withColumnRenamed("rk", "k")
     spans = materialise(spans.join(copies.select(F.col("rk").alias("k")), "k", "left_anti"), "spans")
     texts = keyed.join(spans, F.col("rk") == F.col("k")).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "rk", F.col("text").cast("binary").alias("text"), "spans")
-    suffixes = materialise(texts.mapInArrow(_suffixes(window), "p long, q long, doc long, rk long, pos int"), "suffixes")
-    order = ["p", "q", "doc", "rk"]
-    nodes = materialise(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk_leaves, _NODES), "nodes")
-    # two edges a partition at most
-    edges = nodes.where(F.col("state") == _EDGE).groupBy("p", "q").agg(F.min("doc").alias("low"))
-    settled = nodes.where(F.col("state") == _OPEN).join(F.broadcast(edges), ["p", "q"]).where(F.col("doc") > F.col("low"))
+    leaves = texts.mapInArrow(_suffixes(_split(profile, window, buckets, suffixes)), _LEAVES)
+    trees = leaves.repartition(_partitions(docs.sparkSession, suffixes), "key", "part").sortWithinPartitions("key", "part", "suffix", "doc", "rk")
+    nodes = materialise(trees.mapInArrow(_walk_leaves, _LEAVES + ", state int"), "nodes")
+    # what is left open: one document's leaves and one edge for each part of a dealt group's node
+    node = ["key", "suffix"]
+    edges = nodes.where(F.col("state") == _EDGE).groupBy(*node).agg(F.min("doc").alias("low"))
+    settled = nodes.where(F.col("state") == _OPEN).join(edges, node).where(F.col("doc") > F.col("low"))
     dropped = nodes.where(F.col("state") == _DROP).select("doc", "rk", "pos").union(settled.select("doc", "rk", "pos"))
-    found = dropped.groupBy("doc", "rk").agg(F.collect_list("pos").alias("starts"))
+    found = dropped.groupBy("doc", "rk").agg(F.collect_set("pos").alias("starts"))
     found = found.select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "rk", F.lit(False).alias("whole"), "starts")
     return found.union(copies.select("doc_id", "rk", F.lit(True), F.lit(None).cast("array<int>")))
 
@@ -162,44 +270,54 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
 def _strip(window: int, columns: list[str], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            whole = batch.column(batch.schema.get_field_index("whole")).to_pylist()
-            for text, all_of_it, starts in zip(batch.column(batch.schema.get_field_index("__t")).to_pylist(), whole, batch.column(batch.schema.get_field_index("starts")), strict=True):
+            n_words, n_removed, kept, repeats = [], [], [], []
+            whole = batch.column(batch.schema.get_field_index("__whole")).to_pylist()
+            for text, all_of_it, starts in zip(batch.column(batch.schema.get_field_index("__t")).to_pylist(), whole, batch.column(batch.schema.get_field_index("__starts")), strict=True):
                 words = (text or b"").split()
                 n = len(words)
-                cover = np.zeros(n + 1, dtype=np.int32)
+                cover = np.zeros(n + 2, dtype=np.int32)
                 if all_of_it:
-                    cover[0] = n >= window
+                    cover[1] = n >= window
                 elif starts.is_valid:
-                    at = np.unique(starts.values.to_numpy())
+                    at = starts.values.to_numpy() + 1
                     cover[at] += 1
                     cover[at + window] -= 1
-                gone = cover[:-1].cumsum() > 0
+                cover = cover.cumsum() > 0
+                cover[n + 1 :] = False
+                gone = cover[1 : n + 1]
                 left = b" ".join([words[i] for i in np.flatnonzero(~gone)]) if gone.any() else b" ".join(words)
                 n_words.append(n)
                 n_removed.append(int(gone.sum()))
                 kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace"))
+                if not digest:
+                    ends = np.flatnonzero(np.diff(cover.astype(np.int8))).tolist()
+                    repeats.append([{"start": a, "words": b - a} for a, b in zip(ends[::2], ends[1::2], strict=True)])
             own = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n_words", "n_removed", "kept_sha256" if digest else "text"]
-            )
+            more = [pa.array(kept, pa.string())]
+            if not digest:
+                more.append(pa.array(repeats, pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))))
+            names = [*columns, "n_words", "n_removed", *(["kept_sha256"] if digest else ["text", "repeats"])]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *more], names=names)
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, digest: bool = False) -> DataFrame:
-    """The documents with n_words, n_removed and, as text, the words left, joined by a space.
+    """The documents with n_words, n_removed, the words left, joined by a space, as text, and
+    repeats: array of (start, words), the maximal runs of words that went.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a
     smaller doc_id; windows are those of the input.  Words are runs without ASCII white space,
-    unchanged; a null text has none.  ``digest``: kept_sha256 of the words left in place of them.
-    Other columns pass through; n_words, n_removed and kept_sha256 of the input are replaced.
+    unchanged; a null text has none.  ``digest``: kept_sha256 of the words left in place of text and repeats.
+    Rows repeat as they come in.  Other columns pass through, doc_id as long; n_words, n_removed,
+    repeats and kept_sha256 of the input are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "rk", "whole", "starts")
-    found = repeated_windows(docs, window)
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("__s", F.coalesce("text", F.lit(""))).withColumn("rk", F.xxhash64("doc_id", F.col("__s")))
-    joined = same(keyed.drop("__s").withColumn("__t", F.col("text").cast("binary")).drop("text"), found)
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "repeats")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = repeated_windows(docs, window).withColumnsRenamed({"whole": "__whole", "starts": "__starts"})
+    keyed = docs.withColumns({"__t": F.col("text").cast("binary"), "__rk": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))}).drop("text")
+    joined = same(keyed, found, key="__rk")
     columns = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.withColumn("doc_id", F.col("doc_id").cast("long")).dtypes if c != "text")
-    out = f"{kinds}, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string"
-    return joined.select(*columns, "__t", "whole", "starts").mapInArrow(_strip(window, columns, digest), out)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+    out = f"{kinds}, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string, repeats array<struct<start:int,words:int>>")
+    return joined.select(*(F.col(f"`{c}`") for c in columns), "__t", "__whole", "__starts").mapInArrow(_strip(window, columns, digest), out)
