@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -37,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The tables stay until whoever owns the folder clears it, since results are read lazily.
+    Tables that a result still reads stay until whoever owns the folder clears it; others are discarded.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siteloom-{uuid.uuid4().hex}/{name}"
@@ -48,13 +49,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned, once nothing that is still to be read depends on them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Batches that Python workers get are bounded in bytes, unless the session says how: thousands of very long texts are never held at once."""
     if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, str(16 << 20))
+        spark.conf.set(_BATCH_BYTES, str(8 << 20))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +91,16 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
+    def of_texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one after the other, and how many words each has."""
+        words, counts = [], np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                own = text.split()
+                counts[i] = len(own)
+                words += own
+        return self.of(words), counts
+
 
 def windows(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of every ``size`` consecutive word hashes; empty if there are fewer."""
@@ -92,9 +113,19 @@ def windows(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def prefixes(words: np.ndarray, sizes: list[int], seed: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of every ``size`` consecutive words) for sizes in rising order: as ``windows``, in one sweep."""
+    n, total, done = len(words), np.zeros(len(words), dtype=np.uint64), 0
+    for size in sizes:
+        for i in range(done, min(size, n)):
+            total[: n - i] += words[i:] * WEIGHTS[(i + 17 * seed) % 64]
+        done = size
+        yield size, mix(total[: max(n - size + 1, 0)] + np.uint64(xxhash.xxh3_64_intdigest(f"window{size}-{seed}")))
+
+
 def row_key() -> Column:
     """64 bits of a document's id and text. With doc_id beside it, it tells apart rows that share an id; rows equal in both are one document."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def same(left: DataFrame, right: DataFrame, how: str = "left", key: str = "rk") -> DataFrame:

@@ -22,20 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import WordHashes, bounded_batches, materialise, row_key, same, windows
+from siteloom.llm.common import WordHashes, bounded_batches, discard, materialise, mix, prefixes, row_key, same, windows
 
 ANCHOR = 5
 #: Words of the shortest prefix, and by how much it grows.
 PREFIX, GROW = 4, 3
-#: Suffixes that a group of one prefix may hold; most buckets in which they are counted, a length.
-GROUP, BUCKETS = 1 << 18, 1 << 20
-#: Bytes of the hash that stands for a word in a suffix; the window's own 64 bits confirm a deep node.
-WORD_BYTES, CHUNK = 3, 200_000
+#: Suffixes that a group of one prefix may hold, at most and at least; most buckets in which they are counted, a length.
+GROUP, LEAST, BUCKETS = 1 << 18, 1 << 11, 1 << 20
+#: Bytes of the hash that stands for a word in a suffix, and of the window's own hash, which confirms a deep node.
+WORD_BYTES, CHECK = 2, 5
 _LAST = (1 << 63) - 1
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lengths(window: int) -> list[int]:
@@ -43,39 +43,52 @@ def lengths(window: int) -> list[int]:
     return [*range(min(PREFIX, window), window, GROW), window]
 
 
-def bucket_count(suffixes: int) -> int:
-    """A power of two: four buckets or more for what one group may hold."""
-    return min(BUCKETS, max(64, 1 << (4 * suffixes // GROUP).bit_length()))
+def sizes(suffixes: int, partitions: int) -> tuple[int, int]:
+    """Suffixes that a group may hold, a quarter of a partition within bounds; and buckets, a power of two, four or more for each group."""
+    group = max(1, min(GROUP, max(LEAST, suffixes // (4 * partitions))))
+    buckets = min(BUCKETS, max(64, 1 << (4 * suffixes // group).bit_length()))
+    return max(group, 4 * suffixes // buckets), buckets
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive numbers."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        have += step
+    return x
 
 
 def _profile(window: int, buckets: int):
-    """Two kinds of rows: (0, anchor, row, windows from and to), one for each place of an anchor; and
-    (prefix length, bucket, null, suffixes), once a task: a bounded array of counts."""
+    """Two kinds of rows: (0, anchor, row, windows from and to), one for each run of windows with one anchor;
+    and (prefix length, bucket, null, suffixes), once a task: a bounded array of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        width = window - ANCHOR + 1
         counts = {k: np.zeros(buckets, dtype=np.int64) for k in lengths(window)}
         for batch in batches:
-            keys, spans, lens = [], [], []
-            for text in batch.column(1).to_pylist():
-                w = hashes.of((text or b"").split())
-                grams = windows(w, ANCHOR)
-                if len(grams) < width:
-                    lens.append(0)
-                    continue
-                for k, seen in counts.items():
-                    seen += np.bincount((windows(w, k, 1)[: len(w) - window + 1] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-                at = sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                last = np.append(first[1:], len(at)) - 1
-                keys.append(grams[at[first]].view(np.int64))
-                spans.append((first.astype(np.int64) << 32) | last)
-                lens.append(len(first))
-            take = pa.array(np.repeat(np.arange(len(lens)), lens))
-            none = [np.empty(0, dtype=np.int64)]
-            keys = np.concatenate(keys or none)
-            yield _rows(np.zeros(len(keys), dtype=np.int32), keys, batch.column(0).take(take), np.concatenate(spans or none))
+            w, n = hashes.of_texts(batch.column(1).to_pylist())
+            if len(w) < window:
+                continue
+            doc = np.repeat(np.arange(len(n)), n)
+            inside = doc[: len(w) - window + 1] == doc[window - 1 :]
+            grams = None
+            for k, h in prefixes(w, sorted({ANCHOR, *counts}), 1):
+                if k == ANCHOR:
+                    grams = h
+                if k in counts:
+                    counts[k] += np.bincount((h[: len(inside)][inside] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+            anchor = _least(grams, window - ANCHOR + 1)
+            doc = doc[: len(inside)]
+            begins = inside.copy()
+            begins[1:] &= (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(begins)
+            own = doc[first]
+            start = (np.cumsum(n) - n)[own]
+            # a run ends before the next one, or with its document's last window
+            stop = np.minimum(np.append(first[1:], len(inside)), start + n[own] - window + 1) - 1
+            yield _rows(np.zeros(len(first), dtype=np.int32), anchor[first].view(np.int64), batch.column(0).take(pa.array(own)), ((first - start) << 32) | (stop - start))
         for k, seen in counts.items():
             held = np.flatnonzero(seen)
             yield _rows(np.full(len(held), k, dtype=np.int32), held, pa.nulls(len(held), pa.int64()), seen[held])
@@ -100,88 +113,86 @@ class Splits:
             parts[at] = -(-n // group)
             self.full[k] = parts
 
-    def keys(self, w: np.ndarray, at: np.ndarray, rk: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the suffixes at ``at`` of a document with word hashes w: the hash of the prefix, and the part (from 1; 0 undealt)."""
-        key, part = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.int32)
+    def keys(self, w: np.ndarray, at: np.ndarray, rk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the suffixes at ``at`` of the word hashes w, of rows rk: the key of their group, and whether its documents are dealt."""
+        key, dealt = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=bool)
         open_ = np.arange(len(at))
-        for k in lengths(self.window):
+        for k, every in prefixes(w, lengths(self.window), 1):
             if not len(open_):
                 break
-            h = windows(w, k, 1)[at[open_]]
+            h = every[at[open_]]
             parts = self.full[k][(h & np.uint64(self.buckets - 1)).astype(np.int64)]
-            key[open_] = h
             if k == self.window:
-                part[open_] = np.where(parts > 0, 1 + (rk % np.maximum(parts, 1)), 0)
+                dealt[open_] = parts > 0
+                h = np.where(parts > 0, mix(h + _GOLD * (1 + rk[open_] % np.maximum(parts, 1)).astype(np.uint64)), h)
+            key[open_] = h
             open_ = open_[parts > 0]
-        return key, part
+        return key, dealt
 
 
-def _split(profile: DataFrame, window: int, buckets: int, suffixes: int) -> Splits:
-    """The driver holds the buckets that are too full: a quarter of BUCKETS at most for each length."""
-    group = max(GROUP, 4 * suffixes // buckets)
+def _split(profile: DataFrame, window: int, buckets: int, group: int) -> Splits:
+    """The driver holds the buckets that are too full: about a quarter of BUCKETS at most for each length."""
     full = profile.where("length > 0").groupBy("length", "key").agg(F.sum("span").alias("n")).where(F.col("n") > group).toPandas()
     heavy = {int(k): (rows["key"].to_numpy(), rows["n"].to_numpy()) for k, rows in full.groupby("length")}
     return Splits(window, buckets, heavy, group)
 
 
 def _suffixes(splits: Splits):
-    """The suffixes that begin in the given spans of windows: key of the prefix and part, the words after the
-    shortest prefix with the window's hash at the end, document, row and place.  A row equal to the one before it adds none."""
+    """The suffixes that begin in the given spans of windows: key of the group; whether it is dealt, the words after the
+    shortest prefix and the window's hash; document, row and place.  A row equal to the one before it adds none."""
     window = splits.window
-    tail = window - lengths(window)[0]
+    skip = lengths(window)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        before, held, size = None, [], 0
+        before = None
         for batch in batches:
-            docs, rks, texts = (batch.column(i).to_pylist() for i in range(3))
-            for doc, rk, text, spans in zip(docs, rks, texts, batch.column(3), strict=True):
-                if (doc, rk) == before:
-                    continue
-                before = (doc, rk)
-                w = hashes.of((text or b"").split())
-                n = max(len(w) - window + 1, 0)
-                spans = spans.values.to_numpy()
-                edge = np.zeros(n + 1, dtype=np.int32)
-                np.add.at(edge, np.minimum(spans >> 32, n), 1)
-                np.add.at(edge, np.minimum((spans & 0xFFFFFFFF) + 1, n), -1)
-                at = np.flatnonzero(edge[:-1].cumsum() > 0)
-                if not len(at):
-                    continue
-                key, part = splits.keys(w, at, rk)
-                raw = np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
-                words = raw[at[:, None] + np.arange(window - tail, window)].reshape(len(at), -1)
-                whole = windows(w, window, 2)[at].view(np.uint8).reshape(-1, 8)
-                held.append((key.view(np.int64), part, np.hstack([words, whole]), np.full(len(at), doc), np.full(len(at), rk), at.astype(np.int32)))
-                size += len(at)
-                if size >= CHUNK:
-                    yield _leaves(held)
-                    held, size = [], 0
-        if held:
-            yield _leaves(held)
+            docs, rks = (batch.column(i).to_numpy() for i in range(2))
+            if not len(docs):
+                continue
+            fresh = np.ones(len(docs), dtype=bool)
+            fresh[1:] = (docs[1:] != docs[:-1]) | (rks[1:] != rks[:-1])
+            fresh[0] = before != (docs[0], rks[0])
+            before = (docs[-1], rks[-1])
+            w, n = hashes.of_texts(batch.column(2).to_pylist())
+            start, most = np.cumsum(n) - n, np.maximum(n - window + 1, 0)
+            spans, own = batch.column(3).flatten().to_numpy(), np.repeat(np.arange(len(docs)), batch.column(3).value_lengths().to_numpy())
+            spans, own = spans[fresh[own]], own[fresh[own]]
+            edge = np.zeros(len(w) + 1, dtype=np.int32)
+            np.add.at(edge, start[own] + np.minimum(spans >> 32, most[own]), 1)
+            np.add.at(edge, start[own] + np.minimum((spans & 0xFFFFFFFF) + 1, most[own]), -1)
+            at = np.flatnonzero(edge.cumsum() > 0)
+            if not len(at):
+                continue
+            own = np.repeat(np.arange(len(docs)), n)[at]
+            key, dealt = splits.keys(w, at, rks[own])
+            short = w.astype("<u8").view("<u2")[:: 8 // WORD_BYTES]
+            row = np.empty((len(at), 1 + WORD_BYTES * (window - skip) + CHECK), dtype=np.uint8)
+            row[:, 0] = dealt
+            for i in range(skip, window):
+                row[:, 1 + WORD_BYTES * (i - skip) : 1 + WORD_BYTES * (i - skip + 1)] = short[at + i].view(np.uint8).reshape(-1, WORD_BYTES)
+            row[:, -CHECK:] = windows(w, window, 2)[at].view(np.uint8).reshape(-1, 8)[:, :CHECK]
+            suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(row.shape[1]), len(row), [None, pa.py_buffer(row)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), suffix, pa.array(docs[own]), pa.array(rks[own]), pa.array((at - start[own]).astype(np.int32))], names=["key", "suffix", "doc", "rk", "pos"]
+            )
 
     return run
 
 
-def _leaves(held: list[tuple]) -> pa.RecordBatch:
-    key, part, words, doc, rk, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-    suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(words.shape[1]), len(words), [None, pa.py_buffer(np.ascontiguousarray(words))]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), suffix, pa.array(doc), pa.array(rk), pa.array(pos)], names=["key", "part", "suffix", "doc", "rk", "pos"])
-
-
 _DROP, _OPEN, _EDGE = 0, 1, 2
-_LEAVES = "key long, part int, suffix binary, doc long, rk long, pos int"
+_LEAVES = "key long, suffix binary, doc long, rk long, pos int"
 
 
 def lcp(suffixes: np.ndarray) -> np.ndarray:
     """Words (after the shortest prefix) that each row shares with the row before it; one more where the whole windows agree.
 
     suffixes: rows of bytes, sorted, of one subtree.  Internal nodes of the tree are the runs of rows at or above a depth."""
-    tail = (suffixes.shape[1] - 8) // WORD_BYTES
+    tail = (suffixes.shape[1] - 1 - CHECK) // WORD_BYTES
     equal = np.ones((len(suffixes), tail + 1), dtype=bool)
-    words = suffixes[:, : tail * WORD_BYTES].reshape(len(suffixes), tail, WORD_BYTES)
+    words = suffixes[:, 1 : 1 + tail * WORD_BYTES].reshape(len(suffixes), tail, WORD_BYTES)
     equal[1:, :tail] = (words[1:] == words[:-1]).all(axis=2)
-    equal[1:, tail] = (suffixes[1:, -8:] == suffixes[:-1, -8:]).all(axis=1)
+    equal[1:, tail] = (suffixes[1:, -CHECK:] == suffixes[:-1, -CHECK:]).all(axis=1)
     equal[0] = False
     return np.where(equal.all(axis=1), tail + 1, equal.argmin(axis=1))
 
@@ -195,25 +206,29 @@ def _walk_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        key, part, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
-        width = len(batch.column(2)[0].as_py())
-        suffix = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(n, width)
-        deep = lcp(suffix) > (width - 8) // WORD_BYTES
-        deep[1:] &= (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-        deep[0] = last == (key[0], part[0], suffix[0].tobytes())
+        key, doc, suffixes = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1)
+        width = len(suffixes[0].as_py())
+        begin = np.frombuffer(suffixes.buffers()[1], dtype=np.int32)[suffixes.offset]
+        suffix = np.frombuffer(suffixes.buffers()[2], dtype=np.uint8)[begin : begin + n * width].reshape(n, width)
+        deep = lcp(suffix) > (width - 1 - CHECK) // WORD_BYTES
+        deep[1:] &= key[1:] == key[:-1]
+        deep[0] = last == (key[0], suffix[0].tobytes())
         begins = np.flatnonzero(~deep)
         first = np.concatenate([[low], doc[begins]])[np.cumsum(~deep)]
-        state = np.where(doc > first, _DROP, np.where(part > 0, _OPEN, -1)).astype(np.int32)
+        dealt = suffix[:, 0] > 0
+        state = np.where(doc > first, _DROP, np.where(dealt, _OPEN, -1)).astype(np.int32)
         keep = np.flatnonzero(state >= 0)
         yield _nodes(batch.take(pa.array(keep)), state[keep])
-        edges = begins[part[begins] > 0]
+        edges = begins[dealt[begins]]
         if len(edges):
             yield _nodes(batch.take(pa.array(edges)), np.full(len(edges), _EDGE, dtype=np.int32))
-        last, low = (key[-1], part[-1], suffix[-1].tobytes()), first[-1]
+        last, low = (key[-1], suffix[-1].tobytes()), first[-1]
 
 
 def _nodes(rows: pa.RecordBatch, state: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(state)], names=[*rows.schema.names, "state"])
+    """Leaves with their state; only open ones and edges still need their suffix."""
+    suffix = pa.array(rows.column(1).to_pylist() if state.any() else [None] * len(state), pa.binary())
+    return pa.RecordBatch.from_arrays([suffix, *rows.columns[2:], pa.array(state)], names=["suffix", "doc", "rk", "pos", "state"])
 
 
 def _copies(keyed: DataFrame) -> tuple[DataFrame, int]:
@@ -226,7 +241,9 @@ def _copies(keyed: DataFrame) -> tuple[DataFrame, int]:
     # a table of its own, so that the join can broadcast it or split a very large group of copies
     groups = materialise(groups, "copied-texts")
     later = narrow.join(groups, text).where(F.coalesce(F.col("doc_id") > F.col("low"), F.lit(True)))
-    return materialise(later.select("doc_id", "rk").distinct(), "copies"), narrow.agg(F.sum("len")).first()[0] or 0
+    copies, size = materialise(later.select("doc_id", "rk").distinct(), "copies"), narrow.agg(F.sum("len")).first()[0] or 0
+    discard(narrow, groups)
+    return copies, size
 
 
 def _partitions(spark: SparkSession, suffixes: int) -> int:
@@ -239,13 +256,14 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     start in a document with a smaller doc_id; whole: all of the text is such a copy, and starts is null.
 
     A null doc_id counts as the largest; rows equal in doc_id and text are one document.  Windows are
-    equal if 64 bits of hashes of the window, as many of the prefix and 24 of each other word agree.
+    equal if 64 bits of hashes of the prefix, 16 of each other word and 40 of the window agree.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", row_key())
     bounded_batches(keyed.sparkSession)
     copies, size = _copies(keyed)
     suffixes = size // 6 + 1  # about as many as words
-    buckets = bucket_count(suffixes)
+    partitions = _partitions(docs.sparkSession, suffixes)
+    group, buckets = sizes(suffixes, partitions)
     profile = keyed.select("rk", F.col("text").cast("binary").alias("text")).mapInArrow(_profile(window, buckets), "length int, key long, rk long, span long")
     profile = materialise(profile, "profile")
     anchors = profile.where("length = 0").select(F.col("key").alias("anchor"), "rk", "span")
@@ -253,14 +271,16 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     shared = materialise(anchors.groupBy("anchor").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("anchor"), "shared-anchors")
     spans = anchors.join(shared, "anchor").groupBy("rk").agg(F.collect_set("span").alias("spans")).withColumnRenamed("rk", "k")
     spans = materialise(spans.join(copies.select(F.col("rk").alias("k")), "k", "left_anti"), "spans")
+    splits = _split(profile, window, buckets, group)
+    discard(profile, shared)
     texts = keyed.join(spans, F.col("rk") == F.col("k")).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "rk", F.col("text").cast("binary").alias("text"), "spans")
-    leaves = texts.mapInArrow(_suffixes(_split(profile, window, buckets, suffixes)), _LEAVES)
-    trees = leaves.repartition(_partitions(docs.sparkSession, suffixes), "key", "part").sortWithinPartitions("key", "part", "suffix", "doc", "rk")
-    nodes = materialise(trees.mapInArrow(_walk_leaves, _LEAVES + ", state int"), "nodes")
+    leaves = texts.mapInArrow(_suffixes(splits), _LEAVES).repartition(partitions, "key")
+    trees = leaves.sortWithinPartitions("key", "suffix", "doc").mapInArrow(_walk_leaves, "suffix binary, doc long, rk long, pos int, state int")
+    nodes = materialise(trees, "nodes")
+    discard(spans)
     # what is left open: one document's leaves and one edge for each part of a dealt group's node
-    node = ["key", "suffix"]
-    edges = nodes.where(F.col("state") == _EDGE).groupBy(*node).agg(F.min("doc").alias("low"))
-    settled = nodes.where(F.col("state") == _OPEN).join(edges, node).where(F.col("doc") > F.col("low"))
+    edges = nodes.where(F.col("state") == _EDGE).groupBy("suffix").agg(F.min("doc").alias("low"))
+    settled = nodes.where(F.col("state") == _OPEN).join(edges, "suffix").where(F.col("doc") > F.col("low"))
     dropped = nodes.where(F.col("state") == _DROP).select("doc", "rk", "pos").union(settled.select("doc", "rk", "pos"))
     found = dropped.groupBy("doc", "rk").agg(F.collect_set("pos").alias("starts"))
     found = found.select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "rk", F.lit(False).alias("whole"), "starts")

@@ -34,6 +34,7 @@ def brute(rows, window=13):
 @pytest.mark.parametrize("group", [1 << 18, 40])
 def test_hot_passages_are_split_and_dealt(spark, docs, monkeypatch, group):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "LEAST", group)
     rng = random.Random(20)
     prose = lambda n: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 40)) for _ in range(n))
     hot, warm = prose(30), prose(20)
@@ -63,20 +64,23 @@ def test_prefixes_grow_where_a_bucket_is_full():
     mask = np.uint64(63)
     every = np.arange(64)
     assert substring_dedup.lengths(13) == [4, 7, 10, 13]
+    rk = np.full(28, 25)
     none = substring_dedup.Splits(13, 64, {}, 10)
-    key, part = none.keys(w, at, 5)
-    assert (key == windows(w, 4, 1)[at]).all() and not part.any()
+    key, dealt = none.keys(w, at, rk)
+    assert (key == windows(w, 4, 1)[at]).all() and not dealt.any()
     full = substring_dedup.Splits(13, 64, {k: (every, np.full(64, 95)) for k in (4, 7, 10, 13)}, 10)
-    key, part = full.keys(w, at, 25)
-    assert (key == windows(w, 13, 1)[at]).all() and (part == 1 + 25 % 10).all()
+    key, dealt = full.keys(w, at, rk)
+    other, _ = full.keys(w, at, rk + 1)
+    again, _ = full.keys(w, at, rk + 10)
+    assert dealt.all() and (key == again).all() and (key != other).all() and (key != windows(w, 13, 1)[at]).all()
     one = substring_dedup.Splits(13, 64, {4: ((windows(w, 4, 1)[3:4] & mask).astype(int), np.array([95]))}, 10)
-    key, _ = one.keys(w, at, 0)
+    key, _ = one.keys(w, at, rk)
     assert key[3] == windows(w, 7, 1)[3]
 
 
 def test_lcp():
-    rows = np.zeros((4, 9 * 3 + 8), dtype=np.uint8)
-    rows[2:, 6] = 1  # the third word differs
+    rows = np.zeros((4, 1 + 9 * 2 + 5), dtype=np.uint8)
+    rows[2:, 5] = 1  # the third word differs
     rows[3, -1] = 1  # the window's hash alone differs
     assert substring_dedup.lcp(rows).tolist() == [0, 10, 2, 9]
 
