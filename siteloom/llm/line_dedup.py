@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import materialise, row_key, same
+from siteloom.llm.common import bounded_batches, materialise, row_key, same
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _LINES = "h1 long, h2 long, doc_id long, rk long, pos int, n_lines int"
@@ -52,10 +52,13 @@ def _hash_lines(min_chars: int):
 def _stream_runs(min_docs: int, keep_first: bool):
     """Runs of one hash in a sorted partition.  A run that reaches min_docs here is dropped.  The first
     and the last run may go on in a neighbour partition: while they are shorter their rows stay
-    open, and both leave a summary.  With keep_first the first row of the first run stays open too."""
+    open, and both leave a summary.  With keep_first the first row of the first run stays open too.
+
+    Rows that repeat the one before them (a document that comes several times) are passed over, so
+    what is held of a run is the lines of fewer than min_docs documents, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, n_docs, first, leads, held = None, None, 0, None, True, []
+        key, doc, n_docs, first, leads, held, before = None, None, 0, None, True, [], None
 
         def close(last: bool) -> list[tuple]:
             if not (leads or last):
@@ -66,6 +69,9 @@ def _stream_runs(min_docs: int, keep_first: bool):
             cols = [c.to_pylist() for c in batch.columns]
             out: list[tuple] = []
             for row in zip(*cols, strict=True):
+                if row == before:
+                    continue
+                before = row
                 if row[:2] != key:
                     if key is not None:
                         out += close(False)
@@ -126,6 +132,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     ``keep_first``.  bitmap: zlib-compressed bits, first line first, 1 = stays.  Rows equal in
     doc_id and text are one document; a null text has one empty line, which has no key.
     """
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), F.col("text").cast("binary").alias("text"))
     lines = keyed.mapInArrow(_hash_lines(min_chars), _LINES)
     order = ["h1", "h2", "doc_id", "rk"]
@@ -147,15 +154,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """The documents, each with its text less the dropped lines (other lines joined by LF), and
     the columns n_lines and n_dropped.  A null text becomes empty, with one line.  Other columns
-    pass through; n_lines, n_dropped, rk and bitmap of the input are replaced."""
-    docs = docs.drop("n_lines", "n_dropped", "rk", "bitmap")
-    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first).drop("n_lines")
-    joined = same(docs.withColumn("rk", row_key()), bitmaps)
+    pass through; n_lines and n_dropped of the input are replaced."""
+    docs = docs.drop("n_lines", "n_dropped")
+    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first).drop("n_lines").withColumnsRenamed({"bitmap": "__bitmap", "n_dropped": "__dropped"})
+    joined = same(docs.withColumn("__rk", row_key()), bitmaps, key="__rk")
     newlines = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n")))
     return joined.withColumns(
         {
             "n_lines": (F.coalesce(newlines, F.lit(0)) + 1).cast("long"),
-            "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long")),
-            "text": _apply("text", "bitmap"),
+            "n_dropped": F.coalesce("__dropped", F.lit(0).cast("long")),
+            "text": _apply("text", "__bitmap"),
         }
-    ).drop("rk", "bitmap")
+    ).drop("__rk", "__bitmap", "__dropped")
