@@ -23,10 +23,10 @@ def _cell(position: Column) -> Column:
 
 
 def _places(cells: DataFrame, shards: int, nodes: int) -> DataFrame:
-    """The ring: each place (cell) of a virtual node with its shard; two nodes in one cell: the smaller shard's."""
+    """The ring: each place (cell) of a virtual node with its shard; places in one cell follow each other by position."""
     spark = cells.sparkSession
     ring = spark.range(shards * nodes).select((F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit("node"), "id").alias("at"))
-    return ring.groupBy(_cell(F.col("at")).alias("place")).agg(F.min("shard").alias("shard"))
+    return ring.select(_cell(F.col("at")).alias("place"), "at", "shard")
 
 
 def _walk(arcs: Column, total: Column, shards: int) -> Column:
@@ -86,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, nodes: int = 64) -> DataF
     places = _places(cells, shards, nodes).withColumnRenamed("place", "cell")
     marked = places.join(cells.select("cell", "upto"), "cell", "full")
     filled = marked.withColumn("upto", F.coalesce(F.max("upto").over(ring), F.lit(0).cast("long")))
-    arcs = filled.where("shard is not null").agg(F.array_sort(F.collect_list(F.struct("cell", "shard", "upto"))).alias("arcs"))
+    arcs = filled.where("shard is not null").agg(F.array_sort(F.collect_list(F.struct("cell", F.shiftrightunsigned("at", 1).alias("at"), "shard", "upto"))).alias("arcs"))
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total"))
     both = arcs.join(total, how="cross")  # one row each
     walked = both.select("total", F.explode(_walk(F.transform("arcs", lambda a: F.struct(a["shard"].alias("shard"), a["upto"].alias("upto"))), F.col("total"), shards)).alias("run"))
