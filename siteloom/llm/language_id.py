@@ -14,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.llm.common import bounded_batches
+
 #: Hashed n-gram features.
 DIM = 4096
 UNDETERMINED = "und"
@@ -90,17 +92,19 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sampled(known: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows (lang, doc_id, text, order) a language, those of least row hash; rows of one doc_id and text count once."""
-    from pyspark.sql import Window
+    """At most ``sample`` rows (lang, doc_id, text, order) a language, those of least row hash; rows of one doc_id and text count once.
 
-    keyed = known.withColumns({"order": F.xxhash64("doc_id"), "key": F.xxhash64("text")})
-    # the limit of a ranked window is applied before rows are shuffled, if it is 1000 at most: each part of a language has its share
-    parts = -(-sample // 1000)
-    rows = keyed.select("lang", "doc_id", "key", "order").distinct().withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts)))
-    least = Window.partitionBy("lang", "part").orderBy("order", "doc_id", "key")
-    ranks = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample // parts).select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), F.col("key").alias("k"))
-    found = keyed.join(F.broadcast(ranks), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))  # at most ``sample`` documents a language
-    return found.groupBy("lang", "doc_id", "key", "order").agg(F.first("text").alias("text")).drop("key")
+    A hash threshold for each language lets little more than the sample through before any row is shuffled."""
+    keyed = known.withColumn("order", F.xxhash64("doc_id", "text"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n"))
+    # six standard deviations and the error of the count above what is wanted
+    most = 1.15 * (sample + 6 * sample**0.5 + 20)
+    # a row a language, like the model
+    place = F.shiftrightunsigned("order", 11) / float(1 << 53)
+    few = keyed.join(F.broadcast(sizes), "lang").where(place * F.col("n") <= most)
+    once = few.groupBy("lang", "doc_id", "order").agg(F.first("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("order", 11), "order", "doc_id")
+    return once.withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).drop("r")
 
 
 def frequencies(known: DataFrame) -> np.ndarray:
@@ -172,7 +176,8 @@ def predict(docs: DataFrame, held_out, **options) -> DataFrame:
     letter are ``und`` with score 0.  With nothing to learn from all are ``und``.  lang, source
     and doc_id are no inputs of a prediction; repeated rows get the same.
     """
-    docs = docs.select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     model = learn(docs.where(~F.col("held_out")), **options)
     out = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
     return docs.select("doc_id", "held_out", "text").mapInArrow(_predict(model), out)
