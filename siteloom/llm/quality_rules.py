@@ -1,27 +1,62 @@
 """Quality rules: base rules on text statistics, then robust multivariate outliers.
 
 For each language and source a minimum-covariance-determinant estimate of location and scatter
-is found by concentration steps over the whole table: distances under the present estimate, the
-half of the rows nearest to it, moments of those rows.  All of it is DataFrame aggregation over
-a narrow table of statistics; the estimates themselves are one short row a group.
+is sought over the whole table: from several starts (robust scales, spatial signs, small random
+subsets) concentration steps take the half of the rows that is nearest under the present estimate
+and its moments; the start whose determinant is least goes on until no determinant falls any more.
+A last step takes all rows within the 97.5 % point of a chi-squared distribution.  As groups may be
+small and most of their statistics may be zero, scatters are drawn towards the identity in
+robustly standardised space, the regularised form of the estimate.
+
+All of it is DataFrame aggregation over a narrow table of statistics; the estimates themselves are
+a few short rows a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import BLANK, materialise, row_key, same
+from siteloom.llm.common import BLANK, materialise, only, row_key, same
 
 _EDGE = " \t\n\x0b\x0c\r"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["f0", "f1", "f2", "f3", "f4"]
-#: Least standard deviation of each feature (log words, letters a word, log symbol rate, log doubled lines, log repeat rate).
-FLOORS = [0.6, 0.8, 0.25, 0.35, 0.35]
-#: Median of a chi-squared variable of five degrees of freedom: makes distances comparable among groups.
-CHI2_MEDIAN = 4.351460191095529
+P = len(STATS)
+T = [f"t{i}" for i in range(P)]
 #: Base rules.
 MIN_WORDS, REPEAT_SHARE = 10, 20
+#: Words at a group's usual rate that are added to each text, so that the rates of short texts do not stray by chance.
+PRIOR_WORDS = 30
+#: Least units of the transformed statistics: a factor e in words and doubled lines, a tenth in the others.
+UNITS = [1.0, 0.1, 0.1, 1.0, 0.1]
+#: Least share of the identity in a scatter; rows that it weighs as much as; rows of a random subset.
+SHARE, WEIGHT, SUBSET = 0.25, 10, P + 1
+#: Groups whose estimates are broadcast; beyond that rows and estimates meet by group and one of SALTS parts.
+GROUPS, SALTS = 20_000, 16
+
+
+def chi2(x: float, k: int) -> float:
+    """Distribution function of a chi-squared variable with an odd number of degrees of freedom."""
+    series, product = 0.0, 1.0
+    for i in range(1, k, 2):
+        product *= i
+        series += x ** (i / 2) / product
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 / math.pi) * math.exp(-x / 2) * series
+
+
+def chi2_point(share: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2(mid, k) < share else (low, mid)
+    return low
+
+
+def consistency(share: float) -> float:
+    """What the scatter of the nearest ``share`` of normal rows is multiplied by to be that of all."""
+    return share / chi2(chi2_point(share, P), P + 2)
 
 
 def add_stats(docs: DataFrame, window: int = 5) -> DataFrame:
@@ -60,86 +95,122 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
 
 
-def _features() -> list[Column]:
-    n = F.col("n_words").cast("double")
-    rate = lambda c: F.log1p(100.0 * F.col(c) / n)
-    return [F.log(n), F.col("word_chars") / n, rate("n_symbols"), F.log1p(F.col("n_dup_lines").cast("double")), rate("n_repeat_words")]
+def _meet(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """Rows (g, salt) with their group's short rows: broadcast if groups are few, else by group and salt, so that a very large group spreads."""
+    if few:
+        return rows.join(F.broadcast(table), "g")
+    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
 
 
-def _cholesky(df: DataFrame) -> DataFrame:
-    """c_ij (i >= j) to l_ij, in place of them; scatter that FLOORS keep positive definite."""
-    p = len(FEATURES)
-    for j in range(p):
-        for i in range(j, p):
-            rest = F.col(f"c{i}{j}")
+def _transformed(passed: DataFrame, few: bool) -> DataFrame:
+    """t0 to t4: log words, log letters a word, symbols and repeated words for each word, log doubled lines, in robust units of their group."""
+    n = F.col("n_words").cast("double")
+    m = n + PRIOR_WORDS
+    length = F.col("word_chars") / n
+    usual = passed.groupBy("g").agg(F.percentile_approx(length, 0.5, 1000).alias("usual"))
+    y = [F.log(n), F.log(length / F.col("usual")) * n / m, F.col("n_symbols") / m, F.log1p(F.col("n_dup_lines").cast("double")), F.col("n_repeat_words") / m]
+    raw = _meet(passed, usual, few).select("doc_id", "rk", "g", "salt", *(c.alias(t) for c, t in zip(y, T, strict=True)))
+    spans = raw.groupBy("g").agg(*(F.percentile_approx(t, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, t in enumerate(T)))
+    unit = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(UNITS[i])) for i in range(P)]
+    return _meet(raw, spans, few).select("doc_id", "rk", "g", "salt", *(((F.col(t) - F.col(f"q{i}")[1]) / unit[i]).alias(t) for i, t in enumerate(T)))
+
+
+def _estimates(rows: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """keys, m_i, l_ij, fall: location, Cholesky factor and log determinant of the regularised scatter of each group of rows."""
+    sums = [F.avg(t).alias(f"m{i}") for i, t in enumerate(T)] + [F.covar_pop(T[i], T[j]).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+    df = rows.groupBy(*keys).agg(F.greatest(F.lit(SHARE), WEIGHT / (F.count(F.lit(1)) + WEIGHT)).alias("rho"), *sums)
+    return _factor(df, factor)
+
+
+def _factor(df: DataFrame, factor: float) -> DataFrame:
+    """c_ij, rho to l_ij and det, the log determinant: the Cholesky factor of (1 - rho) * factor * c + rho * identity."""
+    rho = F.col("rho")
+    for j in range(P):
+        for i in range(j, P):
+            rest = (1 - rho) * factor * F.col(f"c{i}{j}") + (rho if i == j else 0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.drop(*(f"c{i}{j}" for i in range(p) for j in range(i + 1)))
+    df = df.drop("rho", *(f"c{i}{j}" for i in range(P) for j in range(i + 1)))
+    return df.withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00")))
 
 
 def _distance(df: DataFrame) -> DataFrame:
-    """Adds d2 by forward substitution through l_ij."""
-    p = len(FEATURES)
-    for i in range(p):
-        rest = F.col(FEATURES[i]) - F.col(f"m{i}")
+    """d2 in place of m_i, l_ij, det: squared Mahalanobis distance by forward substitution."""
+    for i in range(P):
+        rest = F.col(T[i]) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
         df = df.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, p)), F.col("y0") * F.col("y0"))).drop(*(f"y{i}" for i in range(p)))
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and a diagonal scatter of interquartile ranges: a start without random subsets."""
-    quartiles = F.percentile_approx
-    agg = rows.groupBy("g").agg(*(quartiles(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)))
-    cols = [F.col("g")]
-    for i, floor in enumerate(FLOORS):
-        q = F.col(f"q{i}")
-        cols += [q[1].alias(f"m{i}"), F.greatest((q[2] - q[0]) / 1.349, F.lit(floor)).alias(f"l{i}{i}")]
-        cols += [F.lit(0.0).alias(f"l{i}{j}") for j in range(i)]
-    return agg.select(*cols)
-
-
-def _concentrate(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    """One concentration step: moments of the nearest ``share`` of each group."""
-    p = len(FEATURES)
-    far = _distance(rows.join(estimate, "g")).select("g", "d2", *FEATURES)
-    # a short table of its own, so that the join below can split or broadcast a very large group
-    near = materialise(far.groupBy("g").agg(F.percentile_approx("d2", share, 2000).alias("h")), "near")
-    x = [F.col(f) for f in FEATURES]
-    sums = [F.avg(x[i]).alias(f"m{i}") for i in range(p)] + [F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    moments = far.join(near, "g").where(F.col("d2") <= F.col("h")).groupBy("g").agg(*sums)
-    return _cholesky(moments.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.lit(FLOORS[i] ** 2) for i in range(p)}))
-
-
-def judge(docs: DataFrame, cutoff: float = 500.0, share: float = 0.5, steps: int = 3, min_group: int = 200) -> DataFrame:
+    df = df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0")))
+    return df.drop("det", *(f"y{i}" for i in range(P)), *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """g, start and an estimate: robust scales; spatial signs about the median; two random subsets."""
+    norm = F.greatest(sum((F.col(t) * F.col(t) for t in T[1:]), F.col("t0") * F.col("t0")), F.lit(1e-12))
+    signs = [F.avg(F.col(T[i]) * F.col(T[j]) * P / norm).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+    centre = [F.lit(0.0).alias(f"m{i}") for i in range(P)]
+    both = rows.groupBy("g").agg(F.lit(SHARE).alias("rho"), *signs)
+    signed = _factor(both.select("g", F.lit(1).alias("start"), "rho", *centre, *(f"c{i}{j}" for i in range(P) for j in range(i + 1))), 1.0)
+    plain = _factor(both.select("g", F.lit(0).alias("start"), F.lit(1.0).alias("rho"), *centre, *(F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1))), 1.0)
+    # a ranked window's limit applies before the shuffle
+    at = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("rk", "doc_id"), "rk"))
+    chosen = rows.withColumn("at", at).where(F.col("at") <= 2 * SUBSET).withColumn("start", (2 + (F.col("at") - 1) / SUBSET).cast("int"))
+    return plain.unionByName(signed).unionByName(_estimates(chosen, 1.0, "g", "start"))
+
+
+def _concentrate(rows: DataFrame, estimate: DataFrame, few: bool, *keys: str) -> DataFrame:
+    """One concentration step for each start: moments of the nearest half of its group."""
+    far = _distance(_meet(rows, estimate, few))
+    half = far.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 10000).alias("half"))
+    if few:
+        near = far.join(F.broadcast(half), [*keys])
+    else:
+        near = far.join(half.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
+    return _estimates(near.where(F.col("d2") <= F.col("half")), consistency(0.5), *keys)
+
+
+def _mcd(rows: DataFrame, few: bool, steps: int, tolerance: float = 1e-3) -> DataFrame:
+    """The estimate of each group: the best start's after ``steps`` concentration steps at most."""
+    starts = materialise(_starts(rows), "starts")
+    for _ in range(2):
+        starts = materialise(_concentrate(rows, starts, few, "g", "start"), "starts")
+    best = starts.groupBy("g").agg(F.min_by(F.struct(*(c for c in starts.columns if c not in ("g", "start"))), F.struct("det", "start")).alias("e")).select("g", "e.*")
+    estimate = materialise(best, "estimate")
+    for _ in range(steps - 2):
+        # the determinant comes along, so that the fall is known without a join
+        new = materialise(_concentrate(rows, estimate, few, "g"), "estimate")
+        fall = new.select("g", F.col("det").alias("new")).join(estimate.select("g", "det"), "g").agg(F.max(F.col("det") - F.col("new"))).first()[0]
+        estimate = new
+        if fall is None or fall < tolerance:
+            break
+    inner = chi2_point(0.975, P)
+    near = _distance(_meet(rows, estimate, few)).where(F.col("d2") <= inner)
+    return materialise(_estimates(near, consistency(0.975), "g"), "reweighted")
+
+
+def judge(docs: DataFrame, confidence: float = 0.999, steps: int = 12) -> DataFrame:
     """Per document: doc_id, rk, the statistics, base_failed, d2 (null if base_failed), kept.
 
-    kept: passes the base rules and its scaled squared distance from its group's estimate is at
-    most ``cutoff`` (far beyond a chi-squared tail, as clean text has long tails).  A group is a
-    language and source (null is a value); groups of fewer than ``min_group`` documents that pass
-    the base rules are judged together.  Extra columns do not matter; repeated rows count each.
+    kept: passes the base rules and its squared distance from its group's estimate is at most the
+    ``confidence`` point of a chi-squared distribution of five degrees.  A group is a language and a
+    source (null is a value), and is judged by itself however small: the less rows it has the more
+    its scatter is the identity in robust units.  Extra columns do not matter; repeated rows count
+    each.  Quantiles are Spark's approximate ones; ``steps`` bounds the concentration steps.
     """
-    stats = add_stats(docs.select("doc_id", "text", "lang", "source").withColumn("rk", row_key()))
-    stats = stats.drop("text").withColumn("base_failed", base_failed())
-    stats = materialise(stats, "stats")
-    passed = stats.where(~F.col("base_failed")).withColumns(dict(zip(FEATURES, _features(), strict=True)))
-    passed = passed.withColumn("g", F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull()))
-    large = passed.groupBy("g").count().where(F.col("count") >= min_group).select("g", F.lit(True).alias("large"))
-    passed = passed.join(large, "g", "left").withColumn("g", F.when(F.col("large"), F.col("g")).otherwise(F.lit(0).cast("long")))
-    rows = materialise(passed.select("doc_id", "rk", "g", *FEATURES), "features")
-    estimate = materialise(_start(rows), "start")
-    for step in range(steps):
-        estimate = materialise(_concentrate(rows, estimate, share), f"step{step}")
-    far = _distance(rows.join(estimate, "g")).select("doc_id", "rk", "g", "d2")
-    scale = materialise(far.groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / CHI2_MEDIAN).alias("scale")), "scale")
-    scaled = far.join(scale, "g").select("doc_id", "rk", (F.col("d2") / F.greatest(F.col("scale"), F.lit(0.2))).alias("d2"))
-    verdict = same(stats, scaled.groupBy("doc_id", "rk").agg(F.max("d2").alias("d2")))
-    return verdict.select("doc_id", "rk", *STATS, "base_failed", "d2", (~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(False))).alias("kept"))
+    stats = add_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("__lang"), F.col("source").alias("__source")).withColumn("rk", row_key()))
+    stats = materialise(stats.drop("text").withColumn("base_failed", base_failed()), "stats")
+    group = F.xxhash64("__lang", F.col("__lang").isNull(), "__source", F.col("__source").isNull())
+    passed = stats.where(~F.col("base_failed")).withColumns({"g": group, "salt": F.pmod(F.xxhash64("doc_id", "rk"), F.lit(SALTS)).cast("int")})
+    few = passed.select("g").distinct().count() <= GROUPS
+    rows = materialise(_transformed(passed, few), "features")
+    far = _distance(_meet(rows, _mcd(rows, few, steps), few))
+    verdict = same(stats, far.groupBy("doc_id", "rk").agg(F.max("d2").alias("d2")))
+    limit = chi2_point(confidence, P)
+    return verdict.select("doc_id", "rk", *STATS, "base_failed", "d2", (~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``judge`` keeps, with their own columns."""
-    good = judge(docs, **options).where("kept").select("doc_id", "rk").dropDuplicates()
-    return same(docs.withColumn("rk", row_key()), good, "left_semi").drop("rk")
+    """The documents that ``judge`` keeps, with all their own columns; repeats of a row stay or go together."""
+    return only(docs, judge(docs, **options).where("kept").select("doc_id", "rk").dropDuplicates())

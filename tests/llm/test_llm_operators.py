@@ -252,7 +252,7 @@ def test_quality_rules(spark, docs):
     rows = [(i, prose(rng.randint(60, 400), rng), "en", "s") for i in range(400)]
     rows += [(1000 + i, " ".join(f"w{rng.randint(0, 999)}###" for _ in range(100)), "en", "s") for i in range(8)]
     rows += [(2000, "too short", None, None), (2001, "a b c d e f " * 20, "en", None), (2002, None, None, "s"), (2003, "x y z w\n" * 3 + prose(300), "en", "s")] + [(i and 5000 + i, t, None, None) for i, t in ODD]
-    got = quality_rules.judge(docs(*rows), min_group=50).collect()
+    got = quality_rules.judge(docs(*rows)).collect()
     assert len(got) == len(rows)
     for r in got:
         t = next(t for i, t, *_ in rows if i == r["doc_id"])
