@@ -165,7 +165,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, sh
     words miss its target by less than half of the smallest untaken document of one block.  The
     draw depends on ``seed``, doc_id and text alone.  Rows equal in doc_id and text go together.
     """
-    rows = docs.select("doc_id", row_key().alias("rk"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = materialise(rows.withColumn("at", F.xxhash64(F.lit(seed), "rk")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = targets(sizes.drop("n"), weights, cap).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -223,8 +223,13 @@ def is_partial() -> Column:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's columns once for each copy, with epoch, shard and order_key (the local shuffle within a shard)."""
-    docs = docs.drop("epoch", "shard", "order_key", "rk")
-    copies = draw(docs, **options).where(F.size("copies") > 0).select("doc_id", "rk", "copies").dropDuplicates(["doc_id", "rk"])
-    out = same(docs.withColumn("rk", row_key()), copies, "inner").withColumn("copy", F.explode("copies"))
-    return out.select(*docs.columns, "copy.epoch", "copy.shard", F.xxhash64("copy.shard", "copy.epoch", "rk").alias("order_key"))
+    """The mix itself: each document's columns once for each copy, with epoch, shard and order_key.
+
+    Written as it stands, it is laid out as dealt: shard after shard, each in the order of order_key, the
+    local shuffle.  epoch, shard and order_key of the input are replaced, other columns pass through."""
+    docs = docs.drop("epoch", "shard", "order_key")
+    copies = draw(docs, **options).where(F.size("copies") > 0).select("doc_id", "rk", F.col("copies").alias("__copies")).dropDuplicates(["doc_id", "rk"])
+    out = same(docs.withColumn("__rk", row_key()), copies, "inner", "__rk").withColumn("__copy", F.explode("__copies"))
+    place = [F.col("__copy.epoch").alias("epoch"), F.col("__copy.shard").alias("shard"), F.xxhash64("__copy.shard", "__copy.epoch", "__rk").alias("order_key")]
+    dealt = out.select(*(F.col(f"`{c}`") for c in docs.columns), *place)
+    return dealt.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")

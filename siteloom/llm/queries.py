@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from siteloom.llm import ann, byte_bpe, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, toxicity
 
 
@@ -13,13 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rank_file() -> str:
+    """The public rank file of the byte-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), corpus_pipeline.rank_file())
+    return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), rank_file())
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.draw(_table(spark, sf_dir, "documents")).drop("rk", "copies")
+    return mixing.draw(_table(spark, sf_dir, "documents")).drop("rk")
 
 
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +66,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op7_nearest_neighbours, op8_substring_dedup, op9_quality_rules, op10_language_id)}
-QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
