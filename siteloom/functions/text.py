@@ -10,12 +10,17 @@ SPACES = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 WS = f"[{SPACES}]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value reckoned once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(trim(c), F.lit(""))
+    return let(trim(c), lambda t: F.when(t != "", t))
 
 
 def strip_html(c: Column) -> Column:
@@ -26,13 +31,12 @@ def strip_html(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    text = strip_html(c)
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    return let(strip_html(c), lambda text: F.when(text == "", 0).otherwise(F.size(F.split(text, " "))))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null where nothing matches."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """A group of the first match, null where nothing matches.  The text is scanned once; the group is read from the match."""
+    return let(F.regexp_extract(c, pattern, 0), lambda m: F.when(m != "", F.regexp_extract(m, pattern, group)))
 
 
 def first_of(c: Column, *patterns: str) -> Column:

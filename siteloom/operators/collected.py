@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact
+from siteloom.operators.findings import evidence, sample
+from siteloom.sources.scratch import keep
 
 KEY = ["run_id", "site"]
 #: Metrics of the page-speed JSON by audit id (fixed values).
@@ -17,6 +19,10 @@ LIMITS = {"lcp": (2500.0, 4000.0), "cls": (0.1, 0.25), "tbt": (200.0, 600.0), "f
 OPPORTUNITIES = {"uses-responsive-images": "responsive images", "uses-optimized-images": "optimized images", "uses-webp-images": "WebP images", "uses-text-compression": "text compression", "uses-http2": "HTTP/2",
                  "efficiently-encode-images": "efficient image encoding", "unminified-css": "minified CSS", "unminified-javascript": "minified JavaScript", "unused-css-rules": "unused CSS",
                  "unused-javascript": "unused JavaScript", "modern-image-formats": "modern image formats", "offscreen-images": "lazy-loaded images"}
+#: Audits listed as opportunities and as diagnostics where they score below one, and scored categories (fixed values).
+LISTED = ["unused-css-rules", "unused-javascript", "modern-image-formats", "efficiently-encode-images", "render-blocking-resources", "unminified-css", "unminified-javascript"]
+DIAGNOSTICS = ["mainthread-work-breakdown", "bootup-time", "uses-long-cache-ttl", "total-byte-weight", "dom-size"]
+SCORED = {"score": "performance", "accessibility": "accessibility", "best_practices": "best-practices", "seo": "seo", "pwa": "pwa"}
 #: robots.txt lines that close a section (fixed values).
 ROBOTS = {"home": r"^\s*disallow:\s*/?\s*$", "products": r"disallow:\s*/?products", "collections": r"disallow:\s*/?collections", "blog": r"disallow:\s*/?blog", "shop": r"disallow:\s*/?shop"}
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
@@ -24,6 +30,7 @@ SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
 PRICES = {"gemini-2.5-flash": (0.000075, 0.0003), "gemini-2.5-flash-lite": (0.000038, 0.00015), "gemini-2.5-pro": (0.00125, 0.005), "gpt-4o": (0.0025, 0.01),
           "gpt-4o-mini": (0.00015, 0.0006), "gpt-4-turbo": (0.01, 0.03), "gpt-3.5-turbo": (0.0005, 0.0015)}
 DEFAULT_PRICE = (0.00025, 0.001)
+#: What model answers say and what it stands for (fixed values).
 VISUAL_TYPES = {"visual_hierarchy": "visual_mobile_unfriendly", "cta": "visual_viewport_issues", "trust": "visual_text_too_small", "ux_friction": "visual_elements_too_close", "mobile": "visual_mobile_unfriendly"}
 VISUAL_SEVERITIES = {"critical": "critical", "warning": "warning", "info": "info", "high": "warning", "medium": "warning", "low": "info"}
 
@@ -54,7 +61,7 @@ def lighthouse(rows: DataFrame) -> DataFrame:
     weight = some(total("transferSize"))
     return df.withColumns(
         {
-            "score": F.floor(F.try_variant_get("v", "$.categories.performance.score", "double") * 100 + 0.5).cast("int"),
+            **{n: F.floor(F.try_variant_get("v", f"$.categories['{c}'].score", "double") * 100 + 0.5).cast("int") for n, c in SCORED.items()},
             "page_weight": weight, "page_weight_kb": F.floor(weight / 1024 + 0.5), "requests": some(total("requestCount")), "script_requests": some(total("requestCount", "script")),
             "style_requests": some(total("requestCount", "stylesheet")), "image_requests": some(total("requestCount", "image")),
         }
@@ -110,6 +117,19 @@ def lighthouse_findings(metrics: DataFrame) -> DataFrame:
     return metrics.select(*KEY, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(*KEY, "f.*")
 
 
+def lighthouse_lists(metrics: DataFrame) -> DataFrame:
+    """Opportunities and diagnostics of each row that score below one: kind, pos, title (the audit's id without one), savings as shown, score."""
+    audit = lambda a, f, t: F.try_variant_get("v", f"$.audits['{a}'].{f}", t)
+
+    def entry(kind, pos, a):
+        title = F.coalesce(F.nullif(audit(a, "title", "string"), F.lit("")), F.lit(a))
+        savings = F.coalesce(audit(a, "displayValue", "string"), F.lit("")) if kind == "opportunity" else F.lit(None).cast("string")
+        return F.when(audit(a, "score", "double") < 1, F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), title.alias("title"), savings.alias("savings"), audit(a, "score", "double").alias("score")))
+
+    rows = [entry("opportunity", i, a) for i, a in enumerate(LISTED)] + [entry("diagnostic", i, a) for i, a in enumerate(DIAGNOSTICS)]
+    return metrics.select(*KEY, F.explode(F.array_compact(F.array(*rows))).alias("e")).select(*KEY, "e.*")
+
+
 def sitemap_refs(robots: DataFrame) -> DataFrame:
     """run_id, site, pos, ref: Sitemap lines of robots.txt."""
     lines = robots.select(*KEY, F.posexplode(F.split("body", r"\r?\n")).alias("pos", "line"))
@@ -124,9 +144,10 @@ def robots_blocking(robots: DataFrame) -> DataFrame:
 
 
 def robots_findings(blocking: DataFrame) -> DataFrame:
-    per = blocking.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "section"))).alias("s"), F.bool_or(F.col("section") == "home").alias("home"))
+    per = blocking.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "section", "line"))).alias("s"), F.bool_or(F.col("section") == "home").alias("home"))
+    lines = F.transform(F.slice("s", 1, 10), lambda x: sample(F.lit(None).cast("string"), x["line"]))
     return per.select(*KEY, F.lit("crawl.robots_blocked").alias("check_id"), F.lit("crawl_robots_blocked").alias("type"), F.when(F.col("home"), "critical").otherwise("warning").alias("severity"),
-                      F.concat(F.lit("robots.txt blocks important sections: "), F.array_join(F.transform("s", lambda x: x["section"]), ", ")).alias("message"))
+                      F.concat(F.lit("robots.txt blocks important sections: "), F.array_join(F.transform("s", lambda x: x["section"]), ", ")).alias("message"), evidence(F.size("s"), lines).alias("evidence"))
 
 
 def parse_sitemap(body: Column) -> Column:
@@ -142,28 +163,45 @@ def is_gzipped(url: Column, content_type: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)\.gz$") | F.lower(content_type).contains("gzip"), F.lit(False))
 
 
-def sitemap_urls(files: DataFrame, starts: DataFrame, most: int = 50_000, depth: int = 10) -> DataFrame:
-    """run_id, site, seq, url: URLs of the sitemaps reached from ``starts`` (run_id, site, pos, ref) and the usual places, breadth first.
+def sitemap_walk(files: DataFrame, starts: DataFrame) -> DataFrame:
+    """run_id, site, ref, depth, path, s (maps, urls; null: no such file): sitemaps reached from ``starts`` (run_id, site, pos, ref) and the usual places, breadth first.
 
-    Each file is read once a site; at most ``most`` URLs a site; a recursion deeper than ``depth`` ends.
+    Each file is read once a site, and indexes are followed however deep; every level is written, so none is read twice.
     """
     usual = files.select(*KEY).distinct().select(*KEY, F.posexplode(F.array(*(F.lit(p) for p in SITEMAP_PATHS))).alias("i", "p"))
     usual = usual.select(*KEY, (F.col("i") + 1_000_000).alias("pos"), F.concat(F.lit("https://"), F.col("site"), F.col("p")).alias("ref"))
     parsed = files.select(*KEY, "sitemap_url", parse_sitemap(F.col("body")).alias("s"))
     level = starts.select(*KEY, "pos", "ref").unionByName(usual).groupBy(*KEY, "ref").agg(F.min("pos").alias("pos")).withColumn("path", F.format_string("%07d", "pos"))
-    done = None
-    for step in range(depth):
-        here = level.join(parsed, (level["ref"] == parsed["sitemap_url"]) & (level["site"] == parsed["site"]) & (level["run_id"] == parsed["run_id"])).select(level["run_id"], level["site"], "ref", "path", "s").withColumn("depth", F.lit(step))
+    parsed = keep(parsed.withColumnRenamed("sitemap_url", "ref"), "sitemaps")
+    done, step = None, 0
+    while done is None or not level.isEmpty():
+        here = keep(level.join(parsed, [*KEY, "ref"], "left").select(*KEY, "ref", F.lit(step).alias("depth"), "path", "s"), "sitemap-level")
         done = here if done is None else done.unionByName(here)
         nxt = here.select(*KEY, "path", F.posexplode("s.maps").alias("i", "ref")).withColumn("path", F.concat("path", F.lit("/"), F.format_string("%07d", "i")))
-        level = nxt.groupBy(*KEY, "ref").agg(F.min("path").alias("path")).join(done.select(*KEY, "ref"), [*KEY, "ref"], "left_anti").persist()
-        if level.isEmpty():
-            break
-    urls = done.select(*KEY, "depth", "path", F.posexplode("s.urls").alias("i", "url"))
-    seq = F.row_number().over(Window.partitionBy(*KEY).orderBy("depth", "path", "i"))
-    return urls.withColumn("seq", seq).where(F.col("seq") <= most).select(*KEY, "seq", "url")
+        level = nxt.groupBy(*KEY, "ref").agg(F.min("path").alias("path")).join(done.select(*KEY, "ref"), [*KEY, "ref"], "left_anti")
+        step += 1
+    return done
+
+
+def sitemap_urls(files: DataFrame, starts: DataFrame, most: int = 50_000) -> DataFrame:
+    """run_id, site, seq, url: URLs of the sitemaps that ``sitemap_walk`` reaches, in its order; at most ``most`` a site."""
+    return _numbered(sitemap_walk(files, starts)).where(F.col("seq") <= most).select(*KEY, "seq", "url")
+
 
+def _numbered(walk: DataFrame) -> DataFrame:
+    urls = walk.select(*KEY, "depth", "path", F.posexplode("s.urls").alias("i", "url"))
+    return urls.withColumn("seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("depth", "path", "i")))
 
+
+def sitemap_errors(walk: DataFrame, most: int = 50_000) -> DataFrame:
+    """run_id, site, message: a row for each sitemap tried that is not there, and for the cap where a site reaches it."""
+    gone = walk.where(F.col("s").isNull()).select(*KEY, F.concat(F.col("ref"), F.lit(": no such file")).alias("message"))
+    sizes = walk.groupBy(*KEY).agg(F.sum(F.size("s.urls")).alias("n")).where(F.col("n") >= most)
+    return gone.unionByName(sizes.select(*KEY, F.lit(f"Reached MAX_SITEMAP_URLS limit ({most})").alias("message")))
+
+
+#: A line that opens a finding, and characters of a scan that are read (fixed values).
+SCANNED = 50_000
 HEADER = r"(?i)^(?:\[|\()?(CRITICAL|HIGH|MEDIUM|LOW|INFO)(?:\]|\))?:?\s*(.+)"
 
 
@@ -177,6 +215,14 @@ def scan_findings(lines: DataFrame, most: int = 100) -> DataFrame:
     return rows.groupBy(*KEY, "no").agg(F.upper(first(1)).alias("severity"), F.trim(first(2)).alias("title"), text.alias("description"))
 
 
+def scan_output(rows: DataFrame) -> DataFrame:
+    """Adds what a scan's text (column output) gives: masked (cut at SCANNED characters), its JSON if it is a JSON object, else the number of its lines."""
+    cut = F.when(F.length("output") > SCANNED, F.concat(F.substring("output", 1, SCANNED), F.lit("\n... [truncated]"))).otherwise(F.col("output"))
+    df = rows.withColumn("masked", redact.mask_scan(cut))
+    parsed = F.when(F.ltrim("masked").startswith("{"), F.try_parse_json("masked"))
+    return df.withColumn("parsed", parsed).withColumn("line_count", F.when(F.col("parsed").isNull(), F.size(F.split("masked", "\n"))))
+
+
 def scan_summary(lines: DataFrame) -> DataFrame:
     """Counts that the first fifty lines state; the last statement of each wins."""
     top = lines.where("line_no < 50")
@@ -230,3 +276,8 @@ def live_snapshots(snapshots: DataFrame, as_of: Column) -> DataFrame:
 def cache_statistics(snapshots: DataFrame, as_of: Column) -> DataFrame:
     gone = F.unix_millis(as_of) > F.unix_millis("collected_at") + F.col("ttl_ms")
     return snapshots.groupBy("cache_type").agg(F.count(F.lit(1)).alias("entries"), F.count_if(gone).alias("expired"))
+
+
+def typed_key(*parts: Column) -> Column:
+    """A cache key that names its type first: type, key and URL with colons between."""
+    return F.concat_ws(":", *parts)

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls
 from siteloom.functions.text import trim
 from siteloom.operators.collected import lookup
+from siteloom.operators.findings import evidence, sample
 from siteloom.operators.site_facts import present, tristate, unknown
 
 KEY = ["run_id", "site"]
+#: What an error of a kind says to a reader (fixed values).
+FRIENDLY = {
+    "TIMEOUT": "The request took too long. Please try again.", "CORS_ERROR": "This website blocks cross-origin requests. Some data may be unavailable.",
+    "NETWORK_ERROR": "Network connection issue. Check your internet and try again.", "FETCH_FAILED": "Unable to access the website. It may be down or blocking requests.",
+}
 #: Well-known paths that are asked for (fixed values).
 WELL_KNOWN = ["/.well-known/security.txt", "/.well-known/assetlinks.json", "/.well-known/apple-app-site-association", "/apple-app-site-association", "/humans.txt"]
+#: What model answers on search results say and what it stands for (fixed values).
 SERP_TYPES = {"snippet_quality": "serp_title_mismatch", "intent_mismatch": "serp_wrong_page_ranking", "missing_page_type": "serp_not_indexed", "ctr_opportunity": "serp_description_mismatch"}
 SERP_SEVERITIES = {"high": "critical", "medium": "warning", "low": "info"}
 #: Words in a URL that tell a kind of site, tried in this order (fixed values).
@@ -45,7 +52,8 @@ def well_known(sites: DataFrame, responses: DataFrame, most: int = 2000) -> Data
 
 def security_txt_findings(rows: DataFrame) -> DataFrame:
     missing = rows.where((F.col("path") == WELL_KNOWN[0]) & ~F.coalesce(F.col("status") == 200, F.lit(False)))
-    return missing.select(*KEY, F.lit("sec.security_txt").alias("check_id"), F.lit("sec_missing_csp").alias("type"), F.lit("info").alias("severity"), F.lit(f"security.txt not found at {WELL_KNOWN[0]}").alias("message"))
+    return missing.select(*KEY, F.lit("sec.security_txt").alias("check_id"), F.lit("sec_missing_csp").alias("type"), F.lit("info").alias("severity"), F.lit(f"security.txt not found at {WELL_KNOWN[0]}").alias("message"),
+                          evidence(detail=F.coalesce(F.col("status").cast("string"), F.lit("not found"))).alias("evidence"))
 
 
 def dns_facts(records: DataFrame) -> DataFrame:
@@ -96,36 +104,41 @@ def serp_model_findings(answers: DataFrame) -> DataFrame:
 
 
 def crawl_findings(robots_refs: DataFrame, sitemap: DataFrame, sites: DataFrame, chains: DataFrame, host_rules: DataFrame, parameterised: DataFrame) -> DataFrame:
-    """Findings on sitemaps, redirects, hosts and parameters: run_id, site, check_id, type, severity, message."""
+    """Findings on sitemaps, redirects, hosts and parameters: run_id, site, check_id, type, severity, message, evidence."""
+    other = (F.col("seq") <= 100) & (urls.host(F.col("url")) != F.col("site")) & (urls.host(F.col("url")) != "")
+    shown = lambda c, n: F.transform(F.slice(c, 1, n), lambda x: sample(x["url"]))
     refs = robots_refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("refs"))
-    found = sitemap.groupBy(*KEY).agg(F.count(F.lit(1)).alias("found"), F.count_if((F.col("seq") <= 100) & (urls.host(F.col("url")) != F.col("site")) & (urls.host(F.col("url")) != "")).alias("foreign"))
-    long = chains.groupBy(*KEY).agg(F.count_if(F.size("chain") > 3).alias("long"))
-    df = sites.select(*KEY).distinct().join(refs, KEY, "left").join(found, KEY, "left").join(long, KEY, "left").join(host_rules.select(*KEY, "host_conflict", "http_stays"), KEY, "left").join(parameterised.select(*KEY, F.col("n").alias("params")), KEY, "left")
+    # of a hundred URLs at most
+    found = sitemap.groupBy(*KEY).agg(F.count(F.lit(1)).alias("found"), F.count_if(other).alias("foreign"), F.array_sort(F.collect_list(F.when(other, F.struct("seq", "url")))).alias("foreign_urls"))
+    long = chains.groupBy(*KEY).agg(F.count_if(F.size("chain") > 3).alias("long"), F.min_by("chain", F.when(F.size("chain") > 3, F.col("variant"))).alias("long_chain"))
+    df = sites.select(*KEY).distinct().join(refs, KEY, "left").join(found, KEY, "left").join(long, KEY, "left").join(host_rules.select(*KEY, "host_conflict", "http_stays"), KEY, "left").join(parameterised.select(*KEY, F.col("n").alias("params"), "param_urls"), KEY, "left")
     df = df.fillna(0, ["refs", "found", "foreign", "long", "params"]).fillna(False, ["host_conflict", "http_stays"])
     c, rows = F.col, []
 
-    def add(when, check, type_, severity, message):
+    def add(when, check, type_, severity, message, basis=None):
         message = F.lit(message) if isinstance(message, str) else message
-        rows.append(F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(type_).alias("type"), F.lit(severity).alias("severity"), message.alias("message"))))
+        basis = evidence() if basis is None else basis
+        rows.append(F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(type_).alias("type"), F.lit(severity).alias("severity"), message.alias("message"), basis.alias("evidence"))))
 
     add((c("refs") == 0) & (c("found") == 0), "crawl.sitemap_missing", "crawl_sitemap_missing", "warning", "No sitemap.xml found or referenced in robots.txt")
     add((c("refs") > 0) & (c("found") == 0), "crawl.sitemap_empty", "crawl_sitemap_empty", "warning", "Sitemap referenced but could not be parsed or is empty")
-    add(c("foreign") > 0, "crawl.sitemap_foreign_host", "crawl_sitemap_missing", "info", "Sitemap contains URLs with non-canonical hostnames")
-    add(c("long") > 0, "crawl.redirect_chain", "crawl_unreachable", "warning", F.format_string("Excessive redirect chains detected (%d chains with >3 hops)", "long"))
+    add(c("foreign") > 0, "crawl.sitemap_foreign_host", "crawl_sitemap_missing", "info", "Sitemap contains URLs with non-canonical hostnames", evidence(c("foreign"), shown("foreign_urls", 5)))
+    add(c("long") > 0, "crawl.redirect_chain", "crawl_unreachable", "warning", F.format_string("Excessive redirect chains detected (%d chains with >3 hops)", "long"), evidence(c("long"), F.transform(F.slice("long_chain", 1, 5), lambda x: sample(x["url"], x["status"]))))
     add(c("host_conflict"), "crawl.host_conflict", "crawl_unreachable", "warning", "Inconsistent host configuration: www and non-www hosts serve different content")
     add(c("http_stays"), "crawl.http_no_https", "crawl_unreachable", "critical", "HTTP root does not redirect to HTTPS")
-    add(c("params") > 0, "crawl.param_urls", "crawl_unreachable", "info", F.format_string("Detected %d URLs with query parameters", "params"))
+    add(c("params") > 0, "crawl.param_urls", "crawl_unreachable", "info", F.format_string("Detected %d URLs with query parameters", "params"), evidence(c("params"), shown("param_urls", 10)))
     return df.select(*KEY, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(*KEY, "f.*")
 
 
 def parameterised_count(pages: DataFrame, first: int = 200) -> DataFrame:
     r = F.row_number().over(Window.partitionBy(*KEY).orderBy("crawl_seq", "url"))
-    return pages.withColumn("r", r).where((F.col("r") <= first) & (urls.query(F.col("url")) != "")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    rows = pages.withColumn("r", r).where((F.col("r") <= first) & (urls.query(F.col("url")) != ""))
+    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("r", "url"))).alias("param_urls"))
 
 
 def https_findings(host_rules: DataFrame) -> DataFrame:
     bad = host_rules.where(~F.col("https_enforced"))
-    return bad.select(*KEY, F.lit("sec.https").alias("check_id"), F.lit("sec_missing_https").alias("type"), F.lit("critical").alias("severity"), F.lit("HTTPS is not properly enforced").alias("message"))
+    return bad.select(*KEY, F.lit("sec.https").alias("check_id"), F.lit("sec_missing_https").alias("type"), F.lit("critical").alias("severity"), F.lit("HTTPS is not properly enforced").alias("message"), evidence(detail=F.lit("false")).alias("evidence"))
 
 
 def error_code(message: Column) -> Column:
@@ -134,6 +147,26 @@ def error_code(message: Column) -> Column:
     return F.when(m.rlike("(?i)abort|timed? ?out"), "TIMEOUT").when(m.contains("CORS") | m.contains("cross-origin"), "CORS_ERROR").when(m.contains("network") | m.contains("fetch"), "NETWORK_ERROR").otherwise("FETCH_FAILED")
 
 
+def friendly(code: Column) -> Column:
+    return lookup(code, FRIENDLY, "An unexpected error occurred. Please try again.")
+
+
+def error_bucket(message: Column) -> Column:
+    """Which limit or failure a fetch error's text tells of."""
+    m = F.coalesce(message, F.lit(""))
+    return (
+        F.when(m.startswith("Request timeout after"), "timeout").when(m.startswith("Network error:"), "network").when(m.startswith("Exceeded maximum redirect hops"), "hops")
+        .when(m.contains("exceeds max bytes"), "size").when(m == "", "none").otherwise("other")
+    )
+
+
+def split_requests(requests: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Valid request rows, and the rejects with the reason."""
+    good = valid_request(F.col(url))
+    empty = F.coalesce(trim(F.col(url)), F.lit("")) == ""
+    return requests.where(good & ~empty), requests.where(~good | empty).withColumn("reason", F.when(empty, "URL is required").otherwise("Invalid URL format"))
+
+
 def valid_request(url: Column) -> Column:
     return F.coalesce(trim(url).rlike(r"(?i)^(https?://)?([\w.-]+)(:\d+)?(/[^\s]*)?$"), F.lit(False))
 
@@ -147,10 +180,33 @@ def report_rows(reports: DataFrame) -> DataFrame:
     return spine.select(*KEY, "category", F.coalesce(own["score"], F.lit(100.0)).alias("score"), F.coalesce(F.size(own["findings"]), F.lit(0)).alias("findings"))
 
 
+def report_summaries(reports: DataFrame) -> DataFrame:
+    """Headline figures of report JSON (column text): score, grade, headline and how many priorities; a report that is no JSON gives nulls and none."""
+    shape = "struct<summary:struct<score:double,grade:string,headline:string>,priorities:array<struct<title:string,impact:string>>>"
+    r = reports.withColumn("r", F.from_json("text", shape))
+    return r.select(*KEY, F.col("r.summary.score").alias("score"), F.col("r.summary.grade").alias("grade"), F.col("r.summary.headline").alias("headline"), F.coalesce(F.size("r.priorities"), F.lit(0)).alias("priorities"))
+
+
+def serp_block(results: DataFrame, most: int = 10) -> DataFrame:
+    """The first search results of each site as lines for a model request."""
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("position", "url"))
+    rows = results.withColumn("r", place).where(F.col("r") <= most)
+    line = F.format_string("%d. %s - %s", "position", "title", "url")
+    return rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
+
+
+def page_block(signals: DataFrame, most: int = 10) -> DataFrame:
+    """Title and description of each site's first pages as lines for a model request."""
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("crawl_seq", "url"))
+    rows = signals.withColumn("r", place).where(F.col("r") <= most)
+    line = F.concat(F.col("url"), F.lit(" | "), F.coalesce("title", F.lit("(no title)")), F.lit(" | "), F.coalesce("meta_description", F.lit("(no description)")))
+    return rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
+
+
 def request_blocks(findings: DataFrame, sites: DataFrame, category: Column) -> DataFrame:
     """The findings of each site and category as text for a model request; a category without any says so."""
     line = F.format_string("[%s] %s: %s", "severity", "type", "message")
-    per = findings.groupBy(*KEY, category.alias("category")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("check_id", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
+    per = findings.groupBy(*KEY, category.alias("category")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
     spine = sites.select(*KEY).distinct().select(*KEY, F.explode(F.array(*(F.lit(x) for x in CATEGORIES))).alias("category"))
     return spine.join(per, [*KEY, "category"], "left").select(*KEY, "category", F.coalesce("block", F.lit("No findings in this category")).alias("block"))
 

@@ -24,7 +24,8 @@ def severity_rank(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class PageCheck:
-    """A rule over pages: fires for a site when pages match. weight: what a page adds to the count; samples: URLs shown."""
+    """A rule over pages: fires for a site when pages match. weight: what a page adds to the count; samples: URLs shown;
+    shown: pages in the evidence, with value (SQL text) beside the URL; most: whether the largest value is told."""
 
     check_id: str
     type: str
@@ -33,31 +34,38 @@ class PageCheck:
     message: str
     samples: int = 20
     weight: str | None = None
+    shown: int = 10
+    value: str | None = None
+    most: bool = False
 
 
 TITLE_MAX, TITLE_MIN, DESCRIPTION_MAX = 60, 30, 155
 
 
 IS_PRODUCT = "(contains(url, '/product') or contains(url, '/item') or contains(url, '/p/'))"
-NO_H2 = "(size(headings.h3) > 0 and size(headings.h2) = 0)"
-NO_H3 = "(size(headings.h4) > 0 and size(headings.h3) = 0)"
+NO_H2 = "(h3_count > 0 and h2_count = 0)"
+NO_H3 = "(h4_count > 0 and h3_count = 0)"
+ISSUES = f"concat_ws(', ', case when {NO_H2} then 'H3 without H2' end, case when {NO_H3} then 'H4 without H3' end)"
+#: Columns of page signals that the rules read.
+READ = ["run_id", "site", "crawl_seq", "url", "title", "title_length", "meta_description", "meta_description_length", "canonical", "canonical_self", "h1_count", "h2_count", "h3_count", "h4_count",
+        "has_product_schema", "invalid_schema_count", "mixed_content", "has_viewport", "has_charset", "has_lang"]
 
 
 def page_checks() -> list[PageCheck]:
-    """The page rules, predicates as SQL text over page signals. ``%d`` in a message is the count."""
+    """The page rules, predicates as SQL text over page signals. ``%d`` in a message is the count. Messages, limits and caps are fixed values."""
     return [
         PageCheck("tech.missing_title", "tech_missing_title", "critical", "title is null", "%d pages are missing title tags"),
-        PageCheck("tech.title_long", "tech_title_too_long", "info", f"title_length > {TITLE_MAX}", f"%d pages have titles longer than {TITLE_MAX} characters", 10),
-        PageCheck("tech.title_short", "tech_title_too_short", "info", f"title is not null and title_length < {TITLE_MIN}", f"%d pages have titles shorter than {TITLE_MIN} characters", 10),
+        PageCheck("tech.title_long", "tech_title_too_long", "info", f"title_length > {TITLE_MAX}", f"%d pages have titles longer than {TITLE_MAX} characters", 10, None, 5, "title_length", True),
+        PageCheck("tech.title_short", "tech_title_too_short", "info", f"title is not null and title_length < {TITLE_MIN}", f"%d pages have titles shorter than {TITLE_MIN} characters", 10, None, 5, "title_length"),
         PageCheck("tech.missing_desc", "tech_missing_meta_desc", "warning", "meta_description is null", "%d pages are missing meta descriptions"),
-        PageCheck("tech.desc_long", "tech_meta_desc_too_long", "info", f"meta_description_length > {DESCRIPTION_MAX}", f"%d pages have meta descriptions longer than {DESCRIPTION_MAX} characters", 10),
+        PageCheck("tech.desc_long", "tech_meta_desc_too_long", "info", f"meta_description_length > {DESCRIPTION_MAX}", f"%d pages have meta descriptions longer than {DESCRIPTION_MAX} characters", 10, None, 0, "meta_description_length", True),
         PageCheck("tech.missing_h1", "tech_missing_h1", "warning", "h1_count = 0", "%d pages are missing H1 tags"),
-        PageCheck("tech.multiple_h1", "tech_multiple_h1", "info", "h1_count > 1", "%d pages have multiple H1 tags", 10),
-        PageCheck("tech.heading_hierarchy", "tech_missing_h1", "info", f"{NO_H2} or {NO_H3}", "%d pages have heading hierarchy issues", 10, f"cast({NO_H2} as bigint) + cast({NO_H3} as bigint)"),
+        PageCheck("tech.multiple_h1", "tech_multiple_h1", "info", "h1_count > 1", "%d pages have multiple H1 tags", 10, None, 5, "h1_count", True),
+        PageCheck("tech.heading_hierarchy", "tech_missing_h1", "info", f"{NO_H2} or {NO_H3}", "%d pages have heading hierarchy issues", 10, f"cast({NO_H2} as bigint) + cast({NO_H3} as bigint)", 5, ISSUES),
         PageCheck("tech.missing_canonical", "tech_missing_canonical", "warning", "canonical is null", "%d pages are missing canonical tags"),
-        PageCheck("tech.canonical_mismatch", "tech_canonical_mismatch", "info", "canonical is not null and not canonical_self", "%d pages have non-self-referencing canonicals", 10),
-        PageCheck("tech.product_schema", "tech_missing_viewport", "warning", f"{IS_PRODUCT} and not has_product_schema", "%d product pages missing Product schema markup", 10),
-        PageCheck("tech.schema_invalid", "tech_missing_viewport", "info", "invalid_schema_count > 0", "%d pages have schema validation errors", 10),
+        PageCheck("tech.canonical_mismatch", "tech_canonical_mismatch", "info", "canonical is not null and not canonical_self", "%d pages have non-self-referencing canonicals", 10, None, 5, "canonical"),
+        PageCheck("tech.product_schema", "tech_missing_viewport", "warning", f"{IS_PRODUCT} and not has_product_schema", "%d product pages missing Product schema markup", 10, None, 5),
+        PageCheck("tech.schema_invalid", "tech_missing_viewport", "info", "invalid_schema_count > 0", "%d pages have schema validation errors", 10, None, 3, "invalid_schema_count"),
         PageCheck("tech.mixed_content", "sec_mixed_content", "critical", "mixed_content", "%d pages have mixed content (HTTP assets on HTTPS pages)"),
         PageCheck("tech.viewport", "tech_missing_viewport", "warning", "not has_viewport", "%d pages are missing viewport meta tag"),
         PageCheck("tech.charset", "tech_missing_charset", "info", "not has_charset", "%d pages are missing charset declaration", 10),
@@ -66,7 +74,7 @@ def page_checks() -> list[PageCheck]:
 
 
 def run_page_checks(signals: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """run_id, site, check_id, type, severity, n, message, affected_urls of the page rules that fire.
+    """run_id, site, check_id, type, severity, n, message, affected_urls, evidence of the page rules that fire.
 
     ``only``: check ids; the others never enter the plan, unknown ones raise.  One pass: each
     page gives a row for each rule it breaks, counted by site; URL lists are the first ones by
@@ -77,12 +85,12 @@ def run_page_checks(signals: DataFrame, only: list[str] | None = None) -> DataFr
         if unknown := set(only) - {c.check_id for c in checks}:
             raise ValueError(f"unknown checks: {sorted(unknown)}")
         checks = [c for c in checks if c.check_id in only]
-    broken = F.array_compact(F.array(*(F.when(F.expr(c.matches), F.struct(F.lit(i).alias("i"), F.expr(c.weight or "1").cast("long").alias("w"))) for i, c in enumerate(checks))))
-    rows = signals.select(*KEY, "crawl_seq", "url", F.explode(broken).alias("b")).select(*KEY, "crawl_seq", "url", "b.i", "b.w")
+    broken = F.array_compact(F.array(*(F.when(F.expr(c.matches), F.struct(F.lit(i).alias("i"), F.expr(c.weight or "1").cast("long").alias("w"), F.expr(c.value or "null").cast("string").alias("value"))) for i, c in enumerate(checks))))
+    rows = signals.select(*KEY, "crawl_seq", "url", F.explode(broken).alias("b")).select(*KEY, "crawl_seq", "url", "b.i", "b.w", "b.value")
     most = max(c.samples for c in checks)
     place = F.row_number().over(Window.partitionBy(*KEY, "i").orderBy("crawl_seq", "url"))
-    urls = rows.withColumn("r", place).where(F.col("r") <= most).groupBy(*KEY, "i").agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("u"))
-    counts = rows.groupBy(*KEY, "i").agg(F.sum("w").alias("n"))
+    urls = rows.withColumn("r", place).where(F.col("r") <= most).groupBy(*KEY, "i").agg(F.array_sort(F.collect_list(F.struct("r", "url", "value"))).alias("u"))
+    counts = rows.groupBy(*KEY, "i").agg(F.sum("w").alias("n"), F.max(F.col("value").try_cast("long")).alias("most"))
     at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("i") + 1)
     out = counts.join(urls, [*KEY, "i"])
     return out.select(
@@ -93,36 +101,59 @@ def run_page_checks(signals: DataFrame, only: list[str] | None = None) -> DataFr
         "n",
         F.replace(at([c.message for c in checks]), F.lit("%d"), F.col("n").cast("string")).alias("message"),
         F.slice("u.url", F.lit(1), at([c.samples for c in checks])).alias("affected_urls"),
+        evidence(F.col("n"), F.transform(F.slice("u", F.lit(1), at([c.shown for c in checks])), lambda x: sample(x["url"], x["value"])), F.when(at([c.most for c in checks]), F.col("most").cast("string"))).alias("evidence"),
     )
 
 
-def duplicates(signals: DataFrame, column: str, check_id: str, type_: str, message: str) -> DataFrame:
-    """Pages of a site that share a value (lower case, trimmed): groups of two or more, counted; first URLs group by group."""
+def sample(url: Column, value: Column | None = None) -> Column:
+    return F.struct(url.alias("url"), (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+
+def evidence(count: Column | None = None, samples: Column | None = None, detail: Column | None = None) -> Column:
+    """What a finding rests on: how many pages or rows, the first of them (url, value), and a detail."""
+    none = F.lit(None)
+    return F.struct(
+        (none if count is None else count).cast("long").alias("affected_count"),
+        (F.array() if samples is None else samples).cast("array<struct<url:string,value:string>>").alias("samples"),
+        (none if detail is None else detail).cast("string").alias("detail"),
+    )
+
+
+def duplicates(signals: DataFrame, column: str, check_id: str, type_: str, message: str, shown: int = 60) -> DataFrame:
+    """Pages of a site that share a value (lower case, trimmed): groups of two or more, counted; first URLs group by group.
+    Evidence: the first five groups, each with its first three URLs, its value (``shown`` characters) and its size."""
     rows = signals.where(F.col(column).isNotNull()).select(*KEY, "crawl_seq", "url", text.trim(F.lower(column)).alias("v"))
     groups = rows.groupBy(*KEY, "v").agg(F.count(F.lit(1)).alias("pages"), F.min("crawl_seq").alias("first")).where("pages > 1")
     totals = groups.groupBy(*KEY).agg(F.count(F.lit(1)).alias("groups"), F.sum("pages").alias("n"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "v", "crawl_seq", "url"))
     urls = rows.join(groups, [*KEY, "v"]).withColumn("r", place).where("r <= 20").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("u"))
-    out = totals.join(urls, KEY)
-    return out.select(*KEY, F.lit(check_id).alias("check_id"), F.lit(type_).alias("type"), F.lit("warning").alias("severity"), "n", F.format_string(message, "n", "groups").alias("message"), F.col("u.url").alias("affected_urls"))
+    some = groups.withColumn("g", F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "v"))).where("g <= 5")
+    inside = F.row_number().over(Window.partitionBy(*KEY, "v").orderBy("crawl_seq", "url"))
+    three = rows.join(some, [*KEY, "v"]).withColumn("r", inside).where("r <= 3").groupBy(*KEY, "g", "v", "pages").agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("u"))
+    entry = sample(F.array_join("u.url", " "), F.concat(F.substring("v", 1, shown), F.lit(" x"), F.col("pages").cast("string")))
+    seen = three.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", entry.alias("e")))), lambda x: x["e"]).alias("samples"))
+    out = totals.join(urls, KEY).join(seen, KEY)
+    return out.select(*KEY, F.lit(check_id).alias("check_id"), F.lit(type_).alias("type"), F.lit("warning").alias("severity"), "n", F.format_string(message, "n", "groups").alias("message"), F.col("u.url").alias("affected_urls"),
+                      evidence(F.col("n"), F.col("samples")).alias("evidence"))
 
 
 def technical(signals: DataFrame) -> DataFrame:
     """All findings from page signals."""
     titles = duplicates(signals, "title", "tech.duplicate_title", "tech_duplicate_title", "%1$d pages have duplicate titles (%2$d unique duplicates)")
-    descriptions = duplicates(signals, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions")
+    descriptions = duplicates(signals, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions", 100)
     return run_page_checks(signals).unionByName(titles).unionByName(descriptions)
 
 
 def broken_link_findings(broken: DataFrame) -> DataFrame:
-    """One finding for each site with broken internal links; the first targets by crawl order."""
-    targets = broken.groupBy(*KEY, "link_url").agg(F.min(F.struct("crawl_seq", "pos")).alias("first"))
+    """One finding for each site with broken internal links; the first targets by crawl order, ten of them with how many pages link to them in the evidence."""
+    targets = broken.groupBy(*KEY, "link_url").agg(F.min(F.struct("crawl_seq", "pos")).alias("first"), F.count_distinct("url").alias("from"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "link_url"))
-    shown = targets.withColumn("r", place).where("r <= 20").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "link_url"))).alias("u"))
+    shown = targets.withColumn("r", place).where("r <= 20").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "link_url", "from"))).alias("u"))
     totals = broken.groupBy(*KEY).agg(F.count_distinct("link_url").alias("n"), F.count_distinct("url").alias("pages"))
     out = totals.join(shown, KEY)
     message = F.format_string("%d broken internal links found across %d pages", "n", "pages")
-    return out.select(*KEY, F.lit("tech.broken_links").alias("check_id"), F.lit("tech_broken_links").alias("type"), F.lit("warning").alias("severity"), "n", message.alias("message"), F.col("u.link_url").alias("affected_urls"))
+    return out.select(*KEY, F.lit("tech.broken_links").alias("check_id"), F.lit("tech_broken_links").alias("type"), F.lit("warning").alias("severity"), "n", message.alias("message"), F.col("u.link_url").alias("affected_urls"),
+                      evidence(F.col("n"), F.transform(F.slice("u", 1, 10), lambda x: sample(x["link_url"], x["from"]))).alias("evidence"))
 
 
 def category(type_: Column) -> Column:
@@ -141,6 +172,16 @@ def dedupe(findings: DataFrame) -> DataFrame:
     return findings.withColumn("__k", key).withColumn("__r", first).where("__r = 1").drop("__k", "__r")
 
 
+def of_category(findings: DataFrame, name: str) -> DataFrame:
+    """Findings of one category."""
+    return findings.where(category(F.col("type")) == name)
+
+
+def is_deterministic(type_: Column) -> Column:
+    """Whether a finding comes from a rule rather than from a model, by its type's prefix."""
+    return type_.rlike("^(crawl|tech|sec|perf)_")
+
+
 def at_least(findings: DataFrame, severity: str) -> DataFrame:
     return findings.where(severity_rank(F.col("severity")) <= SEVERITIES[severity])
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.sources.scratch import keep
+
 KEY = ["run_id", "site"]
-#: Levels of nesting that are searched for types.
-DEPTH = 16
+#: A declared type that names a product: a string, or one in an array of strings.
+_STRING = r'"(?:[^"\\]|\\.)*'
+PRODUCT = rf'(?i)"@type"\s*:\s*(?:\[\s*(?:{_STRING}"\s*,\s*)*)?{_STRING}product'
 
 
 def _type_names(node: Column) -> Column:
@@ -20,28 +23,30 @@ def _type_names(node: Column) -> Column:
 
 
 def with_schema(signals: DataFrame) -> DataFrame:
-    """Adds invalid_schema_count and has_product_schema (a type containing ``product``, at any depth) to page signals."""
+    """Adds invalid_schema_count and has_product_schema (a type containing ``product``, at any depth) to page signals.
+
+    In valid JSON a quote inside a string is escaped, so a key and its value cannot be imitated by text."""
     valid = F.filter("ld_json", lambda b: F.try_parse_json(b).isNotNull())
-    named = F.exists(valid, lambda b: b.rlike(r'(?i)"@type"\s*:\s*(\[[^\]]*)?"[^"]*product'))
+    named = F.exists(valid, lambda b: b.rlike(PRODUCT))
     return signals.withColumns({"invalid_schema_count": F.size("ld_json") - F.size(valid), "has_product_schema": named})
 
 
-def all_types(signals: DataFrame, depth: int = DEPTH) -> DataFrame:
+def all_types(signals: DataFrame) -> DataFrame:
     """run_id, site, crawl_seq, url, schema_type: each declared type at any depth; ParseError for a block that is no JSON.
 
-    The walk is a union of ``variant_explode`` levels over the rows that have blocks; it ends at ``depth``
-    or where no row is left, which one count a level tells.
+    The walk goes level by level with ``variant_explode``, however deep.  Each level is written, so that
+    html is scanned once and a level once; a level without rows ends the walk.
     """
     keys = [*KEY, "crawl_seq", "url"]
-    blocks = signals.where(F.size("ld_json") > 0).select(*keys, F.explode("ld_json").alias("b")).withColumn("v", F.try_parse_json("b"))
+    blocks = keep(signals.select(*keys, F.explode("ld_json").alias("b")), "json-ld").withColumn("v", F.try_parse_json("b"))
     out = blocks.where("v is null").select(*keys, F.lit("ParseError").alias("schema_type"))
     level = blocks.where("v is not null").select(*keys, "v")
-    for _ in range(depth):
+    while not level.isEmpty():
         out = out.unionByName(level.select(*keys, F.explode(_type_names(F.col("v"))).alias("schema_type")).where("schema_type is not null"))
-        level.createOrReplaceTempView("siteloom_jsonld")
-        level = level.sparkSession.sql(f"select {', '.join(keys)}, x.value as v from siteloom_jsonld, lateral variant_explode(v) x where not (x.key <=> '@type') and schema_of_variant(x.value) rlike '^(OBJECT|ARRAY)'")
-        if level.isEmpty():
-            break
+        inner = level.sparkSession.sql(
+            f"select {', '.join(keys)}, to_json(x.value) as b from {{level}}, lateral variant_explode(v) x where not (x.key <=> '@type') and schema_of_variant(x.value) rlike '^(OBJECT|ARRAY)'", level=level
+        )
+        level = keep(inner, "json-ld-level").select(*keys, F.parse_json("b").alias("v"))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text, urls
 
+#: Patterns of the signals (fixed values).
 TITLE = r"(?i)<title[^>]*>([^<]*)</title>"
 CHARSET, LANG, VIEWPORT = r"(?i)<meta[^>]*charset=", r"(?i)<html[^>]*lang=[\"'][^\"']+[\"'][^>]*>", r"(?i)<meta[^>]*name=[\"']viewport[\"'][^>]*>"
 #: Kept as published: between an attribute's name and http:// it allows no equals sign, so that it finds url(http:// only.
@@ -58,6 +59,7 @@ def page_signals(fetches: DataFrame) -> DataFrame:
             "canonical_self": F.coalesce(urls.normalise(F.col("url")) == urls.normalise(F.col("canonical")), F.lit(False)),
             "h1": F.try_element_at("h1s", F.lit(1)),
             "h1_count": F.size("h1s"),
+            **{f"h{k}_count": F.size(f"headings.h{k}") for k in range(2, 7)},
         }
     )
 

@@ -12,11 +12,6 @@ KEY = ["run_id", "site"]
 RENAMED = {"security": "technical", "crawl": "seo"}
 
 
-def with_ordinal(findings: DataFrame) -> DataFrame:
-    """Findings in the order of their checks' ids."""
-    return findings.withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY).orderBy("check_id")))
-
-
 def priorities(findings: DataFrame, most: int = 10) -> DataFrame:
     """The first critical and warning findings of each site, in their order, with impact and effort."""
     chosen = findings.where(F.col("severity").isin("critical", "warning"))
@@ -43,20 +38,46 @@ def flat_rows(findings: DataFrame) -> DataFrame:
 def text_report(findings: DataFrame, scores: DataFrame) -> DataFrame:
     """One text a site: a header with score and grade, then a block a finding, by severity."""
     block = F.concat(F.upper("severity"), F.lit(" "), F.col("check_id"), F.lit("\n"), F.col("message"), F.lit("\n"))
-    rows = findings.select(*KEY, F.struct(severity_rank(F.col("severity")).alias("r"), F.col("check_id"), block.alias("t")).alias("b"))
+    rows = findings.select(*KEY, F.struct(severity_rank(F.col("severity")).alias("r"), F.col("ordinal"), block.alias("t")).alias("b"))
     body = rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["t"]), "\n").alias("body"))
     head = F.concat(F.lit("Site audit report for "), F.col("site"), F.lit("\nScore: "), F.col("score").cast("string"), F.lit(" ("), F.col("grade"), F.lit(")\n\n"))
     return scores.join(body, KEY, "left").select(*KEY, F.concat(head, F.coalesce("body", F.lit(""))).alias("report"))
 
 
+def fallback_report(findings: DataFrame, scores: DataFrame) -> DataFrame:
+    """The report of a site without a written summary: headline, overview, strengths, the first five critical or warning messages, ten priorities."""
+    issues = findings.where(F.col("severity").isin("critical", "warning")).withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy("ordinal", "check_id"))).where("r <= 5")
+    issues = issues.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "message"))), lambda x: x["message"]).alias("key_issues"))
+    first = priorities(findings).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "impact"))).alias("priorities"))
+    totals = findings.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    df = scores.join(totals, KEY, "left").join(issues, KEY, "left").join(first, KEY, "left")
+    overview = F.concat(F.lit("Audit completed with "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" findings. Note: Report synthesis encountered an issue, displaying raw findings."))
+    return df.select(*KEY, "score", "grade", "urgency", F.lit("SEO Audit Report").alias("headline"), overview.alias("overview"), F.array(F.lit("Audit completed successfully")).alias("key_strengths"),
+                     F.coalesce("key_issues", F.array().cast("array<string>")).alias("key_issues"), F.coalesce(F.transform("priorities", lambda p: F.concat_ws(" ", p["rank"], p["title"], p["impact"])), F.array().cast("array<string>")).alias("priorities"))
+
+
+def dashboard(flat: DataFrame, wanted: str) -> DataFrame:
+    """The rows of one display category in the order of the page: by part (a category's number), then place."""
+    return flat.where(F.col("category") == wanted).withColumn("shown_at", F.row_number().over(Window.partitionBy(*KEY).orderBy("part", "place", "title")))
+
+
+def envelopes(reports: DataFrame, traces: DataFrame, metadata: DataFrame) -> DataFrame:
+    """value: one JSON object a run and site, of its report, its run's traces in order and its run's metadata."""
+    own = [c for c in traces.columns if c != "run_id"]
+    runs = traces.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("trace_index", *[c for c in own if c != "trace_index"]))).alias("traces"))
+    meta = metadata.select("run_id", F.struct(*[c for c in metadata.columns if c != "run_id"]).alias("metadata"))
+    report = F.struct(*[c for c in reports.columns if c not in KEY]).alias("report")
+    df = reports.select(*KEY, report).join(runs, "run_id", "left").join(meta, "run_id", "left")
+    return df.select(F.to_json(F.struct(*KEY, "report", F.coalesce("traces", F.array().cast(dict(runs.dtypes)["traces"])).alias("traces"), "metadata")).alias("value"))
+
+
 def write_text(reports: DataFrame, path: str) -> None:
     reports.select("report").write.text(path)
 
 
-def write_json(report: DataFrame, traces: DataFrame, path: str) -> None:
-    """The report envelope, one JSON object a run."""
-    runs = traces.groupBy("run_id").agg(F.collect_list(F.struct(*[c for c in traces.columns if c != "run_id"])).alias("traces"))
-    report.join(runs, "run_id", "left").select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+def write_json(reports: DataFrame, traces: DataFrame, metadata: DataFrame, path: str) -> None:
+    """The report envelopes, one JSON object a line."""
+    envelopes(reports, traces, metadata).write.text(path)
 
 
 def failed_report(sites: DataFrame, signals: DataFrame, error: str) -> DataFrame:

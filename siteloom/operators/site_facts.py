@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
+from siteloom.operators.findings import evidence
 
 KEY = ["run_id", "site"]
 #: Response headers looked at, and those that the checks ask for (fixed values).
@@ -54,11 +55,21 @@ def value_or(state: Column, default: Column) -> Column:
     return F.when(state["state"] == "present", state["value"]).otherwise(default)
 
 
+def header_value(headers: Column, name) -> Column:
+    """A header of entries (key, value) by its name in lower case; of several spellings the last counts."""
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.try_element_at(F.filter(headers, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
+
+
+def entries(df: DataFrame, column: str = "headers") -> Column:
+    """A map of headers, or an array of (key, value) as it came, as such an array."""
+    return F.map_entries(column) if dict(df.dtypes)[column].startswith("map") else F.col(column)
+
+
 def security_headers(roots: DataFrame) -> DataFrame:
-    """run_id, site, header, state: a row for each header looked at. A null header map means that the root was not fetched: all unknown."""
-    lower = F.transform_keys("headers", lambda k, _: F.lower(k))
-    rows = roots.select(*KEY, lower.alias("h"), F.explode(F.array(*(F.lit(x) for x in HEADERS))).alias("header"))
-    state = F.when(F.col("h").isNull(), unknown("No root fetch data")).otherwise(tristate(F.try_element_at("h", F.col("header"))))
+    """run_id, site, header, state: a row for each header looked at. Null headers mean that the root was not fetched: all unknown."""
+    rows = roots.select(*KEY, entries(roots).alias("h"), F.explode(F.array(*(F.lit(x) for x in HEADERS))).alias("header"))
+    state = F.when(F.col("h").isNull(), unknown("No root fetch data")).otherwise(tristate(header_value(F.col("h"), F.col("header"))))
     return rows.select(*KEY, "header", state.alias("state"))
 
 
@@ -68,12 +79,13 @@ def header_findings(states: DataFrame) -> DataFrame:
     per = missing.groupBy(*KEY).agg(F.collect_set("header").alias("m"))
     has = lambda h: F.array_contains("m", h)
     others = F.size(F.array_except("m", F.array(*(F.lit(h) for h in ("strict-transport-security", "content-security-policy", "x-frame-options")))))
-    row = lambda when, cid, t, sev, msg: F.when(when, F.struct(F.lit(cid).alias("check_id"), F.lit(t).alias("type"), F.lit(sev).alias("severity"), msg.alias("message")))
+    rest = F.array_sort(F.array_except("m", F.array(*(F.lit(h) for h in ("strict-transport-security", "content-security-policy", "x-frame-options")))))
+    row = lambda when, cid, t, sev, msg, basis=None: F.when(when, F.struct(F.lit(cid).alias("check_id"), F.lit(t).alias("type"), F.lit(sev).alias("severity"), msg.alias("message"), (evidence() if basis is None else basis).alias("evidence")))
     rows = F.array_compact(F.array(
         row(has("strict-transport-security"), "sec.hsts", "sec_missing_hsts", "critical", F.lit("Missing Strict-Transport-Security (HSTS) header")),
         row(has("content-security-policy"), "sec.csp", "sec_missing_csp", "warning", F.lit("Missing Content-Security-Policy header")),
         row(has("x-frame-options"), "sec.xframe", "sec_missing_xframe", "warning", F.lit("Missing X-Frame-Options header")),
-        row(others > 0, "sec.other_headers", "sec_missing_csp", "info", F.concat(others.cast("string"), F.lit(" additional security headers missing"))),
+        row(others > 0, "sec.other_headers", "sec_missing_csp", "info", F.concat(others.cast("string"), F.lit(" additional security headers missing")), evidence(others, detail=F.array_join(rest, ", "))),
     ))
     return per.select(*KEY, F.explode(rows).alias("f")).select(*KEY, "f.*")
 
@@ -107,8 +119,11 @@ def redirect_health(chains: DataFrame) -> DataFrame:
 
 
 def host_rules(chains: DataFrame) -> DataFrame:
-    """Per site: final URLs of the variants, https enforced, www and slash use, and whether the https hosts conflict."""
-    per = chains.groupBy(*KEY).pivot("variant", VARIANTS).agg(F.first("final_url"))
+    """Per site: final URLs of the variants, https enforced (at the end or inside an http chain), longest http chain, www and slash use, and whether the https hosts conflict."""
+    secure = lambda u: u.startswith("https://")
+    plain = F.col("variant").isin("httpRoot", "httpWww")
+    http = chains.groupBy(*KEY).agg(F.bool_or(plain & (secure(F.col("final_url")) | F.exists("chain", lambda x: secure(x["url"])))).alias("secured"), F.coalesce(F.max(F.when(plain, F.size("chain"))), F.lit(0)).alias("http_chain"))
+    per = chains.groupBy(*KEY).pivot("variant", VARIANTS).agg(F.first("final_url")).join(http, KEY)
     finals = F.filter(F.array(*VARIANTS), lambda x: F.coalesce(x, F.lit("")) != "")
     www = F.transform(finals, lambda u: urls.host(u).startswith("www."))
     slash = F.transform(finals, lambda u: (F.length(urls.path(u)) > 1) & urls.path(u).endswith("/"))
@@ -117,7 +132,7 @@ def host_rules(chains: DataFrame) -> DataFrame:
     a, b = urls.host(F.col("httpsRoot")), urls.host(F.col("httpsWww"))
     return per.withColumns(
         {
-            "https_enforced": F.coalesce(F.col("httpRoot").startswith("https://") | F.col("httpWww").startswith("https://"), F.lit(False)),
+            "https_enforced": F.coalesce("secured", F.lit(False)),
             "www_consistent": every(www) | never(www),
             "www_preference": F.when(every(www), "www").when(never(www), "non-www"),
             "slash_consistent": every(slash) | never(slash),
@@ -125,7 +140,7 @@ def host_rules(chains: DataFrame) -> DataFrame:
             "host_conflict": F.coalesce((a != b) & (a != F.concat(F.lit("www."), b)) & (b != F.concat(F.lit("www."), a)), F.lit(False)),
             "http_stays": F.coalesce(urls.scheme(F.col("httpRoot")) == "http", F.lit(False)),
         }
-    )
+    ).drop("secured")
 
 
 def certificates(tls: DataFrame, as_of: Column) -> DataFrame:
@@ -143,6 +158,16 @@ def certificates(tls: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def certificate_findings(certificates: DataFrame) -> DataFrame:
+    """Finding rows of ``certificates``: expired or expiring, and weak protocols."""
+    row = lambda when, cid, t, sev, msg, detail: F.when(when, F.struct(F.lit(cid).alias("check_id"), F.lit(t).alias("type"), F.lit(sev).alias("severity"), msg.alias("message"), evidence(detail=F.col(detail)).alias("evidence")))
+    d = F.col("days_floor")
+    rows = F.array_compact(F.array(
+        row(d < 0, "sec.cert_expired", "sec_expired_cert", "critical", F.col("cert_finding"), "expiry_date"), row((d >= 0) & (d < 30), "sec.cert_expiring", "sec_expired_cert", "warning", F.col("cert_finding"), "expiry_date"),
+        row(F.col("weak_protocol"), "sec.weak_tls", "sec_weak_tls", "warning", F.concat(F.lit("Weak TLS protocol detected: "), F.col("protocol")), "protocol")))
+    return certificates.select(*KEY, F.explode(rows).alias("f")).select(*KEY, "f.*")
+
+
 def _named(record: Column, names: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for mark, name in reversed(names.items()):
@@ -160,6 +185,7 @@ def infrastructure(records: DataFrame) -> DataFrame:
     return per.select(*KEY, cdn.alias("cdn"), hosting.alias("hosting"))
 
 
+#: Largest html, marks of pages drawn by script and of loading states (fixed values).
 MAX_HTML = 2_097_152
 SPA, LOADING = r"(?i)(ng-app|data-reactroot|data-reactid|__next|__nuxt|__vue)", r"(?i)(loading|spinner|skeleton|please wait)"
 
@@ -257,7 +283,7 @@ def platforms(fetches: DataFrame) -> DataFrame:
 
 
 def private_flags(fetches: DataFrame) -> DataFrame:
-    """Exposure flags of each site: kind and count only; never joined to public output."""
+    """Exposure flags of each site: kind and count only; never joined to public output. The patterns are fixed values."""
     html = F.coalesce("html", F.lit(""))
     scripts = F.regexp_extract_all(html, F.lit(r"(?i)<script[^>]+src\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
     maps = html.rlike(r"(?i)sourceMappingURL\s*=\s*(\S+)") | F.exists(scripts, lambda s: s.endswith(".map") | s.contains(".js.map"))
@@ -276,4 +302,5 @@ def private_flags(fetches: DataFrame) -> DataFrame:
 def exposure_notice(flags: DataFrame) -> DataFrame:
     """The public notice: how many flags of which types, and nothing else of them."""
     per = flags.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
-    return per.select(*KEY, F.lit("sec.exposure_notice").alias("check_id"), F.lit("sec_missing_csp").alias("type"), F.lit("warning").alias("severity"), "n", "types")
+    return per.select(*KEY, F.lit("sec.exposure_notice").alias("check_id"), F.lit("sec_missing_csp").alias("type"), F.lit("warning").alias("severity"), F.lit("Potential exposure observed, requires review").alias("message"), "n", "types",
+                      evidence(F.col("n"), detail=F.array_join("types", ", ")).alias("evidence"))

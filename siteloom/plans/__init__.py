@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages", "site", "collected"]
+MODULES = ["pages", "site", "collected", "audit"]
 
 
 def _all(name: str) -> dict:

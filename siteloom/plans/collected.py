@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact, urls
-from siteloom.operators import collected, collectors, findings, page_signals, report, site_facts
+from siteloom.operators import collected, collectors, page_signals, site_facts
 from siteloom.plans import pages as page_plans
 from siteloom.plans.inputs import CTES, frame, with_inputs
-from siteloom.plans.pages import _ALL, SIGNALS, _kept, _normal
+from siteloom.plans.pages import SIGNALS, _normal
 from siteloom.plans.site import _CH, _h
 from siteloom.sources.tables import table
 from siteloom.streaming import incremental
@@ -23,11 +23,13 @@ CTES["lighthouse"] = """select 'r1' as run_id, cast(page_id as varchar(20)) as s
 CTES["robots"] = f"""select run_id, site, case when sid % 13 = 5 then 404 else 200 end as status, concat('User-agent: *', chr(10), case sid % 5 when 0 then 'Disallow: /' when 1 then 'Disallow:' when 2 then concat('  DISALLOW: /products', chr(13), chr(10), 'Disallow: /blog/x') when 3 then 'Disallow: /cart' else 'Allow: /' end, chr(10),
   case when sid % 3 <> 1 then concat('Sitemap: https://', site, '/sitemap.xml', chr(10), 'sitemap:   https://', site, '/extra.xml') else '' end) as body from {_S}"""
 _LIST = "URLLIST"
+_CHUNKS = "(select lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as site, page_id % 2 as k, cast(floor(page_id / 1000) as bigint) as c, page_id, url from pages) p"
 CTES["sitemap_files"] = f"""select run_id, site, concat('https://', site, '/sitemap.xml') as sitemap_url, concat('<sitemapindex><sitemap><loc> https://', site, '/s0.xml </loc></sitemap><sitemap>', chr(10), '<loc>https://', site, '/s1.xml</loc></sitemap><sitemap><loc>https://', site, '/sitemap.xml</loc></sitemap></sitemapindex>') as body from {_S}
-  union all select 'r1', site, concat('https://', site, '/s', cast(k as varchar(5)), '.xml'), concat('<urlset>', {_LIST}, '</urlset>') from (select lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as site, page_id % 2 as k, page_id, url from pages) p group by site, k
+  union all select 'r1', site, concat('https://', site, '/s', cast(k as varchar(5)), '.xml'), concat('<sitemapindex>', MAPLIST, '</sitemapindex>') from (select distinct site, k, c from {_CHUNKS}) q group by site, k
+  union all select 'r1', site, concat('https://', site, '/s', cast(k as varchar(5)), '-', cast(c as varchar(20)), '.xml'), concat('<urlset>', {_LIST}, '</urlset>') from {_CHUNKS} group by site, k, c
   union all select run_id, site, concat('https://', site, '/extra.xml'), concat('<loc>https://', site, '/lone</loc><LOC>https://', site, '/two</LOC>') from {_S} where sid % 2 = 0"""
 CTES["typed"] = "select page_id, case page_id % 5 when 0 then concat(' \"', url, '\" ') when 1 then concat('(', regexp_extract(url, '^https?://([^/?#]*)', 1), ')') when 2 then concat('see ', url) when 3 then concat('https://', url) else concat('word', cast(page_id as varchar(10))) end as typed from pages"
-CTES["scan_logs"] = "select 'r1' as run_id, cast(conv_id % 40 as varchar(10)) as site, conv_id * 100 + turn as line_no, case (conv_id + turn) % 3 when 0 then concat('[HIGH] ', substr(role, 1, 9), ' ', cast(conv_id as varchar(10))) when 1 then concat('total critical: ', cast(turn as varchar(10)), ' token=abc') else concat('line of ', role) end as line from conversations"
+CTES["scan_logs"] = "select 'r1' as run_id, cast(conv_id as varchar(20)) as site, conv_id * 100 + turn as line_no, case (conv_id + turn) % 3 when 0 then concat('[HIGH] ', substr(role, 1, 9), ' ', cast(conv_id as varchar(10))) when 1 then concat('total critical: ', cast(turn as varchar(10)), ' token=abc') else concat('line of ', role) end as line from conversations"
 CTES["answers"] = "select conv_id, turn, case when turn % 4 = 3 then 'no answer' else concat(case turn % 3 when 0 then concat('Here: ```json', chr(10)) when 1 then '``` ' else '' end, '{\"findings\":[{\"category\":\"', case conv_id % 3 when 0 then 'CTA' when 1 then 'trust' else 'none' end, '\",\"severity\":\"', case turn % 5 when 0 then 'High' when 1 then 'critical' else 'odd' end, '\",\"description\":\"d', cast(conv_id as varchar(10)), '\"},{\"category\":\"mobile\",\"severity\":\"low\",\"description\":\"second\"}]}', case when turn % 3 < 2 then '```' else '' end) end as text from conversations"
 CTES["traces"] = "select concat('run', cast(user_id % 50 as varchar(10))) as run_id, event_id, case event_id % 4 when 0 then 'gpt-4o' when 1 then 'gemini-2.5-pro' when 2 then 'gpt-4o-mini' else 'unlisted' end as model, case when event_id % 17 = 0 then null else event_id % 3000 end as prompt_tokens, event_id % 700 as output_tokens from events"
 
@@ -61,7 +63,7 @@ def q_robots_blocking(spark, d):
 
 
 def q_robots_findings(spark, d):
-    return collected.robots_findings(collected.robots_blocking(frame(spark, d, "robots"))).drop("run_id")
+    return collected.robots_findings(collected.robots_blocking(frame(spark, d, "robots"))).drop("run_id", "evidence")
 
 
 def q_sitemap_refs(spark, d):
@@ -122,34 +124,6 @@ def q_cache_statistics(spark, d):
     return collected.cache_statistics(_snapshots(spark, d), F.to_timestamp(F.lit(_AS_OF)))
 
 
-def _technical(spark, d):
-    return report.with_ordinal(findings.technical(_kept(spark, d)))
-
-
-def q_report_priorities(spark, d):
-    return report.priorities(_technical(spark, d)).drop("run_id")
-
-
-def q_report_findings(spark, d):
-    return report.flat_rows(_technical(spark, d)).drop("run_id")
-
-
-def q_report_text(spark, d):
-    s = _kept(spark, d)
-    f = findings.technical(s)
-    return report.text_report(f, findings.scorecard(f, s)).drop("run_id")
-
-
-def q_findings_ranked(spark, d):
-    return findings.ranked(findings.at_least(_technical(spark, d), "warning")).select("site", "check_id", "severity", "rank")
-
-
-def q_findings_dedup(spark, d):
-    every = _technical(spark, d)
-    twice = every.unionByName(every.withColumns({"ordinal": F.col("ordinal") + 100, "check_id": F.concat(F.lit("again."), "check_id"), "affected_urls": F.reverse("affected_urls")}))
-    return findings.dedupe(twice).select("site", "check_id", "type")
-
-
 CTES["responses"] = f"""select run_id, site, case k when 0 then '/.well-known/security.txt' else '/humans.txt' end as path, case when (sid + k) % 3 = 0 then 404 else 200 end as status, concat('body of ', site) as body from {_S} cross join (select 0 as k union all select 1) w where (sid + k) % 4 <> 1"""
 CTES["dns"] = f"""select run_id, site, case (sid + pos) % 3 when 0 then 'A' when 1 then 'AAAA' else 'CNAME' end as rtype, pos, concat('v', cast(pos as varchar(5))) as value, 60 * (1 + sid % 5) + pos as ttl from {_S} cross join (select 0 as pos union all select 1 union all select 2 union all select 3) p where pos <= sid % 4"""
 CTES["serp_items"] = """select 'r1' as run_id, cast(page_id % 30 as varchar(10)) as site, 1 + page_id % 2 as provider, page_id as pos, case page_id % 2 when 0 then concat('{"position":', cast(page_id % 10 as varchar(5)), ',"title":"t","link":"', url, '"}') else concat('{"type":"', case page_id % 3 when 0 then 'paid' else 'organic' end, '","url":"', url, '","description":"d"}') end as item from pages"""
@@ -160,7 +134,7 @@ def q_well_known(spark, d):
 
 
 def q_security_txt(spark, d):
-    return collectors.security_txt_findings(collectors.well_known(frame(spark, d, "sites"), frame(spark, d, "responses"))).drop("run_id")
+    return collectors.security_txt_findings(collectors.well_known(frame(spark, d, "sites"), frame(spark, d, "responses"))).drop("run_id", "evidence")
 
 
 def q_dns_facts(spark, d):
@@ -180,12 +154,7 @@ def q_crawl_findings(spark, d):
     chains = site_facts.redirect_chains(frame(spark, d, "hops"))
     refs = collected.sitemap_refs(frame(spark, d, "robots"))
     pages = frame(spark, d, "urls")
-    return collectors.crawl_findings(refs, collected.sitemap_urls(frame(spark, d, "sitemap_files"), refs), frame(spark, d, "sites"), chains, site_facts.host_rules(chains), collectors.parameterised_count(pages)).drop("run_id")
-
-
-def q_request_blocks(spark, d):
-    s = _kept(spark, d)
-    return collectors.request_blocks(findings.technical(s), s, findings.category(F.col("type"))).drop("run_id")
+    return collectors.crawl_findings(refs, collected.sitemap_urls(frame(spark, d, "sitemap_files"), refs), frame(spark, d, "sites"), chains, site_facts.host_rules(chains), collectors.parameterised_count(pages)).drop("run_id", "evidence")
 
 
 def q_stream_page_signals(spark, d):
@@ -199,7 +168,8 @@ def q_stream_page_signals(spark, d):
 def q_stream_ttl_dedup(spark, d):
     schema = table(spark, d, "events").schema
     stream = incremental.event_snapshots(incremental.read_files(spark, f"{d}/events.parquet*", schema))
-    return incremental.drain(incremental.reuse_snapshots(stream), "stream-snapshots")
+    out = incremental.drain(incremental.reuse_snapshots(stream), "stream-snapshots")
+    return out.withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
 
 
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_")}
@@ -250,13 +220,32 @@ walk as (select 0 as depth, site, ref, printf('%07d', pos) as path from start un
 found as (select site, ref, min({{'depth': depth, 'path': path}}) as place from walk group by all),
 sm as (select f.site, place, unnest(urls) as url, generate_subscripts(urls, 1) as i from found f join parsed p on p.site = f.site and p.sitemap_url = f.ref),
 sitemap_urls as (select site, row_number() over (partition by site order by place.depth, place.path, i)::int as seq, url from sm)"""
-_TO = f"tech as (select *, row_number() over (partition by site order by check_id)::int as ordinal from technical)"  # noqa: F541
-_CAT = "case split_part(type, '_', 1) when 'tech' then 'technical' when 'sec' then 'security' end"
-_INIT = "array_to_string(list_transform(string_split({}, '_'), lambda w: concat(upper(w[1]), w[2:])), ' ')"
-_PRIO = "prio as (select * from (select *, row_number() over (partition by site order by ordinal)::int as rank from tech where severity in ('critical', 'warning')) where rank <= 10)"
-_sr = "case severity when 'critical' then 0 when 'warning' then 1 when 'info' then 2 else 4 end"
+def _REDACTED(text: str) -> str:
+    """The masking chain with word edges in place of look-arounds; plain values are set apart before each keyword's mask and put back after it."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    h, octet, uuid = "[0-9a-fA-F]{1,4}", "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)", "[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
+    steps = [
+        (r"""(?i)(https?://[^\s"'<>\[\]]+)(\?[^\s"'<>\[\]]*)""", r"\1"), (r"eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*)", "[REDACTED_JWT]"), (r"(?i)\b(?:0x)?[a-f0-9]{16,}\b", "[REDACTED_HEX]"),
+        (rf"""(?i)((?:token|secret|key|auth)[=:]\s*["']?){uuid}""", r"\1[REDACTED_UUID]"), (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"), (rf"\b(?:{octet}\.){{3}}{octet}\b", "[REDACTED_IP]"),
+        (rf"\b(?:{h}:){{2,7}}{h}\b|\b::(?:{h}:){{0,5}}{h}\b|\b{h}::(?:{h}:){{0,5}}{h}\b", "[REDACTED_IP]"),
+    ]
+    for word in "token secret apikey api_key password passwd auth authorization bearer credential private_key access_key session csrf xsrf".split():
+        steps += [
+            (rf"""(?i)({word}\s*[=:]\s*["']?)((?:true|false|null|undefined|yes|no)(?:[\s"',;}}\]<>]|$))""", "\\1;\u0001\\2"),
+            (rf"""(?i)({word})\s*[=:]\s*["']?([^\s"',;}}\]<>]{{4,}})""", r"\1=[REDACTED]"), (";\u0001", ""),
+        ]
+    for pattern, put in steps:
+        text = f"regexp_replace({text}, {q(pattern)}, {q(put)}, 'g')"
+    return text
+
+
 
 ORACLE_SQL = {
+    "stream_page_signals": f"with fetches as (select 'r1' as run_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as site, page_id as crawl_seq, url, 200 as status, html from pages), {SIGNALS} select site, crawl_seq, title, h1_count, word_count, has_viewport from signals",
+    "stream_ttl_dedup": """with recursive e as (select concat(event_type, '-', user_id) as cache_key, ts, event_id from events),
+      k as (select cache_key, min(ts) as ts from e group by cache_key union all select k.cache_key, min(e.ts) from k join e on e.cache_key = k.cache_key and e.ts > k.ts + interval 12 hours group by k.cache_key)
+      select e.cache_key, e.ts as collected_at, min(cast(event_id as varchar))::bigint as event_id from e join k on e.cache_key = k.cache_key and e.ts = k.ts group by 1, 2""",
+    "redact_documents": f"select doc_id, sha256(r) as redacted_sha256, len(string_split(r, '[REDACTED'))::int as parts from (select doc_id, {_REDACTED('text')} as r from documents)",
     "well_known": _duck(f"select s.site, p as path, r.status, case when r.status between 200 and 299 then r.body[1:2000] else '' end as body_snippet from sites s cross join (select unnest({collectors.WELL_KNOWN}) as p) w left join responses r on r.site = s.site and r.path = p", "sites", "responses"),
     "security_txt": _duck("select s.site, 'sec.security_txt' as check_id, 'sec_missing_csp' as type, 'info' as severity, 'security.txt not found at /.well-known/security.txt' as message from sites s where not exists (select 1 from responses r where r.site = s.site and r.path = '/.well-known/security.txt' and r.status = 200)", "sites", "responses"),
     "dns_facts": _duck("select *, a_records <> '' as resolved, aaaa_records <> '' as has_ipv6 from (select site, coalesce(string_agg(value, ',' order by pos) filter (rtype = 'A'), '') as a_records, coalesce(string_agg(value, ',' order by pos) filter (rtype = 'AAAA'), '') as aaaa_records, coalesce(string_agg(value, ',' order by pos) filter (rtype = 'CNAME'), '') as cname_chain, max(ttl) as ttl from dns group by site)", "dns"),
@@ -273,8 +262,6 @@ ORACLE_SQL = {
       union all select site, 'crawl.host_conflict', 'crawl_unreachable', 'warning', 'Inconsistent host configuration: www and non-www hosts serve different content' from f where clash
       union all select site, 'crawl.http_no_https', 'crawl_unreachable', 'critical', 'HTTP root does not redirect to HTTPS' from f where stays
       union all select site, 'crawl.param_urls', 'crawl_unreachable', 'info', concat('Detected ', params, ' URLs with query parameters') from f where params > 0""", "robots", "sitemap_files", "sites", "hops", "urls"),
-    "request_blocks": _duck(f"""with {SIGNALS}, {_ALL} select s.site, s.category, coalesce(string_agg(concat('[', severity, '] ', type, ': ', message), chr(10) order by check_id) filter (check_id is not null), 'No findings in this category') as block
-      from (select distinct site, unnest(['crawl', 'technical', 'security', 'performance', 'visual', 'serp']) as category from signals) s left join technical t on s.site = t.site and s.category = {_CAT} group by all""", "fetches"),
     "url_normalise": f"select page_id, {_normal('url')} as normal, {page_plans._key('url')} as link_key from pages",
     "url_clean": _duck("""select page_id, case when u = '' then '' else concat('https://', u) end as cleaned from (select page_id, case when b <> '' and not contains(b, '.') and not contains(b, ':') then concat(b, '.com') else b end as u from (
       select page_id, regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(t, '(?i)(https?://.*)$', 1), ''), t), '(?i)^((https?|htp|http|htps|ttps?):?/+)+', ''), '^/+', '') as b from (select page_id, regexp_replace(regexp_replace(trim(typed), '^["''<(\\[{]+|["''>)\\]}]+$', '', 'g'), '\\s+', '', 'g') as t from typed)))""".replace("\\\\", "\\"), "typed"),
@@ -304,11 +291,4 @@ ORACLE_SQL = {
       union all select run_id, 'total', epoch_us(max(b)) // 1000 - epoch_us(min(a)) // 1000 from e group by run_id""",
     "snapshot_ttl": f"select cache_key, collected_at from (select sha256(concat('site|', user_id)) as cache_key, max(ts) as collected_at from events group by user_id) where timestamp '{_AS_OF}' <= collected_at + interval 12 hours",
     "cache_statistics": f"select event_type as cache_type, count(*) as entries, count(*) filter (timestamp '{_AS_OF}' > ts + interval 12 hours) as expired from events group by event_type",
-    "report_priorities": _duck(f"with {SIGNALS}, {_ALL}, {_TO}, {_PRIO} select site, rank, type as title, message as description, case when severity = 'critical' then 'high' else 'medium' end as impact, 'medium' as effort from prio", "fetches"),
-    "report_findings": _duck(f"""with {SIGNALS}, {_ALL}, {_TO}, {_PRIO} select site, 0 as part, rank as place, {_INIT.format('type')} as title, case when severity = 'critical' then 'high' else 'medium' end as impact, 'priority' as category from prio
-      union all select site, case {_CAT} when 'technical' then 2 else 3 end, ordinal, {_INIT.format('type')}, case severity when 'critical' then 'high' when 'warning' then 'medium' else 'low' end, 'technical' from tech""", "fetches"),
-    "report_text": _duck(f"""with {SIGNALS}, {_ALL}, sc as (select s.site, greatest(0, 100 - 15 * count(*) filter (severity = 'critical') - 5 * count(*) filter (severity = 'warning')) as score, coalesce(string_agg(concat(upper(severity), ' ', check_id, chr(10), message, chr(10)), chr(10) order by {_sr}, check_id) filter (check_id is not null), '') as body
-      from (select distinct site from signals) s left join technical t on s.site = t.site group by s.site) select site, concat('Site audit report for ', site, chr(10), 'Score: ', score, ' (', case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end, ')', chr(10), chr(10), body) as report from sc""", "fetches"),
-    "findings_ranked": _duck(f"with {SIGNALS}, {_ALL}, {_TO} select site, check_id, severity, row_number() over (partition by site order by {_sr}, ordinal)::int as rank from tech where severity in ('critical', 'warning')", "fetches"),
-    "findings_dedup": _duck(f"with {SIGNALS}, {_ALL}, {_TO} select site, check_id, type from (select *, row_number() over (partition by site, type, list_sort(string_split(urls, chr(10))) order by ordinal) as r from tech) where r = 1", "fetches"),
 }

@@ -41,7 +41,7 @@ CTES = {"fetches": FETCHES}
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input, from its SQL text over the given tables."""
-    text = CTES[name].replace("URLLIST", f"listagg({_ENTRY}, '') within group (order by page_id)")
+    text = CTES[name].replace("URLLIST", f"listagg({_ENTRY}, '') within group (order by page_id)").replace("MAPLIST", f"listagg({_MAP}, '') within group (order by c)")
     for t in TABLES:
         if f"from {t}" in text:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"siteloom_{t}")
@@ -49,14 +49,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
-#: The one aggregate that the two engines spell differently.
+#: The one aggregate that the two engines spell differently: entries of a file of at most a thousand pages, and of an index of such files.
 _ENTRY = "concat('<url><loc>', url, '</loc></url>')"
+_MAP = "concat('<sitemap><loc>https://', site, '/s', cast(k as varchar(5)), '-', cast(c as varchar(20)), '.xml</loc></sitemap>')"
 TABLES = ("pages", "events", "documents", "conversations")
 
 
 def with_inputs(sql: str, *names: str) -> str:
     """DuckDB text with the derived inputs as common tables before it."""
-    own = ", ".join(f"{n} as ({CTES[n]})" for n in names).replace("URLLIST", f"string_agg({_ENTRY}, '' order by page_id)")
+    own = ", ".join(f"{n} as ({CTES[n]})" for n in names).replace("URLLIST", f"string_agg({_ENTRY}, '' order by page_id)").replace("MAPLIST", f"string_agg({_MAP}, '' order by c)")
     sql = sql.strip()
     if sql.startswith("with recursive"):
         return f"with recursive {own}, {sql[14:]}"

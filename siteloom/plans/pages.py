@@ -16,8 +16,8 @@ def _signals(spark, d) -> DataFrame:
 
 
 def _kept(spark, d) -> DataFrame:
-    """Page signals as a table: html is scanned once, however many aggregations follow."""
-    return keep(_signals(spark, d), "page-signals")
+    """What the rules read of page signals, as a table: html is scanned once, however many aggregations follow."""
+    return keep(_signals(spark, d).select(*findings.READ), "page-signals")
 
 
 def _pages(spark, d) -> DataFrame:
@@ -28,6 +28,10 @@ def _links(spark, d) -> DataFrame:
     return page_signals.page_links(frame(spark, d, "fetches"))
 
 
+def _kept_links(spark, d) -> DataFrame:
+    return keep(_links(spark, d), "page-links")
+
+
 def q_page_signals(spark, d):
     s = _signals(spark, d)
     sizes = [F.size(f"headings.h{k}").alias(f"h{k}_count") for k in range(2, 7)]
@@ -36,7 +40,12 @@ def q_page_signals(spark, d):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("site", "check_id", "type", "severity", "n", "message", F.array_join("affected_urls", "\n").alias("urls"))
+    return df.select("site", "check_id", "type", "severity", "n", "message", F.array_join("affected_urls", "\n").alias("urls"), *flat_evidence())
+
+
+def flat_evidence():
+    shown = F.transform("evidence.samples", lambda x: F.concat(F.coalesce(x["url"], F.lit("")), F.lit("|"), F.coalesce(x["value"], F.lit(""))))
+    return [F.col("evidence.affected_count").alias("affected_count"), F.array_join(shown, "\n").alias("samples"), F.col("evidence.detail").alias("detail")]
 
 
 GROUPS = {
@@ -56,24 +65,10 @@ def _group(name):
 def q_duplicate_findings(spark, d):
     s = _kept(spark, d)
     a = findings.duplicates(s, "title", "tech.duplicate_title", "tech_duplicate_title", "%1$d pages have duplicate titles (%2$d unique duplicates)")
-    b = findings.duplicates(s, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions")
+    b = findings.duplicates(s, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions", 100)
     return _flat(a.unionByName(b))
 
 
-def q_site_scorecard(spark, d):
-    s = _kept(spark, d)
-    return findings.scorecard(findings.technical(s), s).drop("run_id")
-
-
-def q_category_scores(spark, d):
-    s = _kept(spark, d)
-    return findings.category_scores(findings.technical(s), s).drop("run_id")
-
-
-def q_findings_summary(spark, d):
-    return findings.summary(findings.technical(_kept(spark, d))).drop("run_id")
-
-
 def q_page_links(spark, d):
     return _links(spark, d).drop("run_id")
 
@@ -87,11 +82,11 @@ def q_broken_links(spark, d):
 
 
 def q_broken_link_findings(spark, d):
-    return _flat(findings.broken_link_findings(link_graph.broken_links(_links(spark, d), _pages(spark, d)))).drop("urls")
+    return _flat(findings.broken_link_findings(keep(link_graph.broken_links(_links(spark, d), _pages(spark, d)), "broken-links")))
 
 
 def q_orphan_pages(spark, d):
-    return link_graph.orphans(_links(spark, d), _pages(spark, d)).drop("run_id")
+    return link_graph.orphans(_kept_links(spark, d), _pages(spark, d)).drop("run_id")
 
 
 def q_uncrawled_targets(spark, d):
@@ -99,7 +94,7 @@ def q_uncrawled_targets(spark, d):
 
 
 def q_link_summary(spark, d):
-    return link_graph.summary(_links(spark, d), _pages(spark, d)).drop("run_id")
+    return link_graph.summary(_kept_links(spark, d), _pages(spark, d)).drop("run_id")
 
 
 def q_image_inventory(spark, d):
@@ -120,8 +115,7 @@ def q_schema_summary(spark, d):
 
 
 QUERIES = {
-    "page_signals": q_page_signals, **{n: _group(n) for n in GROUPS}, "duplicate_findings": q_duplicate_findings, "site_scorecard": q_site_scorecard,
-    "category_scores": q_category_scores, "findings_summary": q_findings_summary, "page_links": q_page_links, "link_graph": q_link_graph, "broken_links": q_broken_links,
+    "page_signals": q_page_signals, **{n: _group(n) for n in GROUPS}, "duplicate_findings": q_duplicate_findings, "page_links": q_page_links, "link_graph": q_link_graph, "broken_links": q_broken_links,
     "broken_link_findings": q_broken_link_findings, "orphan_pages": q_orphan_pages, "uncrawled_targets": q_uncrawled_targets, "link_summary": q_link_summary,
     "image_inventory": q_image_inventory, "image_summary": q_image_summary, "jsonld_types": q_jsonld_types, "schema_summary": q_schema_summary,
 }
@@ -204,26 +198,35 @@ _CASES = {
 }
 
 
+_VALUES = {"tech.title_long": "title_length", "tech.title_short": "title_length", "tech.desc_long": "meta_description_length", "tech.multiple_h1": "h1_count", "tech.canonical_mismatch": "canonical", "tech.schema_invalid": "invalid_schema_count",
+           "tech.heading_hierarchy": "concat_ws(', ', case when h3_count > 0 and h2_count = 0 then 'H3 without H2' end, case when h4_count > 0 and h3_count = 0 then 'H4 without H3' end)"}
+_SHOWN = {"tech.title_long": 5, "tech.title_short": 5, "tech.desc_long": 0, "tech.multiple_h1": 5, "tech.heading_hierarchy": 5, "tech.canonical_mismatch": 5, "tech.product_schema": 5, "tech.schema_invalid": 3}
+_MOST = {"tech.title_long", "tech.desc_long", "tech.multiple_h1"}
+
+
 def _checks_sql(only=None) -> str:
     parts = []
     for c in findings.page_checks():
         if only is None or c.check_id in only:
             weight = "(case when h3_count > 0 and h2_count = 0 then 1 else 0 end + case when h4_count > 0 and h3_count = 0 then 1 else 0 end)" if c.weight is not None else "1"
             message = c.message.replace("'", "''").replace("%d", "', n, '")
+            value = _VALUES.get(c.check_id, "''")
             parts.append(
-                f"select site, '{c.check_id}' as check_id, '{c.type}' as type, '{c.severity}' as severity, n, concat('{message}') as message, array_to_string(u[1:{c.samples}], chr(10)) as urls "
-                f"from (select site, sum({weight})::bigint as n, list(url order by crawl_seq, url) as u from signals where {_CASES[c.check_id]} group by site)"
+                f"select site, '{c.check_id}' as check_id, '{c.type}' as type, '{c.severity}' as severity, n, concat('{message}') as message, array_to_string(u[1:{c.samples}], chr(10)) as urls, n as affected_count, "
+                f"array_to_string(v[1:{_SHOWN.get(c.check_id, 10)}], chr(10)) as samples, {'most' if c.check_id in _MOST else 'null'}::varchar as detail "
+                f"from (select site, sum({weight})::bigint as n, list(url order by crawl_seq, url) as u, list(concat(url, '|', {value}) order by crawl_seq, url) as v, max({_VALUES[c.check_id] if c.check_id in _MOST else 'null'}) as most from signals where {_CASES[c.check_id]} group by site)"
             )
     return " union all ".join(parts)
 
 
 _DUPES = " union all ".join(
     f"""select site, '{cid}' as check_id, '{t}' as type, 'warning' as severity, sum(n)::bigint as n, concat(sum(n)::bigint, ' pages have duplicate {what}'{extra}) as message,
-    array_to_string((list_sort(flatten(list(list_transform(u, lambda x: {{'a': first, 'v': v, 'c': x.c, 'u': x.u}})))))[1:20].list_transform(lambda x: x.u), chr(10)) as urls
+    array_to_string((list_sort(flatten(list(list_transform(u, lambda x: {{'a': first, 'v': v, 'c': x.c, 'u': x.u}})))))[1:20].list_transform(lambda x: x.u), chr(10)) as urls,
+    sum(n)::bigint as affected_count, array_to_string(list_transform(list_sort(list({{'a': first, 'v': v, 'n': n, 'u': u}}))[1:5], lambda x: concat(array_to_string(list_transform(list_sort(x.u)[1:3], lambda y: y.u), ' '), '|', x.v[1:{shown}], ' x', x.n)), chr(10)) as samples, null::varchar as detail
   from (select site, {_trim(f'lower({col})')} as v, count(*) as n, min(crawl_seq) as first, list({{'c': crawl_seq, 'u': url}}) as u from signals where {col} is not null group by all having count(*) > 1) group by site"""
-    for col, cid, t, what, extra in (
-        ("title", "tech.duplicate_title", "tech_duplicate_title", "titles", ", ' (', count(*), ' unique duplicates)'"),
-        ("meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "meta descriptions", ""),
+    for col, cid, t, what, extra, shown in (
+        ("title", "tech.duplicate_title", "tech_duplicate_title", "titles", ", ' (', count(*), ' unique duplicates)'", 60),
+        ("meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "meta descriptions", "", 100),
     )
 )
 _ALL = f"technical as ({_checks_sql()} union all {_DUPES})"
@@ -255,27 +258,20 @@ def _sql(ctes: str, body: str) -> str:
 
 
 _IMG = images.oracle(_q)
+BROKEN = """select b.site, 'tech.broken_links' as check_id, 'tech_broken_links' as type, 'warning' as severity, count(distinct link_url) as n, concat(count(distinct link_url), ' broken internal links found across ', count(distinct url), ' pages') as message,
+      any_value(urls) as urls, count(distinct link_url) as affected_count, any_value(samples) as samples, null::varchar as detail from broken b join (
+      select site, array_to_string((list(link_url order by first, link_url))[1:20], chr(10)) as urls, array_to_string((list(concat(link_url, '|', k) order by first, link_url))[1:10], chr(10)) as samples from (
+        select site, link_url, min({'c': crawl_seq, 'p': pos}) as first, count(distinct url) as k from broken group by site, link_url) group by site) u on u.site = b.site group by b.site"""
 
 ORACLE_SQL = {
     "page_signals": _sql(SIGNALS, """select site, crawl_seq, url, title, title_length, meta_description, meta_description_length, meta_robots, canonical, canonical_self, h1, h1_count,
       h2_count, h3_count, h4_count, h5_count, h6_count, len(ld_json) as ld_json_blocks, mixed_content, has_viewport, has_lang, has_charset, word_count from signals"""),
     **{n: _sql(SIGNALS, _checks_sql(ids)) for n, ids in GROUPS.items()},
     "duplicate_findings": _sql(SIGNALS, _DUPES),
-    "site_scorecard": _sql(f"{SIGNALS}, {_ALL}", """select *, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade,
-      case when critical > 0 then 'immediate' when warning > 5 then 'high' else 'medium' end as urgency from (
-      select s.site, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'info') as info,
-        greatest(0, least(100, 100 - 15 * count(*) filter (severity = 'critical') - 5 * count(*) filter (severity = 'warning')))::int as score
-      from (select distinct site from signals) s left join technical t on s.site = t.site group by s.site)"""),
-    "category_scores": _sql(f"{SIGNALS}, {_ALL}", """select s.site, s.category, count(t.site) as findings,
-        greatest(0, 100 - 20 * count(*) filter (severity = 'critical') - 10 * count(*) filter (severity = 'warning'))::int as score
-      from (select distinct site, unnest(['crawl', 'technical', 'security', 'performance', 'visual', 'serp']) as category from signals) s
-      left join technical t on s.site = t.site and s.category = case split_part(t.type, '_', 1) when 'tech' then 'technical' when 'sec' then 'security' end group by all"""),
-    "findings_summary": _sql(f"{SIGNALS}, {_ALL}", "select site, type, severity, count(*) as n from technical group by grouping sets ((site), (site, type), (site, severity))"),
     "page_links": _sql(LINKS, "select site, crawl_seq, url, link_url, pos, text, nofollow, internal from links"),
     "link_graph": _sql(LINKS, "select * from edges"),
     "broken_links": _sql(LINKS, "select site, link_url, count(*) as link_count, count(distinct url) as page_count, min(crawl_seq) as first_seen from broken group by all"),
-    "broken_link_findings": _sql(LINKS, """select site, 'tech.broken_links' as check_id, 'tech_broken_links' as type, 'warning' as severity, count(distinct link_url) as n,
-      concat(count(distinct link_url), ' broken internal links found across ', count(distinct url), ' pages') as message from broken group by site"""),
+    "broken_link_findings": _sql(LINKS, BROKEN),
     "orphan_pages": _sql(LINKS, "select * from orphans"),
     "uncrawled_targets": _sql(LINKS, f"select distinct site, dst from edges e where not exists (select 1 from fetches f where f.site = e.site and {_key('f.url')} = e.dst)"),
     "link_summary": _sql(LINKS, """select p.site, coalesce(i, 0) as internal_links, coalesce(x, 0) as external_links, broken_pages, coalesce(o, 0) as orphan_pages

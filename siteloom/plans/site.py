@@ -28,7 +28,7 @@ CTES["urls"] = """select run_id, site, page_id as crawl_seq, case page_id % 12 w
 
 
 def _states(spark, d):
-    roots = frame(spark, d, "sites").join(frame(spark, d, "headers").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("headers")), "site", "left")
+    roots = frame(spark, d, "sites").join(frame(spark, d, "headers").groupBy("site").agg(F.collect_list(F.struct(F.col("name").alias("key"), "value")).alias("headers")), "site", "left")
     return site_facts.security_headers(roots)
 
 
@@ -37,7 +37,7 @@ def q_security_headers(spark, d):
 
 
 def q_header_findings(spark, d):
-    return site_facts.header_findings(_states(spark, d)).drop("run_id")
+    return site_facts.header_findings(_states(spark, d)).drop("run_id", "evidence")
 
 
 def q_hsts(spark, d):
@@ -104,7 +104,7 @@ def q_exposure_flags(spark, d):
 
 
 def q_exposure_notice(spark, d):
-    return site_facts.exposure_notice(site_facts.private_flags(frame(spark, d, "fetches"))).drop("run_id").withColumn("types", F.array_join("types", ","))
+    return site_facts.exposure_notice(site_facts.private_flags(frame(spark, d, "fetches"))).drop("run_id", "evidence").withColumn("types", F.array_join("types", ","))
 
 
 QUERIES = {
@@ -122,7 +122,8 @@ _STATES = f"states as (select s.run_id, s.site, x as header, case when h.has is
 _MISSING = f"missing as (select site, list(header) as m from states where state <> 'present' and header in {tuple(site_facts.CHECKED)} group by site)"
 _CH = """chains as (select site, variant, list(url order by hop) as c, arg_max(url, hop) as final_url from hops group by site, variant),
 finals as (select site, max(final_url) filter (variant = 'httpRoot') as http_root, max(final_url) filter (variant = 'httpsRoot') as https_root, max(final_url) filter (variant = 'httpsWww') as https_www, max(final_url) filter (variant = 'httpWww') as http_www,
-  bool_and(final_url like '%://www.%') as w, bool_and(final_url not like '%://www.%') as nw, bool_and(final_url like '%/home/') as sl, bool_and(final_url not like '%/home/') as ns from chains group by site)"""
+  bool_and(final_url like '%://www.%') as w, bool_and(final_url not like '%://www.%') as nw, bool_and(final_url like '%/home/') as sl, bool_and(final_url not like '%/home/') as ns,
+  bool_or(variant in ('httpRoot', 'httpWww') and (final_url like 'https://%' or len(list_filter(c, lambda x: x like 'https://%')) > 0)) as secured, coalesce(max(len(c)) filter (variant in ('httpRoot', 'httpWww')), 0)::int as http_chain from chains group by site)"""
 _h = lambda c: f"regexp_extract({c}, '^https?://([^/]*)', 1)"
 _TPL = "case " + " ".join(f"when regexp_matches(p, {_q('(?i)' + r)}) then {{'type': '{t}', 'pattern': '{n}'}}" for r, t, n in site_facts.TEMPLATES) + " end"
 _NAMED = lambda names: "case " + " ".join(f"when contains(lower(value), '{k}') then '{v}' end" if False else f"when contains(lower(value), '{k}') then '{v}'" for k, v in names.items()) + " end"
@@ -146,7 +147,7 @@ ORACLE_SQL = {
       select site, trim(unnest(string_split(value, ';'))) as t, generate_subscripts(string_split(value, ';'), 1) as i from headers where name = 'content-security-policy')) group by site, directive""", "headers"),
     "redirect_health": _sql(f"""with {_CH} select *, case when loops > 0 or max_chain > 5 then 'critical' when max_chain > 2 then 'warning' else 'healthy' end as health from (
       select site, max(len(c))::int as max_chain, sum(len(c) - len(list_distinct(c)))::bigint as loops, count(*) filter (len(c) > 3) as long_chains from chains group by site)""", "hops"),
-    "host_rules": _sql(f"""with {_CH} select site, http_root, https_root, https_www, http_www, http_root like 'https://%' or http_www like 'https://%' as https_enforced, w or nw as www_consistent, case when w then 'www' when nw then 'non-www' end as www_preference,
+    "host_rules": _sql(f"""with {_CH} select site, http_root, https_root, https_www, http_www, http_chain, coalesce(secured, false) as https_enforced, w or nw as www_consistent, case when w then 'www' when nw then 'non-www' end as www_preference,
       sl or ns as slash_consistent, case when sl then 'slash' when ns then 'no-slash' end as slash_preference, {_h('https_root')} <> {_h('https_www')} and {_h('https_root')} <> concat('www.', {_h('https_www')}) and {_h('https_www')} <> concat('www.', {_h('https_root')}) as host_conflict, http_root like 'http://%' as http_stays from finals""", "hops"),
     "cert_expiry": _sql("""select *, days_ceil > 0 as valid, case when days_floor < 0 then 'TLS certificate has expired' when days_floor < 30 then concat('TLS certificate expires in ', days_floor, ' days') end as cert_finding,
       regexp_matches(lower(protocol), 'ssl|tlsv1[.]0|tlsv1[.]1') as weak_protocol from (select site, protocol, expiry_date, ceil(l)::bigint as days_ceil, floor(l)::bigint as days_floor from (
@@ -169,5 +170,5 @@ ORACLE_SQL = {
       bool_or(regexp_matches(u.url, '/products/[^/]+')) as a, bool_or(regexp_matches(u.url, '/collections/[^/]+')) as b, bool_or(contains(u.url, '/wp-content/')) as w, bool_or(regexp_matches(u.url, '/product/[^/]+')) as c
       from fetches f join urls u on f.crawl_seq = u.crawl_seq group by f.site)""", "fetches", "urls"),
     "exposure_flags": _sql(f"with {_FLAGS} select * from flags", "fetches"),
-    "exposure_notice": _sql(f"with {_FLAGS} select site, 'sec.exposure_notice' as check_id, 'sec_missing_csp' as type, 'warning' as severity, count(*) as n, string_agg(distinct type, ',' order by type) as types from flags group by site", "fetches"),
+    "exposure_notice": _sql(f"with {_FLAGS} select site, 'sec.exposure_notice' as check_id, 'sec_missing_csp' as type, 'warning' as severity, 'Potential exposure observed, requires review' as message, count(*) as n, string_agg(distinct type, ',' order by type) as types from flags group by site", "fetches"),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.operators.site_facts import entries, header_value
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,6 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def gate_html(fetches: DataFrame) -> DataFrame:
     """A fetch row as collected: html only of HTML responses, a failed fetch has status 0 and none."""
-    kind = F.lower(F.element_at(F.transform_keys("headers", lambda k, _: F.lower(k)), "content-type"))
+    kind = F.lower(header_value(entries(fetches), "content-type"))
     html = F.when(kind.contains("text/html"), F.coalesce("html", F.lit(""))).otherwise("")
     return fetches.withColumns({"status": F.coalesce("status", F.lit(0)), "html": html})
