@@ -172,7 +172,11 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, few: bool, *keys: str) ->
 
 
 def _mcd(rows: DataFrame, few: bool, steps: int, tolerance: float = 1e-3) -> DataFrame:
-    """The estimate of each group: the best start's after ``steps`` concentration steps at most."""
+    """The estimate of each group: the best start's after ``steps`` concentration steps at most, reweighted."""
+    return _reweighted(rows, _concentrated(rows, few, steps, tolerance), few)
+
+
+def _concentrated(rows: DataFrame, few: bool, steps: int, tolerance: float = 1e-3) -> DataFrame:
     starts = materialise(_starts(rows), "starts")
     for _ in range(2):
         starts = materialise(_concentrate(rows, starts, few, "g", "start"), "starts")
@@ -185,6 +189,10 @@ def _mcd(rows: DataFrame, few: bool, steps: int, tolerance: float = 1e-3) -> Dat
         estimate = new
         if fall is None or fall < tolerance:
             break
+    return estimate
+
+
+def _reweighted(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     inner = chi2_point(0.975, P)
     near = _distance(_meet(rows, estimate, few)).where(F.col("d2") <= inner)
     return materialise(_estimates(near, consistency(0.975), "g"), "reweighted")
