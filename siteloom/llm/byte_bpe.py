@@ -4,8 +4,9 @@ Text is cut into pieces without a regular expression.  Each code point gets a sy
 a table; each symbol is a transition function on a small state set, packed into one byte, and
 functions are composed by an associative scan (one table look-up a composition), blocks first,
 then block summaries.  States and neighbouring classes give the piece boundaries of a whole
-batch at once.  Pieces then go through a cache of merged pieces; piece and id offsets are kept,
-so that decoding is a gather over the vocabulary's bytes.
+batch at once.  Pieces then go through a cache of merged pieces.  Where a piece begins, in code
+points and in tokens, can be kept, so that a span of a text is decoded from its own tokens only;
+decoding is a gather over the vocabulary's bytes.
 """
 
 from __future__ import annotations
@@ -14,16 +15,20 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.llm.common import bounded_batches
+
 # symbol classes of code points
 LETTER, NUMBER, OTHER, SPACE, BLANK, APOSTROPHE, START = range(7)
 #: White space of the splitting pattern (fixed values: the Unicode property White_Space).
@@ -203,8 +208,25 @@ class Codec:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(vocabulary), dtype=np.uint8)
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        """For each text: its ids as bytes, and the offsets (code points) at which its pieces begin."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """As ``encode_batch`` for any number of texts of any length: BLOCK code points or little more are held at once.
+
+        A longer text is cut before white space that follows something else, where a piece always begins."""
+        for block in _blocks(texts):
+            if len(block) > 1 or len(block[0]) <= BLOCK:
+                yield from self.encode_batch(block)
+                continue
+            ids, starts, tokens, done = [], [], [], 0
+            for part in _parts(block[0]):
+                [(own, begins, first)] = self.encode_batch([part])
+                starts.append(begins + done)
+                tokens.append(first + sum(map(len, ids)) // 4)
+                ids.append(own)
+                done += len(part)
+            yield b"".join(ids), np.concatenate(starts), np.concatenate(tokens)
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+        """For each text: its ids as bytes, the code points at which its pieces begin, and the first token of each piece."""
         joined = "".join(texts)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         stops = np.cumsum(lengths)
@@ -215,10 +237,12 @@ class Codec:
         merged, out = self.merger, []
         for a, b, s in zip(first.tolist(), last.tolist(), starts.tolist(), strict=True):
             if lengths[len(out)] == 0:
-                out.append((b"", np.empty(0, dtype=np.int64)))
+                out.append((b"", np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)))
                 continue
             own = edges[a : b + 1]
-            out.append((b"".join([merged[joined[i:j]] for i, j in zip(own, own[1:], strict=False)]), cut[a:b] - s))
+            parts = [merged[joined[i:j]] for i, j in zip(own, own[1:], strict=False)]
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+            out.append((b"".join(parts), cut[a:b] - s, np.cumsum(sizes) - sizes))
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -237,8 +261,20 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-#: Code points encoded at once; a longer text goes alone.
-BLOCK = 2_000_000
+#: Code points encoded at once.
+BLOCK = 1_000_000
+_BLANKS = "".join(map(re.escape, map(chr, _WHITE)))
+_EDGE = re.compile(f"(?<=[^{_BLANKS}])[{_BLANKS}]")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts of BLOCK code points, each up to the next white space after anything else."""
+    at = 0
+    while at < len(text):
+        cut = _EDGE.search(text, at + BLOCK)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
@@ -253,24 +289,28 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def _encoder(path: str, name: str, keep_ids: bool, columns: list[str]):
+def _encoder(path: str, names: list[str], keep_ids: bool, columns: list[str], offsets: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(columns.index("text")).to_pylist()]
-            n, ids_sha, text_sha, kept = [], [], [], []
-            for block in _blocks(texts):
-                for ids, _ in own.encode_batch(block):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                    if keep_ids:
-                        kept.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
+            n, ids_sha, text_sha, kept, begins, firsts = [], [], [], [], [], []
+            for ids, starts, first in own.encode(texts):
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                if keep_ids:
+                    kept.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
+                if offsets:
+                    begins.append(starts.astype(np.int32))
+                    firsts.append(first.astype(np.int32))
             cols = [batch.column(i) for i in range(len(columns))] if keep_ids else [batch.column(columns.index("doc_id"))]
             more = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if keep_ids:
                 more.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*cols, *more], names=name.split(","))
+            if offsets:
+                more += [pa.array(begins, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*cols, *more], names=names)
 
     return run
 
@@ -282,23 +322,28 @@ def _add(schema: T.StructType, fields: list[tuple[str, T.DataType]]) -> T.Struct
 _DIGESTS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
     """The documents with n_tokens, ids_sha256, decoded_sha256 and ids (array of int).
 
+    ``offsets``: also piece_starts and piece_tokens (arrays of int), the code point and the token at
+    which each piece begins, for ``decode_span``.
     ``path``: the rank file, present on every executor.  Each piece of the splitting pattern is
     merged by itself; no special tokens.  A null text is as an empty one: no ids.  Other columns
     pass through; columns of the input with the names added are replaced.
     """
-    docs = docs.drop("ids", *(n for n, _ in _DIGESTS))
-    schema = _add(docs.schema, [*_DIGESTS, ("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encoder(path, ",".join(schema.names), True, docs.columns), schema)
+    bounded_batches(docs.sparkSession)
+    places = ["piece_starts", "piece_tokens"] if offsets else []
+    docs = docs.drop("ids", *places, *(n for n, _ in _DIGESTS))
+    schema = _add(docs.schema, [*_DIGESTS, *((n, T.ArrayType(T.IntegerType())) for n in ("ids", *places))])
+    return docs.mapInArrow(_encoder(path, schema.names, True, docs.columns, offsets), schema)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encode``, the ids staying in the task."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     schema = _add(T.StructType([docs.schema["doc_id"]]), _DIGESTS)
-    return docs.mapInArrow(_encoder(path, ",".join(schema.names), False, docs.columns), schema)
+    return docs.mapInArrow(_encoder(path, schema.names, False, docs.columns), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -310,3 +355,26 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
         return ids.map(lambda x: None if x is None else own.decode(np.asarray(x, dtype="<u4").tobytes()).decode("utf-8", "replace"))
 
     return encoded.withColumn(to, text(ids))
+
+
+def decode_span(encoded: DataFrame, path: str, start: int, length: int, to: str = "span") -> DataFrame:
+    """Adds ``to``: ``length`` code points of the text from ``start``, from the tokens of the pieces that hold them alone.
+
+    ``encoded`` holds ids, piece_starts and piece_tokens; a span beyond the text is cut, null ids give null."""
+
+    @F.pandas_udf(T.StringType())
+    def text(ids, starts, tokens):
+        own = codec(path)
+
+        def one(i, s, t):
+            if i is None:
+                return None
+            a, b = np.searchsorted(s, start, "right") - 1, np.searchsorted(s, start + length, "left")
+            if not len(s) or a < 0 or b <= a:
+                return ""
+            part = np.asarray(i, dtype="<u4")[t[a] : t[b] if b < len(t) else None]
+            return own.decode(part.tobytes()).decode("utf-8", "replace")[start - s[a] :][:length]
+
+        return pd.Series([one(i, s, t) for i, s, t in zip(ids, starts, tokens, strict=True)], dtype=object)
+
+    return encoded.withColumn(to, text("ids", "piece_starts", "piece_tokens"))
