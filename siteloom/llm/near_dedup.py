@@ -10,7 +10,8 @@ No group is ever paired within itself.  Shingles that no other candidate holds b
 can share with any partner, and with it the partner's size; nodes that bound rules out leave.
 Then each node meets one node only, the one of its bands that is shared the most; then, among
 the bands whose nodes are not all in one component yet, those outside a band's largest component
-meet the others, within those bounds.
+meet the others in blocks.  A block counts common shingles by a product of incidence matrices and
+gives back no more links than join its components, so a group's links never grow with its square.
 That finds every link that the bands can show up to connection, which is all that components need.
 """
 
@@ -31,8 +32,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Sets below this size are not judged by estimate; nodes in a block of a band.
-SMALL, CHUNK = REGISTERS // 2, 512
+#: Sets below this size are not judged by estimate; shingles in a block of a band, and those counted in one product.
+SMALL, CHUNK, COUNTED = REGISTERS // 2, 200_000, 16_384
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,36 +162,84 @@ def _confirm(percent: int):
     return run
 
 
-def _columns(entries: pa.ListScalar) -> tuple[np.ndarray, ...]:
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets by 32 bits of each hash: never fewer in common than there are, seldom one more."""
+    for batch in batches:
+        short = [np.frombuffer(x, dtype=np.uint64).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["node", "short"])
+
+
+def _columns(entries: pa.ListScalar) -> tuple:
     rows = entries.values
     own = [rows.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
-    return *own, np.frombuffer(b"".join(rows.field(4).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    return *own, [np.frombuffer(x, dtype=np.uint32) for x in rows.field(4).to_pylist()]
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set of ``left`` has in common with each of ``right``."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for own in (left, right):
+        which, value = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+        at = np.minimum(np.searchsorted(both, value), max(len(both) - 1, 0))
+        hit = both[at] == value if len(both) else np.zeros(len(value), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((which[hit][order], at[hit][order]))
+    for part in range(0, len(both), COUNTED):
+        width = min(COUNTED, len(both) - part)
+        dense = []
+        for (which, at), own in zip(sides, (left, right), strict=True):
+            a, b = np.searchsorted(at, [part, part + width])
+            m = np.zeros((len(own), width), dtype=np.float32)
+            m[which[a:b], at[a:b] - part] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _joining(u: np.ndarray, v: np.ndarray, r_u: np.ndarray, r_v: np.ndarray) -> list[int]:
+    """Places of the links that join components, one for each join; links in a fixed order."""
+    order = np.lexsort((v, u))
+    pairs = np.stack([np.minimum(r_u, r_v), np.maximum(r_u, r_v)], axis=1)[order]
+    _, first = np.unique(pairs, axis=0, return_index=True)
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    keep = []
+    for i in np.sort(first).tolist():
+        a, b = find(int(pairs[i, 0])), find(int(pairs[i, 1]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(int(order[i]))
+    return keep
 
 
 def _meet(percent: int):
-    """Pairs of a band's minor nodes with others of another component that sizes, bounds and
-    estimates allow; each pair comes from the first of its shared bands only."""
+    """Links of a band's minor nodes to others of another component that their sets show, as many as join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-            for band, main, minors, others in zip(*batch.columns, strict=True):
+            for main, minors, others in zip(*batch.columns, strict=True):
                 v, n_v, most_v, r_v, s_v = _columns(minors)
                 u, n_u, most_u, r_u, s_u = _columns(others)
                 ok = (r_v[:, None] != r_u) & ((r_u == main.as_py()) | (u < v[:, None]))
                 ok &= (100 * np.minimum(n_v[:, None], n_u) >= percent * np.maximum(n_v[:, None], n_u)) & (n_u <= most_v[:, None]) & (n_v[:, None] <= most_u)
-                i, j = np.nonzero(ok)
+                i, j = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
                 if not len(i):
                     continue
-                k_v, k_u = band_keys(s_v), band_keys(s_u)
-                here = int(np.argmax(k_v[0] == band.as_py()))
-                for part in range(0, len(i), 65536):
-                    x, y = i[part : part + 65536], j[part : part + 65536]
-                    first = (k_v[x] == k_u[y]).argmax(axis=1) == here
-                    x, y = x[first], y[first]
-                    likely = _likely(s_v[x], s_u[y], n_v[x].astype(float), n_u[y].astype(float), percent / 100)
-                    us.append(np.minimum(v[x], u[y])[likely])
-                    vs.append(np.maximum(v[x], u[y])[likely])
+                both = common([s_v[k] for k in i], [s_u[k] for k in j])
+                x, y = np.nonzero(ok[np.ix_(i, j)] & (100 * both >= percent * (n_v[i][:, None] + n_u[j] - both)))
+                x, y = i[x], j[y]
+                low, high = np.minimum(v[x], u[y]), np.maximum(v[x], u[y])
+                keep = _joining(low, high, r_v[x], r_u[y])
+                us.append(low[keep])
+                vs.append(high[keep])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
@@ -206,18 +255,19 @@ class _Finder:
         texts = same(self.docs, found, "inner").select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
         return materialise(texts.mapInArrow(_sets, "node long, shingles binary"), "shingle-sets")
 
-    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        """The pairs (u, v of nodes) that hold on the full sets."""
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (u, v of nodes) that their registers make likely and that hold on the full sets."""
         side = self.nodes.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
         other = side.withColumnsRenamed({"u": "v", "n_u": "n_v", "s_u": "s_v"})
         pairs = pairs.join(side, "u").join(other, "v").where(100 * F.least("n_u", "n_v") >= self.percent * F.greatest("n_u", "n_v"))
         likely = pairs.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_estimate(self.percent / 100), "u long, v long")
-        likely = materialise(likely, "likely-pairs")
-        if sets is None:
-            sets = self.sets(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct())
+        return self.confirmed(materialise(likely, "likely-pairs"), sets)
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that hold on the full sets."""
         x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-        full = likely.join(x, "u").join(y, "v").select("u", "v", "x", "y")
+        full = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y")
         return materialise(full.mapInArrow(_confirm(self.percent), "u long, v long"), "links")
 
 
@@ -283,21 +333,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     per = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
     open_bands = per.where("roots > 1").select("band", F.col("most.root").alias("main"))
     able = able_1 = materialise(named.join(open_bands, "band"), "open-members")
-    able = able.join(nodes.select("node", "sketch"), "node")
-    sizes = able.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    able = able.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)))
-    entry = F.collect_list(F.struct("node", "n", "most", "root", "sketch"))
+    sizes = able.groupBy("band").agg(F.sum("n").alias("size"))
+    short = materialise(sets.join(able.select("node").distinct(), "node").select("node", "shingles").mapInArrow(_short, "node long, short binary"), "short-sets")
+    able = able.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK))).join(short, "node")
+    entry = F.collect_list(F.struct("node", "n", "most", "root", "short"))
     others = able.groupBy("band", "chunk", "main").agg(entry.alias("others")).drop("chunk")
     minors = able.where(F.col("root") != F.col("main")).groupBy("band", "chunk").agg(entry.alias("minors")).drop("chunk")
-    met = minors.join(others, "band").select("band", "main", "minors", "others")
-    rest = materialise(met.mapInArrow(_meet(percent), "u long, v long"), "rest-pairs").distinct()
-    every = links.union(finder.links(rest, sets))
+    met = minors.join(others, "band").select("main", "minors", "others")
+    rest = materialise(met.mapInArrow(_meet(percent), "u long, v long").distinct(), "rest-pairs")
+    every = links.union(finder.confirmed(rest, sets))
     roots = components(every)
 
     final = nodes.select("node", "key", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = final.groupBy("root").agg(F.min("low").alias("component_id"))
     final = materialise(final.join(lows, "root").select("key", "component_id"), "components")
-    discard(nodes, sets, members_1, members_2, bounds, named, able_1)
+    discard(nodes, sets, members_1, members_2, bounds, named, able_1, short)
     out = signed.drop("sketch").join(final, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "rk", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
