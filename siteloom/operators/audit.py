@@ -63,6 +63,19 @@ def merged(families: dict[str, list[DataFrame]], failed: DataFrame | None = None
     return whole.withColumn("ordinal", F.row_number().over(order)).drop("place")
 
 
+def job_status(sites: DataFrame, names: list[str], failed: DataFrame) -> DataFrame:
+    """run_id, site, audit, status of the audits asked for: completed, failed, or unknown where no audit has that name."""
+    asked = sites.select(*KEY).distinct().select(*KEY, F.explode(F.array(*(F.lit(n) for n in names))).alias("audit"))
+    known = failed.select(*KEY, "audit", F.lit(True).alias("f")).distinct()
+    rows = asked.join(known, [*KEY, "audit"], "left")
+    return rows.select(*KEY, "audit", F.when(~F.col("audit").isin(*EMISSION), "unknown").when(F.col("f"), "failed").otherwise("completed").alias("status"))
+
+
+def selected(families: dict[str, list[DataFrame]], names: list[str]) -> dict[str, list[DataFrame]]:
+    """The families of the audits asked for; the others never enter the plan."""
+    return {n: families[n] for n in names if n in families}
+
+
 def datasets(found: DataFrame) -> DataFrame:
     """run_id, site, dataset, has_data, has_error for every dataset of every site: found holds (dataset, data, error) as they came; what did not come has neither."""
     spine = found.select(*KEY).distinct().select(*KEY, F.explode(F.array(*(F.lit(d) for d in DATASETS))).alias("dataset"))

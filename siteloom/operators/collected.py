@@ -235,7 +235,7 @@ def model_findings(answers: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?s)```json\s*(.*?)```", 1)), F.lit("")), F.nullif(F.trim(F.regexp_extract("text", r"(?s)```\s*(.*?)```", 1)), F.lit("")), F.trim("text"))
     rows = answers.withColumn("a", F.try_variant_get(F.try_parse_json(body), "$.findings", "array<struct<category:string,severity:string,description:string>>"))
     rows = rows.select(*[c for c in answers.columns if c != "text"], F.posexplode("a").alias("pos", "f"))
-    return rows.withColumns({"type": lookup(F.lower("f.category"), VISUAL_TYPES, "visual_viewport_issues"), "severity": lookup(F.lower("f.severity"), VISUAL_SEVERITIES, "info"), "message": F.col("f.description")}).drop("f")
+    return rows.withColumns({"type": lookup(F.lower("f.category"), VISUAL_TYPES, "visual_viewport_issues"), "severity": lookup(F.lower("f.severity"), VISUAL_SEVERITIES, "info"), "message": F.col("f.description"), "evidence": evidence(detail=F.col("f.category"))}).drop("f")
 
 
 def step_costs(traces: DataFrame) -> DataFrame:

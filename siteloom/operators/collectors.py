@@ -100,7 +100,7 @@ def serp_model_findings(answers: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif(trim(F.regexp_extract("text", r"(?s)```(?:json)?\s*(.*?)```", 1)), F.lit("")), trim(F.col("text")))
     rows = answers.withColumn("a", F.try_variant_get(F.try_parse_json(body), "$.findings", "array<struct<type:string,impact:string,description:string>>"))
     rows = rows.select(*[c for c in answers.columns if c != "text"], F.posexplode("a").alias("pos", "f"))
-    return rows.withColumns({"type": lookup(F.lower("f.type"), SERP_TYPES, "serp_description_mismatch"), "severity": lookup(F.lower("f.impact"), SERP_SEVERITIES, "info"), "message": F.col("f.description")}).drop("f")
+    return rows.withColumns({"type": lookup(F.lower("f.type"), SERP_TYPES, "serp_description_mismatch"), "severity": lookup(F.lower("f.impact"), SERP_SEVERITIES, "info"), "message": F.col("f.description"), "evidence": evidence(detail=F.col("f.type"))}).drop("f")
 
 
 def crawl_findings(robots_refs: DataFrame, sitemap: DataFrame, sites: DataFrame, chains: DataFrame, host_rules: DataFrame, parameterised: DataFrame) -> DataFrame:

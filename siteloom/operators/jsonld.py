@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.sources.scratch import keep
@@ -69,6 +69,15 @@ def page_schema(signals: DataFrame) -> DataFrame:
     )
 
 
+def kind_pages(signals: DataFrame, most: int = 50) -> DataFrame:
+    """Per site and kind (product, article, organization): its first pages, ``most`` at most."""
+    pages = page_schema(signals)
+    kinds = F.array_compact(F.array(*(F.when(F.col(f"is_{k}"), F.lit(k)) for k in ("product", "article", "organization"))))
+    rows = pages.select(*KEY, "crawl_seq", "url", F.explode(kinds).alias("kind"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "kind").orderBy("crawl_seq", "url"))).where(F.col("r") <= most)
+    return rows.groupBy(*KEY, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "url"))), lambda x: x["url"]).alias("urls"))
+
+
 def summary(signals: DataFrame) -> DataFrame:
     """Per site: sorted distinct types, pages of each kind, parse errors."""
     pages = page_schema(signals)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact, urls
-from siteloom.operators import audit, collected, collectors, findings, link_graph, page_signals, report, site_facts
+from siteloom.operators import audit, collected, collectors, findings, images, jsonld, link_graph, page_signals, report, site_facts
 from siteloom.plans import collected as collected_plans
 from siteloom.plans import pages as page_plans
 from siteloom.plans import site as site_plans
@@ -48,7 +48,7 @@ def _tables(spark, d) -> dict[str, DataFrame]:
 
 
 def _model_rows(rows: DataFrame, check: str) -> DataFrame:
-    return rows.select("run_id", "site", F.lit(check).alias("check_id"), "type", "severity", "message", (F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("pos")).alias("place"))
+    return rows.select("run_id", "site", F.lit(check).alias("check_id"), "type", "severity", "message", "evidence", (F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("pos")).alias("place"))
 
 
 def _merged(spark, d, t: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -152,7 +152,7 @@ def q_serp_blocks(spark, d):
 
 
 def q_serp_model_findings(spark, d):
-    return collectors.serp_model_findings(frame(spark, d, "serp_answers")).drop("run_id")
+    return collectors.serp_model_findings(frame(spark, d, "serp_answers")).drop("run_id", "evidence")
 
 
 def q_serp_queries(spark, d):
@@ -335,6 +335,34 @@ def q_report_envelopes(spark, d):
     return value.select(get("$.site").alias("site"), get("$.report.score").cast("int").alias("score"), get("$.report.grade").alias("grade"), get("$.traces[0].model").alias("first_model"), get("$.metadata.steps").cast("long").alias("steps"))
 
 
+def q_page_images(spark, d):
+    rows = frame(spark, d, "fetches").select("site", "crawl_seq", F.posexplode(images.page_images(F.coalesce("html", F.lit("")))).alias("pos", "i"))
+    return rows.select("site", "crawl_seq", "pos", "i.*")
+
+
+def q_schema_pages(spark, d):
+    return jsonld.kind_pages(page_signals.page_signals(frame(spark, d, "fetches"))).drop("run_id").withColumn("urls", F.array_join("urls", "\n"))
+
+
+def q_graph_links(spark, d):
+    pages = frame(spark, d, "fetches").withColumn("html", F.concat(F.col("html"), F.lit('<a href="data:text/plain,x">d</a>')))
+    links = page_signals.page_links(pages, ("#", "javascript:", "mailto:", "tel:", "data:"))
+    return links.groupBy("site", "crawl_seq").agg(F.count_if("internal").alias("internal"), F.count_if(~F.col("internal")).alias("external"), F.count_if(F.col("internal") & F.col("nofollow")).alias("nofollow"))
+
+
+def q_job_status(spark, d):
+    return audit.job_status(frame(spark, d, "sites"), ["crawl", "performance", "visual", "accessibility"], frame(spark, d, "jobs")).drop("run_id")
+
+
+def q_selected_audits(spark, d):
+    rows = {"performance": [collected.lighthouse_findings(collected.lighthouse(frame(spark, d, "site_lighthouse")))], "crawl": [collected.robots_findings(collected.robots_blocking(frame(spark, d, "robots")))]}
+    return audit.merged(audit.selected(rows, ["crawl"])).select("site", "ordinal", "check_id", "severity")
+
+
+def q_header_values(spark, d):
+    return site_plans._states(spark, d).select("site", "header", site_facts.value_or(F.col("state"), F.lit("(none)")).alias("value"))
+
+
 def q_touched_sites(spark, d):
     """Pages as a stream, and the counts of the sites they touch from the whole table."""
     from siteloom.streaming import incremental
@@ -387,8 +415,8 @@ fam as (select 'technical' as audit, site, check_id, type, severity, message, 0:
  union all {_rows(_C.ORACLE_SQL['security_txt'], 'security', "null::bigint as affected_count, '' as samples, coalesce((select max(status) from responses r where r.site = x.site and r.path = '/.well-known/security.txt')::varchar, 'not found') as detail")}
  union all {_rows(site_plans.ORACLE_SQL['exposure_notice'], 'security', "n as affected_count, '' as samples, replace(types, ',', ', ') as detail")}
  union all {_rows(_LH, 'performance')}
- union all select 'visual', site, 'visual.model', type, severity, message, conv_id * 1000000 + turn * 1000 + pos, '', null, '', null from ({_VISUAL})
- union all select 'serp', site, 'serp.model', type, severity, message, conv_id * 1000000 + turn * 1000 + pos, '', null, '', null from ({_SERP})),
+ union all select 'visual', site, 'visual.model', type, severity, message, conv_id * 1000000 + turn * 1000 + pos, '', null, '', said from ({_VISUAL.replace('f.description as message', 'f.description as message, f.category as said')})
+ union all select 'serp', site, 'serp.model', type, severity, message, conv_id * 1000000 + turn * 1000 + pos, '', null, '', said from ({_SERP.replace('f.description as message', 'f.description as message, f.type as said')})),
 whole as (select f.* from fam f where not exists (select 1 from jobs j where j.site = f.site and j.audit = f.audit)
  union all select audit, site, 'audit.failed', 'crawl_unreachable', 'critical', concat(audit, ' audit failed to complete'), 0, '', null, '', error from jobs),
 merged as (select *, row_number() over (partition by site order by {_ORD}, place, message)::int as ordinal from whole)"""
@@ -499,5 +527,14 @@ ORACLE_SQL = {
     "report_categories": with_inputs("""select concat(site, '-', turn) as site, category, case when turn % 3 = 0 and category = 'crawl' then conv::double when turn % 3 = 0 and category = 'serp' then 40.0 else 100.0 end as score, case when turn % 3 = 0 and category = 'crawl' then 1 else 0 end as findings
       from (select *, cast(site as bigint) % 100 as conv from reports) cross join (select unnest(['crawl', 'technical', 'security', 'performance', 'visual', 'serp']) as category) k""", "reports"),
     "report_summaries": with_inputs("select concat(site, '-', turn) as site, case when turn % 3 = 0 then (50 + cast(site as bigint) % 50)::double end as score, case when turn % 3 = 0 then 'B' end as grade, case when turn % 3 = 0 then 'h' end as headline, case when turn % 3 = 0 then 2 else 0 end as priorities from reports", "reports"),
+    "page_images": with_inputs(f"""select site, crawl_seq, (row_number() over (partition by crawl_seq order by i) - 1)::int as pos, src, nullif(alt, '') as alt, nullif(try_cast(regexp_extract(w, '^\\s*([+-]?[0-9]+)', 1) as int), 0) as width, nullif(try_cast(regexp_extract(h, '^\\s*([+-]?[0-9]+)', 1) as int), 0) as height from (
+      select site, crawl_seq, i, {', '.join(f"regexp_extract(t, {_P._q(chr(40) + '?i)' + n + '=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)[' + chr(34) + chr(39) + ']')}, 1) as {a}" for n, a in (('src', 'src'), ('alt', 'alt'), ('width', 'w'), ('height', 'h')))} from (
+      select site, crawl_seq, unnest(regexp_extract_all(html, '(?i)<img[^>]*>', 0)) as t, generate_subscripts(regexp_extract_all(html, '(?i)<img[^>]*>', 0), 1) as i from fetches)) where src <> ''""".replace("\\\\", "\\"), "fetches"),
+    "schema_pages": with_inputs(f"""with {SIGNALS} select site, k as kind, array_to_string((list(url order by crawl_seq))[1:50], chr(10)) as urls from (select site, crawl_seq, url, array_to_string(list_filter(ld_json, lambda x: json_valid(x)), ' ') as a from signals) s
+      join (values ('product', 'Product'), ('article', 'Article'), ('organization', 'Organization')) v(k, w) on contains(a, w) group by site, k""", "fetches"),
+    "graph_links": with_inputs(f"with {LINKS} select site, crawl_seq, count(*) filter (internal) as internal, count(*) filter (not internal) as external, count(*) filter (internal and nofollow) as nofollow from links group by all", "fetches"),
+    "job_status": with_inputs("select site, a as audit, case when a = 'accessibility' then 'unknown' when exists (select 1 from jobs j where j.site = s.site and j.audit = a) then 'failed' else 'completed' end as status from sites s cross join (select unnest(['crawl', 'performance', 'visual', 'accessibility']) as a) k", "sites", "jobs"),
+    "selected_audits": f"select site, 1 as ordinal, check_id, severity from ({_C.ORACLE_SQL['robots_findings']})",
+    "header_values": with_inputs(f"with {site_plans._STATES} select site, header, case when state = 'present' then value else '(none)' end as value from states", "sites", "headers"),
     "touched_sites": with_inputs("select site, count(*) as pages, count(*) filter (status = 404) as missing from fetches where site in (select site from fetches where crawl_seq % 10 = 1) group by site", "fetches"),
 }

@@ -96,7 +96,7 @@ def q_scan_log_findings(spark, d):
 
 
 def q_model_findings(spark, d):
-    return collected.model_findings(frame(spark, d, "answers"))
+    return collected.model_findings(frame(spark, d, "answers")).drop("evidence")
 
 
 def q_llm_cost(spark, d):
