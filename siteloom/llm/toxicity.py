@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import BLANK, materialise
+from siteloom.llm.common import BLANK, bounded_batches, materialise
 
 #: Words of the second person in the languages at hand (fixed values).
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split()
@@ -90,7 +90,7 @@ _SCHEMA = "doc_id long, held_out boolean, " + ", ".join(f"{f} double" for f in F
 
 
 def learn_lexicon(labelled: DataFrame, size: int = 5000, least: int = 3) -> dict[str, float]:
-    """Words in at least ``least`` toxic documents with their log odds ratio, the ``size`` largest (a stated bound)."""
+    """Words in at least ``least`` toxic documents with their log odds ratio, the ``size`` largest: a size of the model, like its number of trees."""
     word = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}_@$]+|[^\p{L}\p{N}_@$]+$", "")
     words = labelled.select("toxic", F.explode(F.array_distinct(F.split("text", BLANK))).alias("word")).select("toxic", word.alias("word"))
     counts = words.where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
@@ -109,6 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out, sample: int = 12_000, tr
     fifths, the calibration from the rest.  Null labels teach nothing; a doc_id labelled twice is toxic if one label says so.  With only
     one class to learn from every score is that class's share.  Null and empty texts are scored like any other.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~F.coalesce(held_out, F.lit(False))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
