@@ -32,8 +32,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Sets below this size are not judged by estimate; shingles in a block of a band, and those counted in one product.
-SMALL, CHUNK, COUNTED = REGISTERS // 2, 200_000, 16_384
+#: Sets below this size are not judged by estimate; shingles in a block of a band, those counted in one product, and pairs counted at once.
+SMALL, CHUNK, COUNTED, PAIRS = REGISTERS // 2, 100_000, 1024, 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,24 +176,42 @@ def _columns(entries: pa.ListScalar) -> tuple:
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many numbers each set of ``left`` has in common with each of ``right``."""
+    """How many numbers each set of ``left`` has in common with each of ``right``.
+
+    Numbers that many sets hold are counted by products of incidence matrices, the others pair by pair."""
+    n, m = len(left), len(right)
     both = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    out = np.zeros(n * m, dtype=np.float32)
+    if not len(both):
+        return out.reshape(n, m)
     sides = []
     for own in (left, right):
         which, value = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
-        at = np.minimum(np.searchsorted(both, value), max(len(both) - 1, 0))
-        hit = both[at] == value if len(both) else np.zeros(len(value), dtype=bool)
+        at = np.minimum(np.searchsorted(both, value), len(both) - 1)
+        hit = both[at] == value
         order = np.argsort(at[hit], kind="stable")
         sides.append((which[hit][order], at[hit][order]))
-    for part in range(0, len(both), COUNTED):
-        width = min(COUNTED, len(both) - part)
+    (l_which, l_at), (r_which, r_at) = sides
+    l_count, r_count = np.bincount(l_at, minlength=len(both)), np.bincount(r_at, minlength=len(both))
+    often = 1000 * l_count * r_count > n * m
+    # rare numbers: each holder on the left with each on the right
+    rare = np.flatnonzero(~often[l_at])
+    begin = np.cumsum(r_count) - r_count
+    ends = np.cumsum(r_count[l_at[rare]])
+    for part in np.split(np.arange(len(rare)), np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)) if len(ends) else []):
+        if len(part):
+            at, times = l_at[rare[part]], r_count[l_at[rare[part]]]
+            place = np.repeat(begin[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            out += np.bincount(np.repeat(l_which[rare[part]], times) * m + r_which[place], minlength=n * m)
+    out = out.reshape(n, m)
+    columns = np.cumsum(often) - 1
+    for part in range(0, int(often.sum()), COUNTED):
         dense = []
-        for (which, at), own in zip(sides, (left, right), strict=True):
-            a, b = np.searchsorted(at, [part, part + width])
-            m = np.zeros((len(own), width), dtype=np.float32)
-            m[which[a:b], at[a:b] - part] = 1
-            dense.append(m)
+        for (which, at), k in zip(sides, (n, m), strict=True):
+            here = often[at] & (columns[at] >= part) & (columns[at] < part + COUNTED)
+            d = np.zeros((k, COUNTED), dtype=np.float32)
+            d[which[here], columns[at[here]] - part] = 1
+            dense.append(d)
         out += dense[0] @ dense[1].T
     return out
 
@@ -323,6 +341,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # each node meets the most shared node of its bands, for its size
     fit = F.col("most") / F.col("n")
     heads = members.groupBy("band").agg(F.max(F.struct(fit.alias("fit"), "node")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "head")
+    # short tables of their own, here and below, so that a join need not gather a band that very many nodes share
+    heads = materialise(heads, "heads")
     members = materialise(members.join(heads, "band"), "able-members")
     stars = members.where(F.col("node") != F.col("head.node")).groupBy("node").agg(F.max("head").alias("head"))
     links = finder.links(stars.select(F.col("head.node").alias("u"), F.col("node").alias("v")), sets)
@@ -331,9 +351,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = members.drop("head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialise(named, "named-members")
     per = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    open_bands = per.where("roots > 1").select("band", F.col("most.root").alias("main"))
+    open_bands = materialise(per.where("roots > 1").select("band", F.col("most.root").alias("main")), "open-bands")
     able = able_1 = materialise(named.join(open_bands, "band"), "open-members")
-    sizes = able.groupBy("band").agg(F.sum("n").alias("size"))
+    sizes = materialise(able.groupBy("band").agg(F.sum("n").alias("size")), "band-sizes")
     short = materialise(sets.join(able.select("node").distinct(), "node").select("node", "shingles").mapInArrow(_short, "node long, short binary"), "short-sets")
     able = able.join(sizes, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK))).join(short, "node")
     entry = F.collect_list(F.struct("node", "n", "most", "root", "short"))
