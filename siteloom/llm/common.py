@@ -22,6 +22,7 @@ WEIGHTS = np.array([xxhash.xxh3_64_intdigest(f"place{i}") | 1 for i in range(64)
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -68,6 +69,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, str(8 << 20))
 
 
+def few_range_samples(spark: SparkSession) -> None:
+    """Ranges of hashes are even, so twenty samples a partition find their bounds; the driver gets a fifth of the usual, unless the session says how many."""
+    if spark.conf.get(_SAMPLES, None) is None:
+        spark.conf.set(_SAMPLES, "20")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Final avalanche of 64-bit hashes."""
     x = x ^ (x >> np.uint64(30))
