@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import ann, byte_bpe, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, toxicity
+from siteloom.llm import ann, byte_bpe, filter_audit, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"), _remainder(3) == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op7_nearest_neighbours, op8_substring_dedup, op9_quality_rules, op10_language_id)}
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(5) == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_near_dedup, op3_source_mixing, op4_byte_bpe, op5_ring_sharding, op6_toxicity, op7_nearest_neighbours, op8_substring_dedup, op9_quality_rules, op10_language_id,
+        op11_quality_classifier, op12_filter_audit, op13_whitening,
+    )
+}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -81,5 +99,35 @@ common as (select k from keyed where k <> '' group by k having count(distinct do
 select doc_id, count(*)::bigint as n_lines, (count(*) filter (k in (from common)))::bigint as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (k not in (from common)), '')) as kept_sha256
 from keyed group by doc_id
+""",
+    "op12_filter_audit": r"""
+with said as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+texts as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part from documents),
+worded as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words, min(doc_id) over (partition by text) as first from texts),
+judged as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         case when len(words) < 100 then 'A' else '' end
+         || case when 100 * len(list_distinct(words)) < 80 * len(words) then 'B' else '' end
+         || case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) then 'C' else '' end
+         || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+         || case when coalesce(worded.doc_id > first, false) then 'E' else '' end as fails
+  from worded left join said on said.doc_id = worded.doc_id),
+cells as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by part, fails),
+letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select o, s, o[s] as f, o[1:s - 1] as before from orders, (select unnest(range(1, 6)) as s) t),
+marked as (
+  select part, o, s, f, n, good, toxic, fails, contains(fails, f) as hit, len(list_filter(string_split(before, ''), lambda x: contains(fails, x))) > 0 and s > 1 as gone
+  from cells, steps),
+counted as (
+  select part, o as filter_order, s::int as step, f,
+         (coalesce(sum(n) filter (not gone and not hit), 0))::bigint as kept, (coalesce(sum(n) filter (not gone and hit), 0))::bigint as removed,
+         (coalesce(sum(n) filter (gone and hit), 0))::bigint as redundant, (coalesce(sum(n) filter (fails = f), 0))::bigint as unique_fails,
+         (coalesce(sum(good) filter (not gone and hit), 0))::bigint as good_lost, (coalesce(sum(toxic) filter (not gone and hit), 0))::bigint as toxic_lost
+  from marked group by part, o, s, f)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley
+from counted
 """,
 }
