@@ -99,10 +99,11 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     together = owner[1:] == owner[:-1]
     repeat = np.bincount(owner[1:][together & (h[1:] == h[:-1])], minlength=n)
     grams = h.copy()
-    for k in range(1, 5):
-        grams[: len(h) - k] += mix(h[k:] + np.uint64(k))
     whole = np.zeros(len(h), dtype=bool)
-    whole[: max(len(h) - 4, 0)] = owner[4:] == owner[:-4] if len(h) > 4 else False
+    if len(h) > 4:
+        for k in range(1, 5):
+            grams[:-k] += mix(h[k:] + np.uint64(k))
+        whole[:-4] = owner[4:] == owner[:-4]
     n_grams = np.bincount(owner[whole], minlength=n)
 
     feed = np.flatnonzero(raw == 10)
