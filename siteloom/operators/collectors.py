@@ -71,9 +71,17 @@ def tls_facts(rows: DataFrame) -> DataFrame:
 
 
 def certificate_states(certificates: DataFrame) -> DataFrame:
-    """Days left and validity as three-valued facts."""
+    """Days left, validity, names, issuer and protocol of ``certificates`` over ``tls_facts`` as three-valued facts."""
     days = F.col("days_ceil").cast("string")
-    return certificates.select(*KEY, F.when(days.isNotNull(), present(days)).otherwise(unknown("No expiry date")).alias("days_left"), F.when(days.isNotNull(), present(F.col("valid").cast("string"))).otherwise(unknown("No expiry date")).alias("valid"), tristate(F.col("protocol")).alias("protocol"))
+    return certificates.select(
+        *KEY,
+        F.when(days.isNotNull(), present(days)).otherwise(unknown("No expiry date")).alias("days_left"),
+        F.when(days.isNotNull(), present(F.col("valid").cast("string"))).otherwise(unknown("Cannot determine validity")).alias("valid"),
+        # the certificate's own names are not held against the site here
+        F.when(F.size("sans") > 0, present(F.lit("true"))).otherwise(unknown("No SANs data")).alias("sans_include_domain"),
+        tristate(F.col("cert_issuer")).alias("issuer"),
+        tristate(F.col("protocol")).alias("protocol"),
+    )
 
 
 def serp_results(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.sources.scratch import keep
@@ -22,13 +22,14 @@ def _type_names(node: Column) -> Column:
     return F.transform(names, lambda v: F.try_variant_get(v, "$", "string"))
 
 
-def with_schema(signals: DataFrame) -> DataFrame:
-    """Adds invalid_schema_count and has_product_schema (a type containing ``product``, at any depth) to page signals.
+def block_facts() -> dict[str, Column]:
+    """invalid_schema_count and has_product_schema (a type containing ``product``, at any depth) from the blocks in ``ld_json``.
 
-    In valid JSON a quote inside a string is escaped, so a key and its value cannot be imitated by text."""
+    In valid JSON a quote inside a string is escaped, so a key and its value cannot be imitated by text; a block with escapes is
+    written anew, so that a type spelled with them is seen."""
     valid = F.filter("ld_json", lambda b: F.try_parse_json(b).isNotNull())
-    named = F.exists(valid, lambda b: b.rlike(PRODUCT))
-    return signals.withColumns({"invalid_schema_count": F.size("ld_json") - F.size(valid), "has_product_schema": named})
+    plain = lambda b: F.when(F.contains(b, F.lit("\\")), F.to_json(F.try_parse_json(b))).otherwise(b)
+    return {"invalid_schema_count": F.size("ld_json") - F.size(valid), "has_product_schema": F.exists(valid, lambda b: plain(b).rlike(PRODUCT))}
 
 
 def all_types(signals: DataFrame) -> DataFrame:
@@ -69,13 +70,11 @@ def page_schema(signals: DataFrame) -> DataFrame:
     )
 
 
-def kind_pages(signals: DataFrame, most: int = 50) -> DataFrame:
-    """Per site and kind (product, article, organization): its first pages, ``most`` at most."""
+def kind_pages(signals: DataFrame) -> DataFrame:
+    """run_id, site, kind (product, article, organization), crawl_seq, url: the pages of each kind, a row each."""
     pages = page_schema(signals)
     kinds = F.array_compact(F.array(*(F.when(F.col(f"is_{k}"), F.lit(k)) for k in ("product", "article", "organization"))))
-    rows = pages.select(*KEY, "crawl_seq", "url", F.explode(kinds).alias("kind"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "kind").orderBy("crawl_seq", "url"))).where(F.col("r") <= most)
-    return rows.groupBy(*KEY, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "url"))), lambda x: x["url"]).alias("urls"))
+    return pages.select(*KEY, F.explode(kinds).alias("kind"), "crawl_seq", "url")
 
 
 def summary(signals: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import text, urls
+from siteloom.operators import images, jsonld
 
 #: Patterns of the signals (fixed values).
 TITLE = r"(?i)<title[^>]*>([^<]*)</title>"
@@ -31,37 +35,58 @@ def headings(html: Column, level: int) -> Column:
     return F.filter(F.transform(found, text.strip_html), lambda x: x != "")
 
 
+@dataclass(frozen=True)
+class Family:
+    """Signals that come together.  ``reads``: columns from a page's html and url; ``derives``: columns from those that the family read."""
+
+    name: str
+    reads: Callable[[Column, Column], dict[str, Column]]
+    derives: Callable[[], dict[str, Column]] = dict
+
+
+def _canonical_self() -> Column:
+    return F.coalesce(urls.normalise(F.col("url")) == urls.normalise(F.col("canonical")), F.lit(False))
+
+
+#: The families of page signals, in the order of their columns.
+FAMILIES = [
+    Family("title", lambda h, _: {"title": text.first_of(h, TITLE)}, lambda: {"title_length": F.coalesce(F.length("title"), F.lit(0))}),
+    Family("description", lambda h, _: {"meta_description": text.first_of(h, *_meta("description"))}, lambda: {"meta_description_length": F.coalesce(F.length("meta_description"), F.lit(0))}),
+    Family("robots", lambda h, _: {"meta_robots": text.first_of(h, *_meta("robots"))}),
+    Family("canonical", lambda h, _: {"canonical": text.first_of(h, *_canonical())}, lambda: {"canonical_self": _canonical_self()}),
+    Family(
+        "headings",
+        lambda h, _: {"h1s": headings(h, 1), "headings": F.struct(*(headings(h, k).alias(f"h{k}") for k in range(2, 7)))},
+        lambda: {"h1": F.try_element_at("h1s", F.lit(1)), "h1_count": F.size("h1s"), **{f"h{k}_count": F.size(f"headings.h{k}") for k in range(2, 7)}},
+    ),
+    Family("schema", lambda h, _: {"ld_json": F.filter(F.transform(F.regexp_extract_all(h, F.lit(LD_JSON), F.lit(1)), text.trim), lambda x: x != "")}, jsonld.block_facts),
+    Family("mixed_content", lambda h, url: {"mixed_content": url.startswith("https://") & h.rlike(MIXED)}),
+    Family("flags", lambda h, _: {"has_viewport": h.rlike(VIEWPORT), "has_lang": h.rlike(LANG), "has_charset": h.rlike(CHARSET)}),
+    Family("words", lambda h, _: {"word_count": text.word_count(h)}),
+    Family("images", lambda h, _: {"images": images.page_images(h)}, lambda: {"image_count": F.size("images"), "images_without_alt": F.size(F.filter("images", lambda x: x["alt"].isNull()))}),
+]
+
+
+def extract(fetches: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """run_id, site, crawl_seq, url, status and the columns of the families asked for (all by default), in one projection over html.
+
+    A family that is not asked for never enters the plan: its patterns are not compiled, and html is not read at all where no family needs it.
+    A missing html gives an empty page; a name that no family has raises.
+    """
+    names = [f.name for f in FAMILIES]
+    wanted = set(names if only is None else only)
+    if strange := wanted - set(names):
+        raise ValueError(f"unknown families: {sorted(strange)}")
+    families = [f for f in FAMILIES if f.name in wanted]
+    html, keys = F.coalesce(F.col("html"), F.lit("")), ["run_id", "site", "crawl_seq", "url", "status"]
+    read = {n: c for f in families for n, c in f.reads(html, F.col("url")).items()}
+    df = fetches.select(*keys, *(c.alias(n) for n, c in read.items()))
+    return df.withColumns({n: c for f in families for n, c in f.derives().items()})
+
+
 def page_signals(fetches: DataFrame) -> DataFrame:
-    """run_id, site, crawl_seq, url and the page's scalar signals, headings and JSON-LD blocks. A missing html gives an empty page."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    df = fetches.select("run_id", "site", "crawl_seq", "url", "status", html.alias("html"))
-    h = F.col("html")
-    df = df.withColumns(
-        {
-            "title": text.first_of(h, TITLE),
-            "meta_description": text.first_of(h, *_meta("description")),
-            "meta_robots": text.first_of(h, *_meta("robots")),
-            "canonical": text.first_of(h, *_canonical()),
-            "h1s": headings(h, 1),
-            "headings": F.struct(*(headings(h, k).alias(f"h{k}") for k in range(2, 7))),
-            "ld_json": F.filter(F.transform(F.regexp_extract_all(h, F.lit(LD_JSON), F.lit(1)), text.trim), lambda x: x != ""),
-            "mixed_content": F.col("url").startswith("https://") & h.rlike(MIXED),
-            "has_viewport": h.rlike(VIEWPORT),
-            "has_lang": h.rlike(LANG),
-            "has_charset": h.rlike(CHARSET),
-            "word_count": text.word_count(h),
-        }
-    ).drop("html")
-    return df.withColumns(
-        {
-            "title_length": F.coalesce(F.length("title"), F.lit(0)),
-            "meta_description_length": F.coalesce(F.length("meta_description"), F.lit(0)),
-            "canonical_self": F.coalesce(urls.normalise(F.col("url")) == urls.normalise(F.col("canonical")), F.lit(False)),
-            "h1": F.try_element_at("h1s", F.lit(1)),
-            "h1_count": F.size("h1s"),
-            **{f"h{k}_count": F.size(f"headings.h{k}") for k in range(2, 7)},
-        }
-    )
+    """All signals of each page."""
+    return extract(fetches)
 
 
 def page_links(fetches: DataFrame, skip: tuple[str, ...] = ("#", "javascript:", "mailto:", "tel:")) -> DataFrame:

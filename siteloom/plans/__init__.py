@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages", "site", "collected", "audit"]
+MODULES = ["pages", "site", "collected", "audit", "extraction"]
 
 
 def _all(name: str) -> dict:

@@ -163,11 +163,6 @@ def q_certificate_findings(spark, d):
     return site_facts.certificate_findings(site_facts.certificates(frame(spark, d, "tls"), F.to_timestamp(F.lit(AS_OF)))).select("site", "check_id", "type", "severity", "message", F.col("evidence.detail").alias("detail"))
 
 
-def q_certificate_states(spark, d):
-    out = collectors.certificate_states(site_facts.certificates(frame(spark, d, "tls"), F.to_timestamp(F.lit(AS_OF))))
-    return out.select("site", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("days_left", "valid", "protocol") for f in ("state", "value", "reason")))
-
-
 def q_tls_facts(spark, d):
     return collectors.tls_facts(frame(spark, d, "tls_rows")).drop("run_id").withColumn("sans", F.array_join("sans", ","))
 
@@ -341,7 +336,7 @@ def q_page_images(spark, d):
 
 
 def q_schema_pages(spark, d):
-    return jsonld.kind_pages(page_signals.page_signals(frame(spark, d, "fetches"))).drop("run_id").withColumn("urls", F.array_join("urls", "\n"))
+    return jsonld.kind_pages(page_signals.extract(frame(spark, d, "fetches"), ["schema"])).drop("run_id")
 
 
 def q_graph_links(spark, d):
@@ -484,8 +479,6 @@ ORACLE_SQL = {
     "serp_queries": f"""select page_id, split_part(regexp_replace(h, '^www[.]', ''), '.', 1) as brand, case when regexp_matches(lower(url), 'shop|store|product') then 'store' when regexp_matches(lower(url), 'blog|news|article') then 'blog' when regexp_matches(lower(url), 'service|solutions') then 'services' when regexp_matches(lower(url), 'app|software') then 'software' else 'website' end as kind,
       concat('site:', h) as site_query from (select *, {_P._host('url')} as h from pages)""",
     "certificate_findings": with_inputs(f"with {_CERT} select * from cert_rows", "tls"),
-    "certificate_states": with_inputs(f"""with {_CERT} select site, case when dc is not null then 'present' else 'unknown' end as days_left_state, dc::varchar as days_left_value, case when dc is null then 'No expiry date' end as days_left_reason, case when dc is not null then 'present' else 'unknown' end as valid_state, (dc > 0)::varchar as valid_value,
-      case when dc is null then 'No expiry date' end as valid_reason, 'present' as protocol_state, protocol as protocol_value, null::varchar as protocol_reason from certs""", "tls"),
     "tls_facts": with_inputs("""select site, protocol, coalesce(issuer_o, issuer_cn, 'unknown') as cert_issuer, coalesce(expiry_date, 'unknown') as expiry_date, array_to_string(case when subject_cn is not null and not list_contains(s, subject_cn) then list_concat([subject_cn], s) else s end, ',') as sans
       from (select *, regexp_extract_all(coalesce(san, ''), 'DNS:([^,\\s]+)', 1) as s from tls_rows)""".replace("\\\\", "\\"), "tls_rows"),
     "https_findings": with_inputs(f"with {site_plans._CH} select site, 'sec.https' as check_id, 'sec_missing_https' as type, 'critical' as severity, 'HTTPS is not properly enforced' as message from finals where not coalesce(secured, false)", "hops"),
@@ -530,8 +523,8 @@ ORACLE_SQL = {
     "page_images": with_inputs(f"""select site, crawl_seq, (row_number() over (partition by crawl_seq order by i) - 1)::int as pos, src, nullif(alt, '') as alt, nullif(try_cast(regexp_extract(w, '^\\s*([+-]?[0-9]+)', 1) as int), 0) as width, nullif(try_cast(regexp_extract(h, '^\\s*([+-]?[0-9]+)', 1) as int), 0) as height from (
       select site, crawl_seq, i, {', '.join(f"regexp_extract(t, {_P._q(chr(40) + '?i)' + n + '=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)[' + chr(34) + chr(39) + ']')}, 1) as {a}" for n, a in (('src', 'src'), ('alt', 'alt'), ('width', 'w'), ('height', 'h')))} from (
       select site, crawl_seq, unnest(regexp_extract_all(html, '(?i)<img[^>]*>', 0)) as t, generate_subscripts(regexp_extract_all(html, '(?i)<img[^>]*>', 0), 1) as i from fetches)) where src <> ''""".replace("\\\\", "\\"), "fetches"),
-    "schema_pages": with_inputs(f"""with {SIGNALS} select site, k as kind, array_to_string((list(url order by crawl_seq))[1:50], chr(10)) as urls from (select site, crawl_seq, url, array_to_string(list_filter(ld_json, lambda x: json_valid(x)), ' ') as a from signals) s
-      join (values ('product', 'Product'), ('article', 'Article'), ('organization', 'Organization')) v(k, w) on contains(a, w) group by site, k""", "fetches"),
+    "schema_pages": with_inputs(f"""with {SIGNALS} select site, k as kind, crawl_seq, url from (select site, crawl_seq, url, array_to_string(list_filter(ld_json, lambda x: json_valid(x)), ' ') as a from signals) s
+      join (values ('product', 'Product'), ('article', 'Article'), ('organization', 'Organization')) v(k, w) on contains(a, w)""", "fetches"),
     "graph_links": with_inputs(f"with {LINKS} select site, crawl_seq, count(*) filter (internal) as internal, count(*) filter (not internal) as external, count(*) filter (internal and nofollow) as nofollow from links group by all", "fetches"),
     "job_status": with_inputs("select site, a as audit, case when a = 'accessibility' then 'unknown' when exists (select 1 from jobs j where j.site = s.site and j.audit = a) then 'failed' else 'completed' end as status from sites s cross join (select unnest(['crawl', 'performance', 'visual', 'accessibility']) as a) k", "sites", "jobs"),
     "selected_audits": f"select site, 1 as ordinal, check_id, severity from ({_C.ORACLE_SQL['robots_findings']})",

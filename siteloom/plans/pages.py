@@ -12,12 +12,13 @@ from siteloom.sources.scratch import keep
 
 
 def _signals(spark, d) -> DataFrame:
-    return jsonld.with_schema(page_signals.page_signals(frame(spark, d, "fetches")))
+    return page_signals.page_signals(frame(spark, d, "fetches"))
 
 
 def _kept(spark, d) -> DataFrame:
     """What the rules read of page signals, as a table: html is scanned once, however many aggregations follow."""
-    return keep(_signals(spark, d).select(*findings.READ), "page-signals")
+    families = ["title", "description", "canonical", "headings", "schema", "mixed_content", "flags"]
+    return keep(page_signals.extract(frame(spark, d, "fetches"), families).select(*findings.READ), "page-signals")
 
 
 def _pages(spark, d) -> DataFrame:

@@ -34,7 +34,7 @@ def test_merged_order_and_failures(spark):
 
 def page(spark, *htmls):
     df = spark.createDataFrame([("r", "h.z", i, f"https://h.z/{i}", 200, h) for i, h in enumerate(htmls)], "run_id string, site string, crawl_seq long, url string, status int, html string")
-    return jsonld.with_schema(page_signals.page_signals(df))
+    return page_signals.page_signals(df)
 
 
 def test_evidence(spark):

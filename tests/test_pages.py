@@ -12,7 +12,7 @@ def fetches(spark, *pages):
 
 def signals(spark, *htmls):
     df = fetches(spark, *((f"https://h.z/{i}", 200, h) for i, h in enumerate(htmls)))
-    return jsonld.with_schema(page_signals.page_signals(df))
+    return page_signals.page_signals(df)
 
 
 def test_scalars(spark):
@@ -96,6 +96,6 @@ def test_findings_algebra(spark):
 
 def test_empty_tables(spark):
     f = spark.createDataFrame([], SCHEMA)
-    s = jsonld.with_schema(page_signals.page_signals(f))
+    s = page_signals.page_signals(f)
     assert findings.technical(s).count() == 0 and findings.scorecard(findings.technical(s), s).count() == 0
     assert page_signals.page_links(f).count() == 0 and site_facts.coverage(f).count() == 0
