@@ -27,8 +27,8 @@ FEATURES = [
 ]
 #: Bins of a feature, and of each side of a pair.
 BINS, COARSE = 64, 16
-#: Bytes of words hashed at once.
-PIECE = 1 << 22
+#: Bytes of words hashed at once, and bytes of texts counted at once.
+PIECE, TOGETHER = 1 << 22, 1 << 21
 
 #: Bytes of each class; a byte's classes are the bits of its code.  "wide" bytes continue a code point.
 _BYTES = {
@@ -72,7 +72,18 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
-    """A row of FEATURES for each text (UTF-8; null: empty).  Memory is about forty times the bytes of the texts."""
+    """A row of FEATURES for each text (UTF-8; null: empty).  Texts are counted some TOGETHER bytes at a time; memory is about forty times those, or the longest text."""
+    parts, held, size = [np.empty((0, len(FEATURES)))], [], 0
+    for t in texts:
+        if held and size + len(t or b"") > TOGETHER:
+            parts.append(_features(held))
+            held, size = [], 0
+        held.append(t)
+        size += len(t or b"")
+    return np.vstack([*parts, _features(held)] if held else parts)
+
+
+def _features(texts: list[bytes | None]) -> np.ndarray:
     n = len(texts)
     sizes = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
     # a line feed after each text keeps words and lines of two texts apart
