@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
-from siteloom.operators import report
+from siteloom.operators import checks, report
 from siteloom.operators.findings import evidence
 from siteloom.operators.site_facts import template
 
 KEY = ["run_id", "site"]
-#: Audits in the order in which they run, each with its checks in the order in which it emits them (fixed values).
-EMISSION = {
-    "crawl": ["crawl.robots_blocked", "crawl.sitemap_missing", "crawl.sitemap_empty", "crawl.sitemap_foreign_host", "crawl.redirect_chain", "crawl.host_conflict", "crawl.http_no_https", "crawl.param_urls"],
-    "technical": ["tech.missing_title", "tech.duplicate_title", "tech.title_long", "tech.title_short", "tech.missing_desc", "tech.duplicate_desc", "tech.desc_long", "tech.missing_h1", "tech.multiple_h1",
-                  "tech.heading_hierarchy", "tech.missing_canonical", "tech.canonical_mismatch", "tech.product_schema", "tech.schema_invalid", "tech.broken_links", "tech.mixed_content", "tech.viewport", "tech.charset", "tech.lang"],
-    "security": ["sec.hsts", "sec.csp", "sec.xframe", "sec.other_headers", "sec.https", "sec.cert_expired", "sec.cert_expiring", "sec.weak_tls", "sec.security_txt", "sec.exposure_notice"],
-    "performance": ["perf.lcp", "perf.cls", "perf.tbt", "perf.fcp", "perf.ttfb", "perf.score", "perf.opportunities", "perf.render_blocking", "perf.images", "perf.bootup", "perf.mainthread", "perf.caching"],
-    "visual": ["visual.model"],
-    "serp": ["serp.model"],
-}
+#: Audits in the order in which they run, each with its checks in the order in which it emits them; the last two are answers of models.
+EMISSION = {**{a: [c.check_id for c in held] for a, held in checks.AUDITS.items()}, "visual": ["visual.model"], "serp": ["serp.model"]}
 FAILED = "audit.failed"
 #: Datasets that a collection run leaves for a site (fixed values).
 DATASETS = ["root_fetch", "redirect_map", "robots_txt", "sitemaps", "sampling_plan", "html_samples", "tls_facts", "dns_facts", "well_known", "lighthouse", "screenshots", "serp_raw", "scan"]
@@ -36,44 +31,70 @@ def _place(audit: Column, check: Column) -> Column:
 
 
 def failures(jobs: DataFrame) -> DataFrame:
-    """A finding for each audit (run_id, site, audit, error) that did not complete."""
-    return jobs.select(*KEY, "audit", F.lit(FAILED).alias("check_id"), F.lit("crawl_unreachable").alias("type"), F.lit("critical").alias("severity"),
-                       F.concat("audit", F.lit(" audit failed to complete")).alias("message"), F.lit(None).cast("array<string>").alias("affected_urls"), evidence(detail=F.col("error")).alias("evidence"), F.lit(0).cast("long").alias("place"))
+    """A finding for each rule audit (run_id, site, audit, error) that did not complete.  A model audit that fails gives none, and costs no score."""
+    rows = jobs.where(F.col("audit").isin(*checks.AUDITS))
+    message = F.concat("audit", F.lit(" audit failed to complete"))
+    return rows.select(
+        *KEY, "audit", F.lit(FAILED).alias("check_id"), F.lit("crawl_unreachable").alias("type"), F.lit("critical").alias("severity"), message.alias("message"),
+        F.lit(None).cast("array<string>").alias("affected_urls"), evidence(detail=F.col("error")).alias("evidence"), F.lit(0).cast("long").alias("place"),
+    )
+
+
+def _rows(audit: str, t: DataFrame) -> DataFrame:
+    """Findings in the common shape; message, evidence, affected_urls and place are optional."""
+    have = set(t.columns)
+    urls_ = F.col("affected_urls") if "affected_urls" in have else F.lit(None).cast("array<string>")
+    basis = F.col("evidence") if "evidence" in have else evidence()
+    place = F.col("place").cast("long") if "place" in have else F.lit(0).cast("long")
+    message = F.col("message") if "message" in have else F.lit(None).cast("string")
+    return t.select(*KEY, F.lit(audit).alias("audit"), "check_id", "type", "severity", message.alias("message"), urls_.alias("affected_urls"), basis.alias("evidence"), place.alias("place"))
+
+
+def united(families: dict[str, list[DataFrame]], failed: DataFrame | None = None) -> DataFrame:
+    """Findings of all audits in one table, in no order: what scores and counts need.  An audit listed in ``failed`` has its failure, if it has one, in place of its findings."""
+    parts = [_rows(audit, t) for audit, tables in families.items() for t in tables]
+    whole = functools.reduce(DataFrame.unionByName, parts)
+    if failed is None:
+        return whole
+    return whole.join(failed.select(*KEY, "audit").distinct(), [*KEY, "audit"], "left_anti").unionByName(failures(failed))
 
 
 def merged(families: dict[str, list[DataFrame]], failed: DataFrame | None = None) -> DataFrame:
     """Findings of all audits: run_id, site, ordinal, audit, check_id, type, severity, message, affected_urls, evidence.
 
-    families: audit -> tables of findings (evidence, affected_urls and place, the order within one
-    check, are optional).  An audit listed in ``failed`` has its failure in place of its findings.
+    families: audit -> tables of findings (evidence, affected_urls and place, the order within one check, are optional).
     ordinal: the order in which a run emits them, audit after audit, from 1 in each site.
     """
-    whole = None
-    for audit, tables in families.items():
-        for t in tables:
-            have = set(t.columns)
-            urls_ = F.col("affected_urls") if "affected_urls" in have else F.lit(None).cast("array<string>")
-            basis = F.col("evidence") if "evidence" in have else evidence()
-            place = F.col("place").cast("long") if "place" in have else F.lit(0).cast("long")
-            rows = t.select(*KEY, F.lit(audit).alias("audit"), "check_id", "type", "severity", "message", urls_.alias("affected_urls"), basis.alias("evidence"), place.alias("place"))
-            whole = rows if whole is None else whole.unionByName(rows)
-    if failed is not None:
-        whole = whole.join(failed.select(*KEY, "audit").distinct(), [*KEY, "audit"], "left_anti").unionByName(failures(failed))
     order = Window.partitionBy(*KEY).orderBy(_place(F.col("audit"), F.col("check_id")), "place", "message")
-    return whole.withColumn("ordinal", F.row_number().over(order)).drop("place")
+    return united(families, failed).withColumn("ordinal", F.row_number().over(order)).drop("place")
 
 
-def job_status(sites: DataFrame, names: list[str], failed: DataFrame) -> DataFrame:
-    """run_id, site, audit, status of the audits asked for: completed, failed, or unknown where no audit has that name."""
-    asked = sites.select(*KEY).distinct().select(*KEY, F.explode(F.array(*(F.lit(n) for n in names))).alias("audit"))
-    known = failed.select(*KEY, "audit", F.lit(True).alias("f")).distinct()
-    rows = asked.join(known, [*KEY, "audit"], "left")
-    return rows.select(*KEY, "audit", F.when(~F.col("audit").isin(*EMISSION), "unknown").when(F.col("f"), "failed").otherwise("completed").alias("status"))
+def run_checks(tables: Mapping[str, Callable[[], DataFrame]], sites: DataFrame, only: Iterable[str] | None = None, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The findings of the audits and checks asked for (by name; all rule audits by default), as ``merged`` has them, and the run's totals.
 
-
-def selected(families: dict[str, list[DataFrame]], names: list[str]) -> dict[str, list[DataFrame]]:
-    """The families of the audits asked for; the others never enter the plan."""
-    return {n: families[n] for n in names if n in families}
+    Totals: run_id, site, completed and failed (the names asked for, in that order), total_findings.  A name that neither an audit nor a check has counts
+    as failed; a name of an audit that did not complete for a site (``failed``: run_id, site, audit, error) is failed there.
+    """
+    names = list(checks.AUDITS) if only is None else list(dict.fromkeys(only))
+    asked, unknown = checks.resolve(names)
+    stopped = None if failed is None else failed.where(F.col("audit").isin(*asked))
+    families = checks.compile(tables, names)
+    if families:
+        found = merged(families, stopped)
+    else:
+        found = merged({"crawl": [failures(sites.limit(0).select(*KEY, F.lit("crawl").alias("audit"), F.lit("").alias("error")))]})
+    owner = {n: n if n in checks.AUDITS else checks.REGISTRY[n][0] for n in names if n not in unknown}
+    spine = sites.select(*KEY).distinct()
+    if stopped is not None:
+        spine = spine.join(stopped.groupBy(*KEY).agg(F.collect_set("audit").alias("stopped")), KEY, "left")
+    else:
+        spine = spine.withColumn("stopped", F.lit(None).cast("array<string>"))
+    gone = lambda n: F.coalesce(F.array_contains("stopped", owner[n]), F.lit(False))
+    some = lambda cells: F.array_compact(F.array(*cells).cast("array<string>"))
+    done = some(F.when(~gone(n), F.lit(n)) for n in names if n in owner)
+    lost = some(F.lit(n) if n in unknown else F.when(gone(n), F.lit(n)) for n in names)
+    totals = spine.select(*KEY, done.alias("completed"), lost.alias("failed")).join(found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_findings")), KEY, "left")
+    return found, totals.withColumn("total_findings", F.coalesce("total_findings", F.lit(0).cast("long")))
 
 
 def datasets(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact
-from siteloom.operators.findings import evidence, sample
+from siteloom.operators.findings import evidence
 from siteloom.sources.scratch import keep
 
 KEY = ["run_id", "site"]
@@ -84,37 +84,21 @@ def ratings(metrics: DataFrame) -> DataFrame:
     return df.withColumns({"overall": F.element_at(F.array(*(F.lit(x) for x in ("unknown", "good", "needs-improvement", "poor"))), worst + 1), "passes_vitals": F.coalesce(vitals, F.lit(False)), "worst_metric": F.array_max(over)["m"]})
 
 
-def lighthouse_findings(metrics: DataFrame) -> DataFrame:
-    """Page-speed findings of each row: check_id, type, severity, message."""
-    shown = lambda m: F.coalesce(F.try_variant_get("v", f"$.audits['{METRICS[m]}'].displayValue", "string"), fixed(_number(METRICS[m]), 2), F.lit("unknown"))
-    number = lambda m: _number(METRICS[m])
+def lighthouse_facts(metrics: DataFrame) -> DataFrame:
+    """What the page-speed rules read of each row of ``lighthouse``: numbers as measured and as shown, savings of audits below one, counts of resources."""
     score = lambda a: _number(a, "score")
     count = lambda a: F.coalesce(F.size(F.try_variant_get("v", f"$.audits['{a}'].details.items", "array<variant>")), F.lit(0))
-    poor = lambda m: F.when(number(m) > LIMITS[m][1], "critical").otherwise("warning")
-    rows = []
-
-    def add(when, check, type_, severity, message):
-        severity = F.lit(severity) if isinstance(severity, str) else severity
-        rows.append(F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(type_).alias("type"), severity.alias("severity"), message.alias("message"))))
-
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    add(number("lcp") > 2500, "perf.lcp", "perf_poor_lcp", poor("lcp"), text("Largest Contentful Paint (LCP) is ", shown("lcp"), " (threshold: 2500ms)"))
-    add(number("cls") > 0.1, "perf.cls", "perf_poor_cls", poor("cls"), text("Cumulative Layout Shift (CLS) is ", shown("cls"), " (threshold: 0.1)"))
-    add(number("tbt") > 200, "perf.tbt", "perf_poor_fid", poor("tbt"), text("Total Blocking Time (TBT) is ", shown("tbt"), " (threshold: 200ms)"))
-    add(number("fcp") > 1800, "perf.fcp", "perf_slow_ttfb", "info", text("First Contentful Paint (FCP) is ", shown("fcp")))
-    add(number("ttfb") > 800, "perf.ttfb", "perf_slow_ttfb", "warning", text("Time to First Byte (TTFB) is ", shown("ttfb"), " (threshold: 800ms)"))
-    s = F.col("score")
-    add(s < 90, "perf.score", "perf_large_html", F.when(s < 50, "critical").otherwise("warning"), text("Performance score is ", s.cast("string"), "/100"))
-    found = F.array_compact(F.array(*(F.when(score(a) < 1, F.coalesce(_number(a), F.lit(0.0))) for a in OPPORTUNITIES)))
-    top = F.aggregate(F.slice(F.sort_array(found, asc=False), 1, 5), F.lit(0.0), lambda x, y: x + y)
-    add(top > 1000, "perf.opportunities", "perf_unoptimized_images", "warning", text(F.size(found).cast("string"), " optimization opportunities identified (potential ", fixed(top / 1024, 1), "KB savings)"))
-    add((score("render-blocking-resources") < 1) & (count("render-blocking-resources") > 0), "perf.render_blocking", "perf_render_blocking", "warning", text(count("render-blocking-resources").cast("string"), " render-blocking resources detected"))
-    issues = F.array_compact(F.array(*(F.when(score(a) < 1, F.lit(n)) for a, n in (("uses-responsive-images", "oversized images"), ("efficiently-encode-images", "inefficient encoding"), ("modern-image-formats", "legacy formats")))))
-    add(F.size(issues) > 0, "perf.images", "perf_unoptimized_images", "warning", text("Image optimization issues: ", F.array_join(issues, ", ")))
-    add(_number("bootup-time") > 1000, "perf.bootup", "perf_large_html", "warning", text("High JavaScript bootup time (", fixed(_number("bootup-time") / 1000, 2), "s)"))
-    add(_number("mainthread-work-breakdown") > 3000, "perf.mainthread", "perf_large_html", "warning", text("Excessive main thread work (", fixed(_number("mainthread-work-breakdown") / 1000, 2), "s)"))
-    add((score("uses-long-cache-ttl") < 1) & (count("uses-long-cache-ttl") > 0), "perf.caching", "perf_large_html", "info", text(count("uses-long-cache-ttl").cast("string"), " static assets lack efficient cache policies"))
-    return metrics.select(*KEY, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(*KEY, "f.*")
+    shown = lambda m: F.coalesce(F.try_variant_get("v", f"$.audits['{METRICS[m]}'].displayValue", "string"), fixed(_number(METRICS[m]), 2), F.lit("unknown"))
+    labels = (("uses-responsive-images", "oversized images"), ("efficiently-encode-images", "inefficient encoding"), ("modern-image-formats", "legacy formats"))
+    savings = F.array_compact(F.array(*(F.when(score(a) < 1, F.coalesce(_number(a), F.lit(0.0))) for a in OPPORTUNITIES)))
+    failing = lambda a: F.when(score(a) < 1, count(a)).otherwise(0)
+    df = metrics.select(
+        *KEY, "score", *(_number(METRICS[m]).alias(f"{m}_number") for m in LIMITS), *(shown(m).alias(f"{m}_shown") for m in LIMITS), savings.alias("savings"), failing("render-blocking-resources").alias("blocking"),
+        F.array_compact(F.array(*(F.when(score(a) < 1, F.lit(n)) for a, n in labels))).alias("image_issues"), _number("bootup-time").alias("bootup"), _number("mainthread-work-breakdown").alias("mainthread"), failing("uses-long-cache-ttl").alias("uncached"),
+    )
+    top = F.aggregate(F.slice(F.sort_array("savings", asc=False), 1, 5), F.lit(0.0), lambda x, y: x + y)
+    df = df.withColumn("top_savings", top)
+    return df.withColumns({"savings_kb": fixed(F.col("top_savings") / 1024, 1), "bootup_s": fixed(F.col("bootup") / 1000, 2), "mainthread_s": fixed(F.col("mainthread") / 1000, 2)})
 
 
 def lighthouse_lists(metrics: DataFrame) -> DataFrame:
@@ -143,11 +127,9 @@ def robots_blocking(robots: DataFrame) -> DataFrame:
     return lines.select(*KEY, "pos", "line", F.explode(names).alias("section"))
 
 
-def robots_findings(blocking: DataFrame) -> DataFrame:
-    per = blocking.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "section", "line"))).alias("s"), F.bool_or(F.col("section") == "home").alias("home"))
-    lines = F.transform(F.slice("s", 1, 10), lambda x: sample(F.lit(None).cast("string"), x["line"]))
-    return per.select(*KEY, F.lit("crawl.robots_blocked").alias("check_id"), F.lit("crawl_robots_blocked").alias("type"), F.when(F.col("home"), "critical").otherwise("warning").alias("severity"),
-                      F.concat(F.lit("robots.txt blocks important sections: "), F.array_join(F.transform("s", lambda x: x["section"]), ", ")).alias("message"), evidence(F.size("s"), lines).alias("evidence"))
+def robots_facts(blocking: DataFrame) -> DataFrame:
+    """Per site: s, the closed sections with their lines in order, and whether the home page is among them."""
+    return blocking.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "section", "line"))).alias("s"), F.bool_or(F.col("section") == "home").alias("home"))
 
 
 def parse_sitemap(body: Column) -> Column:
@@ -185,12 +167,14 @@ def sitemap_walk(files: DataFrame, starts: DataFrame) -> DataFrame:
 
 def sitemap_urls(files: DataFrame, starts: DataFrame, most: int = 50_000) -> DataFrame:
     """run_id, site, seq, url: URLs of the sitemaps that ``sitemap_walk`` reaches, in its order; at most ``most`` a site."""
-    return _numbered(sitemap_walk(files, starts)).where(F.col("seq") <= most).select(*KEY, "seq", "url")
+    return numbered(sitemap_walk(files, starts), most)
 
 
-def _numbered(walk: DataFrame) -> DataFrame:
+def numbered(walk: DataFrame, most: int = 50_000) -> DataFrame:
+    """run_id, site, seq, url of a walk."""
     urls = walk.select(*KEY, "depth", "path", F.posexplode("s.urls").alias("i", "url"))
-    return urls.withColumn("seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("depth", "path", "i")))
+    urls = urls.withColumn("seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("depth", "path", "i")))
+    return urls.where(F.col("seq") <= most).select(*KEY, "seq", "url")
 
 
 def sitemap_errors(walk: DataFrame, most: int = 50_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls
 from siteloom.functions.text import trim
 from siteloom.operators.collected import lookup
-from siteloom.operators.findings import evidence, sample
+from siteloom.operators.findings import evidence
 from siteloom.operators.site_facts import present, tristate, unknown
 
 KEY = ["run_id", "site"]
@@ -50,12 +50,6 @@ def well_known(sites: DataFrame, responses: DataFrame, most: int = 2000) -> Data
     return asked.join(responses, [*KEY, "path"], "left").select(*KEY, "path", "status", snippet.alias("body_snippet"))
 
 
-def security_txt_findings(rows: DataFrame) -> DataFrame:
-    missing = rows.where((F.col("path") == WELL_KNOWN[0]) & ~F.coalesce(F.col("status") == 200, F.lit(False)))
-    return missing.select(*KEY, F.lit("sec.security_txt").alias("check_id"), F.lit("sec_missing_csp").alias("type"), F.lit("info").alias("severity"), F.lit(f"security.txt not found at {WELL_KNOWN[0]}").alias("message"),
-                          evidence(detail=F.coalesce(F.col("status").cast("string"), F.lit("not found"))).alias("evidence"))
-
-
 def dns_facts(records: DataFrame) -> DataFrame:
     """One row a site from records (rtype, pos, value, ttl): lists by type, largest ttl, and whether it resolves and has IPv6."""
     of = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("rtype") == t, F.struct("pos", "value")))), lambda x: x["value"])
@@ -111,31 +105,18 @@ def serp_model_findings(answers: DataFrame) -> DataFrame:
     return rows.withColumns({"type": lookup(F.lower("f.type"), SERP_TYPES, "serp_description_mismatch"), "severity": lookup(F.lower("f.impact"), SERP_SEVERITIES, "info"), "message": F.col("f.description"), "evidence": evidence(detail=F.col("f.type"))}).drop("f")
 
 
-def crawl_findings(robots_refs: DataFrame, sitemap: DataFrame, sites: DataFrame, chains: DataFrame, host_rules: DataFrame, parameterised: DataFrame) -> DataFrame:
-    """Findings on sitemaps, redirects, hosts and parameters: run_id, site, check_id, type, severity, message, evidence."""
+def crawl_facts(robots_refs: DataFrame, sitemap: DataFrame, sites: DataFrame, chains: DataFrame, host_rules: DataFrame, parameterised: DataFrame) -> DataFrame:
+    """Per site: refs, found, foreign and foreign_urls (among its first hundred sitemap URLs), long and long_chain, host_conflict, http_stays, params and param_urls."""
     other = (F.col("seq") <= 100) & (urls.host(F.col("url")) != F.col("site")) & (urls.host(F.col("url")) != "")
-    shown = lambda c, n: F.transform(F.slice(c, 1, n), lambda x: sample(x["url"]))
     refs = robots_refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("refs"))
     # of a hundred URLs at most
     found = sitemap.groupBy(*KEY).agg(F.count(F.lit(1)).alias("found"), F.count_if(other).alias("foreign"), F.array_sort(F.collect_list(F.when(other, F.struct("seq", "url")))).alias("foreign_urls"))
     long = chains.groupBy(*KEY).agg(F.count_if(F.size("chain") > 3).alias("long"), F.min_by("chain", F.when(F.size("chain") > 3, F.col("variant"))).alias("long_chain"))
-    df = sites.select(*KEY).distinct().join(refs, KEY, "left").join(found, KEY, "left").join(long, KEY, "left").join(host_rules.select(*KEY, "host_conflict", "http_stays"), KEY, "left").join(parameterised.select(*KEY, F.col("n").alias("params"), "param_urls"), KEY, "left")
-    df = df.fillna(0, ["refs", "found", "foreign", "long", "params"]).fillna(False, ["host_conflict", "http_stays"])
-    c, rows = F.col, []
-
-    def add(when, check, type_, severity, message, basis=None):
-        message = F.lit(message) if isinstance(message, str) else message
-        basis = evidence() if basis is None else basis
-        rows.append(F.when(when, F.struct(F.lit(check).alias("check_id"), F.lit(type_).alias("type"), F.lit(severity).alias("severity"), message.alias("message"), basis.alias("evidence"))))
-
-    add((c("refs") == 0) & (c("found") == 0), "crawl.sitemap_missing", "crawl_sitemap_missing", "warning", "No sitemap.xml found or referenced in robots.txt")
-    add((c("refs") > 0) & (c("found") == 0), "crawl.sitemap_empty", "crawl_sitemap_empty", "warning", "Sitemap referenced but could not be parsed or is empty")
-    add(c("foreign") > 0, "crawl.sitemap_foreign_host", "crawl_sitemap_missing", "info", "Sitemap contains URLs with non-canonical hostnames", evidence(c("foreign"), shown("foreign_urls", 5)))
-    add(c("long") > 0, "crawl.redirect_chain", "crawl_unreachable", "warning", F.format_string("Excessive redirect chains detected (%d chains with >3 hops)", "long"), evidence(c("long"), F.transform(F.slice("long_chain", 1, 5), lambda x: sample(x["url"], x["status"]))))
-    add(c("host_conflict"), "crawl.host_conflict", "crawl_unreachable", "warning", "Inconsistent host configuration: www and non-www hosts serve different content")
-    add(c("http_stays"), "crawl.http_no_https", "crawl_unreachable", "critical", "HTTP root does not redirect to HTTPS")
-    add(c("params") > 0, "crawl.param_urls", "crawl_unreachable", "info", F.format_string("Detected %d URLs with query parameters", "params"), evidence(c("params"), shown("param_urls", 10)))
-    return df.select(*KEY, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(*KEY, "f.*")
+    hosts, params = host_rules.select(*KEY, "host_conflict", "http_stays"), parameterised.select(*KEY, F.col("n").alias("params"), "param_urls")
+    df = sites.select(*KEY).distinct()
+    for t in (refs, found, long, hosts, params):
+        df = df.join(t, KEY, "left")
+    return df.fillna(0, ["refs", "found", "foreign", "long", "params"]).fillna(False, ["host_conflict", "http_stays"])
 
 
 def parameterised_count(pages: DataFrame, first: int = 200) -> DataFrame:
@@ -144,11 +125,6 @@ def parameterised_count(pages: DataFrame, first: int = 200) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("r", "url"))).alias("param_urls"))
 
 
-def https_findings(host_rules: DataFrame) -> DataFrame:
-    bad = host_rules.where(~F.col("https_enforced"))
-    return bad.select(*KEY, F.lit("sec.https").alias("check_id"), F.lit("sec_missing_https").alias("type"), F.lit("critical").alias("severity"), F.lit("HTTPS is not properly enforced").alias("message"), evidence(detail=F.lit("false")).alias("evidence"))
-
-
 def error_code(message: Column) -> Column:
     """Kind of a fetch error by its text."""
     m = F.coalesce(message, F.lit(""))

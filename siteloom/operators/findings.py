@@ -73,8 +73,8 @@ def page_checks() -> list[PageCheck]:
     ]
 
 
-def run_page_checks(signals: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """run_id, site, check_id, type, severity, n, message, affected_urls, evidence of the page rules that fire.
+def run_page_checks(signals: DataFrame, only: list[str] | None = None, brief: bool = False) -> DataFrame:
+    """run_id, site, check_id, type, severity, n, message, affected_urls, evidence of the page rules that fire; ``brief``: without the last three.
 
     ``only``: check ids; the others never enter the plan, unknown ones raise.  One pass: each
     page gives a row for each rule it breaks, counted by site; URL lists are the first ones by
@@ -86,18 +86,19 @@ def run_page_checks(signals: DataFrame, only: list[str] | None = None) -> DataFr
             raise ValueError(f"unknown checks: {sorted(unknown)}")
         checks = [c for c in checks if c.check_id in only]
     broken = F.array_compact(F.array(*(F.when(F.expr(c.matches), F.struct(F.lit(i).alias("i"), F.expr(c.weight or "1").cast("long").alias("w"), F.expr(c.value or "null").cast("string").alias("value"))) for i, c in enumerate(checks))))
+    at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("i") + 1)
+    named = [at([c.check_id for c in checks]).alias("check_id"), at([c.type for c in checks]).alias("type"), at([c.severity for c in checks]).alias("severity")]
     rows = signals.select(*KEY, "crawl_seq", "url", F.explode(broken).alias("b")).select(*KEY, "crawl_seq", "url", "b.i", "b.w", "b.value")
+    if brief:
+        return rows.groupBy(*KEY, "i").agg(F.sum("w").alias("n")).select(*KEY, *named, "n")
     most = max(c.samples for c in checks)
     place = F.row_number().over(Window.partitionBy(*KEY, "i").orderBy("crawl_seq", "url"))
     urls = rows.withColumn("r", place).where(F.col("r") <= most).groupBy(*KEY, "i").agg(F.array_sort(F.collect_list(F.struct("r", "url", "value"))).alias("u"))
     counts = rows.groupBy(*KEY, "i").agg(F.sum("w").alias("n"), F.max(F.col("value").try_cast("long")).alias("most"))
-    at = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("i") + 1)
     out = counts.join(urls, [*KEY, "i"])
     return out.select(
         *KEY,
-        at([c.check_id for c in checks]).alias("check_id"),
-        at([c.type for c in checks]).alias("type"),
-        at([c.severity for c in checks]).alias("severity"),
+        *named,
         "n",
         F.replace(at([c.message for c in checks]), F.lit("%d"), F.col("n").cast("string")).alias("message"),
         F.slice("u.url", F.lit(1), at([c.samples for c in checks])).alias("affected_urls"),
@@ -119,12 +120,14 @@ def evidence(count: Column | None = None, samples: Column | None = None, detail:
     )
 
 
-def duplicates(signals: DataFrame, column: str, check_id: str, type_: str, message: str, shown: int = 60) -> DataFrame:
-    """Pages of a site that share a value (lower case, trimmed): groups of two or more, counted; first URLs group by group.
-    Evidence: the first five groups, each with its first three URLs, its value (``shown`` characters) and its size."""
+def duplicate_facts(signals: DataFrame, column: str, shown: int = 60, brief: bool = False) -> DataFrame:
+    """Pages of a site that share a value (lower case, trimmed) in groups of two or more: n pages, groups, the first URLs group by group (20),
+    and as samples the first five groups, each with its first three URLs, its value (``shown`` characters) and its size; ``brief``: the counts only."""
     rows = signals.where(F.col(column).isNotNull()).select(*KEY, "crawl_seq", "url", text.trim(F.lower(column)).alias("v"))
     groups = rows.groupBy(*KEY, "v").agg(F.count(F.lit(1)).alias("pages"), F.min("crawl_seq").alias("first")).where("pages > 1")
     totals = groups.groupBy(*KEY).agg(F.count(F.lit(1)).alias("groups"), F.sum("pages").alias("n"))
+    if brief:
+        return totals
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "v", "crawl_seq", "url"))
     urls = rows.join(groups, [*KEY, "v"]).withColumn("r", place).where("r <= 20").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("u"))
     some = groups.withColumn("g", F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "v"))).where("g <= 5")
@@ -132,28 +135,19 @@ def duplicates(signals: DataFrame, column: str, check_id: str, type_: str, messa
     three = rows.join(some, [*KEY, "v"]).withColumn("r", inside).where("r <= 3").groupBy(*KEY, "g", "v", "pages").agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("u"))
     entry = sample(F.array_join("u.url", " "), F.concat(F.substring("v", 1, shown), F.lit(" x"), F.col("pages").cast("string")))
     seen = three.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", entry.alias("e")))), lambda x: x["e"]).alias("samples"))
-    out = totals.join(urls, KEY).join(seen, KEY)
-    return out.select(*KEY, F.lit(check_id).alias("check_id"), F.lit(type_).alias("type"), F.lit("warning").alias("severity"), "n", F.format_string(message, "n", "groups").alias("message"), F.col("u.url").alias("affected_urls"),
-                      evidence(F.col("n"), F.col("samples")).alias("evidence"))
-
-
-def technical(signals: DataFrame) -> DataFrame:
-    """All findings from page signals."""
-    titles = duplicates(signals, "title", "tech.duplicate_title", "tech_duplicate_title", "%1$d pages have duplicate titles (%2$d unique duplicates)")
-    descriptions = duplicates(signals, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions", 100)
-    return run_page_checks(signals).unionByName(titles).unionByName(descriptions)
+    return totals.join(urls, KEY).join(seen, KEY).select(*KEY, "n", "groups", F.col("u.url").alias("urls"), "samples")
 
 
-def broken_link_findings(broken: DataFrame) -> DataFrame:
-    """One finding for each site with broken internal links; the first targets by crawl order, ten of them with how many pages link to them in the evidence."""
+def broken_link_facts(broken: DataFrame, brief: bool = False) -> DataFrame:
+    """Per site with broken internal links: n targets, pages that hold them, the first targets by crawl order (20), ten of them as samples with how many pages link to them; ``brief``: the counts only."""
+    if brief:
+        return broken.groupBy(*KEY).agg(F.count_distinct("link_url").alias("n"), F.count_distinct("url").alias("pages"))
     targets = broken.groupBy(*KEY, "link_url").agg(F.min(F.struct("crawl_seq", "pos")).alias("first"), F.count_distinct("url").alias("from"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "link_url"))
     shown = targets.withColumn("r", place).where("r <= 20").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "link_url", "from"))).alias("u"))
     totals = broken.groupBy(*KEY).agg(F.count_distinct("link_url").alias("n"), F.count_distinct("url").alias("pages"))
-    out = totals.join(shown, KEY)
-    message = F.format_string("%d broken internal links found across %d pages", "n", "pages")
-    return out.select(*KEY, F.lit("tech.broken_links").alias("check_id"), F.lit("tech_broken_links").alias("type"), F.lit("warning").alias("severity"), "n", message.alias("message"), F.col("u.link_url").alias("affected_urls"),
-                      evidence(F.col("n"), F.transform(F.slice("u", 1, 10), lambda x: sample(x["link_url"], x["from"]))).alias("evidence"))
+    samples = F.transform(F.slice("u", 1, 10), lambda x: sample(x["link_url"], x["from"]))
+    return totals.join(shown, KEY).select(*KEY, "n", "pages", F.col("u.link_url").alias("urls"), samples.alias("samples"))
 
 
 def category(type_: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
-from siteloom.operators.findings import evidence
 
 KEY = ["run_id", "site"]
 #: Response headers looked at, and those that the checks ask for (fixed values).
@@ -73,21 +72,11 @@ def security_headers(roots: DataFrame) -> DataFrame:
     return rows.select(*KEY, "header", state.alias("state"))
 
 
-def header_findings(states: DataFrame) -> DataFrame:
-    """Findings for missing headers; unknown counts as missing."""
+def header_facts(states: DataFrame) -> DataFrame:
+    """Per site: m, the headers asked for that are missing (unknown counts as missing), and rest, those of them that have no check of their own, sorted."""
     missing = states.where((F.col("state.state") != "present") & F.col("header").isin(CHECKED))
-    per = missing.groupBy(*KEY).agg(F.collect_set("header").alias("m"))
-    has = lambda h: F.array_contains("m", h)
-    others = F.size(F.array_except("m", F.array(*(F.lit(h) for h in ("strict-transport-security", "content-security-policy", "x-frame-options")))))
-    rest = F.array_sort(F.array_except("m", F.array(*(F.lit(h) for h in ("strict-transport-security", "content-security-policy", "x-frame-options")))))
-    row = lambda when, cid, t, sev, msg, basis=None: F.when(when, F.struct(F.lit(cid).alias("check_id"), F.lit(t).alias("type"), F.lit(sev).alias("severity"), msg.alias("message"), (evidence() if basis is None else basis).alias("evidence")))
-    rows = F.array_compact(F.array(
-        row(has("strict-transport-security"), "sec.hsts", "sec_missing_hsts", "critical", F.lit("Missing Strict-Transport-Security (HSTS) header")),
-        row(has("content-security-policy"), "sec.csp", "sec_missing_csp", "warning", F.lit("Missing Content-Security-Policy header")),
-        row(has("x-frame-options"), "sec.xframe", "sec_missing_xframe", "warning", F.lit("Missing X-Frame-Options header")),
-        row(others > 0, "sec.other_headers", "sec_missing_csp", "info", F.concat(others.cast("string"), F.lit(" additional security headers missing")), evidence(others, detail=F.array_join(rest, ", "))),
-    ))
-    return per.select(*KEY, F.explode(rows).alias("f")).select(*KEY, "f.*")
+    own = F.array(*(F.lit(h) for h in ("strict-transport-security", "content-security-policy", "x-frame-options")))
+    return missing.groupBy(*KEY).agg(F.collect_set("header").alias("m")).withColumn("rest", F.array_sort(F.array_except("m", own)))
 
 
 def hsts(value: Column) -> Column:
@@ -158,16 +147,6 @@ def certificates(tls: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def certificate_findings(certificates: DataFrame) -> DataFrame:
-    """Finding rows of ``certificates``: expired or expiring, and weak protocols."""
-    row = lambda when, cid, t, sev, msg, detail: F.when(when, F.struct(F.lit(cid).alias("check_id"), F.lit(t).alias("type"), F.lit(sev).alias("severity"), msg.alias("message"), evidence(detail=F.col(detail)).alias("evidence")))
-    d = F.col("days_floor")
-    rows = F.array_compact(F.array(
-        row(d < 0, "sec.cert_expired", "sec_expired_cert", "critical", F.col("cert_finding"), "expiry_date"), row((d >= 0) & (d < 30), "sec.cert_expiring", "sec_expired_cert", "warning", F.col("cert_finding"), "expiry_date"),
-        row(F.col("weak_protocol"), "sec.weak_tls", "sec_weak_tls", "warning", F.concat(F.lit("Weak TLS protocol detected: "), F.col("protocol")), "protocol")))
-    return certificates.select(*KEY, F.explode(rows).alias("f")).select(*KEY, "f.*")
-
-
 def _named(record: Column, names: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for mark, name in reversed(names.items()):
@@ -299,8 +278,6 @@ def private_flags(fetches: DataFrame) -> DataFrame:
     return counts.join(inner, KEY, "left").select(*KEY, F.explode(flags).alias("f")).select(*KEY, "f.*").where("n > 0")
 
 
-def exposure_notice(flags: DataFrame) -> DataFrame:
-    """The public notice: how many flags of which types, and nothing else of them."""
-    per = flags.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
-    return per.select(*KEY, F.lit("sec.exposure_notice").alias("check_id"), F.lit("sec_missing_csp").alias("type"), F.lit("warning").alias("severity"), F.lit("Potential exposure observed, requires review").alias("message"), "n", "types",
-                      evidence(F.col("n"), detail=F.array_join("types", ", ")).alias("evidence"))
+def exposure_facts(flags: DataFrame) -> DataFrame:
+    """What the public notice may tell: how many flags of which types, and nothing else of them."""
+    return flags.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"))

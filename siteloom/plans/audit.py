@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact, urls
-from siteloom.operators import audit, collected, collectors, findings, images, jsonld, link_graph, page_signals, report, site_facts
+from siteloom.operators import audit, checks, collected, collectors, findings, images, jsonld, link_graph, page_signals, report, site_facts
 from siteloom.plans import collected as collected_plans
 from siteloom.plans import pages as page_plans
 from siteloom.plans import site as site_plans
@@ -37,36 +37,56 @@ CTES["model_traces"] = "select concat('run', cast(user_id % 50 as varchar(10)))
 CTES["reports"] = """select 'r1' as run_id, cast(conv_id as varchar(20)) as site, case turn % 3 when 2 then 'no json' when 1 then '{"categories":{}}' else concat('{"summary":{"score":', cast(50 + conv_id % 50 as varchar(10)), ',"grade":"B","headline":"h"},"priorities":[{"title":"a","impact":"high"},{"title":"b","impact":"low"}],"categories":{"Crawl":{"score":', cast(conv_id % 100 as varchar(10)), ',"findings":[{"type":"t","severity":"info","message":"m"}]},"serp":{"score":40,"findings":[]}}}') end as text, turn from conversations"""
 
 
-def _tables(spark, d) -> dict[str, DataFrame]:
-    """What several findings read, each written once."""
-    refs = collected.sitemap_refs(frame(spark, d, "robots"))
-    walk = collected.sitemap_walk(frame(spark, d, "sitemap_files"), refs)
-    return {
-        "signals": page_plans._kept(spark, d), "links": page_plans._kept_links(spark, d), "pages": page_plans._pages(spark, d), "refs": refs, "walk": walk,
-        "sitemap": keep(collected._numbered(walk).where("seq <= 50000").select("run_id", "site", "seq", "url"), "sitemap-urls"), "chains": site_facts.redirect_chains(frame(spark, d, "hops")), "sites": frame(spark, d, "sites"),
-    }
+def _tables(spark, d) -> dict:
+    """What checks and site rows read of a run: functions that make each table once, when it is first asked for."""
+    made: dict[str, DataFrame] = {}
+
+    def once(name, make):
+        def read() -> DataFrame:
+            if name not in made:
+                made[name] = make()
+            return made[name]
+
+        return read
+
+    t = {}
+    t["fetches"] = once("fetches", lambda: frame(spark, d, "fetches"))
+    t["pages"] = once("pages", lambda: page_plans._pages(spark, d))
+    t["urls"] = once("urls", lambda: frame(spark, d, "urls"))
+    t["sites"] = once("sites", lambda: frame(spark, d, "sites"))
+    t["signals"] = once("signals", lambda: page_plans._kept(spark, d))
+    t["broken_links"] = once("broken_links", lambda: keep(link_graph.broken_links(page_plans._links(spark, d), t["pages"]()), "broken-links"))
+    t["robots"] = once("robots", lambda: frame(spark, d, "robots"))
+    t["sitemap_refs"] = once("sitemap_refs", lambda: collected.sitemap_refs(t["robots"]()))
+    t["walk"] = once("walk", lambda: collected.sitemap_walk(frame(spark, d, "sitemap_files"), t["sitemap_refs"]()))
+    t["sitemap_urls"] = once("sitemap_urls", lambda: keep(collected.numbered(t["walk"]()), "sitemap-urls"))
+    t["chains"] = once("chains", lambda: site_facts.redirect_chains(frame(spark, d, "hops")))
+    t["header_states"] = once("header_states", lambda: site_plans._states(spark, d))
+    t["certificates"] = once("certificates", lambda: site_facts.certificates(frame(spark, d, "tls"), F.to_timestamp(F.lit(AS_OF))))
+    t["responses"] = once("responses", lambda: frame(spark, d, "responses"))
+    t["private_flags"] = once("private_flags", lambda: site_facts.private_flags(t["fetches"]()))
+    t["lighthouse"] = once("lighthouse", lambda: collected.lighthouse(frame(spark, d, "site_lighthouse")))
+    return t
 
 
 def _model_rows(rows: DataFrame, check: str) -> DataFrame:
     return rows.select("run_id", "site", F.lit(check).alias("check_id"), "type", "severity", "message", "evidence", (F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("pos")).alias("place"))
 
 
-def _merged(spark, d, t: dict[str, DataFrame] | None = None) -> DataFrame:
-    t = t or _tables(spark, d)
-    rules = site_facts.host_rules(t["chains"])
-    certificates = site_facts.certificates(frame(spark, d, "tls"), F.to_timestamp(F.lit(AS_OF)))
-    return audit.merged(
-        {
-            "crawl": [collected.robots_findings(collected.robots_blocking(frame(spark, d, "robots"))), collectors.crawl_findings(t["refs"], t["sitemap"], t["sites"], t["chains"], rules, collectors.parameterised_count(frame(spark, d, "urls")))],
-            "technical": [findings.technical(t["signals"]), findings.broken_link_findings(keep(link_graph.broken_links(t["links"], t["pages"]), "broken-links"))],
-            "security": [site_facts.header_findings(site_plans._states(spark, d)), collectors.https_findings(rules), site_facts.certificate_findings(certificates),
-                         collectors.security_txt_findings(collectors.well_known(t["sites"], frame(spark, d, "responses"))), site_facts.exposure_notice(site_facts.private_flags(frame(spark, d, "fetches")))],
-            "performance": [collected.lighthouse_findings(collected.lighthouse(frame(spark, d, "site_lighthouse")))],
-            "visual": [_model_rows(collected.model_findings(frame(spark, d, "site_answers")), "visual.model")],
-            "serp": [_model_rows(collectors.serp_model_findings(frame(spark, d, "serp_answers")), "serp.model")],
-        },
-        frame(spark, d, "jobs"),
-    )
+def _families(spark, d, t: dict, brief: bool = False) -> dict[str, list[DataFrame]]:
+    """Findings of the rule audits and of both kinds of model answers."""
+    visual, serp = collected.model_findings(frame(spark, d, "site_answers")), collectors.serp_model_findings(frame(spark, d, "serp_answers"))
+    return {**checks.compile(t, brief=brief), "visual": [_model_rows(visual, "visual.model")], "serp": [_model_rows(serp, "serp.model")]}
+
+
+def _merged(spark, d, t: dict | None = None) -> DataFrame:
+    return audit.merged(_families(spark, d, t or _tables(spark, d)), frame(spark, d, "jobs"))
+
+
+def _counted(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Site, type and severity of all findings, for scores and counts; and the sites."""
+    found = audit.united(_families(spark, d, _tables(spark, d), brief=True), frame(spark, d, "jobs"))
+    return found.select("run_id", "site", "type", "severity"), frame(spark, d, "sites").select("run_id", "site")
 
 
 def _kept(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -78,21 +98,21 @@ def q_merged_findings(spark, d):
 
 
 def q_site_scorecard(spark, d):
-    f, sites = _kept(spark, d)
+    f, sites = _counted(spark, d)
     return findings.scorecard(f, sites).drop("run_id")
 
 
 def q_category_scores(spark, d):
-    f, sites = _kept(spark, d)
+    f, sites = _counted(spark, d)
     return findings.category_scores(f, sites).drop("run_id")
 
 
 def q_findings_summary(spark, d):
-    return findings.summary(_kept(spark, d)[0]).drop("run_id")
+    return findings.summary(_counted(spark, d)[0]).drop("run_id")
 
 
 def q_deterministic_split(spark, d):
-    f = _kept(spark, d)[0]
+    f = _counted(spark, d)[0]
     return f.groupBy("site", findings.is_deterministic(F.col("type")).alias("deterministic"), findings.category(F.col("type")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +144,7 @@ def q_fallback_report(spark, d):
 
 
 def q_failed_runs(spark, d):
-    f, sites = _kept(spark, d)
+    f, sites = _counted(spark, d)
     return findings.failed_runs(findings.scorecard(f, sites)).select("site", "grade")
 
 
@@ -160,7 +180,7 @@ def q_serp_queries(spark, d):
 
 
 def q_certificate_findings(spark, d):
-    return site_facts.certificate_findings(site_facts.certificates(frame(spark, d, "tls"), F.to_timestamp(F.lit(AS_OF)))).select("site", "check_id", "type", "severity", "message", F.col("evidence.detail").alias("detail"))
+    return checks.apply("certificates", site_facts.certificates(frame(spark, d, "tls"), F.to_timestamp(F.lit(AS_OF)))).select("site", "check_id", "type", "severity", "message", F.col("evidence.detail").alias("detail"))
 
 
 def q_tls_facts(spark, d):
@@ -168,7 +188,7 @@ def q_tls_facts(spark, d):
 
 
 def q_https_findings(spark, d):
-    return collectors.https_findings(site_facts.host_rules(site_facts.redirect_chains(frame(spark, d, "hops")))).select("site", "check_id", "type", "severity", "message")
+    return checks.apply("hosts", site_facts.host_rules(site_facts.redirect_chains(frame(spark, d, "hops")))).select("site", "check_id", "type", "severity", "message")
 
 
 def q_complete_chains(spark, d):
@@ -229,7 +249,7 @@ def _coverage(spark, d, t) -> DataFrame:
     facts = audit.datasets(frame(spark, d, "dataset_rows")).groupBy("run_id", "site").agg(*(has(n) for n in ("sitemaps", "tls_facts", "lighthouse", "screenshots", "serp_raw", "scan")))
     dns = collectors.dns_facts(frame(spark, d, "dns")).select("run_id", "site", F.col("resolved").alias("dns_resolved"))
     facts = frame(spark, d, "sites").select("run_id", "site").join(facts, ["run_id", "site"], "left").join(dns, ["run_id", "site"], "left").fillna(False)
-    return audit.coverage_report(pages, facts, collected.sitemap_errors(t["walk"]), t["sitemap"])
+    return audit.coverage_report(pages, facts, collected.sitemap_errors(t["walk"]()), t["sitemap_urls"]())
 
 
 _LISTS = ["blocked_urls", "fetch_errors", "timeout_urls", "oversized_urls", "limitations", "warnings"]
@@ -244,8 +264,8 @@ def _site_rows(spark, d) -> DataFrame:
     t = _tables(spark, d)
     kept = keep(_merged(spark, d, t), "findings")
     return audit.site_rows(
-        t["sites"], _coverage(spark, d, t), site_plans._states(spark, d), site_facts.host_rules(t["chains"]), frame(spark, d, "robots"), site_facts.url_set(frame(spark, d, "fetches"), t["sitemap"]), site_facts.url_templates(frame(spark, d, "urls")),
-        t["signals"].groupBy("run_id", "site").agg(F.bool_or("mixed_content").alias("mixed")), report.data_quality(audit.datasets(frame(spark, d, "dataset_rows")).withColumn("ok", F.col("has_data"))).select("run_id", "site", "quality"), kept,
+        t["sites"](), _coverage(spark, d, t), t["header_states"](), site_facts.host_rules(t["chains"]()), t["robots"](), site_facts.url_set(t["fetches"](), t["sitemap_urls"]()), site_facts.url_templates(t["urls"]()),
+        t["signals"]().groupBy("run_id", "site").agg(F.bool_or("mixed_content").alias("mixed")), report.data_quality(audit.datasets(frame(spark, d, "dataset_rows")).withColumn("ok", F.col("has_data"))).select("run_id", "site", "quality"), kept,
     )
 
 
@@ -345,13 +365,18 @@ def q_graph_links(spark, d):
     return links.groupBy("site", "crawl_seq").agg(F.count_if("internal").alias("internal"), F.count_if(~F.col("internal")).alias("external"), F.count_if(F.col("internal") & F.col("nofollow")).alias("nofollow"))
 
 
-def q_job_status(spark, d):
-    return audit.job_status(frame(spark, d, "sites"), ["crawl", "performance", "visual", "accessibility"], frame(spark, d, "jobs")).drop("run_id")
+_PICKED = ["crawl", "tech.lang", "performance", "visual", "accessibility"]
+
+
+def q_run_totals(spark, d):
+    """Totals of a run of one audit, one check, an audit that stops for some sites, and two names that no rule audit has."""
+    totals = audit.run_checks(_tables(spark, d), frame(spark, d, "sites"), _PICKED, frame(spark, d, "jobs"))[1]
+    return totals.select("site", F.array_join("completed", ",").alias("completed"), F.array_join("failed", ",").alias("failed"), "total_findings")
 
 
 def q_selected_audits(spark, d):
-    rows = {"performance": [collected.lighthouse_findings(collected.lighthouse(frame(spark, d, "site_lighthouse")))], "crawl": [collected.robots_findings(collected.robots_blocking(frame(spark, d, "robots")))]}
-    return audit.merged(audit.selected(rows, ["crawl"])).select("site", "ordinal", "check_id", "severity")
+    found = audit.run_checks(_tables(spark, d), frame(spark, d, "sites"), _PICKED, frame(spark, d, "jobs"))[0]
+    return found.select("site", "ordinal", "audit", "check_id", "severity", "message")
 
 
 def q_header_values(spark, d):
@@ -413,7 +438,7 @@ fam as (select 'technical' as audit, site, check_id, type, severity, message, 0:
  union all select 'visual', site, 'visual.model', type, severity, message, conv_id * 1000000 + turn * 1000 + pos, '', null, '', said from ({_VISUAL.replace('f.description as message', 'f.description as message, f.category as said')})
  union all select 'serp', site, 'serp.model', type, severity, message, conv_id * 1000000 + turn * 1000 + pos, '', null, '', said from ({_SERP.replace('f.description as message', 'f.description as message, f.type as said')})),
 whole as (select f.* from fam f where not exists (select 1 from jobs j where j.site = f.site and j.audit = f.audit)
- union all select audit, site, 'audit.failed', 'crawl_unreachable', 'critical', concat(audit, ' audit failed to complete'), 0, '', null, '', error from jobs),
+ union all select audit, site, 'audit.failed', 'crawl_unreachable', 'critical', concat(audit, ' audit failed to complete'), 0, '', null, '', error from jobs where audit not in ('visual', 'serp')),
 merged as (select *, row_number() over (partition by site order by {_ORD}, place, message)::int as ordinal from whole)"""
 _INPUTS = ("fetches", "robots", "sitemap_files", "sites", "hops", "urls", "headers", "tls", "responses", "jobs", "site_answers", "serp_answers")
 _CAT = "case split_part(type, '_', 1) when 'tech' then 'technical' when 'sec' then 'security' when 'perf' then 'performance' else split_part(type, '_', 1) end"
@@ -526,8 +551,11 @@ ORACLE_SQL = {
     "schema_pages": with_inputs(f"""with {SIGNALS} select site, k as kind, crawl_seq, url from (select site, crawl_seq, url, array_to_string(list_filter(ld_json, lambda x: json_valid(x)), ' ') as a from signals) s
       join (values ('product', 'Product'), ('article', 'Article'), ('organization', 'Organization')) v(k, w) on contains(a, w)""", "fetches"),
     "graph_links": with_inputs(f"with {LINKS} select site, crawl_seq, count(*) filter (internal) as internal, count(*) filter (not internal) as external, count(*) filter (internal and nofollow) as nofollow from links group by all", "fetches"),
-    "job_status": with_inputs("select site, a as audit, case when a = 'accessibility' then 'unknown' when exists (select 1 from jobs j where j.site = s.site and j.audit = a) then 'failed' else 'completed' end as status from sites s cross join (select unnest(['crawl', 'performance', 'visual', 'accessibility']) as a) k", "sites", "jobs"),
-    "selected_audits": f"select site, 1 as ordinal, check_id, severity from ({_C.ORACLE_SQL['robots_findings']})",
+    "run_totals": _sql(f"""select s.site,
+        case when lost then 'crawl,tech.lang' else 'crawl,tech.lang,performance' end as completed, case when lost then 'performance,visual,accessibility' else 'visual,accessibility' end as failed,
+        (select count(*) from merged m where m.site = s.site and (m.audit in ('crawl', 'performance') or m.check_id = 'tech.lang')) as total_findings
+      from (select site, exists (select 1 from jobs j where j.site = s.site and j.audit = 'performance') as lost from sites s) s"""),
+    "selected_audits": _sql("select site, row_number() over (partition by site order by ordinal)::int as ordinal, audit, check_id, severity, message from merged where audit in ('crawl', 'performance') or check_id = 'tech.lang'"),
     "header_values": with_inputs(f"with {site_plans._STATES} select site, header, case when state = 'present' then value else '(none)' end as value from states", "sites", "headers"),
     "touched_sites": with_inputs("select site, count(*) as pages, count(*) filter (status = 404) as missing from fetches where site in (select site from fetches where crawl_seq % 10 = 1) group by site", "fetches"),
 }

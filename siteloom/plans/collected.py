@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact, urls
-from siteloom.operators import collected, collectors, page_signals, site_facts
+from siteloom.operators import checks, collected, collectors, page_signals, site_facts
 from siteloom.plans import pages as page_plans
 from siteloom.plans.inputs import CTES, frame, with_inputs
 from siteloom.plans.pages import SIGNALS, _normal
@@ -55,7 +55,7 @@ def q_worst_metric(spark, d):
 
 
 def q_lighthouse_findings(spark, d):
-    return collected.lighthouse_findings(_lh(spark, d)).drop("run_id")
+    return checks.apply("lighthouse", collected.lighthouse_facts(_lh(spark, d))).select("site", "check_id", "type", "severity", "message")
 
 
 def q_robots_blocking(spark, d):
@@ -63,7 +63,7 @@ def q_robots_blocking(spark, d):
 
 
 def q_robots_findings(spark, d):
-    return collected.robots_findings(collected.robots_blocking(frame(spark, d, "robots"))).drop("run_id", "evidence")
+    return checks.apply("robots", collected.robots_facts(collected.robots_blocking(frame(spark, d, "robots")))).select("site", "check_id", "type", "severity", "message")
 
 
 def q_sitemap_refs(spark, d):
@@ -134,7 +134,7 @@ def q_well_known(spark, d):
 
 
 def q_security_txt(spark, d):
-    return collectors.security_txt_findings(collectors.well_known(frame(spark, d, "sites"), frame(spark, d, "responses"))).drop("run_id", "evidence")
+    return checks.apply("well_known", collectors.well_known(frame(spark, d, "sites"), frame(spark, d, "responses"))).select("site", "check_id", "type", "severity", "message")
 
 
 def q_dns_facts(spark, d):
@@ -154,7 +154,8 @@ def q_crawl_findings(spark, d):
     chains = site_facts.redirect_chains(frame(spark, d, "hops"))
     refs = collected.sitemap_refs(frame(spark, d, "robots"))
     pages = frame(spark, d, "urls")
-    return collectors.crawl_findings(refs, collected.sitemap_urls(frame(spark, d, "sitemap_files"), refs), frame(spark, d, "sites"), chains, site_facts.host_rules(chains), collectors.parameterised_count(pages)).drop("run_id", "evidence")
+    facts = collectors.crawl_facts(refs, collected.sitemap_urls(frame(spark, d, "sitemap_files"), refs), frame(spark, d, "sites"), chains, site_facts.host_rules(chains), collectors.parameterised_count(pages))
+    return checks.apply("crawl", facts).select("site", "check_id", "type", "severity", "message")
 
 
 def q_stream_page_signals(spark, d):

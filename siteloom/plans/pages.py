@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import SPACES, WS
-from siteloom.operators import findings, images, jsonld, link_graph, page_signals
+from siteloom.operators import checks, findings, images, jsonld, link_graph, page_signals
 from siteloom.plans.inputs import frame, with_inputs
 from siteloom.sources.scratch import keep
 
@@ -65,9 +65,8 @@ def _group(name):
 
 def q_duplicate_findings(spark, d):
     s = _kept(spark, d)
-    a = findings.duplicates(s, "title", "tech.duplicate_title", "tech_duplicate_title", "%1$d pages have duplicate titles (%2$d unique duplicates)")
-    b = findings.duplicates(s, "meta_description", "tech.duplicate_desc", "tech_duplicate_meta_desc", "%1$d pages have duplicate meta descriptions", 100)
-    return _flat(a.unionByName(b))
+    titles, descriptions = (checks.apply(name, checks.INPUTS[name].build(s)) for name in ("titles", "descriptions"))
+    return _flat(titles.unionByName(descriptions))
 
 
 def q_page_links(spark, d):
@@ -83,7 +82,7 @@ def q_broken_links(spark, d):
 
 
 def q_broken_link_findings(spark, d):
-    return _flat(findings.broken_link_findings(keep(link_graph.broken_links(_links(spark, d), _pages(spark, d)), "broken-links")))
+    return _flat(checks.apply("links", findings.broken_link_facts(keep(link_graph.broken_links(_links(spark, d), _pages(spark, d)), "broken-links"))))
 
 
 def q_orphan_pages(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.operators import page_signals, site_facts
+from siteloom.operators import checks, page_signals, site_facts
 from siteloom.plans.inputs import CTES, frame, with_inputs
 from siteloom.plans.pages import SIGNALS, _path, _q
 
@@ -37,7 +37,7 @@ def q_security_headers(spark, d):
 
 
 def q_header_findings(spark, d):
-    return site_facts.header_findings(_states(spark, d)).drop("run_id", "evidence")
+    return checks.apply("headers", site_facts.header_facts(_states(spark, d))).select("site", "check_id", "type", "severity", "message")
 
 
 def q_hsts(spark, d):
@@ -104,7 +104,9 @@ def q_exposure_flags(spark, d):
 
 
 def q_exposure_notice(spark, d):
-    return site_facts.exposure_notice(site_facts.private_flags(frame(spark, d, "fetches"))).drop("run_id", "evidence").withColumn("types", F.array_join("types", ","))
+    facts = site_facts.exposure_facts(site_facts.private_flags(frame(spark, d, "fetches")))
+    out = checks.apply("exposure", facts).select("site", "check_id", "type", "severity", "message", "n", F.replace("evidence.detail", F.lit(", "), F.lit(",")).alias("types"))
+    return out
 
 
 QUERIES = {

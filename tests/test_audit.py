@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact
-from siteloom.operators import audit, collected, collectors, findings, jsonld, page_signals, report, site_facts
+from siteloom.operators import audit, checks, collected, collectors, findings, jsonld, page_signals, report, site_facts
 from siteloom.sources.tables import gate_html
 
 SF = "/root/testdata/sf0.001"
@@ -40,11 +40,11 @@ def page(spark, *htmls):
 def test_evidence(spark):
     long = "t" * 70
     s = page(spark, *(f"<title>{long}{'x' * i}</title>" for i in range(8)))
-    got = {r["check_id"]: r for r in findings.technical(s).collect()}
+    got = {r["check_id"]: r for r in checks.technical(s).collect()}
     e = got["tech.title_long"]["evidence"]
     assert (e["affected_count"], e["detail"], len(e["samples"])) == (8, "77", 5) and (e["samples"][1]["url"], e["samples"][1]["value"]) == ("https://h.z/1", "71")
     assert len(got["tech.missing_desc"]["evidence"]["samples"]) == 8 and got["tech.missing_desc"]["evidence"]["detail"] is None
-    same = findings.duplicates(page(spark, "<title>A b</title>", "<title>a B</title>", "<title>z</title>"), "title", "c", "t", "%1$d of %2$d").first()
+    same = checks.apply("titles", checks.INPUTS["titles"].build(page(spark, "<title>A b</title>", "<title>a B</title>", "<title>z</title>"))).first()
     assert same["evidence"]["samples"][0].asDict() == {"url": "https://h.z/0 https://h.z/1", "value": "a b x2"}
 
 
@@ -80,7 +80,7 @@ def test_https_inside_a_chain_counts(spark):
     hops = [("r", "h.z", "httpRoot", i, u, 301) for i, u in enumerate(["http://h.z/", "https://h.z/a", "http://h.z/b"])] + [("r", "o", "httpRoot", 0, "http://o/", 200)]
     rules = site_facts.host_rules(site_facts.redirect_chains(spark.createDataFrame(hops, "run_id string, site string, variant string, hop int, url string, status int")))
     assert {r["site"]: (r["https_enforced"], r["http_chain"]) for r in rules.collect()} == {"h.z": (True, 3), "o": (False, 1)}
-    assert [r["site"] for r in collectors.https_findings(rules).collect()] == ["o"]
+    assert [r["site"] for r in checks.apply("hosts", rules).collect()] == ["o"]
 
 
 WORDS = "token secret apikey api_key password passwd auth authorization bearer credential private_key access_key session csrf xsrf".split()

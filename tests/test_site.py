@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from siteloom.operators import collected, site_facts
+from siteloom.operators import checks, collected, site_facts
 
 
 def test_headers(spark):
@@ -10,8 +10,8 @@ def test_headers(spark):
     states = site_facts.security_headers(roots)
     got = {(r["site"], r["header"]): r["state"]["state"] for r in states.collect()}
     assert got["a", "strict-transport-security"] == "present" and got["a", "x-frame-options"] == "absent" and got["b", "content-security-policy"] == "unknown"
-    checks = {(r["site"], r["check_id"]) for r in site_facts.header_findings(states).collect()}
-    assert ("b", "sec.hsts") in checks and ("a", "sec.hsts") not in checks and ("a", "sec.other_headers") in checks
+    fired = {(r["site"], r["check_id"]) for r in checks.apply("headers", site_facts.header_facts(states)).collect()}
+    assert ("b", "sec.hsts") in fired and ("a", "sec.hsts") not in fired and ("a", "sec.other_headers") in fired
     assert spark.range(1).select(site_facts.hsts(F.lit("max-age=5; includeSubDomains")).alias("h")).first()["h"].asDict() == {"max_age": 5, "include_subdomains": True, "preload": False}
     assert spark.range(1).select(site_facts.csp(F.lit("a x; b; A y z")).alias("c")).first()["c"] == {"a": ["y", "z"], "b": []}
 
@@ -44,8 +44,8 @@ def test_lighthouse(spark):
     rows = collected.ratings(collected.lighthouse(spark.createDataFrame([("r", "a", good), ("r", "b", bad), ("r", "c", "{bad")], "run_id string, site string, full_json string")))
     got = {r["site"]: r for r in rows.collect()}
     assert got["a"]["tbt"] == 1.5 and got["a"]["lcp_rating"] == "good" and got["b"]["overall"] == "poor" and got["b"]["worst_metric"] == "cls" and got["c"]["overall"] == "unknown"
-    checks = {(r["site"], r["check_id"], r["severity"]) for r in collected.lighthouse_findings(rows).collect()}
-    assert checks == {("b", "perf.lcp", "critical"), ("b", "perf.cls", "critical"), ("b", "perf.score", "critical")}
+    fired = {(r["site"], r["check_id"], r["severity"]) for r in checks.apply("lighthouse", collected.lighthouse_facts(rows)).collect()}
+    assert fired == {("b", "perf.lcp", "critical"), ("b", "perf.cls", "critical"), ("b", "perf.score", "critical")}
 
 
 def test_sitemaps_follow_nested_indexes_once(spark):
