@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
-from siteloom.operators import checks, report
+from siteloom.operators import checks
 from siteloom.operators.findings import evidence
 from siteloom.operators.site_facts import template
 
@@ -132,60 +132,64 @@ def matches_template(url: Column, pattern: Column) -> Column:
     return F.regexp_like(url, F.concat(F.regexp_replace(pattern, r"\{[^}]+\}", "[^/]+"), F.lit("$")))
 
 
-def coverage_report(pages: DataFrame, facts: DataFrame, problems: DataFrame, found: DataFrame) -> DataFrame:
-    """What a run covered of each site, from its sampled pages and facts: lists, limitations and warnings as they are told.
+def coverage_flags(sites: DataFrame, found: DataFrame, dns: DataFrame, tls: DataFrame, results: DataFrame, screenshots: DataFrame) -> DataFrame:
+    """run_id, site and what was done: sitemaps, dns_resolved (an address), tls_verified (facts without an error), lighthouse_run, screenshots_captured (desktop or mobile),
+    serp_checked (a result), scan_run.
 
-    pages: run_id, site, crawl_seq, url, status and whether the answer was rate limited, oversized and
-    drawn by script; facts: a row of flags from ``datasets``; problems: messages of sitemaps; found: URLs they list.
+    found: datasets as they came (dataset, data, error), which count where they hold data, even beside an error; dns: ``dns_facts``; tls: rows with error;
+    results: search results; screenshots: desktop, mobile.
+    """
+    held = lambda n: F.coalesce(F.bool_or((F.col("dataset") == n) & F.col("data").isNotNull()), F.lit(False))
+    data = found.groupBy(*KEY).agg(held("sitemaps").alias("sitemaps"), held("lighthouse").alias("lighthouse_run"), held("scan").alias("scan_run"))
+    parts = [
+        data, dns.select(*KEY, F.col("resolved").alias("dns_resolved")), tls.groupBy(*KEY).agg((F.count("error") == 0).alias("tls_verified")),
+        results.groupBy(*KEY).agg(F.lit(True).alias("serp_checked")), screenshots.select(*KEY, (F.col("desktop").isNotNull() | F.col("mobile").isNotNull()).alias("screenshots_captured")),
+    ]
+    df = sites.select(*KEY).distinct()
+    for t in parts:
+        df = df.join(t, KEY, "left")
+    return df.fillna(False)
+
+
+def coverage_report(pages: DataFrame, facts: DataFrame, problems: DataFrame, found: DataFrame, plan: DataFrame) -> DataFrame:
+    """What a run covered of each site, from its sampled pages and facts: lists, rates, the histogram of errors, limitations and warnings as they are told.
+
+    pages: run_id, site, crawl_seq, url, status and whether the page was parsed, the answer rate limited, oversized and drawn by script;
+    facts: ``coverage_flags``; problems: messages of sitemaps; found: URLs they list; plan: ``sampling_plan``, whose URLs are all that was attempted.
+    Texts are fixed values.
     """
     p = F.col
     listed = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("crawl_seq", "url")))), lambda x: x["url"])
+    ok = p("status").between(200, 299)
     per = pages.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("pages_total"), F.count_if(p("status").between(200, 299)).alias("pages_sampled"), listed(p("status").isin(401, 403)).alias("blocked_urls"),
+        F.count_if(ok).alias("pages_sampled"), F.count_if(ok & p("parsed")).alias("pages_parsed"), listed(p("status").isin(401, 403)).alias("blocked_urls"),
         F.transform(F.array_sort(F.collect_list(F.when(p("status") >= 400, F.struct("crawl_seq", "url", "status")))), lambda x: F.concat(x["url"], F.lit(": HTTP "), x["status"].cast("string"))).alias("fetch_errors"),
         listed(p("status").isin(0, 408, 524)).alias("timeout_urls"), listed(p("oversized")).alias("oversized_urls"), F.bool_or("by_script").alias("script_suspected"), F.bool_or("rate_limited").alias("rate_limiting"),
     )
+    kinds = pages.where(p("status") >= 400).groupBy(*KEY, "status").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("HTTP "), p("status").cast("string")).alias("error"), "n")))).alias("error_breakdown"))
     errors = problems.groupBy(*KEY).agg(F.array_sort(F.collect_list("message")).alias("sitemap_errors"))
     listed_urls = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sitemap_urls"))
-    df = per.join(facts, KEY, "left").join(errors, KEY, "left").join(listed_urls, KEY, "left").withColumn("sitemap_errors", F.coalesce("sitemap_errors", F.array().cast("array<string>"))).fillna(0, ["sitemap_urls"])
+    attempted = plan.groupBy(*KEY).agg(F.sum("sample_size").alias("pages_total"))
+    df = per.join(facts, KEY, "left")
+    for t in (errors, listed_urls, attempted, kinds):
+        df = df.join(t, KEY, "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    df = df.withColumns({"sitemap_errors": F.coalesce("sitemap_errors", F.array().cast("array<string>")), "error_breakdown": F.coalesce("error_breakdown", none)}).fillna(0, ["sitemap_urls", "pages_total"])
+    rate = lambda a, b: F.coalesce(F.try_divide(p(a).cast("double"), p(b)), F.lit(0.0))
     n = lambda c: F.size(c).cast("string")
     issues = F.array_compact(F.array(
         F.when(~p("sitemaps"), "No sitemap found"), F.when(p("sitemaps") & (F.size("sitemap_errors") > 0), F.concat(F.lit("Sitemap errors: "), F.array_join("sitemap_errors", ", "))),
         F.when(p("sitemaps") & (p("sitemap_urls") == 0), "Sitemap is empty")))
     blocked = F.array_compact(F.array(F.when(F.size("blocked_urls") > 0, F.concat(n("blocked_urls"), F.lit(" pages blocked by robots.txt")))))
-    other = F.array_compact(F.array(F.when(p("rate_limiting"), "Rate limiting detected during crawl"), F.when(~p("lighthouse"), "Lighthouse performance audit failed")))
+    other = F.array_compact(F.array(F.when(p("rate_limiting"), "Rate limiting detected during crawl"), F.when(~p("lighthouse_run"), "Lighthouse performance audit failed")))
     warnings = F.array_compact(F.array(
         F.when(p("script_suspected"), "JavaScript rendering may be required for complete content"), F.when(F.size("timeout_urls") > 0, F.concat(n("timeout_urls"), F.lit(" URLs timed out during fetch"))),
         F.when(F.size("oversized_urls") > 0, F.concat(n("oversized_urls"), F.lit(" pages exceeded size limit")))))
-    return df.withColumns({"limitations": F.concat(blocked, issues, other), "warnings": warnings, "sitemaps_processed": F.when(p("sitemap_urls") > 0, 1).otherwise(0), "sitemaps_failed": F.size("sitemap_errors")})
-
-
-def site_rows(sites: DataFrame, coverage: DataFrame, headers: DataFrame, hosts: DataFrame, robots: DataFrame, url_set: DataFrame, templates: DataFrame, mixed: DataFrame, quality: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row a site from all its datasets; a dataset that is missing leaves nulls or zeros.
-
-    headers: states by header; hosts: redirect rules; robots: status and body; url_set: distinct URLs;
-    templates: ranked patterns; mixed: whether a page has mixed content; quality: share of good datasets.
-    """
-    of = lambda h: F.max(F.when(F.col("header") == h, F.col("state.state")))
-    heads = headers.groupBy(*KEY).agg(of("strict-transport-security").alias("hsts"), of("content-security-policy").alias("csp"), of("x-frame-options").alias("xframe"), F.count_if(F.col("state.state") == "present").alias("headers_present"))
-    valid = robots.select(*KEY, F.coalesce((F.col("status") == 200) & (F.length("body") > 0), F.lit(False)).alias("robots_valid"))
-    totals = url_set.groupBy(*KEY).agg(F.count(F.lit(1)).alias("unique_urls"))
-    patterns = templates.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
-    counts = findings.groupBy(*KEY).agg(F.count(F.lit(1)).alias("findings"))
-    df = sites.select(*KEY).distinct()
-    for t in (coverage, heads, hosts.select(*KEY, "https_enforced", "www_consistent", "www_preference"), valid, totals, patterns, mixed, quality, counts):
-        df = df.join(t, KEY, "left")
-    df = df.fillna(0, ["pages_sampled", "pages_total", "sitemaps_processed", "unique_urls", "findings"]).fillna(False, ["robots_valid", "mixed"])
-    c, absent = F.col, lambda h: F.when(F.col(h) == "absent", 1).otherwise(0)
-    errors = F.coalesce(F.size("fetch_errors"), F.lit(0))
-    # enforcement that is known and false counts as absent
-    score = report.security_score(F.coalesce(c("https_enforced"), F.lit(True)), absent("hsts") + absent("csp") + absent("xframe"), c("mixed"))
+    processed = p("sitemaps") & (p("sitemap_urls") > 0)
     return df.withColumns(
         {
-            "security_score": score,
-            "first_template": F.try_element_at("patterns", F.lit(1)),
-            "has_sitemap": c("sitemaps_processed") > 0,
-            "confidence": report.confidence(c("pages_sampled"), c("pages_total"), errors, c("findings")),
-            "notes": report.reviewer_notes(c("pages_sampled"), c("pages_total"), errors, c("findings")),
+            "limitations": F.concat(blocked, issues, other), "warnings": warnings, "sitemaps_processed": F.when(processed, 1).otherwise(0), "sitemaps_failed": F.when(p("sitemaps"), F.size("sitemap_errors")).otherwise(0),
+            "coverage_rate": rate("pages_sampled", "pages_total"), "parse_rate": rate("pages_parsed", "pages_sampled"),
         }
-    )
+    )

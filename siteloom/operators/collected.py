@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import redact
+from siteloom.functions.text import trim
 from siteloom.operators.findings import evidence
 from siteloom.sources.scratch import keep
 
@@ -203,7 +204,7 @@ def scan_output(rows: DataFrame) -> DataFrame:
     """Adds what a scan's text (column output) gives: masked (cut at SCANNED characters), its JSON if it is a JSON object, else the number of its lines."""
     cut = F.when(F.length("output") > SCANNED, F.concat(F.substring("output", 1, SCANNED), F.lit("\n... [truncated]"))).otherwise(F.col("output"))
     df = rows.withColumn("masked", redact.mask_scan(cut))
-    parsed = F.when(F.ltrim("masked").startswith("{"), F.try_parse_json("masked"))
+    parsed = F.when(trim(F.col("masked")).startswith("{"), F.try_parse_json(trim(F.col("masked"))))
     return df.withColumn("parsed", parsed).withColumn("line_count", F.when(F.col("parsed").isNull(), F.size(F.split("masked", "\n"))))
 
 
@@ -214,12 +215,28 @@ def scan_summary(lines: DataFrame) -> DataFrame:
     return top.groupBy(*KEY).agg(*(label(w).alias(n) for n, w in (("critical", "critical"), ("high", "high"), ("medium", "medium"), ("low", "low"), ("info", "info(?:rmation)?"))))
 
 
+def given(df: DataFrame, name: str, kind: str) -> Column:
+    """A column of a table, null where the table has none of that name."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
 def model_findings(answers: DataFrame) -> DataFrame:
-    """Findings of model answers (column text): fenced or bare JSON with a findings array; anything else gives none."""
+    """Findings of model answers (column text): fenced or bare JSON with a findings array; anything else gives none.
+
+    What the model was shown comes along as evidence where ``answers`` holds it: has_desktop, has_mobile, page_title, page_h1.
+    """
     body = F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?s)```json\s*(.*?)```", 1)), F.lit("")), F.nullif(F.trim(F.regexp_extract("text", r"(?s)```\s*(.*?)```", 1)), F.lit("")), F.trim("text"))
-    rows = answers.withColumn("a", F.try_variant_get(F.try_parse_json(body), "$.findings", "array<struct<category:string,severity:string,description:string>>"))
+    shape = "array<struct<category:string,severity:string,description:string,recommendation:string>>"
+    rows = answers.withColumn("a", F.try_variant_get(F.try_parse_json(body), "$.findings", shape))
     rows = rows.select(*[c for c in answers.columns if c != "text"], F.posexplode("a").alias("pos", "f"))
-    return rows.withColumns({"type": lookup(F.lower("f.category"), VISUAL_TYPES, "visual_viewport_issues"), "severity": lookup(F.lower("f.severity"), VISUAL_SEVERITIES, "info"), "message": F.col("f.description"), "evidence": evidence(detail=F.col("f.category"))}).drop("f")
+    flag = lambda n: F.coalesce(given(answers, n, "boolean"), F.lit(False))
+    title, h1 = given(answers, "page_title", "string"), given(answers, "page_h1", "string")
+    facts = {
+        "recommendation": F.col("f.recommendation"), "category": F.col("f.category"), "desktop": flag("has_desktop"), "mobile": flag("has_mobile"),
+        "title": F.coalesce(title, F.lit("Unknown")), "h1": F.coalesce(h1, F.lit("Unknown")), "hasCta": h1.isNotNull(),
+    }
+    told = {"type": lookup(F.lower("f.category"), VISUAL_TYPES, "visual_viewport_issues"), "severity": lookup(F.lower("f.severity"), VISUAL_SEVERITIES, "info"), "message": F.col("f.description")}
+    return rows.withColumns({**told, "evidence": evidence(detail=F.col("f.category"), facts=facts)}).drop("f")
 
 
 def step_costs(traces: DataFrame) -> DataFrame:

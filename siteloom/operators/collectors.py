@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import urls
 from siteloom.functions.text import trim
-from siteloom.operators.collected import lookup
+from siteloom.operators.collected import given, lookup
 from siteloom.operators.findings import evidence
 from siteloom.operators.site_facts import present, tristate, unknown
 
 KEY = ["run_id", "site"]
 #: What an error of a kind says to a reader (fixed values).
 FRIENDLY = {
-    "TIMEOUT": "The request took too long. Please try again.", "CORS_ERROR": "This website blocks cross-origin requests. Some data may be unavailable.",
-    "NETWORK_ERROR": "Network connection issue. Check your internet and try again.", "FETCH_FAILED": "Unable to access the website. It may be down or blocking requests.",
-}
+    "INVALID_URL": "Please enter a valid website URL (e.g., https://example.com)",
+    "FETCH_FAILED": "Unable to access the website. It may be down or blocking requests.",
+    "API_ERROR": "Our analysis service encountered an error. Please try again.",
+    "RATE_LIMITED": "Too many requests. Please wait a moment and try again.",
+    "SCREENSHOT_FAILED": "Could not capture a screenshot. The visual audit may be incomplete.",
+    "PARSE_ERROR": "Failed to process the analysis results.",
+    "TIMEOUT": "The request took too long. Please try again.",
+    "NETWORK_ERROR": "Network connection issue. Check your internet and try again.",
+    "CORS_ERROR": "This website blocks cross-origin requests. Some data may be unavailable.",
+}
 #: Well-known paths that are asked for (fixed values).
 WELL_KNOWN = ["/.well-known/security.txt", "/.well-known/assetlinks.json", "/.well-known/apple-app-site-association", "/apple-app-site-association", "/humans.txt"]
 #: What model answers on search results say and what it stands for (fixed values).
@@ -98,11 +105,30 @@ def serp_query(url: Column) -> Column:
 
 
 def serp_model_findings(answers: DataFrame) -> DataFrame:
-    """Findings of model answers on search results; bad answers give none."""
+    """Findings of model answers on search results; bad answers give none.
+
+    What the model was shown comes along as evidence where ``answers`` holds it: query, result_count, analyzed_pages.
+    """
     body = F.coalesce(F.nullif(trim(F.regexp_extract("text", r"(?s)```(?:json)?\s*(.*?)```", 1)), F.lit("")), trim(F.col("text")))
-    rows = answers.withColumn("a", F.try_variant_get(F.try_parse_json(body), "$.findings", "array<struct<type:string,impact:string,description:string>>"))
+    rows = answers.withColumn("a", F.try_variant_get(F.try_parse_json(body), "$.findings", "array<struct<type:string,impact:string,description:string,action:string>>"))
     rows = rows.select(*[c for c in answers.columns if c != "text"], F.posexplode("a").alias("pos", "f"))
-    return rows.withColumns({"type": lookup(F.lower("f.type"), SERP_TYPES, "serp_description_mismatch"), "severity": lookup(F.lower("f.impact"), SERP_SEVERITIES, "info"), "message": F.col("f.description"), "evidence": evidence(detail=F.col("f.type"))}).drop("f")
+    facts = {"action": F.col("f.action"), "serpType": F.col("f.type"), "query": given(answers, "query", "string"), "resultCount": given(answers, "result_count", "long"), "analyzedPages": given(answers, "analyzed_pages", "long")}
+    told = {"type": lookup(F.lower("f.type"), SERP_TYPES, "serp_description_mismatch"), "severity": lookup(F.lower("f.impact"), SERP_SEVERITIES, "info"), "message": F.col("f.description")}
+    return rows.withColumns({**told, "evidence": evidence(detail=F.col("f.type"), facts=facts)}).drop("f")
+
+
+def visual_context(answers: DataFrame, signals: DataFrame, screenshots: DataFrame) -> DataFrame:
+    """Answers with what a visual model was shown: title and H1 of the site's first page, and which screenshots there are (desktop, mobile)."""
+    first = signals.groupBy(*KEY).agg(F.min_by(F.struct("title", "h1"), F.struct("crawl_seq", "url")).alias("p")).select(*KEY, F.col("p.title").alias("page_title"), F.col("p.h1").alias("page_h1"))
+    shots = screenshots.select(*KEY, F.col("desktop").isNotNull().alias("has_desktop"), F.col("mobile").isNotNull().alias("has_mobile"))
+    return answers.join(first, KEY, "left").join(shots, KEY, "left")
+
+
+def serp_context(answers: DataFrame, queries: DataFrame, results: DataFrame, pages: DataFrame) -> DataFrame:
+    """Answers with what a search model was shown: the query, how many results and how many pages of the site."""
+    counts = results.groupBy(*KEY).agg(F.count(F.lit(1)).alias("result_count"))
+    seen = pages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("analyzed_pages"))
+    return answers.join(queries.select(*KEY, "query"), KEY, "left").join(counts, KEY, "left").join(seen, KEY, "left").fillna(0, ["result_count", "analyzed_pages"])
 
 
 def crawl_facts(robots_refs: DataFrame, sitemap: DataFrame, sites: DataFrame, chains: DataFrame, host_rules: DataFrame, parameterised: DataFrame) -> DataFrame:
@@ -155,36 +181,22 @@ def valid_request(url: Column) -> Column:
     return F.coalesce(trim(url).rlike(r"(?i)^(https?://)?([\w.-]+)(:\d+)?(/[^\s]*)?$"), F.lit(False))
 
 
-def report_rows(reports: DataFrame) -> DataFrame:
-    """Category rows of report JSON (column text): every category, one without an entry scores 100 with no findings."""
-    shape = "struct<categories:map<string,struct<score:double,findings:array<struct<type:string,severity:string,message:string>>>>>"
-    parsed = reports.withColumn("r", F.from_json("text", shape)).withColumn("c", F.transform_keys(F.coalesce("r.categories", F.create_map().cast("map<string,struct<score:double,findings:array<struct<type:string,severity:string,message:string>>>>")), lambda k, _: F.lower(k)))
-    spine = parsed.select(*KEY, "c", F.explode(F.array(*(F.lit(x) for x in CATEGORIES))).alias("category"))
-    own = F.try_element_at("c", F.col("category"))
-    return spine.select(*KEY, "category", F.coalesce(own["score"], F.lit(100.0)).alias("score"), F.coalesce(F.size(own["findings"]), F.lit(0)).alias("findings"))
-
-
-def report_summaries(reports: DataFrame) -> DataFrame:
-    """Headline figures of report JSON (column text): score, grade, headline and how many priorities; a report that is no JSON gives nulls and none."""
-    shape = "struct<summary:struct<score:double,grade:string,headline:string>,priorities:array<struct<title:string,impact:string>>>"
-    r = reports.withColumn("r", F.from_json("text", shape))
-    return r.select(*KEY, F.col("r.summary.score").alias("score"), F.col("r.summary.grade").alias("grade"), F.col("r.summary.headline").alias("headline"), F.coalesce(F.size("r.priorities"), F.lit(0)).alias("priorities"))
+def _block(rows: DataFrame, sites: DataFrame, order: list[str], line: Column, nothing: str) -> DataFrame:
+    """The rows of each site as one text, a line or two each, in order; a site without rows says so."""
+    per = rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
+    return sites.select(*KEY).distinct().join(per, KEY, "left").select(*KEY, F.coalesce("block", F.lit(nothing)).alias("block"))
 
 
-def serp_block(results: DataFrame, most: int = 10) -> DataFrame:
-    """The first search results of each site as lines for a model request."""
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("position", "url"))
-    rows = results.withColumn("r", place).where(F.col("r") <= most)
-    line = F.format_string("%d. %s - %s", "position", "title", "url")
-    return rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
+def serp_block(results: DataFrame, sites: DataFrame) -> DataFrame:
+    """All search results of each site as lines for a model request (fixed texts)."""
+    line = F.concat(F.lit("- Position "), F.col("position").cast("string"), F.lit(': "'), "title", F.lit('" - '), "url", F.lit("\n  Snippet: "), "snippet")
+    return _block(results, sites, ["position", "url"], line, "No SERP data available")
 
 
-def page_block(signals: DataFrame, most: int = 10) -> DataFrame:
-    """Title and description of each site's first pages as lines for a model request."""
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("crawl_seq", "url"))
-    rows = signals.withColumn("r", place).where(F.col("r") <= most)
-    line = F.concat(F.col("url"), F.lit(" | "), F.coalesce("title", F.lit("(no title)")), F.lit(" | "), F.coalesce("meta_description", F.lit("(no description)")))
-    return rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n").alias("block"))
+def page_block(signals: DataFrame, sites: DataFrame) -> DataFrame:
+    """Title and description of each site's pages, those of its sample, as lines for a model request (fixed texts)."""
+    line = F.concat(F.lit("- "), "url", F.lit("\n  Title: "), F.coalesce("title", F.lit("(missing)")), F.lit("\n  Description: "), F.coalesce("meta_description", F.lit("(missing)")))
+    return _block(signals, sites, ["crawl_seq", "url"], line, "No page metadata available")
 
 
 def request_blocks(findings: DataFrame, sites: DataFrame, category: Column) -> DataFrame:

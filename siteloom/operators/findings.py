@@ -110,13 +110,15 @@ def sample(url: Column, value: Column | None = None) -> Column:
     return F.struct(url.alias("url"), (F.lit(None) if value is None else value).cast("string").alias("value"))
 
 
-def evidence(count: Column | None = None, samples: Column | None = None, detail: Column | None = None) -> Column:
-    """What a finding rests on: how many pages or rows, the first of them (url, value), and a detail."""
+def evidence(count: Column | None = None, samples: Column | None = None, detail: Column | None = None, facts: dict[str, Column] | None = None) -> Column:
+    """What a finding rests on: how many pages or rows, the first of them (url, value), a detail, and named facts (of model answers)."""
     none = F.lit(None)
+    named = F.create_map(*(x for k, v in facts.items() for x in (F.lit(k), v.cast("string")))) if facts else none.cast("map<string,string>")
     return F.struct(
         (none if count is None else count).cast("long").alias("affected_count"),
         (F.array() if samples is None else samples).cast("array<struct<url:string,value:string>>").alias("samples"),
         (none if detail is None else detail).cast("string").alias("detail"),
+        named.alias("facts"),
     )
 
 

@@ -176,7 +176,7 @@ def needs_script(html: Column) -> Column:
 
 
 def coverage(fetches: DataFrame) -> DataFrame:
-    """Per site: what was fetched, parsed, blocked, failed, timed out or too large, and the rates. A rate over no page is 0."""
+    """Per site: what was fetched, parsed, blocked, failed, timed out or too large, the share of pages fetched, and that of the fetched ones parsed. A rate over no page is 0."""
     s, html = F.col("status"), F.coalesce("html", F.lit(""))
     ok = s.between(200, 299)
     per = fetches.groupBy(*KEY).agg(
@@ -190,8 +190,8 @@ def coverage(fetches: DataFrame) -> DataFrame:
         F.count_if(F.length(html) > MAX_HTML).alias("oversized"),
         F.coalesce(F.bool_or(needs_script(html)), F.lit(False)).alias("script_suspected"),
     )
-    rate = lambda a: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col("attempted")), F.lit(0.0))
-    return per.withColumns({"fetch_rate": rate("fetched"), "parse_rate": rate("parsed")})
+    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    return per.withColumns({"fetch_rate": rate("fetched", "attempted"), "parse_rate": rate("parsed", "fetched")})
 
 
 def error_histogram(fetches: DataFrame) -> DataFrame:

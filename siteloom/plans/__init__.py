@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pages", "site", "collected", "audit", "extraction"]
+MODULES = ["pages", "site", "collected", "audit", "extraction", "reports", "sitewide"]
 
 
 def _all(name: str) -> dict:

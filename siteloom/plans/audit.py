@@ -34,7 +34,6 @@ CTES["hop_variants"] = f"select * from ({CTES['hops']}) h where not (variant = '
 CTES["scan_texts"] = """select conv_id, turn, case (conv_id + turn) % 4 when 0 then concat('  {"critical": ', cast(turn as varchar(10)), ', "contact": "a@b.example.org"}') when 1 then '{broken json' when 2 then concat('critical: 3', chr(10), 'high: ', cast(turn as varchar(10)), chr(10), 'Critical: ', cast(conv_id as varchar(10)), chr(10), 'password=abc') else repeat('x y ', 13000) end as output from conversations"""
 CTES["console"] = "select cast(conv_id as varchar(20)) as site, turn as pos, concat('Error ', cast(turn as varchar(10)), ' for user', cast(conv_id as varchar(10)), '@example.org token=abc', cast(turn as varchar(10)), ' key:zzz ', case when turn % 2 = 0 then '0123456789abcdef0123456789abcdef01' else 'plain' end) as line from conversations union all select cast(conv_id as varchar(20)), turn + 100, concat('again ', cast(turn as varchar(10))) from conversations"
 CTES["model_traces"] = "select concat('run', cast(user_id % 50 as varchar(10))) as run_id, event_id, case event_id % 3 when 0 then 'visual' when 1 then 'serp' else 'synthesis' end as step_id, case event_id % 4 when 0 then 'gpt-4o' else 'gemini-2.5-pro' end as model, event_id % 900 as duration_ms from events"
-CTES["reports"] = """select 'r1' as run_id, cast(conv_id as varchar(20)) as site, case turn % 3 when 2 then 'no json' when 1 then '{"categories":{}}' else concat('{"summary":{"score":', cast(50 + conv_id % 50 as varchar(10)), ',"grade":"B","headline":"h"},"priorities":[{"title":"a","impact":"high"},{"title":"b","impact":"low"}],"categories":{"Crawl":{"score":', cast(conv_id % 100 as varchar(10)), ',"findings":[{"type":"t","severity":"info","message":"m"}]},"serp":{"score":40,"findings":[]}}}') end as text, turn from conversations"""
 
 
 def _tables(spark, d) -> dict:
@@ -124,25 +123,6 @@ def q_report_priorities(spark, d):
     return report.priorities(_kept(spark, d)[0]).drop("run_id")
 
 
-def q_report_findings(spark, d):
-    return report.flat_rows(_kept(spark, d)[0]).drop("run_id")
-
-
-def q_dashboard(spark, d):
-    return report.dashboard(report.flat_rows(_kept(spark, d)[0]), "technical").drop("run_id")
-
-
-def q_report_text(spark, d):
-    f, sites = _kept(spark, d)
-    return report.text_report(f, findings.scorecard(f, sites)).drop("run_id")
-
-
-def q_fallback_report(spark, d):
-    f, sites = _kept(spark, d)
-    out = report.fallback_report(f, findings.scorecard(f, sites)).drop("run_id")
-    return out.withColumns({c: F.array_join(c, "\n") for c in ("key_strengths", "key_issues", "priorities")})
-
-
 def q_failed_runs(spark, d):
     f, sites = _counted(spark, d)
     return findings.failed_runs(findings.scorecard(f, sites)).select("site", "grade")
@@ -163,14 +143,6 @@ def q_request_blocks(spark, d):
     return collectors.request_blocks(f, sites, findings.category(F.col("type"))).drop("run_id")
 
 
-def q_page_blocks(spark, d):
-    return collectors.page_block(page_plans._kept(spark, d)).drop("run_id")
-
-
-def q_serp_blocks(spark, d):
-    return collectors.serp_block(collectors.serp_results(frame(spark, d, "serp_items"))).drop("run_id")
-
-
 def q_serp_model_findings(spark, d):
     return collectors.serp_model_findings(frame(spark, d, "serp_answers")).drop("run_id", "evidence")
 
@@ -239,47 +211,6 @@ def q_data_quality(spark, d):
     return report.data_quality(audit.datasets(frame(spark, d, "dataset_rows")).withColumn("ok", F.col("has_data"))).drop("run_id")
 
 
-def _coverage(spark, d, t) -> DataFrame:
-    limited = frame(spark, d, "page_headers").where((F.lower("name").isin("retry-after", "x-ratelimit-limit")) & (F.coalesce("value", F.lit("")) != "")).select("crawl_seq", F.lit(True).alias("limited")).distinct()
-    html = F.coalesce("html", F.lit(""))
-    pages = audit.sampled(frame(spark, d, "fetches")).join(limited, "crawl_seq", "left").select(
-        "run_id", "site", "crawl_seq", "url", "status", (F.length(html) > site_facts.MAX_HTML).alias("oversized"), site_facts.needs_script(html).alias("by_script"), ((F.col("status") == 429) | F.col("limited").isNotNull()).alias("rate_limited")
-    )
-    has = lambda n: F.coalesce(F.max(F.when(F.col("dataset") == n, F.col("has_data"))), F.lit(False)).alias(n)
-    facts = audit.datasets(frame(spark, d, "dataset_rows")).groupBy("run_id", "site").agg(*(has(n) for n in ("sitemaps", "tls_facts", "lighthouse", "screenshots", "serp_raw", "scan")))
-    dns = collectors.dns_facts(frame(spark, d, "dns")).select("run_id", "site", F.col("resolved").alias("dns_resolved"))
-    facts = frame(spark, d, "sites").select("run_id", "site").join(facts, ["run_id", "site"], "left").join(dns, ["run_id", "site"], "left").fillna(False)
-    return audit.coverage_report(pages, facts, collected.sitemap_errors(t["walk"]()), t["sitemap_urls"]())
-
-
-_LISTS = ["blocked_urls", "fetch_errors", "timeout_urls", "oversized_urls", "limitations", "warnings"]
-
-
-def q_coverage_report(spark, d):
-    out = _coverage(spark, d, _tables(spark, d)).drop("run_id", "sitemap_errors")
-    return out.withColumns({c: F.array_join(c, "\n") for c in _LISTS})
-
-
-def _site_rows(spark, d) -> DataFrame:
-    t = _tables(spark, d)
-    kept = keep(_merged(spark, d, t), "findings")
-    return audit.site_rows(
-        t["sites"](), _coverage(spark, d, t), t["header_states"](), site_facts.host_rules(t["chains"]()), t["robots"](), site_facts.url_set(t["fetches"](), t["sitemap_urls"]()), site_facts.url_templates(t["urls"]()),
-        t["signals"]().groupBy("run_id", "site").agg(F.bool_or("mixed_content").alias("mixed")), report.data_quality(audit.datasets(frame(spark, d, "dataset_rows")).withColumn("ok", F.col("has_data"))).select("run_id", "site", "quality"), kept,
-    )
-
-
-def q_site_rows(spark, d):
-    return _site_rows(spark, d).select("site", "pages_sampled", "pages_total", "sitemaps_processed", "sitemaps_failed", "dns_resolved", "hsts", "csp", "xframe", "headers_present", "https_enforced", "www_preference", "robots_valid", "unique_urls",
-                                       F.array_join("patterns", ",").alias("patterns"), "mixed", "quality", "findings", "security_score", "first_template", "has_sitemap", F.round("confidence", 6).alias("confidence"), F.array_join("notes", "\n").alias("notes"))
-
-
-def q_failed_reports(spark, d):
-    sites = frame(spark, d, "sites")
-    fetched = frame(spark, d, "fetches").where("crawl_seq % 20 = 3")
-    return report.failed_report(sites, fetched, "no page was fetched").drop("run_id").withColumn("fetch_errors", F.array_join("fetch_errors", "\n"))
-
-
 def q_fetch_error_kinds(spark, d):
     e = frame(spark, d, "errors").withColumn("code", collectors.error_code(F.col("error")))
     return e.select("page_id", "code", collectors.friendly(F.col("code")).alias("friendly"), collectors.error_bucket(F.col("error")).alias("bucket"))
@@ -331,25 +262,6 @@ def q_common_traces(spark, d):
     return collectors.common_traces(by("visual"), by("serp"), by("synthesis")).drop("ts")
 
 
-def q_report_categories(spark, d):
-    return collectors.report_rows(frame(spark, d, "reports").withColumn("site", F.concat_ws("-", "site", "turn"))).drop("run_id")
-
-
-def q_report_summaries(spark, d):
-    return collectors.report_summaries(frame(spark, d, "reports").withColumn("site", F.concat_ws("-", "site", "turn"))).drop("run_id")
-
-
-def q_report_envelopes(spark, d):
-    f, sites = _kept(spark, d)
-    scores = findings.scorecard(f, sites).withColumn("run_id", F.concat(F.lit("run"), (F.col("score") % 50).cast("string")))
-    traces = frame(spark, d, "model_traces").withColumn("ts", F.col("event_id"))
-    traces = collectors.common_traces(traces).where("trace_index < 3").select("run_id", "trace_index", "step_id", "model")
-    meta = collected.run_costs(frame(spark, d, "traces")).select("run_id", "steps")
-    value = report.envelopes(scores.select("run_id", "site", "score", "grade"), traces, meta)
-    get = lambda p: F.get_json_object("value", p)
-    return value.select(get("$.site").alias("site"), get("$.report.score").cast("int").alias("score"), get("$.report.grade").alias("grade"), get("$.traces[0].model").alias("first_model"), get("$.metadata.steps").cast("long").alias("steps"))
-
-
 def q_page_images(spark, d):
     rows = frame(spark, d, "fetches").select("site", "crawl_seq", F.posexplode(images.page_images(F.coalesce("html", F.lit("")))).alias("pos", "i"))
     return rows.select("site", "crawl_seq", "pos", "i.*")
@@ -450,8 +362,6 @@ _GRADE = "case when score >= 90 then 'A' when score >= 80 then 'B' when score >=
 _SCORES = f"""scores as (select *, {_GRADE} as grade, case when critical > 0 then 'immediate' when warning > 5 then 'high' else 'medium' end as urgency from (
   select s.site, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'info') as info,
     greatest(0, least(100, 100 - 15 * count(*) filter (severity = 'critical') - 5 * count(*) filter (severity = 'warning')))::int as score from sites s left join merged t on s.site = t.site group by s.site))"""
-_FLAT = f"""flat as (select site, 0 as part, rank as place, {_INIT.format('type')} as title, case when severity = 'critical' then 'high' else 'medium' end as impact, 'priority' as category from prio
-  union all select site, case {_CAT} when 'crawl' then 1 when 'technical' then 2 when 'security' then 3 when 'performance' then 4 when 'visual' then 5 else 6 end, ordinal, {_INIT.format('type')}, case severity when 'critical' then 'high' when 'warning' then 'medium' else 'low' end, case {_CAT} when 'security' then 'technical' when 'crawl' then 'seo' else {_CAT} end from merged)"""
 
 
 def _sql(body: str, *more: str) -> str:
@@ -462,21 +372,6 @@ def _sql(body: str, *more: str) -> str:
 _SMERR = f"""{_C._SM} select site, concat(ref, ': no such file') as message from found f where not exists (select 1 from sitemap_files s where s.site = f.site and s.sitemap_url = f.ref)"""
 _DS = "ds as (select s.site, d as dataset, r.data is not null and r.error is null as has_data, r.error is not null as has_error from (select distinct site from dataset_rows) s cross join (select unnest(" + str(audit.DATASETS) + ") as d) k left join dataset_rows r on r.site = s.site and r.dataset = k.d)"
 _QUALITY = "quality as (select site, avg(has_data::int) as share, case when avg(has_data::int) >= 0.8 then 'high' when avg(has_data::int) >= 0.5 then 'medium' else 'low' end as quality from ds group by site)"
-_BY_SCRIPT = "regexp_matches(html, '(?i)(ng-app|data-reactroot|data-reactid|__next|__nuxt|__vue)') or (length(trim(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html), '<[^>]+>', '', 'g'))) < 100 and regexp_matches(html, '(?i)(loading|spinner|skeleton|please wait)'))"
-_join = lambda e, w: f"coalesce(string_agg({e}, chr(10) order by crawl_seq) filter ({w}), '')"
-COVERAGE = f"""{_DS}, cov_pages as (select * from (select *, row_number() over (partition by site order by crawl_seq) as r from fetches) where r <= 50),
-cov as (select site, count(*) as pages_total, count(*) filter (status between 200 and 299) as pages_sampled, {_join('url', 'status in (401, 403)')} as blocked_urls, {_join("concat(url, ': HTTP ', status)", 'status >= 400')} as fetch_errors,
-  {_join('url', 'status in (0, 408, 524)')} as timeout_urls, {_join('url', 'length(html) > 2097152')} as oversized_urls, bool_or({_BY_SCRIPT}) as script_suspected,
-  bool_or(status = 429 or crawl_seq in (select crawl_seq from page_headers where value <> '')) as rate_limiting, count(*) filter (status in (401, 403)) as n_blocked, count(*) filter (status >= 400) as n_errors, count(*) filter (status in (0, 408, 524)) as n_late, count(*) filter (length(html) > 2097152) as n_large from cov_pages group by site),
-smerr as (select site, string_agg(message, ', ' order by message) as m, count(*) as n from ({_SMERR}) group by site), smn as (select site, count(*) as n from {_SITE_MAP} group by site),
-facts as (select s.site, {', '.join(f"coalesce((select bool_or(has_data) from ds where ds.site = s.site and dataset = '{n}'), false) as {n}" for n in ('sitemaps', 'tls_facts', 'lighthouse', 'screenshots', 'serp_raw', 'scan'))}, exists (select 1 from dns where dns.site = s.site and rtype = 'A') as dns_resolved from sites s),
-covered as (select c.site, pages_total, pages_sampled, blocked_urls, fetch_errors, timeout_urls, oversized_urls, script_suspected, rate_limiting, f.* exclude (site), coalesce(n.n, 0) as sitemap_urls,
-  array_to_string(list_filter([case when n_blocked > 0 then concat(n_blocked, ' pages blocked by robots.txt') end, case when not f.sitemaps then 'No sitemap found' end, case when f.sitemaps and coalesce(e.n, 0) > 0 then concat('Sitemap errors: ', e.m) end, case when f.sitemaps and coalesce(n.n, 0) = 0 then 'Sitemap is empty' end,
-    case when rate_limiting then 'Rate limiting detected during crawl' end, case when not f.lighthouse then 'Lighthouse performance audit failed' end], lambda x: x is not null), chr(10)) as limitations,
-  array_to_string(list_filter([case when script_suspected then 'JavaScript rendering may be required for complete content' end, case when n_late > 0 then concat(n_late, ' URLs timed out during fetch') end, case when n_large > 0 then concat(n_large, ' pages exceeded size limit') end], lambda x: x is not null), chr(10)) as warnings,
-  case when coalesce(n.n, 0) > 0 then 1 else 0 end as sitemaps_processed, coalesce(e.n, 0)::int as sitemaps_failed, n_errors from cov c join facts f on f.site = c.site left join smerr e on e.site = c.site left join smn n on n.site = c.site)"""
-_COVIN = ("fetches", "page_headers", "dataset_rows", "dns", "sites")
-
 ORACLE_SQL = {
     "merged_findings": _sql("select site, ordinal, audit, check_id, type, severity, message, nullif(urls, '') as urls, affected_count, samples, detail from merged"),
     "site_scorecard": _sql("select * from scores", _SCORES),
@@ -486,20 +381,11 @@ ORACLE_SQL = {
     "deterministic_split": _sql(f"select site, split_part(type, '_', 1) in ('crawl', 'tech', 'sec', 'perf') as deterministic, {_CAT} as category, count(*) as n from merged group by all"),
     "security_category": _sql("select site, ordinal, audit, check_id from merged where type like 'sec\\_%' escape '\\'"),
     "report_priorities": _sql("select site, rank, type as title, message as description, case when severity = 'critical' then 'high' else 'medium' end as impact, 'medium' as effort from prio", _PRIO),
-    "report_findings": _sql("select * from flat", _PRIO, _FLAT),
-    "dashboard": _sql("select *, row_number() over (partition by site order by part, place, title)::int as shown_at from flat where category = 'technical'", _PRIO, _FLAT),
-    "report_text": _sql(f"""select s.site, concat('Site audit report for ', s.site, chr(10), 'Score: ', any_value(score), ' (', any_value(grade), ')', chr(10), chr(10), coalesce(string_agg(concat(upper(severity), ' ', check_id, chr(10), message, chr(10)), chr(10) order by {_SEV}, ordinal) filter (check_id is not null), '')) as report
-      from scores s left join merged t on t.site = s.site group by s.site""", _SCORES),
-    "fallback_report": _sql("""select s.site, score, grade, urgency, 'SEO Audit Report' as headline, concat('Audit completed with ', (select count(*) from merged m where m.site = s.site), ' findings. Note: Report synthesis encountered an issue, displaying raw findings.') as overview, 'Audit completed successfully' as key_strengths,
-      coalesce((select string_agg(message, chr(10) order by rank) from prio p where p.site = s.site and rank <= 5), '') as key_issues, coalesce((select string_agg(concat(rank, ' ', type, ' ', case when severity = 'critical' then 'high' else 'medium' end), chr(10) order by rank) from prio p where p.site = s.site), '') as priorities from scores s""", _SCORES, _PRIO),
     "failed_runs": _sql("select site, grade from scores where score = 0", _SCORES),
     "findings_ranked": _sql(f"select site, check_id, severity, row_number() over (partition by site order by {_SEV}, ordinal)::int as rank from merged where severity in ('critical', 'warning')"),
     "findings_dedup": _sql("select site, ordinal, check_id, type from (select *, row_number() over (partition by site, type, list_sort(string_split(urls, chr(10))) order by ordinal) as r from merged) where r = 1"),
     "request_blocks": _sql(f"""select s.site, s.category, coalesce(string_agg(concat('[', severity, '] ', type, ': ', message), chr(10) order by ordinal) filter (check_id is not null), 'No findings in this category') as block
       from (select site, {_NAMES} as category from sites) s left join merged t on s.site = t.site and s.category = {_CAT} group by all"""),
-    "report_envelopes": _sql("""select s.site, score, grade, (select arg_min(case event_id % 4 when 0 then 'gpt-4o' else 'gemini-2.5-pro' end, event_id) from events e where concat('run', user_id % 50) = concat('run', score % 50)) as first_model, (select nullif(count(*), 0) from events e where user_id % 50 = score % 50) as steps from scores s""", _SCORES),
-    "page_blocks": with_inputs(f"with {SIGNALS} select site, string_agg(concat(url, ' | ', coalesce(title, '(no title)'), ' | ', coalesce(meta_description, '(no description)')), chr(10) order by crawl_seq) as block from (select *, row_number() over (partition by site order by crawl_seq) as r from signals) where r <= 10 group by site", "fetches"),
-    "serp_blocks": f"select site, string_agg(concat(position, '. ', title, ' - ', url), chr(10) order by position, url) as block from (select *, row_number() over (partition by site order by position, url) as r from ({_C.ORACLE_SQL['serp_results']})) where r <= 10 group by site",
     "serp_model_findings": with_inputs(_SERP, "serp_answers"),
     "serp_queries": f"""select page_id, split_part(regexp_replace(h, '^www[.]', ''), '.', 1) as brand, case when regexp_matches(lower(url), 'shop|store|product') then 'store' when regexp_matches(lower(url), 'blog|news|article') then 'blog' when regexp_matches(lower(url), 'service|solutions') then 'services' when regexp_matches(lower(url), 'app|software') then 'software' else 'website' end as kind,
       concat('site:', h) as site_query from (select *, {_P._host('url')} as h from pages)""",
@@ -520,16 +406,6 @@ ORACLE_SQL = {
       union all select site, 'diagnostic', pos, id, null, score from (select site, i - 1 as pos, id, try_cast(json_extract_string(full_json, concat('$.audits."', id, '".score')) as double) as score from lh cross join (select unnest({collected.DIAGNOSTICS}) as id, generate_subscripts({collected.DIAGNOSTICS}, 1) as i) k) where score < 1""", "lighthouse"),
     "dataset_states": with_inputs(f"with {_DS} select * from ds", "dataset_rows"),
     "data_quality": with_inputs(f"with {_DS}, {_QUALITY} select * from quality", "dataset_rows"),
-    "coverage_report": with_inputs(f"with {COVERAGE} select * exclude (n_errors) from covered", *_COVIN, "robots", "sitemap_files"),
-    "site_rows": with_inputs(f"""with {MERGED}, {COVERAGE}, {_QUALITY}, st as (select site, max(state) filter (header = 'strict-transport-security') as hsts, max(state) filter (header = 'content-security-policy') as csp, max(state) filter (header = 'x-frame-options') as xframe, count(*) filter (state = 'present') as headers_present from states group by site),
-      un as (select site, count(distinct url) as unique_urls from (select site, url from fetches union all select site, url from {_SITE_MAP}) group by site), tp as (select site, string_agg(pattern, ',' order by rank) as patterns, arg_min(pattern, rank) as first_template from ({site_plans.ORACLE_SQL['url_templates']}) group by site),
-      mx as (select site, bool_or(mixed_content) as mixed from signals group by site), fc as (select site, count(*) as findings from merged group by site)
-      select s.site, coalesce(pages_sampled, 0) as pages_sampled, coalesce(pages_total, 0) as pages_total, coalesce(sitemaps_processed, 0) as sitemaps_processed, sitemaps_failed, dns_resolved, hsts, csp, xframe, headers_present, coalesce(secured, false) as https_enforced, case when w then 'www' when nw then 'non-www' end as www_preference, coalesce(r.status = 200 and length(r.body) > 0, false) as robots_valid, unique_urls,
-        patterns, coalesce(mixed, false) as mixed, quality, coalesce(findings, 0) as findings, greatest(0, 100 - case when secured then 0 else 30 end - 10 * ((hsts = 'absent')::int + (csp = 'absent')::int + (xframe = 'absent')::int) - case when mixed then 20 else 0 end)::int as security_score, first_template, coalesce(sitemaps_processed, 0) > 0 as has_sitemap,
-        round(greatest(0.0::double, least(1.0::double, 1.0::double - case when pages_sampled < pages_total then 0.1::double else 0 end - case when n_errors > 0 then 0.1::double * least(n_errors / 10.0::double, 0.3::double) else 0 end - case when findings > 50 then 0.1::double else 0 end)), 6) as confidence,
-        array_to_string(list_filter([case when pages_sampled < pages_total then concat('Sampled ', pages_sampled, ' of ', pages_total, ' pages') end, case when n_errors > 0 then concat(n_errors, ' URLs failed to fetch') end, case when findings > 30 then 'High finding count - verify data quality' end], lambda x: x is not null), chr(10)) as notes
-      from sites s left join covered c on c.site = s.site left join st on st.site = s.site left join finals fi on fi.site = s.site left join robots r on r.site = s.site left join un on un.site = s.site left join tp on tp.site = s.site left join mx on mx.site = s.site left join quality q on q.site = s.site left join fc on fc.site = s.site""", *_INPUTS, "page_headers", "dataset_rows", "dns"),
-    "failed_reports": with_inputs("select s.site, 0 as score, 'F' as grade, 'immediate' as urgency, 'no page was fetched' as fetch_errors, 'tool_failure' as flag from sites s where not exists (select 1 from pages p where p.page_id % 20 = 3 and lower(regexp_extract(p.url, '^https?://([^/?#]*)', 1)) = s.site)", "sites"),
     "fetch_error_kinds": """select page_id, code, case code when 'TIMEOUT' then 'The request took too long. Please try again.' when 'CORS_ERROR' then 'This website blocks cross-origin requests. Some data may be unavailable.' when 'NETWORK_ERROR' then 'Network connection issue. Check your internet and try again.' else 'Unable to access the website. It may be down or blocking requests.' end as friendly, bucket
       from (select page_id, ['TIMEOUT', 'NETWORK_ERROR', 'FETCH_FAILED', 'FETCH_FAILED', 'CORS_ERROR', 'FETCH_FAILED', 'TIMEOUT', 'FETCH_FAILED'][page_id % 8 + 1] as code, ['timeout', 'network', 'hops', 'size', 'other', 'none', 'other', 'other'][page_id % 8 + 1] as bucket from pages)""",
     "requests": with_inputs(r"select page_id, case when regexp_matches(trim(typed), '(?i)^(https?://)?([\w.-]+)(:[0-9]+)?(/[^\s]*)?$') then null else 'Invalid URL format' end as reason from typed", "typed"),
@@ -542,9 +418,6 @@ ORACLE_SQL = {
     "private_values": with_inputs(f"select site, pos, n as name, case when n = 'message' then {_C._REDACTED('line')} else 'nothing here' end as value from console cross join (select unnest(['message', 'plain']) as n) k", "console"),
     "retained_pages": with_inputs(f"with {SIGNALS} select site, crawl_seq, {', '.join(f'{_C._REDACTED(c)} as {c}' for c in ('url', 'title', 'meta_description', 'canonical', 'h1'))}, array_to_string(list_transform({_P._heads(2)}, lambda z: {_C._REDACTED('z')}), chr(10)) as h2 from signals join (select crawl_seq, html from fetches) g using (crawl_seq)", "fetches"),
     "common_traces": with_inputs("select *, row_number() over (partition by run_id order by event_id)::int - 1 as trace_index from model_traces", "model_traces"),
-    "report_categories": with_inputs("""select concat(site, '-', turn) as site, category, case when turn % 3 = 0 and category = 'crawl' then conv::double when turn % 3 = 0 and category = 'serp' then 40.0 else 100.0 end as score, case when turn % 3 = 0 and category = 'crawl' then 1 else 0 end as findings
-      from (select *, cast(site as bigint) % 100 as conv from reports) cross join (select unnest(['crawl', 'technical', 'security', 'performance', 'visual', 'serp']) as category) k""", "reports"),
-    "report_summaries": with_inputs("select concat(site, '-', turn) as site, case when turn % 3 = 0 then (50 + cast(site as bigint) % 50)::double end as score, case when turn % 3 = 0 then 'B' end as grade, case when turn % 3 = 0 then 'h' end as headline, case when turn % 3 = 0 then 2 else 0 end as priorities from reports", "reports"),
     "page_images": with_inputs(f"""select site, crawl_seq, (row_number() over (partition by crawl_seq order by i) - 1)::int as pos, src, nullif(alt, '') as alt, nullif(try_cast(regexp_extract(w, '^\\s*([+-]?[0-9]+)', 1) as int), 0) as width, nullif(try_cast(regexp_extract(h, '^\\s*([+-]?[0-9]+)', 1) as int), 0) as height from (
       select site, crawl_seq, i, {', '.join(f"regexp_extract(t, {_P._q(chr(40) + '?i)' + n + '=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)[' + chr(34) + chr(39) + ']')}, 1) as {a}" for n, a in (('src', 'src'), ('alt', 'alt'), ('width', 'w'), ('height', 'h')))} from (
       select site, crawl_seq, unnest(regexp_extract_all(html, '(?i)<img[^>]*>', 0)) as t, generate_subscripts(regexp_extract_all(html, '(?i)<img[^>]*>', 0), 1) as i from fetches)) where src <> ''""".replace("\\\\", "\\"), "fetches"),

@@ -156,7 +156,7 @@ ORACLE_SQL = {
       select *, (epoch_ms(try_cast(replace(replace(expiry_date, 'T', ' '), 'Z', '') as timestamp)) - epoch_ms(timestamp '2024-02-01 00:00:00')) / 86400000.0 as l from tls))""", "tls"),
     "infra_detect": _sql(f"""select site, coalesce(c, case when contains(i, 'cloudflare') then 'Cloudflare' end) as cdn, coalesce(h, case when contains(i, 'let') then 'Let''s Encrypt' end) as hosting from (
       select site, arg_max(c, pos) filter (c is not null) as c, arg_max(h, pos) filter (h is not null) as h, max(lower(issuer)) as i from (select *, {_NAMED(site_facts.CDNS)} as c, {_NAMED(site_facts.HOSTS)} as h from records) group by site)""", "records"),
-    "coverage": _sql("""select *, fetched / attempted as fetch_rate, parsed / attempted as parse_rate from (select site, count(*) as attempted, count(*) filter (ok) as fetched, count(*) filter (ok and contains(html, '<html') and contains(html, '</html>')) as parsed,
+    "coverage": _sql("""select *, fetched / attempted as fetch_rate, coalesce(parsed / nullif(fetched, 0), 0) as parse_rate from (select site, count(*) as attempted, count(*) filter (ok) as fetched, count(*) filter (ok and contains(html, '<html') and contains(html, '</html>')) as parsed,
       count(*) filter (status in (401, 403)) as blocked, count(*) filter (status >= 400) as errors, count(*) filter (status in (0, 408, 524)) as timeouts, count(*) filter (status = 429) as rate_limited, count(*) filter (length(html) > 2097152) as oversized,
       bool_or(regexp_matches(html, '(?i)(ng-app|data-reactroot|data-reactid|__next|__nuxt|__vue)') or (length(trim(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html), '<[^>]+>', '', 'g'))) < 100 and regexp_matches(html, '(?i)(loading|spinner|skeleton|please wait)'))) as script_suspected
       from (select *, status between 200 and 299 as ok from fetches) group by site)""", "fetches"),

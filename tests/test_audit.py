@@ -29,7 +29,8 @@ def test_merged_order_and_failures(spark):
     assert [r["ordinal"] for r in got] == list(range(1, 8))
     every = audit.merged({"technical": [tech], "crawl": [crawl]})
     assert [r["title"] for r in report.priorities(every).orderBy("rank").collect()] == ["crawl_robots_blocked", "tech_missing_title"]
-    assert report.fallback_report(every, findings.scorecard(every, every)).first()["key_issues"] == ["r", "t"]
+    back = report.fallback_report(every, findings.scorecard(every, every)).first()
+    assert back["key_issues"] == ["r", "t"] and [(c["name"], c["score"], len(c["findings"])) for c in back["categories"]][:2] == [("crawl", 80.0, 2), ("technical", 80.0, 2)] and back["categories"][5]["summary"] == "0 findings in serp category."
 
 
 def page(spark, *htmls):
@@ -117,16 +118,3 @@ def test_requests_and_errors(spark):
     assert good.count() == 2 and [r["reason"] for r in bad.orderBy("reason").collect()] == ["Invalid URL format", "URL is required", "URL is required"]
     codes = spark.createDataFrame([("The operation was aborted",), ("CORS",), ("fetch failed",), (None,)], "e string").select(collectors.error_code(F.col("e")).alias("c"))
     assert [r["c"] for r in codes.collect()] == ["TIMEOUT", "CORS_ERROR", "NETWORK_ERROR", "FETCH_FAILED"]
-
-
-def test_written_reports(spark, tmp_path):
-    import json
-
-    reports = spark.createDataFrame([("r", "s", 50)], "run_id string, site string, score int")
-    traces = spark.createDataFrame([("r", 1, "b"), ("r", 0, "a")], "run_id string, trace_index int, step_id string")
-    meta = spark.createDataFrame([("r", 2)], "run_id string, steps int")
-    report.write_json(reports, traces, meta, str(tmp_path / "json"))
-    got = json.loads(spark.read.text(str(tmp_path / "json")).first()[0])
-    assert got["report"] == {"score": 50} and [t["step_id"] for t in got["traces"]] == ["a", "b"] and got["metadata"] == {"steps": 2}
-    report.write_text(spark.createDataFrame([("one line",)], "report string"), str(tmp_path / "text"))
-    assert spark.read.text(str(tmp_path / "text")).first()[0] == "one line"
