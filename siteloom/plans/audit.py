@@ -303,6 +303,17 @@ def q_touched_sites(spark, d):
     return incremental.refresh_counts(stream, lambda: frame(spark, d, "fetches"), "touched-sites", lambda rows: rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == 404).alias("missing")))
 
 
+def q_stream_site_counts(spark, d):
+    """All pages as a stream, a file a micro-batch, and the facts of their sites as they are at the end."""
+    from siteloom.sources.scratch import scratch
+    from siteloom.streaming import incremental
+
+    stream = incremental.read_files(spark, f"{d}/pages.parquet*", table(spark, d, "pages").schema, max_files=1)
+    rows = stream.select(F.lit("r1").alias("run_id"), urls.host(F.col("url")).alias("site"), "url", "page_id", F.length("html").alias("size"))
+    facts = lambda pages: pages.groupBy("run_id", "site").agg(F.count(F.lit(1)).alias("pages"), F.max("page_id").alias("newest"), F.sum("size").alias("characters"))
+    return incremental.SiteStore(spark, scratch(spark, "site-store"), facts, "page_id").run(rows).drop("run_id")
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_")}
 
 # ---- the same in DuckDB -------------------------------------------------------------------
@@ -431,4 +442,6 @@ ORACLE_SQL = {
     "selected_audits": _sql("select site, row_number() over (partition by site order by ordinal)::int as ordinal, audit, check_id, severity, message from merged where audit in ('crawl', 'performance') or check_id = 'tech.lang'"),
     "header_values": with_inputs(f"with {site_plans._STATES} select site, header, case when state = 'present' then value else '(none)' end as value from states", "sites", "headers"),
     "touched_sites": with_inputs("select site, count(*) as pages, count(*) filter (status = 404) as missing from fetches where site in (select site from fetches where crawl_seq % 10 = 1) group by site", "fetches"),
+    "stream_site_counts": f"""select site, count(*) as pages, max(page_id) as newest, sum(length(html))::bigint as characters
+      from (select *, {_HOST} as site, row_number() over (partition by url order by page_id desc) as r from pages) group by site""",
 }

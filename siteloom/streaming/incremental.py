@@ -1,27 +1,53 @@
-"""Incremental audits: page files as a stream, and snapshots that are reused while they live."""
+"""Incremental audits: page files as a stream, snapshots that are reused while they live, facts of sites kept up to date."""
 
 from __future__ import annotations
 
-import bisect
+import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siteloom.sources.scratch import scratch
 
+#: State that expires needs a store that drops it on disk too.
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-def read_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
 
+def read_files(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """New files of a folder as a stream, ``max_files`` of them in a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
-def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there, appending to Parquet; with the same folders a later call takes new files only."""
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for as long as a stream runs."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def drain(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, progress: list | None = None) -> DataFrame:
+    """Runs a stream over all that is there, appending to Parquet; with the same folders a later call takes new files only.
+
+    ``progress`` gets what Spark told of each micro-batch.
+    """
     spark = stream.sparkSession
     out = path or scratch(spark, name)
-    job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or f"{out}-state").trigger(availableNow=True).start()
-    job.awaitTermination()
+    with _settings(spark, _STORE):
+        job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or f"{out}-state").trigger(availableNow=True).start()
+        job.awaitTermination()
+    if progress is not None:
+        progress += job.recentProgress
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -30,55 +56,137 @@ def page_signal_stream(pages: DataFrame, signals: Callable[[DataFrame], DataFram
     return signals(pages)
 
 
-def _lives(ttl: int):
-    """Rows of one key against the snapshots kept so far, in order of time; the state is the times of those, sorted."""
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.sort_values(list(rows.columns), kind="stable")
-        times = list(state.get[0]) if state.exists else []
-        keep = []
-        for t in rows["at"].tolist():
-            i = bisect.bisect_right(times, t)
-            keep.append(i == 0 or t > times[i - 1] + ttl)
-            if keep[-1]:
-                times.insert(i, t)
-        state.update((times,))
-        yield rows[keep]
-
-    return run
-
-
-def reuse_snapshots(snapshots: DataFrame, ttl: str = "12 hours") -> DataFrame:
+def live_chain(times: np.ndarray, kept: list[int], ttl: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the sorted ``times`` are kept, and all kept times: each is held to the last one kept at or before it."""
+    keep, kept, i = np.zeros(len(times), dtype=bool), sorted(kept), 0
+    while i < len(times):
+        at = int(np.searchsorted(kept, times[i], side="right"))
+        if at and times[i] <= kept[at - 1] + ttl:
+            # all that this one covers, up to the next that was kept before
+            end = min(kept[at - 1] + ttl, kept[at] - 1 if at < len(kept) else kept[at - 1] + ttl)
+            i = int(np.searchsorted(times, end, side="right"))
+            continue
+        keep[i] = True
+        kept.insert(at, int(times[i]))
+        i += 1
+    return keep, kept
+
+
+class _Snapshots(StatefulProcessor):
+    """Per key the kept times that may still matter; a timer clears them when the newest has expired and the watermark has passed that."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "times array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame = frame.sort_values(["at", *(c for c in frame.columns if c not in ("at", "seen_at"))], kind="stable")
+        kept = list(self.times.get()[0]) if self.times.exists() else []
+        keep, kept = live_chain(frame["at"].to_numpy(dtype=np.int64), kept, self.ttl)
+        # no row before the watermark comes any more, so of the times before it only the last can cover one
+        mark = 1000 * timerValues.getCurrentWatermarkInMs()
+        past = [t for t in kept if t <= mark]
+        self.times.update((past[-1:] + [t for t in kept if t > mark],))
+        self.handle.registerTimer((kept[-1] + self.ttl) // 1000 + 2)
+        yield frame.loc[keep, [c for c in frame.columns if c != "seen_at"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.times.exists() and 1000 * expiredTimerInfo.getExpiryTimeInMs() > self.times.get()[0][-1] + self.ttl:
+            self.times.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def reuse_snapshots(snapshots: DataFrame, ttl: str = "12 hours", lateness: str = "12 hours") -> DataFrame:
     """A snapshot of each key, and the next one when the time to live of the one kept last has passed; those it covers are dropped.
 
     Rows of a micro-batch are taken in order of time (ties: of their other columns as text), so files read at once, or in order of
-    time over several batches, give what the batch rule gives. No row is dropped as late: one from before a kept snapshot
-    is held to the kept one before it. Rows without a time are not told apart and all go. The state has a number for each kept snapshot.
+    time over several batches, give what the batch rule gives.  A row from before a kept snapshot is held to the kept one before
+    it; rows more than ``lateness`` older than the newest row of earlier batches come too late and are dropped.  Rows without a time are not told apart and all go.
+
+    State: for each key that is alive the kept times within ``lateness``; a timer in event time clears a key when its last snapshot has expired, so the
+    state follows the keys of one lifetime, not of all time.  Run by ``drain``, which keeps it in RocksDB.
     """
     kinds = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
     rest = [c for c in snapshots.columns if c not in ("cache_key", "collected_at")]
     # other columns pass through pandas as text, which would make nullable integers floats
-    rows = snapshots.where("collected_at is not null").select("cache_key", F.unix_micros("collected_at").alias("at"), *(F.col(c).cast("string").alias(c) for c in rest))
+    rows = snapshots.where("collected_at is not null").select("cache_key", F.unix_micros("collected_at").alias("at"), F.col("collected_at").alias("seen_at"), *(F.col(c).cast("string").alias(c) for c in rest))
     schema = ", ".join(["cache_key string", "at long", *(f"`{c}` string" for c in rest)])
     micros = int(pd.Timedelta(ttl).total_seconds() * 1_000_000)
-    kept = rows.groupBy("cache_key").applyInPandasWithState(_lives(micros), schema, "times array<long>", "append", "NoTimeout")
+    kept = rows.withWatermark("seen_at", lateness).groupBy("cache_key").transformWithStateInPandas(_Snapshots(micros), schema, "append", "EventTime")
     back = {"collected_at": F.timestamp_micros("at")} | {c: F.col(c).cast(kinds[c]) for c in rest}
     return kept.select(*(back.get(c, F.col(c)).alias(c) for c in snapshots.columns))
 
 
-def refresh_counts(signals: DataFrame, every: Callable[[], DataFrame], name: str, recount: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Site-wide facts again for the sites that a stream of signals touches: they depend on all pages of a site, so state cannot answer them."""
+def event_snapshots(events: DataFrame) -> DataFrame:
+    return events.select(F.concat_ws("-", "event_type", "user_id").alias("cache_key"), F.col("ts").cast("timestamp").alias("collected_at"), "event_id")
+
+
+# -- facts of sites -------------------------------------------------------------------------------
+
+
+def latest(versions: DataFrame, keys: list[str], by: str = "batch") -> DataFrame:
+    """The newest version of each key."""
+    rest = [c for c in versions.columns if c not in (*keys, by)]
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("v")).select(*keys, "v.*")
+
+
+def refresh_counts(signals: DataFrame, every: Callable[[], DataFrame], name: str, recount: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+    """Site-wide facts again for the sites that a stream of signals touches: they depend on all pages of a site, so state cannot answer them.
+
+    What a micro-batch recounts is a version, in a folder of the batch's number that a replayed batch overwrites; the newest version of a site is what is returned,
+    a row a site however many batches touched it.
+    """
     spark = signals.sparkSession
-    out = scratch(spark, name)
+    out = path or scratch(spark, name)
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         touched = rows.select("site").distinct()
-        recount(every().join(touched, "site", "left_semi")).write.mode("append").parquet(out)
+        recount(every().join(touched, "site", "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     signals.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return latest(spark.read.parquet(out), ["site"])
 
 
-def event_snapshots(events: DataFrame) -> DataFrame:
-    return events.select(F.concat_ws("-", "event_type", "user_id").alias("cache_key"), F.col("ts").cast("timestamp").alias("collected_at"), "event_id")
+class SiteStore:
+    """Pages and facts of sites below one folder, kept up to date by a stream of page rows.
+
+    ``pages/batch=N/bucket=K``: the rows of micro-batch N by a hash of their site; ``sites/batch=N``: the facts of the sites that the
+    batch touched, from all their pages so far.  Each batch writes folders of its own number as a whole, and reads only batches up to it, so replaying one changes
+    nothing.  A batch reads the buckets that it touches, not the whole table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, recount: Callable[[DataFrame], DataFrame], newest: str, buckets: int = 64) -> None:
+        """recount: pages (run_id, site, url and the stream's other columns, a row for each URL: that of the largest ``newest``, of those the last to come) to a row for each run and site."""
+        self.spark, self.path, self.recount, self.newest, self.buckets = spark, path, recount, newest, buckets
+
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64("run_id", "site"), F.lit(self.buckets)).cast("int")
+
+    def apply(self, rows: DataFrame, number: int) -> None:
+        """One micro-batch; applying a number again replaces what it wrote."""
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/pages/batch={number}")
+        mine = self.spark.read.parquet(f"{self.path}/pages/batch={number}")
+        touched = mine.select("run_id", "site", "bucket").distinct()
+        held = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        pages = self.spark.read.parquet(f"{self.path}/pages").where(F.col("bucket").isin(held) & (F.col("batch") <= number))
+        pages = pages.join(touched.drop("bucket"), ["run_id", "site"], "left_semi").drop("bucket")
+        place = F.row_number().over(Window.partitionBy("run_id", "site", "url").orderBy(F.desc(self.newest), F.desc("batch")))
+        pages = pages.withColumn("__r", place).where("__r = 1").drop("__r", "batch")
+        self.recount(pages).write.mode("overwrite").parquet(f"{self.path}/sites/batch={number}")
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Takes all that the stream has, and returns the sites as they are then."""
+        job = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start()
+        job.awaitTermination()
+        return self.sites()
+
+    def sites(self) -> DataFrame:
+        """The newest facts of each run and site."""
+        return latest(self.spark.read.parquet(f"{self.path}/sites"), ["run_id", "site"])

@@ -4,6 +4,9 @@ import collections
 import datetime as dt
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from siteloom.plans import collected
 from siteloom.streaming import incremental
 
@@ -52,8 +55,100 @@ def test_ttl_dedup_over_several_batches(spark, tmp_path):
         stream = incremental.event_snapshots(incremental.read_files(spark, str(tmp_path / "events.parquet"), spark.read.parquet(str(tmp_path / "events.parquet")).schema))
         got = incremental.drain(incremental.reuse_snapshots(stream), "again", str(tmp_path / "out"), str(tmp_path / "state")).collect()
     assert sorted(tuple(r) for r in got) == batch_rule(rows)
-    # a row from before all others is no reason to drop it, nor those kept
-    write(spark, tmp_path / "events.parquet", [("view-1", DAY - dt.timedelta(days=3), 1)])
-    stream = incremental.event_snapshots(incremental.read_files(spark, str(tmp_path / "events.parquet"), spark.read.parquet(str(tmp_path / "events.parquet")).schema))
-    late = incremental.drain(incremental.reuse_snapshots(stream), "again", str(tmp_path / "out"), str(tmp_path / "state"))
-    assert sorted(tuple(r) for r in late.collect()) == batch_rule([*rows, ("view-1", DAY - dt.timedelta(days=3), 1)])
+
+
+def again(spark, tmp_path, lateness, progress=None):
+    folder = str(tmp_path / "events.parquet")
+    stream = incremental.event_snapshots(incremental.read_files(spark, folder, spark.read.parquet(folder).schema))
+    return incremental.drain(incremental.reuse_snapshots(stream, lateness=lateness), "again", str(tmp_path / "out"), str(tmp_path / "state"), progress)
+
+
+def test_late_rows(spark, tmp_path):
+    rows = [("view-1", DAY + dt.timedelta(days=d), d) for d in (0, 1, 5)]
+    for part in (rows[:2], rows[2:]):
+        write(spark, tmp_path / "events.parquet", part)
+        again(spark, tmp_path, "8 days")
+    # a row from before all others is no reason to drop it, nor those kept; one between two kept ones is held to the first
+    late = [("view-1", DAY - dt.timedelta(days=2), 10), ("view-1", DAY + dt.timedelta(days=1, hours=3), 11), ("view-1", DAY - dt.timedelta(days=9), 12)]
+    write(spark, tmp_path / "events.parquet", late)
+    got = again(spark, tmp_path, "8 days")
+    # nine days before the first day is later than what is waited for
+    assert sorted(tuple(r) for r in got.collect()) == batch_rule([*rows, late[0], late[1]])
+
+
+def test_state_is_flat_over_many_lifetimes(spark, tmp_path):
+    rows, progress = [], []
+    for day in range(12):  # forty new keys a day, three snapshots each
+        part = [(f"view-{day * 40 + k}", DAY + dt.timedelta(days=day, hours=h), day * 1000 + k * 3 + i) for k in range(40) for i, h in enumerate((0, 5, 13))]
+        rows += part
+        write(spark, tmp_path / "events.parquet", part)
+        got = again(spark, tmp_path, "1 hour", progress)
+    assert sorted(tuple(r) for r in got.collect()) == batch_rule(rows)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    # a value and a timer for each key that is alive: as many after twelve lifetimes as after three
+    assert max(held[-4:]) <= max(held[:6]) and max(held) < 3 * 40 * 6
+
+
+def test_chain_is_the_rule_one_by_one():
+    rng = random.Random(8)
+    for _ in range(300):
+        ttl = rng.randint(1, 30)
+        kept = []
+        for t in sorted(rng.sample(range(300), rng.randint(0, 6))):
+            if not kept or t > kept[-1] + ttl:
+                kept.append(t)
+        times = sorted(rng.randint(0, 300) for _ in range(rng.randint(0, 40)))
+        want, chain = [], list(kept)
+        for t in times:
+            before = [k for k in chain if k <= t]
+            want.append(not before or t > before[-1] + ttl)
+            if want[-1]:
+                chain = sorted([*chain, t])
+        keep, after = incremental.live_chain(np.array(times, dtype=np.int64), kept, ttl)
+        assert keep.tolist() == want and after == chain
+
+
+def pages(spark, tmp_path, *rows):
+    spark.createDataFrame(list(rows), "run_id string, site string, url string, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    return incremental.read_files(spark, str(tmp_path / "pages"), "run_id string, site string, url string, n long")
+
+
+def count(df):
+    return df.groupBy("run_id", "site").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"))
+
+
+def test_two_batches_and_a_replay_leave_one_row_a_site(spark, tmp_path):
+    store = incremental.SiteStore(spark, str(tmp_path / "store"), count, "n", buckets=8)
+    store.run(pages(spark, tmp_path, ("r", "a", "a/1", 1), ("r", "a", "a/2", 2), ("r", "b", "b/1", 5)))
+    got = store.run(pages(spark, tmp_path, ("r", "a", "a/2", 20), ("r", "a", "a/3", 3), ("r", "c", "c/1", 7)))
+    want = [("r", "a", 3, 24), ("r", "b", 1, 5), ("r", "c", 1, 7)]
+    assert sorted(map(tuple, got.collect())) == want
+    versions = lambda: spark.read.parquet(str(tmp_path / "store" / "sites")).where("site = 'a'").count()
+    assert versions() == 2
+    # a batch that is applied again, as after a failure, replaces what it wrote
+    rows = spark.createDataFrame([("r", "a", "a/2", 20), ("r", "a", "a/3", 3), ("r", "c", "c/1", 7)], "run_id string, site string, url string, n long")
+    for _ in range(2):
+        store.apply(rows, 1)
+    assert sorted(map(tuple, store.sites().collect())) == want and versions() == 2
+    # and an earlier one, applied late, sees what it saw then
+    store.apply(spark.createDataFrame([("r", "a", "a/1", 1), ("r", "a", "a/2", 2), ("r", "b", "b/1", 5)], rows.schema), 0)
+    assert sorted(map(tuple, store.sites().collect())) == want
+
+
+def test_a_batch_reads_the_buckets_that_it_touches(spark, tmp_path):
+    seen = []
+    store = incremental.SiteStore(spark, str(tmp_path / "store"), lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or count(df), "n", buckets=16)
+    make = lambda *rows: spark.createDataFrame(list(rows), "run_id string, site string, url string, n long")
+    store.apply(make(*(("r", f"s{i}", "u", i) for i in range(60))), 0)
+    store.apply(make(("r", "s7", "v", 1)), 1)
+    assert "PartitionFilters: [bucket" in seen[1] or "bucket#" in seen[1].split("PartitionFilters")[1]
+    assert {r["site"]: r["pages"] for r in store.sites().collect()}["s7"] == 2
+
+
+def test_counts_of_touched_sites_replace_those_before(spark, tmp_path):
+    every = lambda: spark.read.parquet(str(tmp_path / "pages"))
+    recount = lambda df: df.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    for rows in ([("r", "a", "a/1", 1)], [("r", "a", "a/2", 2), ("r", "b", "b/1", 1)]):
+        stream = pages(spark, tmp_path, *rows)
+        got = incremental.refresh_counts(stream, every, "touched", recount, str(tmp_path / "counts"))
+    assert sorted(map(tuple, got.collect())) == [("a", 2), ("b", 1)]
