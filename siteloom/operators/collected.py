@@ -146,24 +146,53 @@ def is_gzipped(url: Column, content_type: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)\.gz$") | F.lower(content_type).contains("gzip"), F.lit(False))
 
 
+#: Levels of indexes that are followed; sitemaps nested deeper raise.
+LEVELS = 10_000
+_WALK = f"""
+with recursive walk(run_id, site, graph, depth, frontier, visited) max recursion level {LEVELS} as (
+  select run_id, site, graph, 0, frontier, frontier from {{seeds}}
+  union all
+  select run_id, site, graph, depth + 1, found, array_union(visited, found)
+  from (
+    select run_id, site, graph, depth, visited, array_except(flatten(transform(frontier, r -> coalesce(try_element_at(graph, r), cast(array() as array<string>)))), visited) as found
+    from walk)
+  where size(found) > 0)
+select run_id, site, depth, posexplode(frontier) as (path, ref) from walk
+"""
+
+
+def sitemap_places(parsed: DataFrame, starts: DataFrame) -> DataFrame:
+    """run_id, site, ref, depth, path: where breadth-first search meets each sitemap, from ``starts`` (run_id, site, pos, ref) and the usual places.
+
+    One recursive plan: a level of a site is one row with the sitemaps found there and the set of those visited, so cycles end and no
+    sitemap is met twice.  A row holds a site's index entries, never its page URLs.
+    """
+    usual = parsed.select(*KEY).distinct().select(*KEY, F.posexplode(F.array(*(F.lit(p) for p in SITEMAP_PATHS))).alias("i", "p"))
+    usual = usual.select(*KEY, (F.col("i") + 1_000_000).alias("pos"), F.concat(F.lit("https://"), F.col("site"), F.col("p")).alias("ref"))
+    first = starts.select(*KEY, "pos", "ref").unionByName(usual).groupBy(*KEY).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"])).alias("frontier"))
+    edges = parsed.where(F.size("s.maps") > 0).groupBy(*KEY, "ref").agg(F.min("s.maps").alias("maps"))
+    graphs = edges.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("ref", "maps"))).alias("graph"))
+    return parsed.sparkSession.sql(_WALK, seeds=first.join(graphs, KEY, "left"))
+
+
 def sitemap_walk(files: DataFrame, starts: DataFrame) -> DataFrame:
-    """run_id, site, ref, depth, path, s (maps, urls; null: no such file): sitemaps reached from ``starts`` (run_id, site, pos, ref) and the usual places, breadth first.
+    """run_id, site, ref, depth, path, before, s: the sitemaps of ``sitemap_places`` with what they hold (maps, urls; null: no such file) and how many URLs come before them in the walk.
 
-    Each file is read once a site, and indexes are followed however deep; every level is written, so none is read twice.
+    Files are parsed once.  URLs are counted by file, and only those counts are summed in order: no site's URLs are sorted.
     """
-    usual = files.select(*KEY).distinct().select(*KEY, F.posexplode(F.array(*(F.lit(p) for p in SITEMAP_PATHS))).alias("i", "p"))
-    usual = usual.select(*KEY, (F.col("i") + 1_000_000).alias("pos"), F.concat(F.lit("https://"), F.col("site"), F.col("p")).alias("ref"))
-    parsed = files.select(*KEY, "sitemap_url", parse_sitemap(F.col("body")).alias("s"))
-    level = starts.select(*KEY, "pos", "ref").unionByName(usual).groupBy(*KEY, "ref").agg(F.min("pos").alias("pos")).withColumn("path", F.format_string("%07d", "pos"))
-    parsed = keep(parsed.withColumnRenamed("sitemap_url", "ref"), "sitemaps")
-    done, step = None, 0
-    while done is None or not level.isEmpty():
-        here = keep(level.join(parsed, [*KEY, "ref"], "left").select(*KEY, "ref", F.lit(step).alias("depth"), "path", "s"), "sitemap-level")
-        done = here if done is None else done.unionByName(here)
-        nxt = here.select(*KEY, "path", F.posexplode("s.maps").alias("i", "ref")).withColumn("path", F.concat("path", F.lit("/"), F.format_string("%07d", "i")))
-        level = nxt.groupBy(*KEY, "ref").agg(F.min("path").alias("path")).join(done.select(*KEY, "ref"), [*KEY, "ref"], "left_anti")
-        step += 1
-    return done
+    parsed = keep(files.select(*KEY, F.col("sitemap_url").alias("ref"), parse_sitemap(F.col("body")).alias("s")).dropDuplicates([*KEY, "ref"]), "sitemaps")
+    spark = files.sparkSession
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, "-1")  # a row for each site and level
+    try:
+        places = keep(sitemap_places(parsed, starts), "sitemap-places")
+    finally:
+        spark.conf.set(limit, before) if before is not None else spark.conf.unset(limit)
+    counts = places.join(parsed.select(*KEY, "ref", F.size("s.urls").cast("long").alias("n")), [*KEY, "ref"], "left")
+    earlier = Window.partitionBy(*KEY).orderBy("depth", "path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(*KEY, "ref", "depth", "path", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(earlier), F.lit(0)).cast("long").alias("before"))
+    return placed.join(parsed, [*KEY, "ref"], "left")
 
 
 def sitemap_urls(files: DataFrame, starts: DataFrame, most: int = 50_000) -> DataFrame:
@@ -172,10 +201,9 @@ def sitemap_urls(files: DataFrame, starts: DataFrame, most: int = 50_000) -> Dat
 
 
 def numbered(walk: DataFrame, most: int = 50_000) -> DataFrame:
-    """run_id, site, seq, url of a walk."""
-    urls = walk.select(*KEY, "depth", "path", F.posexplode("s.urls").alias("i", "url"))
-    urls = urls.withColumn("seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("depth", "path", "i")))
-    return urls.where(F.col("seq") <= most).select(*KEY, "seq", "url")
+    """run_id, site, seq, url of a walk: a file's URLs are numbered on from how many come before it, wherever the file is."""
+    held = walk.where(F.col("before") < most).select(*KEY, "before", F.posexplode(F.slice("s.urls", F.lit(1), F.least(F.size("s.urls"), (most - F.col("before")).cast("int")))).alias("i", "url"))
+    return held.select(*KEY, (F.col("before") + F.col("i") + 1).cast("int").alias("seq"), "url")
 
 
 def sitemap_errors(walk: DataFrame, most: int = 50_000) -> DataFrame:
@@ -190,11 +218,31 @@ SCANNED = 50_000
 HEADER = r"(?i)^(?:\[|\()?(CRITICAL|HIGH|MEDIUM|LOW|INFO)(?:\]|\))?:?\s*(.+)"
 
 
+def scanned_lines(lines: DataFrame, block: int = 1000) -> DataFrame:
+    """The lines (run_id, site, line_no, line) of each log within its first SCANNED characters, the last of them cut, masked; a log that is longer ends in a line that says so.
+
+    Characters are summed by blocks of line numbers; only the sums of blocks are put in order.  Blocks that begin beyond the bound go before any
+    line is sorted, so a log of any length spreads over all tasks and what is left of a site is bounded.
+    """
+    rows = lines.select(*KEY, "line_no", F.coalesce("line", F.lit("")).alias("line")).withColumn("block", F.floor(F.col("line_no") / block))
+    size = F.length("line") + 1  # with its line feed
+    sums = rows.groupBy(*KEY, "block").agg(F.sum(size).alias("n"), F.max("line_no").alias("last"))
+    w = Window.partitionBy(*KEY).orderBy("block")
+    sums = sums.withColumns({"before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(*KEY)) - 1, "end": F.max("last").over(Window.partitionBy(*KEY))})
+    held = rows.join(sums.where(F.col("before") < SCANNED).select(*KEY, "block", "before", "total", "end"), [*KEY, "block"])
+    inside = Window.partitionBy(*KEY, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum(size).over(inside), F.lit(0))
+    held = held.withColumn("at", at).where(F.col("at") < SCANNED)
+    cut = held.select(*KEY, "line_no", F.substr("line", F.lit(1), (SCANNED - F.col("at")).cast("int")).alias("line"))
+    marks = sums.where((F.col("before") == 0) & (F.col("total") > SCANNED)).select(*KEY, (F.col("end") + 1).alias("line_no"), F.lit("... [truncated]").alias("line"))
+    return cut.unionByName(marks).withColumn("line", redact.mask_scan(F.col("line")))
+
+
 def scan_findings(lines: DataFrame, most: int = 100) -> DataFrame:
-    """Findings of a scan log: a header line opens one, the lines after it are its description."""
+    """Findings of a scan log, of the part that ``scanned_lines`` reads: a header line opens one, the lines after it are its description."""
     order = Window.partitionBy(*KEY).orderBy("line_no")
-    masked = lines.withColumn("line", redact.mask_scan(F.col("line")))
-    rows = masked.withColumn("head", F.col("line").rlike(HEADER)).withColumn("no", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("no").between(1, most))
+    rows = scanned_lines(lines).withColumn("head", F.col("line").rlike(HEADER)).withColumn("no", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("no").between(1, most))
+    # a site's texts together are SCANNED characters at most
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
     first = lambda g: F.max(F.when(F.col("head"), F.regexp_extract("line", HEADER, g)))
     return rows.groupBy(*KEY, "no").agg(F.upper(first(1)).alias("severity"), F.trim(first(2)).alias("title"), text.alias("description"))

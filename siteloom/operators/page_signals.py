@@ -89,20 +89,23 @@ def page_signals(fetches: DataFrame) -> DataFrame:
     return extract(fetches)
 
 
-def page_links(fetches: DataFrame, skip: tuple[str, ...] = ("#", "javascript:", "mailto:", "tel:")) -> DataFrame:
-    """A row for each distinct target of a page, in order: link_url, text, internal, nofollow.
+def page_links(fetches: DataFrame, skip: tuple[str, ...] = ("#", "javascript:", "mailto:", "tel:"), texts: bool = True) -> DataFrame:
+    """A row for each distinct target of a page, in order: link_url, pos, text, nofollow, internal; without ``texts`` neither text nor nofollow.
 
     The first occurrence of a target counts.  html is gone before links are spread to rows.
     """
-    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(0))
-    rows = fetches.select("run_id", "site", "crawl_seq", "url", tags.alias("tags")).select("run_id", "site", "crawl_seq", "url", F.posexplode("tags").alias("pos", "tag"))
+    keys = ["run_id", "site", "crawl_seq", "url"]
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(0 if texts else 1))
+    rows = fetches.select(*keys, tags.alias("tags")).select(*keys, F.posexplode("tags").alias("pos", "tag"))
     tag = F.col("tag")
-    rows = rows.withColumns({"href": text.trim(F.regexp_extract(tag, ANCHOR, 1)), "text": text.truncate(text.strip_html(F.regexp_extract(tag, ANCHOR, 2)), 100)})
-    rows = rows.withColumn("nofollow", F.lower(tag).contains("rel=") & F.lower(tag).contains("nofollow")).drop("tag")
+    rows = rows.withColumn("href", text.trim(F.regexp_extract(tag, ANCHOR, 1) if texts else tag))
     wanted = F.col("href") != ""
     for prefix in skip:
         wanted = wanted & ~F.col("href").startswith(prefix)
     rows = rows.where(wanted).withColumn("link_url", urls.resolve(F.col("url"), F.col("href"))).where("link_url is not null")
+    internal = urls.host(F.col("link_url")) == urls.host(F.col("url"))
+    if not texts:
+        return rows.groupBy(*keys, "link_url").agg(F.min("pos").alias("pos")).withColumn("internal", internal)
+    rows = rows.withColumns({"text": text.truncate(text.strip_html(F.regexp_extract(tag, ANCHOR, 2)), 100), "nofollow": F.lower(tag).contains("rel=") & F.lower(tag).contains("nofollow")})
     first = F.min_by(F.struct("pos", "text", "nofollow"), "pos").alias("f")
-    rows = rows.groupBy("run_id", "site", "crawl_seq", "url", "link_url").agg(first)
-    return rows.select("run_id", "site", "crawl_seq", "url", "link_url", "f.*").withColumn("internal", urls.host(F.col("link_url")) == urls.host(F.col("url")))
+    return rows.groupBy(*keys, "link_url").agg(first).select(*keys, "link_url", "f.*").withColumn("internal", internal)

@@ -102,7 +102,7 @@ def extract(raw: Mapping[str, Callable[[], DataFrame]], sites: DataFrame, only:
     if "schema" in wanted:
         out["schema"] = jsonld.summary(page_signals.extract(of("fetches"), ["schema"]))
     if "links" in wanted:
-        out["links"] = link_graph.summary(page_signals.page_links(of("fetches")), of("fetches").select(*KEY, "crawl_seq", "url", "status"))
+        out["links"] = link_graph.summary(page_signals.page_links(of("fetches"), texts=False), of("fetches").select(*KEY, "crawl_seq", "url", "status"))
     if "images" in wanted:
         out["images"] = images.summary(images.inventory(of("fetches")))
     if "perf" in wanted:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from siteloom.plans.inputs import reading_once
+
 MODULES = ["pages", "site", "collected", "audit", "extraction", "reports", "sitewide"]
 
 
@@ -12,7 +14,7 @@ def _all(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return {k: reading_once(q) for k, q in _all("QUERIES").items()}
 
 
 def oracle_sql() -> dict:

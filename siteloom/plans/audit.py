@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ def _tables(spark, d) -> dict:
     t["urls"] = once("urls", lambda: frame(spark, d, "urls"))
     t["sites"] = once("sites", lambda: frame(spark, d, "sites"))
     t["signals"] = once("signals", lambda: page_plans._kept(spark, d))
-    t["broken_links"] = once("broken_links", lambda: keep(link_graph.broken_links(page_plans._links(spark, d), t["pages"]()), "broken-links"))
+    t["broken_links"] = once("broken_links", lambda: keep(link_graph.broken_links(page_plans._targets(spark, d), t["pages"]()), "broken-links"))
     t["robots"] = once("robots", lambda: frame(spark, d, "robots"))
     t["sitemap_refs"] = once("sitemap_refs", lambda: collected.sitemap_refs(t["robots"]()))
     t["walk"] = once("walk", lambda: collected.sitemap_walk(frame(spark, d, "sitemap_files"), t["sitemap_refs"]()))
@@ -73,7 +76,10 @@ def _model_rows(rows: DataFrame, check: str) -> DataFrame:
 
 
 def _families(spark, d, t: dict, brief: bool = False) -> dict[str, list[DataFrame]]:
-    """Findings of the rule audits and of both kinds of model answers."""
+    """Findings of the rule audits and of both kinds of model answers.  The tables that are written first do not depend on each other, so they are written side by side."""
+    with ThreadPoolExecutor(3) as pool:
+        for made in [pool.submit(copy_context().run, t[name]) for name in ("signals", "broken_links", "sitemap_urls")]:
+            made.result()
     visual, serp = collected.model_findings(frame(spark, d, "site_answers")), collectors.serp_model_findings(frame(spark, d, "serp_answers"))
     return {**checks.compile(t, brief=brief), "visual": [_model_rows(visual, "visual.model")], "serp": [_model_rows(serp, "serp.model")]}
 

@@ -10,6 +10,8 @@ from siteloom.plans import pages as page_plans
 from siteloom.plans.inputs import CTES, frame, with_inputs
 from siteloom.plans.pages import SIGNALS, _normal
 from siteloom.plans.site import _CH, _h
+from siteloom.sources.files import read_files, sitemap_files
+from siteloom.sources.scratch import scratch
 from siteloom.sources.tables import table
 from siteloom.streaming import incremental
 
@@ -74,6 +76,19 @@ def q_sitemap_urls(spark, d):
     return collected.sitemap_urls(frame(spark, d, "sitemap_files"), collected.sitemap_refs(frame(spark, d, "robots"))).drop("run_id")
 
 
+def q_collected_files(spark, d):
+    """The sitemaps written as files, some compressed and some no text, and read again: bodies by file, and what is wrong with the others."""
+    folder = scratch(spark, "sitemap-folder")
+    rows = frame(spark, d, "sitemap_files").withColumns({"file": F.url_encode("sitemap_url"), "k": F.length("sitemap_url") % 11})
+    shown = rows.select(F.when(F.col("k") == 5, F.concat(F.lit("\u0000"), "body")).otherwise(F.col("body")).alias("value"), "run_id", "site", "file", "k")
+    for packed, codec in ((True, "gzip"), (False, "none")):
+        part = shown.where((F.col("k") % 3 == 0) == packed).drop("k")
+        part.write.mode("append").option("compression", codec).partitionBy("run_id", "site", "file").text(folder)
+    good, bad = read_files(spark, folder)
+    out = sitemap_files(good).withColumn("error", F.lit(None).cast("string")).unionByName(sitemap_files(bad.withColumn("body", F.lit(None).cast("string")).select("run_id", "site", "file", "body", "error")).withColumn("error", F.lit("not a text file")))
+    return out.select("site", "sitemap_url", F.sha2("body", 256).alias("body_sha256"), "error")
+
+
 def q_url_set(spark, d):
     found = collected.sitemap_urls(frame(spark, d, "sitemap_files"), collected.sitemap_refs(frame(spark, d, "robots")))
     return site_facts.url_set(frame(spark, d, "fetches"), found).select("site", "url", F.col("at.src").alias("src"), F.col("at.seq").alias("seq"))
@@ -274,6 +289,11 @@ ORACLE_SQL = {
     "robots_findings": _duck(f"with {_LINES}, {_BLOCK} select site, 'crawl.robots_blocked' as check_id, 'crawl_robots_blocked' as type, case when bool_or(section = 'home') then 'critical' else 'warning' end as severity, concat('robots.txt blocks important sections: ', string_agg(section, ', ' order by pos, section)) as message from blocking group by site", "robots"),
     "sitemap_refs": _duck(f"with {_REFS} select * from refs", "robots"),
     "sitemap_urls": _duck(f"{_SM} select * from sitemap_urls", "robots", "sitemap_files"),
+    # a text writer ends each file with a line feed; checksums are of the bodies with it
+    "collected_files": _duck(
+        "select site, sitemap_url, case when k <> 5 then sha256(concat(body, chr(10))) end as body_sha256, case when k = 5 then 'not a text file' end as error from (select *, length(sitemap_url) % 11 as k from sitemap_files)",
+        "sitemap_files",
+    ),
     "url_set": _duck(f"{_SM} select site, url, (min({{'a': src, 'b': seq}})).a as src, (min({{'a': src, 'b': seq}})).b as seq from (select site, url, 0 as src, crawl_seq as seq from fetches union all select site, url, 1, seq from sitemap_urls) group by site, url", "robots", "sitemap_files", "fetches"),
     "likely_secrets": r"""select doc_id, count(*) as n from (select distinct doc_id, unnest(list_concat(string_split_regex(text, '[\x20\x09-\x0D]+'), regexp_extract_all(text, '[A-Za-z_]+ = "[^"]*"', 0))) as w from documents) where length(w) >= 12 and
       (case when length(w) > 32 then 2 when length(w) > 20 then 1 else 0 end + (regexp_matches(w, '[a-z]') and regexp_matches(w, '[A-Z]'))::int + regexp_matches(w, '[0-9]')::int + regexp_matches(w, '[_\-+=/.]')::int + (regexp_matches(w, '[A-Za-z0-9+/=]') and not regexp_matches(w, '(?i)[a-f0-9]'))::int

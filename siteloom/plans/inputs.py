@@ -7,6 +7,9 @@ and DuckDB both read, so that every check has rows and work grows with the table
 
 from __future__ import annotations
 
+import functools
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 SITE = "lower(regexp_extract(url, '^https?://([^/?#]*)', 1))"
@@ -39,12 +42,42 @@ from pages"""
 CTES = {"fetches": FETCHES}
 
 
+#: Tables that the query being built has read, by path; None outside of one.
+_read: ContextVar[dict | None] = ContextVar("read", default=None)
+
+
+def reading_once(query):
+    """A query that looks at each given table's files once, however many of its inputs derive from it."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _read.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _read.reset(token)
+
+    return run
+
+
+def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    held = _read.get()
+    if held is None:
+        held = {}
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in held:
+        held[path] = spark.read.parquet(path)
+        held[path].createOrReplaceTempView(f"siteloom_{name}")
+    return held[path]
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input, from its SQL text over the given tables."""
     text = CTES[name].replace("URLLIST", f"listagg({_ENTRY}, '') within group (order by page_id)").replace("MAPLIST", f"listagg({_MAP}, '') within group (order by c)")
     for t in TABLES:
         if f"from {t}" in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"siteloom_{t}")
+            given(spark, sf_dir, t)
             text = text.replace(f"from {t}", f"from siteloom_{t}")
     return spark.sql(text)
 

@@ -29,8 +29,13 @@ def _links(spark, d) -> DataFrame:
     return page_signals.page_links(frame(spark, d, "fetches"))
 
 
+def _targets(spark, d) -> DataFrame:
+    """Links without their texts, for those who ask where they lead."""
+    return page_signals.page_links(frame(spark, d, "fetches"), texts=False)
+
+
 def _kept_links(spark, d) -> DataFrame:
-    return keep(_links(spark, d), "page-links")
+    return keep(_targets(spark, d), "page-links")
 
 
 def q_page_signals(spark, d):
@@ -74,15 +79,15 @@ def q_page_links(spark, d):
 
 
 def q_link_graph(spark, d):
-    return link_graph.edges(_links(spark, d)).drop("run_id")
+    return link_graph.edges(_targets(spark, d)).drop("run_id")
 
 
 def q_broken_links(spark, d):
-    return link_graph.broken_fan_in(link_graph.broken_links(_links(spark, d), _pages(spark, d))).drop("run_id")
+    return link_graph.broken_fan_in(link_graph.broken_links(_targets(spark, d), _pages(spark, d))).drop("run_id")
 
 
 def q_broken_link_findings(spark, d):
-    return _flat(checks.apply("links", findings.broken_link_facts(keep(link_graph.broken_links(_links(spark, d), _pages(spark, d)), "broken-links"))))
+    return _flat(checks.apply("links", findings.broken_link_facts(keep(link_graph.broken_links(_targets(spark, d), _pages(spark, d)), "broken-links"))))
 
 
 def q_orphan_pages(spark, d):
@@ -90,7 +95,7 @@ def q_orphan_pages(spark, d):
 
 
 def q_uncrawled_targets(spark, d):
-    return link_graph.uncrawled_targets(_links(spark, d), _pages(spark, d)).drop("run_id")
+    return link_graph.uncrawled_targets(_targets(spark, d), _pages(spark, d)).drop("run_id")
 
 
 def q_link_summary(spark, d):

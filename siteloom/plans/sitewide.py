@@ -49,7 +49,7 @@ def _datasets(spark, d) -> dict:
     found = t["sitemap_urls"]()
     fetches = frame(spark, d, "fetches")
     certificates = site_facts.certificates(collectors.tls_facts(frame(spark, d, "tls_rows")), F.to_timestamp(F.lit(AS_OF)))
-    links = page_signals.page_links(fetches).select("run_id", "site", "link_url", "internal").distinct()
+    links = page_signals.page_links(fetches, texts=False).select("run_id", "site", "link_url", "internal").distinct()
     return {
         "header_states": t["header_states"](), "hops": frame(spark, d, "hops"), "robots": frame(spark, d, "robots"), "sitemap_urls": found, "sitemap_errors": keep(collected.sitemap_errors(t["walk"]()), "sitemap-errors"),
         "plan": keep(audit.sampling_plan(found), "plan"), "pages": keep(audit.sampled(fetches).select("run_id", "site", "crawl_seq", "url", "status"), "sampled-pages"),

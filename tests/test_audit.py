@@ -58,17 +58,6 @@ def test_twenty_levels_of_json_ld(spark):
     assert [r["has_product_schema"] for r in s.orderBy("crawl_seq").collect()] == [True, False]
 
 
-def test_fifteen_levels_of_sitemaps(spark):
-    files = [("r", "s", f"https://s/{i}.xml", f"<sitemapindex><sitemap><loc>https://s/{i + 1}.xml</loc></sitemap><sitemap><loc>https://s/gone{i}.xml</loc></sitemap></sitemapindex>") for i in range(15)]
-    files.append(("r", "s", "https://s/15.xml", "<urlset><url><loc>https://s/deep</loc></url></urlset>"))
-    df = spark.createDataFrame(files, "run_id string, site string, sitemap_url string, body string")
-    starts = spark.createDataFrame([("r", "s", 0, "https://s/0.xml")], "run_id string, site string, pos int, ref string")
-    walk = collected.sitemap_walk(df, starts)
-    assert [r["url"] for r in collected.sitemap_urls(df, starts).collect()] == ["https://s/deep"]
-    errors = {r["message"] for r in collected.sitemap_errors(walk, most=1).collect()}
-    assert "https://s/gone14.xml: no such file" in errors and "Reached MAX_SITEMAP_URLS limit (1)" in errors and len(errors) == 15 + 3 + 1
-
-
 def test_headers_in_two_spellings(spark):
     entry = [("Content-Security-Policy", "a"), ("content-security-policy", "b"), ("X-Frame-Options", ""), ("Content-Type", "Text/HTML")]
     roots = spark.createDataFrame([("r", "s", 200, "<p>", entry), ("r", "t", None, "<p>", None)], "run_id string, site string, status int, html string, headers array<struct<key:string,value:string>>")
