@@ -22,7 +22,6 @@ WEIGHTS = np.array([xxhash.xxh3_64_intdigest(f"place{i}") | 1 for i in range(64)
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,20 +35,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    Tables that a result still reads stay until whoever owns the folder clears it; others are discarded.
+    Tables that a result still reads stay until whoever owns the folder clears it; others are discarded.  ``settings`` hold while
+    the table is written, unless the session has its own; the session is left as it was.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siteloom-{uuid.uuid4().hex}/{name}"
+    own = {k: v for k, v in (settings or {}).items() if spark.conf.get(k, None) is None}
     # once the table is written, nothing reads the shuffle files that led to it
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    own[_CLEANUP] = "true"
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -69,10 +73,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, str(8 << 20))
 
 
-def few_range_samples(spark: SparkSession) -> None:
-    """Ranges of hashes are even, so twenty samples a partition find their bounds; the driver gets a fifth of the usual, unless the session says how many."""
-    if spark.conf.get(_SAMPLES, None) is None:
-        spark.conf.set(_SAMPLES, "20")
+#: Ranges of hashes are even, so twenty samples a partition find their bounds, and the driver gets a fifth of the usual.
+FEW_SAMPLES = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "20"}
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteloom.llm.common import bounded_batches, few_range_samples, materialise, row_key, same
+from siteloom.llm.common import FEW_SAMPLES, bounded_batches, materialise, row_key, same
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _LINES = "h1 long, h2 long, doc_id long, rk long, pos int, n_lines int"
@@ -133,12 +133,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     doc_id and text are one document; a null text has one empty line, which has no key.
     """
     bounded_batches(docs.sparkSession)
-    few_range_samples(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), F.col("text").cast("binary").alias("text"))
     lines = keyed.mapInArrow(_hash_lines(min_chars), _LINES)
     order = ["h1", "h2", "doc_id", "rk"]
     runs = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos").mapInArrow(_stream_runs(min_docs, keep_first), _RUNS)
-    runs = materialise(runs, "line-runs")
+    runs = materialise(runs, "line-runs", FEW_SAMPLES)
     # two summaries a partition at most
     place = F.struct("doc_id", "rk", "pos")
     edges = runs.where(F.col("state") == _EDGE).groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs)

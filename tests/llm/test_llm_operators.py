@@ -53,6 +53,21 @@ def test_line_dedup(spark, docs, keep_first):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_the_session_as_it_was(spark, docs):
+    from siteloom.llm.common import FEW_SAMPLES
+
+    (name,) = FEW_SAMPLES
+    before = spark.conf.get(name, None)
+    line_dedup.dedup_lines(docs(*[(i, "a\nb %d" % i) for i in range(20)])).count()
+    assert spark.conf.get(name, None) == before
+    spark.conf.set(name, "77")
+    try:
+        line_dedup.dedup_lines(docs((1, "a"))).count()
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_line_dedup_over_many_partitions(spark, docs):
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
