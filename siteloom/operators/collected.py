@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import redact
 from siteloom.functions.text import trim
 from siteloom.operators.findings import evidence
-from siteloom.sources.scratch import keep
+from siteloom.sources.scratch import RECURSIVE, keep
 
 KEY = ["run_id", "site"]
 #: Metrics of the page-speed JSON by audit id (fixed values).
@@ -181,14 +181,7 @@ def sitemap_walk(files: DataFrame, starts: DataFrame) -> DataFrame:
     Files are parsed once.  URLs are counted by file, and only those counts are summed in order: no site's URLs are sorted.
     """
     parsed = keep(files.select(*KEY, F.col("sitemap_url").alias("ref"), parse_sitemap(F.col("body")).alias("s")).dropDuplicates([*KEY, "ref"]), "sitemaps")
-    spark = files.sparkSession
-    limit = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(limit, None)
-    spark.conf.set(limit, "-1")  # a row for each site and level
-    try:
-        places = keep(sitemap_places(parsed, starts), "sitemap-places")
-    finally:
-        spark.conf.set(limit, before) if before is not None else spark.conf.unset(limit)
+    places = keep(sitemap_places(parsed, starts), "sitemap-places", RECURSIVE)
     counts = places.join(parsed.select(*KEY, "ref", F.size("s.urls").cast("long").alias("n")), [*KEY, "ref"], "left")
     earlier = Window.partitionBy(*KEY).orderBy("depth", "path").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select(*KEY, "ref", "depth", "path", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(earlier), F.lit(0)).cast("long").alias("before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.sources.scratch import keep
+from siteloom.sources.scratch import RECURSIVE, keep
 
 KEY = ["run_id", "site"]
 #: A declared type that names a product: a string, or one in an array of strings.
@@ -32,23 +32,30 @@ def block_facts() -> dict[str, Column]:
     return {"invalid_schema_count": F.size("ld_json") - F.size(valid), "has_product_schema": F.exists(valid, lambda b: plain(b).rlike(PRODUCT))}
 
 
+#: Levels of nesting that are followed; blocks nested deeper raise.
+LEVELS = 10_000
+_WALK = f"""
+with recursive walk(run_id, site, crawl_seq, url, v) max recursion level {LEVELS} as (
+  select run_id, site, crawl_seq, url, v from {{blocks}}
+  union all
+  select run_id, site, crawl_seq, url, x.value
+  from walk, lateral variant_explode(walk.v) x
+  where not (x.key <=> '@type') and schema_of_variant(x.value) rlike '^(OBJECT|ARRAY)')
+select * from walk
+"""
+
+
 def all_types(signals: DataFrame) -> DataFrame:
     """run_id, site, crawl_seq, url, schema_type: each declared type at any depth; ParseError for a block that is no JSON.
 
-    The walk goes level by level with ``variant_explode``, however deep.  Each level is written, so that
-    html is scanned once and a level once; a level without rows ends the walk.
+    The walk is one recursive plan over the blocks, however deep they nest.
     """
     keys = [*KEY, "crawl_seq", "url"]
     blocks = keep(signals.select(*keys, F.explode("ld_json").alias("b")), "json-ld").withColumn("v", F.try_parse_json("b"))
-    out = blocks.where("v is null").select(*keys, F.lit("ParseError").alias("schema_type"))
-    level = blocks.where("v is not null").select(*keys, "v")
-    while not level.isEmpty():
-        out = out.unionByName(level.select(*keys, F.explode(_type_names(F.col("v"))).alias("schema_type")).where("schema_type is not null"))
-        inner = level.sparkSession.sql(
-            f"select {', '.join(keys)}, to_json(x.value) as b from {{level}}, lateral variant_explode(v) x where not (x.key <=> '@type') and schema_of_variant(x.value) rlike '^(OBJECT|ARRAY)'", level=level
-        )
-        level = keep(inner, "json-ld-level").select(*keys, F.parse_json("b").alias("v"))
-    return out
+    walk = signals.sparkSession.sql(_WALK, blocks=blocks.where("v is not null").select(*keys, "v"))
+    named = walk.select(*keys, F.explode(_type_names(F.col("v"))).alias("schema_type")).where("schema_type is not null")
+    broken = blocks.where("v is null").select(*keys, F.lit("ParseError").alias("schema_type"))
+    return broken.unionByName(keep(named, "json-ld-types", RECURSIVE))
 
 
 def page_schema(signals: DataFrame) -> DataFrame:

@@ -19,8 +19,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/siteloom-{uuid.uuid4().hex}/{name}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: what several aggregations read is computed once."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Written to the shared folder and read again: what several aggregations read is computed once.  ``settings`` of the session hold while it is written."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a recursive query are not counted against a limit: they follow the input.
+RECURSIVE = {"spark.sql.cteRecursionRowLimit": "-1"}
