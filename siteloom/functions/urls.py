@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.idna import ascii_host
 from siteloom.functions.text import WS, trim
 
 PARTS = r"^(?i)(https?):/+([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -20,6 +21,19 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, PARTS, 2)), r":\d*$", "")
 
 
+def _ascii_authority(authority: Column) -> Column:
+    """Host in ASCII and port of an authority; one in ASCII stays as it is, lower-cased."""
+    port = F.regexp_extract(authority, r"(:\d*)$", 1)
+    return F.when(authority.rlike(r"[^\x00-\x7F]"), F.concat(ascii_host(F.regexp_replace(authority, r":\d*$", "")), port)).otherwise(F.lower(authority))
+
+
+def to_ascii(url: Column) -> Column:
+    """A web URL whose host is written in ASCII; other text stays.  Tables of URLs are brought into this form when they are read, so that hosts compare."""
+    authority = F.regexp_extract(url, PARTS, 2)
+    rest = F.concat(*(F.regexp_extract(url, PARTS, k) for k in (3, 4, 5)))
+    return F.when(authority.rlike(r"[^\x00-\x7F]"), F.concat(scheme(url), F.lit("://"), _ascii_authority(authority), rest)).otherwise(url)
+
+
 def path(url: Column) -> Column:
     p = F.regexp_extract(url, PARTS, 3)
     return F.when(p == "", "/").otherwise(p)
@@ -56,10 +70,10 @@ def _sorted_query(q: Column) -> Column:
 
 
 def normalise(url: Column) -> Column:
-    """Scheme added, host lower-cased, default port, fragment and one trailing slash dropped, path decoded where safe, parameters sorted."""
+    """Scheme added, host lower-cased and in ASCII, default port, fragment and one trailing slash dropped, path decoded where safe, parameters sorted."""
     u = trim(url)
     full = F.when(u.rlike(ABSOLUTE), u).otherwise(F.concat(F.lit("https://"), u))
-    authority = F.lower(F.regexp_extract(full, PARTS, 2))
+    authority = _ascii_authority(F.regexp_extract(full, PARTS, 2))
     s = scheme(full)
     authority = F.when(s == "https", F.regexp_replace(authority, ":(443)?$", "")).otherwise(F.regexp_replace(authority, ":(80)?$", ""))
     p = encode_path(_decoded(path(full)))
@@ -96,7 +110,7 @@ def resolve(base: Column, ref: Column) -> Column:
         .otherwise(F.concat(origin, path(base), own_query, rest))
     )
     scheme_relative = F.concat(scheme(base), F.lit(":"), F.regexp_extract(r, r"^(//[^/?#]*)", 1), encode_path(path(F.concat(F.lit("http:"), r))), rest)
-    return F.when(r.rlike(ABSOLUTE), absolute).when(r.startswith("//"), scheme_relative).when(r.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:"), None).otherwise(relative)
+    return F.when(r.rlike(ABSOLUTE), to_ascii(absolute)).when(r.startswith("//"), to_ascii(scheme_relative)).when(r.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:"), None).otherwise(relative)
 
 
 def link_key(url: Column) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteloom.functions import urls
 from siteloom.operators import collected, collectors, page_signals, site_facts, snapshot
 from siteloom.plans.audit import AS_OF
 from siteloom.plans.collected import _SM
 from siteloom.plans.inputs import CTES, frame, with_inputs
 from siteloom.plans.pages import SIGNALS, _q
 from siteloom.plans.site import _CH, _NAMED, _STATES, _TPL, _path, _states
+from siteloom.sources.tables import ascii_urls
 
 #: Three choices of page families, and three of a snapshot's.
 PAGE_CHOICES = {"head": ["title", "description", "flags"], "structure": ["canonical", "headings", "words"], "data": ["schema", "images", "mixed_content"]}
@@ -71,6 +73,16 @@ def q_certificate_states(spark, d):
     return out.select("site", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("days_left", "valid", "sans_include_domain", "issuer", "protocol") for f in ("state", "value", "reason")))
 
 
+def q_ascii_hosts(spark, d):
+    """International hosts in ASCII: of the URL itself, in its normal form and in links from it."""
+    rows = ascii_urls(frame(spark, d, "foreign_urls").withColumn("typed", F.col("url")))
+    return rows.select("page_id", "url", urls.normalise(F.col("typed")).alias("normal"), urls.resolve(F.col("url"), F.col("href")).alias("link"))
+
+
+#: Hosts of several scripts, and what they are in ASCII (samples of the encoding's standard among them).
+_HOSTS = {"Bücher.example": "xn--bcher-kva.example", "münchen.de:8080": "xn--mnchen-3ya.de:8080", "例え.テスト": "xn--r8jz45g.xn--zckzah", "почемужеонинеговорятпорусски.example": "xn--b1abfaaepdrnnbgefbadotcwatmq2g4l.example", "Plain.Example": "plain.example", "www.españa。example": "www.xn--espaa-rta.example"}
+_pick = lambda names: " ".join(f"when {i} then '{n}'" for i, n in enumerate(names))
+CTES["foreign_urls"] = f"select page_id, concat('https://', case page_id % 6 {_pick(_HOSTS)} end, '/p', cast(page_id as varchar(20))) as url, case page_id % 4 when 0 then '//правда.example/x' when 1 then 'HTTP://Faß.example/y?q' when 2 then '/local' else 'mailto:a@b' end as href from pages"
 _S = f"({CTES['sites']}) s"
 CTES["infra_records"] = f"""select run_id, site, case when (sid + pos) % 4 = 0 then 'A' when (sid + pos) % 4 = 3 then 'AAAA' else 'CNAME' end as rtype, pos,
   case (sid + 2 * pos) % 6 when 0 then 'x.CloudFront.net' when 1 then concat('lb.', site, '.amazonaws.com') when 2 then '192.0.2.7' when 3 then 'd.fastly.net' when 4 then 'vm.hetzner.de' else site end as value
@@ -152,5 +164,11 @@ ORACLE_SQL = {
         from sites s left join provided p on p.site = s.site left join issued i on i.site = s.site left join certified c on c.site = s.site""",
         "sites", "tls_rows", "infra_records",
     ),
+    "ascii_hosts": with_inputs(
+        f"""select page_id, case when page_id % 6 = 4 then url else concat('https://', h, '/p', page_id) end as url, concat('https://', h, '/p', page_id) as normal,
+          case page_id % 4 when 0 then 'https://xn--80aafi6cg.example/x' when 1 then 'http://xn--fa-hia.example/y?q' when 2 then concat('https://', h, '/local') end as link
+        from (select *, case page_id % 6 {_pick(_HOSTS.values())} end as h from foreign_urls)""",
+        "foreign_urls",
+    ),
     "certificate_states": with_inputs(f"with {_CERTIFICATES} select * from certified", "tls_rows"),
 }
