@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.text import let
+
 #: Parameters of the encoding (fixed values of RFC 3492).
 BASE, T_MIN, T_MAX, SKEW, DAMP, FIRST_BIAS, FIRST = 36, 1, 26, 38, 700, 72, 128
 #: Digits of a number and steps of a bias that 64-bit deltas can need.
@@ -77,7 +79,6 @@ def ascii_host(host: Column) -> Column:
 
     Compatibility forms of letters are not folded together; hosts come as browsers and feeds write them.
     """
-    lower = F.lower(host)
-    labels = F.split(F.regexp_replace(lower, "[\\u3002\\uFF0E\\uFF61]", "."), r"\.")
     one = lambda label: F.when(label.rlike(r"[^\x00-\x7F]"), F.concat(F.lit("xn--"), punycode(label))).otherwise(label)
-    return F.when(lower.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(labels, one), ".")).otherwise(lower)
+    labels = lambda h: F.split(F.regexp_replace(h, "[\u3002\uFF0E\uFF61]", "."), r"\.")
+    return let(F.lower(host), lambda h: F.when(h.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(labels(h), one), ".")).otherwise(h))

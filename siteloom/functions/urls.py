@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteloom.functions.idna import ascii_host
-from siteloom.functions.text import WS, trim
+from siteloom.functions.text import WS, let, trim
 
 PARTS = r"^(?i)(https?):/+([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 ABSOLUTE = r"^(?i)https?://"
@@ -21,17 +21,22 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, PARTS, 2)), r":\d*$", "")
 
 
+#: A web URL with a host beyond ASCII.
+FOREIGN = r"^(?i)https?:/+[^/?#]*[^\x00-\x7F]"
+
+
 def _ascii_authority(authority: Column) -> Column:
-    """Host in ASCII and port of an authority; one in ASCII stays as it is, lower-cased."""
-    port = F.regexp_extract(authority, r"(:\d*)$", 1)
-    return F.when(authority.rlike(r"[^\x00-\x7F]"), F.concat(ascii_host(F.regexp_replace(authority, r":\d*$", "")), port)).otherwise(F.lower(authority))
+    return F.concat(ascii_host(F.regexp_replace(authority, r":\d*$", "")), F.regexp_extract(authority, r"(:\d*)$", 1))
 
 
 def to_ascii(url: Column) -> Column:
     """A web URL whose host is written in ASCII; other text stays.  Tables of URLs are brought into this form when they are read, so that hosts compare."""
-    authority = F.regexp_extract(url, PARTS, 2)
-    rest = F.concat(*(F.regexp_extract(url, PARTS, k) for k in (3, 4, 5)))
-    return F.when(authority.rlike(r"[^\x00-\x7F]"), F.concat(scheme(url), F.lit("://"), _ascii_authority(authority), rest)).otherwise(url)
+
+    def written(u: Column) -> Column:
+        rest = (F.regexp_extract(u, PARTS, k) for k in (3, 4, 5))
+        return F.when(u.rlike(FOREIGN), F.concat(scheme(u), F.lit("://"), let(F.regexp_extract(u, PARTS, 2), _ascii_authority), *rest)).otherwise(u)
+
+    return let(url, written)
 
 
 def path(url: Column) -> Column:
@@ -72,17 +77,20 @@ def _sorted_query(q: Column) -> Column:
 def normalise(url: Column) -> Column:
     """Scheme added, host lower-cased and in ASCII, default port, fragment and one trailing slash dropped, path decoded where safe, parameters sorted."""
     u = trim(url)
-    full = F.when(u.rlike(ABSOLUTE), u).otherwise(F.concat(F.lit("https://"), u))
-    authority = _ascii_authority(F.regexp_extract(full, PARTS, 2))
-    s = scheme(full)
-    authority = F.when(s == "https", F.regexp_replace(authority, ":(443)?$", "")).otherwise(F.regexp_replace(authority, ":(80)?$", ""))
-    p = encode_path(_decoded(path(full)))
-    p = F.when((F.length(p) > 1) & p.endswith("/"), F.regexp_replace(p, "/$", "")).otherwise(p)
-    q = _sorted_query(query(full))
-    whole = F.concat(s, F.lit("://"), authority, p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    full = to_ascii(F.when(u.rlike(ABSOLUTE), u).otherwise(F.concat(F.lit("https://"), u)))
+
+    def form(full: Column) -> Column:
+        authority = F.lower(F.regexp_extract(full, PARTS, 2))
+        s = scheme(full)
+        authority = F.when(s == "https", F.regexp_replace(authority, ":(443)?$", "")).otherwise(F.regexp_replace(authority, ":(80)?$", ""))
+        p = encode_path(_decoded(path(full)))
+        p = F.when((F.length(p) > 1) & p.endswith("/"), F.regexp_replace(p, "/$", "")).otherwise(p)
+        q = _sorted_query(query(full))
+        whole = F.concat(s, F.lit("://"), authority, p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        return F.when(full.rlike(PARTS) & authority.rlike(r"^[^\s<>^|%\\]+$"), whole)
+
     plain = F.regexp_replace(F.regexp_replace(F.lower(u), "/+$", ""), "^https?://", "https://")
-    valid = full.rlike(PARTS) & authority.rlike(r"^[^\s<>^|%\\]+$")
-    return F.when(valid, whole).otherwise(plain)
+    return F.when(u.isNotNull(), F.coalesce(let(full, form), plain))
 
 
 def _dots(p: Column) -> Column:

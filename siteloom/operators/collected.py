@@ -250,7 +250,7 @@ def scan_output(rows: DataFrame) -> DataFrame:
 
 
 def scan_summary(lines: DataFrame) -> DataFrame:
-    """Counts that the first fifty lines state; the last statement of each wins."""
+    """Counts that the first fifty lines state; the last statement of each wins.  Labels are fixed values."""
     top = lines.where("line_no < 50")
     label = lambda w: F.max_by(F.regexp_extract("line", rf"(?i){w}[:\s]+(\d+)", 1).try_cast("int"), F.when(F.col("line").rlike(rf"(?i){w}[:\s]+\d+"), F.col("line_no")))
     return top.groupBy(*KEY).agg(*(label(w).alias(n) for n, w in (("critical", "critical"), ("high", "high"), ("medium", "medium"), ("low", "low"), ("info", "info(?:rmation)?"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import urls
 from siteloom.functions.text import trim
-from siteloom.operators.collected import given, lookup
+from siteloom.operators.collected import cache_key, given, lookup
 from siteloom.operators.findings import evidence
 from siteloom.operators.site_facts import present, tristate, unknown
 
@@ -152,7 +152,7 @@ def parameterised_count(pages: DataFrame, first: int = 200) -> DataFrame:
 
 
 def error_code(message: Column) -> Column:
-    """Kind of a fetch error by its text."""
+    """Kind of a fetch error by its text (fixed patterns)."""
     m = F.coalesce(message, F.lit(""))
     return F.when(m.rlike("(?i)abort|timed? ?out"), "TIMEOUT").when(m.contains("CORS") | m.contains("cross-origin"), "CORS_ERROR").when(m.contains("network") | m.contains("fetch"), "NETWORK_ERROR").otherwise("FETCH_FAILED")
 
@@ -162,7 +162,7 @@ def friendly(code: Column) -> Column:
 
 
 def error_bucket(message: Column) -> Column:
-    """Which limit or failure a fetch error's text tells of."""
+    """Which limit or failure a fetch error's text tells of (fixed texts)."""
     m = F.coalesce(message, F.lit(""))
     return (
         F.when(m.startswith("Request timeout after"), "timeout").when(m.startswith("Network error:"), "network").when(m.startswith("Exceeded maximum redirect hops"), "hops")
@@ -177,7 +177,16 @@ def split_requests(requests: DataFrame, url: str = "url") -> tuple[DataFrame, Da
     return requests.where(good & ~empty), requests.where(~good | empty).withColumn("reason", F.when(empty, "URL is required").otherwise("Invalid URL format"))
 
 
+def identities(requests: DataFrame, url: str = "url", *versions: Column) -> DataFrame:
+    """Adds what names a run: run_id (random, a row each), normalized_url, and cache_key (a hash of that URL and of the versions of tools and prompts).
+
+    Ids are random, so a table of requests is written before anything joins on them."""
+    named = requests.withColumns({"run_id": F.uuid(), "normalized_url": urls.normalise(F.col(url))})
+    return named.withColumn("cache_key", cache_key(F.col("normalized_url"), *versions))
+
+
 def valid_request(url: Column) -> Column:
+    """Whether a typed URL can be one (a fixed pattern)."""
     return F.coalesce(trim(url).rlike(r"(?i)^(https?://)?([\w.-]+)(:\d+)?(/[^\s]*)?$"), F.lit(False))
 
 

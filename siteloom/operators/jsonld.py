@@ -68,6 +68,7 @@ def page_schema(signals: DataFrame) -> DataFrame:
     rows = blocks.select(*keys, F.when(F.col("v").isNotNull(), types).alias("t"), (F.col("b").isNotNull() & F.col("v").isNull()).cast("int").alias("e"))
     pages = rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("types"), F.sum("e").alias("parse_errors"))
     has = lambda *names: F.exists("types", lambda t: F.lower(t).isin(*names))
+    # names of types are fixed values
     return pages.withColumns(
         {
             "is_product": has("product", "https://schema.org/product", "http://schema.org/product"),

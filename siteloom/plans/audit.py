@@ -228,9 +228,10 @@ def q_requests(spark, d):
 
 
 def q_run_ids(spark, d):
-    """Ids as given at ingest are random; what can be told of them is their form and that none comes twice."""
-    ids = table(spark, d, "pages").select(F.uuid().alias("id"))
-    return keep(ids, "run-ids").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("version_4"))
+    """Ids as given at ingest are random; what can be told of them is their form, that none comes twice, and that keys follow the URL."""
+    ids = keep(collectors.identities(table(spark, d, "pages").select("url"), "url", F.lit("tools"), F.lit("prompts")), "run-ids")
+    form = F.col("run_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("ids"), F.count_if(form).alias("version_4"), F.count_distinct("cache_key").alias("keys"), F.min("cache_key").alias("first_key"))
 
 
 def q_typed_cache_keys(spark, d):
@@ -426,7 +427,7 @@ ORACLE_SQL = {
     "fetch_error_kinds": """select page_id, code, case code when 'TIMEOUT' then 'The request took too long. Please try again.' when 'CORS_ERROR' then 'This website blocks cross-origin requests. Some data may be unavailable.' when 'NETWORK_ERROR' then 'Network connection issue. Check your internet and try again.' else 'Unable to access the website. It may be down or blocking requests.' end as friendly, bucket
       from (select page_id, ['TIMEOUT', 'NETWORK_ERROR', 'FETCH_FAILED', 'FETCH_FAILED', 'CORS_ERROR', 'FETCH_FAILED', 'TIMEOUT', 'FETCH_FAILED'][page_id % 8 + 1] as code, ['timeout', 'network', 'hops', 'size', 'other', 'none', 'other', 'other'][page_id % 8 + 1] as bucket from pages)""",
     "requests": with_inputs(r"select page_id, case when regexp_matches(trim(typed), '(?i)^(https?://)?([\w.-]+)(:[0-9]+)?(/[^\s]*)?$') then null else 'Invalid URL format' end as reason from typed", "typed"),
-    "run_ids": "select count(*) as n, count(*) as ids, count(*) as version_4 from pages",
+    "run_ids": f"select count(*) as n, count(*) as ids, count(*) as version_4, count(distinct k) as keys, min(k) as first_key from (select sha256(concat({_P._normal('url')}, '|tools|prompts')) as k from pages)",
     "typed_cache_keys": f"select page_id, concat('site:', sha256(concat(url, '|tools|prompts')), ':', {_P._normal('url')}) as cache_key from pages",
     "scan_output": with_inputs(r"""select conv_id, turn, sha256(m) as masked_sha256, case when k = 0 then turn end::int as critical, case when k = 0 then '[EMAIL]' end as contact, case when k <> 0 then len(string_split(m, chr(10))) end::int as line_count from (
       select conv_id, turn, (conv_id + turn) % 4 as k, case (conv_id + turn) % 4 when 0 then replace(output, 'a@b.example.org', '[EMAIL]') when 2 then replace(output, 'password=abc', 'password=[REDACTED]') when 3 then concat(output[1:50000], chr(10), '... [truncated]') else output end as m from scan_texts)""", "scan_texts"),

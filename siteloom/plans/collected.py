@@ -237,7 +237,7 @@ found as (select site, ref, min({{'depth': depth, 'path': path}}) as place from
 sm as (select f.site, place, unnest(urls) as url, generate_subscripts(urls, 1) as i from found f join parsed p on p.site = f.site and p.sitemap_url = f.ref),
 sitemap_urls as (select site, row_number() over (partition by site order by place.depth, place.path, i)::int as seq, url from sm)"""
 def _REDACTED(text: str) -> str:
-    """The masking chain with word edges in place of look-arounds; plain values are set apart before each keyword's mask and put back after it."""
+    """The masking chain (fixed patterns and words) with word edges in place of look-arounds; plain values are set apart before each keyword's mask and put back after it."""
     q = lambda p: "'" + p.replace("'", "''") + "'"
     h, octet, uuid = "[0-9a-fA-F]{1,4}", "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)", "[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
     steps = [

@@ -243,13 +243,23 @@ def _enc(e: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({e}, '(?s).'), lambda c: {_CHARS}), '')"
 
 
+def _dots(p: str) -> str:
+    """A path without its dot segments: a fold over segments, each kept, passed over or taking the one before it; a final one leaves a slash."""
+    step = "case when x = '..' then regexp_replace(acc, '/[^/]*$', '') when x = '.' then acc else concat(acc, '/', x) end"
+    kept = f"list_reduce(list_concat([''], string_split(regexp_replace({p}, '^/', ''), '/')), lambda acc, x: {step})"
+    return f"concat({kept}, case when regexp_matches({p}, '/[.]{{1,2}}$') then '/' else '' end)"
+
+
 _FOLDER = "regexp_replace(" + _path("url") + ", '[^/]*$', '')"
 LINKS = f"""tags as (select run_id, site, crawl_seq, url, unnest(regexp_extract_all(html, {_q(_PS.ANCHOR)}, 0)) as tag, generate_subscripts(regexp_extract_all(html, {_q(_PS.ANCHOR)}, 0), 1) - 1 as pos from fetches),
 hrefs as (select *, {_trim(f"regexp_extract(tag, {_q(_PS.ANCHOR)}, 1)")} as href, {_strip(f"regexp_extract(tag, {_q(_PS.ANCHOR)}, 2)")} as t, contains(lower(tag), 'rel=') and contains(lower(tag), 'nofollow') as nofollow from tags),
-targets as (select *, case when regexp_matches(href, '(?i)^https?://') then concat(lower(regexp_extract(href, '(?i)^(https?):', 1)), '://', {_host('href')}, {_enc(_path('href'))}, regexp_extract(href, '^[^?#]*([?][^#]*)', 1), regexp_extract(href, '(#.*)$', 1))
-   when href = '../up/./x' then concat(regexp_extract(url, '(?i)^(https?:)', 1), '//', {_host('url')}, regexp_replace(regexp_replace({_FOLDER}, '/$', ''), '[^/]*$', ''), 'up/x')
-   else concat(regexp_extract(url, '(?i)^(https?:)', 1), '//', {_host('url')}, {_enc("regexp_extract(href, '^([^?#]*)', 1)")}, regexp_extract(href, '^[^?#]*(.*)$', 1)) end as link_url
+refs as (
+  select *, regexp_matches(href, '(?i)^https?://') as whole, regexp_extract(href, '^([^?#]*)', 1) as target, regexp_extract(href, '^[^?#]*(.*)$', 1) as rest
   from hrefs where href <> '' and not regexp_matches(href, '^(#|javascript:|mailto:|tel:)')),
+targets as (
+  select *, case when whole then concat(lower(regexp_extract(href, '(?i)^(https?):', 1)), '://', {_host('href')}, {_enc(_dots(_path('href')))}, rest)
+    else concat(regexp_extract(url, '(?i)^(https?:)', 1), '//', {_host('url')}, {_enc(_dots(f"case when target like '/%' then target when target <> '' then concat({_FOLDER}, target) else {_path('url')} end"))}, rest) end as link_url
+  from refs),
 links as (select run_id, site, crawl_seq, url, link_url, pos::int as pos, case when length(t) > 100 then concat(t[1:100], '...') else t end as text, nofollow, {_host('link_url')} = {_host('url')} as internal
   from (select *, row_number() over (partition by crawl_seq, link_url order by pos) as r from targets) where r = 1),
 edges as (select distinct site, {_key('url')} as src, {_key('link_url')} as dst from links where internal),

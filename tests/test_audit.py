@@ -73,6 +73,7 @@ def test_https_inside_a_chain_counts(spark):
     assert [r["site"] for r in checks.apply("hosts", rules).collect()] == ["o"]
 
 
+#: Words that name secrets (fixed values).
 WORDS = "token secret apikey api_key password passwd auth authorization bearer credential private_key access_key session csrf xsrf".split()
 
 
