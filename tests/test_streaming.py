@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from siteloom.plans import collected
+from siteloom.plans import audit, collected
 from siteloom.streaming import incremental
 
 DAY = dt.datetime(2024, 1, 1)
@@ -135,6 +135,14 @@ def test_two_batches_and_a_replay_leave_one_row_a_site(spark, tmp_path):
     assert sorted(map(tuple, store.sites().collect())) == want
 
 
+def test_pages_that_share_a_url_all_count(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(list(rows), "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages.parquet"))
+    make((1, "https://a.example/x", "ab"), (2, "https://a.example/x", "c"), (3, None, "d"))
+    make((4, "https://a.example/x", "ef"), (5, "https://a.example:8080/y", "g"), (6, "https://b.example/", None), (7, None, "hi"))
+    got = {r["site"]: (r["pages"], r["newest"], r["characters"]) for r in audit.q_stream_site_counts(spark, str(tmp_path)).collect()}
+    assert got == {"a.example": (3, 4, 5), "a.example:8080": (1, 5, 1), "b.example": (1, 6, None), None: (2, 7, 3)}
+
+
 def test_a_batch_reads_the_buckets_that_it_touches(spark, tmp_path):
     seen = []
     store = incremental.SiteStore(spark, str(tmp_path / "store"), lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or count(df), "n", buckets=16)
