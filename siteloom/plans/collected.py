@@ -81,6 +81,8 @@ def q_collected_files(spark, d):
     folder = scratch(spark, "sitemap-folder")
     rows = frame(spark, d, "sitemap_files").withColumns({"file": F.url_encode("sitemap_url"), "k": F.length("sitemap_url") % 11})
     shown = rows.select(F.when(F.col("k") == 5, F.concat(F.lit("\u0000"), "body")).otherwise(F.col("body")).alias("value"), "run_id", "site", "file", "k")
+    # a file takes its time however short it is, so files are dealt to tasks by number, not by size
+    shown = shown.repartition(4 * spark.sparkContext.defaultParallelism, "site", "file")
     for packed, codec in ((True, "gzip"), (False, "none")):
         part = shown.where((F.col("k") % 3 == 0) == packed).drop("k")
         part.write.mode("append").option("compression", codec).partitionBy("run_id", "site", "file").text(folder)

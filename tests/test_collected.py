@@ -2,11 +2,13 @@
 
 import gzip
 import random
+import re
 import urllib.parse
 
 from pyspark.sql import functions as F
 
 from siteloom.operators import collected
+from siteloom.plans import collected as plans
 from siteloom.sources import files as readers
 
 FILES = "run_id string, site string, sitemap_url string, body string"
@@ -150,3 +152,10 @@ def test_files_of_a_folder(spark, tmp_path):
     assert {r["compressed"] for r in good.where("file like '%two%'").collect()} == {True} and good.columns == ["run_id", "site", "file", "path", "body", "compressed"]
     found = collected.sitemap_urls(readers.sitemap_files(good), spark.createDataFrame([], STARTS))
     assert found.where("site = 'a.example'").count() == 2
+
+
+def test_collected_files_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans, "scratch", lambda spark, name: str(tmp_path / name))
+    plans.q_collected_files(spark, "/root/testdata/sf0.001").count()
+    tasks = [re.match(r"part-(\d+)", p.name)[1] for p in tmp_path.rglob("part-*")]
+    assert len(tasks) > 50 and max(tasks.count(t) for t in set(tasks)) < len(tasks) / 4
