@@ -99,3 +99,10 @@ def test_empty_tables(spark):
     s = page_signals.page_signals(f)
     assert checks.technical(s).count() == 0 and findings.scorecard(checks.technical(s), s).count() == 0
     assert page_signals.page_links(f).count() == 0 and site_facts.coverage(f).count() == 0
+
+
+def test_a_link_is_resolved_once(spark):
+    fetches = spark.createDataFrame([], "run_id string, site string, crawl_seq long, url string, status int, html string")
+    plan = page_signals.page_links(fetches, texts=False).where("internal")._jdf.queryExecution().optimizedPlan().toString()
+    # some hundreds, and as many again for each filter, where every case spells out its parts
+    assert plan.count("regexp_extract") < 60
