@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.operators import audit, collected, collectors, report, site_facts, site_row
+from siteloom.operators import audit, collected, collectors, findings, report, site_facts, site_row
+from siteloom.plans import audit as audit_plans
 from siteloom.sources import sinks
 
 ANSWER = {
@@ -171,3 +172,22 @@ def test_texts_for_readers(spark):
     codes = ["INVALID_URL", "FETCH_FAILED", "API_ERROR", "RATE_LIMITED", "SCREENSHOT_FAILED", "PARSE_ERROR", "TIMEOUT", "NETWORK_ERROR", "CORS_ERROR", "UNKNOWN"]
     got = [r["t"] for r in spark.createDataFrame([(c,) for c in codes], "c string").select(collectors.friendly(F.col("c")).alias("t")).collect()]
     assert len(set(got)) == 10 and got[3] == "Too many requests. Please wait a moment and try again." and got[9] == "An unexpected error occurred. Please try again."
+
+
+def test_rows_of_fallback_reports_without_gathering_a_site(spark):
+    types = ["crawl_robots_blocked", "tech_missing_title", "sec_missing_csp", "perf_poor_lcp", "visual_viewport_issues", "serp_title_mismatch", "odd_type"]
+    rows = [("r", site, i, f"c{i}", types[i * 3 % 7], ("critical", "warning", "info")[i % 3 if site == "a" else 2], f"m{i}") for site, n in (("a", 60), ("b", 9)) for i in range(1, n)]
+    f = spark.createDataFrame(rows, "run_id string, site string, ordinal int, check_id string, type string, severity string, message string")
+    sites = spark.createDataFrame([("r", "a"), ("r", "b"), ("r", "none")], "run_id string, site string")
+    want = report.flat_rows(report.fallback_report(f, findings.scorecard(f, sites)))
+    got = report.fallback_rows(f)
+    assert dict(got.dtypes) == dict(want.dtypes)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_order_of_findings_by_the_brief_path(spark):
+    d = "/root/testdata/sf0.001"
+    key = ["site", "ordinal", "audit", "check_id", "type", "severity"]
+    whole, _ = audit_plans._kept(spark, d)
+    assert sorted(map(tuple, audit_plans._ordered(spark, d).select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
