@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.operators import audit, collected, collectors, page_signals, site_facts, site_row
+from siteloom.operators import audit, collected, collectors, site_facts, site_row
 from siteloom.plans.audit import _INPUTS, _SITE_MAP, _SMERR, AS_OF, MERGED, _counted, _tables
 from siteloom.plans.extraction import _CERTIFICATES
 from siteloom.plans.inputs import CTES, frame, with_inputs
@@ -45,18 +45,19 @@ def q_coverage_report(spark, d):
 
 def _datasets(spark, d) -> dict:
     """The tables of a site's row; what takes a long way to make is written first."""
-    t = _tables(spark, d)
+    t = _tables(spark, d, whole=True)
+    counted = keep(_counted(spark, d, t)[0], "counted-findings")
     found = t["sitemap_urls"]()
     fetches = frame(spark, d, "fetches")
     certificates = site_facts.certificates(collectors.tls_facts(frame(spark, d, "tls_rows")), F.to_timestamp(F.lit(AS_OF)))
-    links = page_signals.page_links(fetches, texts=False).select("run_id", "site", "link_url", "internal").distinct()
+    links = t["links"]().select("run_id", "site", "link_url", "internal").distinct()
     return {
         "header_states": t["header_states"](), "hops": frame(spark, d, "hops"), "robots": frame(spark, d, "robots"), "sitemap_urls": found, "sitemap_errors": keep(collected.sitemap_errors(t["walk"]()), "sitemap-errors"),
         "plan": keep(audit.sampling_plan(found), "plan"), "pages": keep(audit.sampled(fetches).select("run_id", "site", "crawl_seq", "url", "status"), "sampled-pages"),
-        "signals": page_signals.extract(fetches, ["schema", "images", "mixed_content"]), "links": keep(links, "distinct-links"), "url_set": keep(site_facts.url_set(fetches, found), "url-set"),
+        "signals": t["signals"](), "links": keep(links, "distinct-links"), "url_set": keep(site_facts.url_set(fetches, found), "url-set"),
         "templates": keep(site_facts.url_templates(frame(spark, d, "urls")), "templates"), "certificates": certificates, "dns": frame(spark, d, "dns"), "well_known": frame(spark, d, "responses"),
         "lighthouse": collected.ratings(collected.lighthouse(frame(spark, d, "site_lighthouse"))), "screenshots": frame(spark, d, "shots"), "serp_results": frame(spark, d, "site_results"),
-        "dataset_states": keep(audit.datasets(frame(spark, d, "dataset_rows")), "dataset-states"), "findings": keep(_counted(spark, d)[0], "counted-findings"),
+        "dataset_states": keep(audit.datasets(frame(spark, d, "dataset_rows")), "dataset-states"), "findings": counted,
     }
 
 
