@@ -89,6 +89,13 @@ def test_state_is_flat_over_many_lifetimes(spark, tmp_path):
     assert max(held[-4:]) <= max(held[:6]) and max(held) < 3 * 40 * 6
 
 
+def test_a_long_chain_takes_time_by_its_length(monkeypatch):
+    # a look-up in a list that grows must not copy it: searchsorted on a list does, a hundred thousand times here
+    monkeypatch.setattr(np, "searchsorted", None)
+    keep, kept = incremental.live_chain(np.arange(0, 500_000, 5, dtype=np.int64), [], 3)
+    assert keep.all() and len(kept) == 100_000
+
+
 def test_chain_is_the_rule_one_by_one():
     rng = random.Random(8)
     for _ in range(300):
