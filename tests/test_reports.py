@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import audit, collected, collectors, findings, report, site_facts, site_row
 from siteloom.plans import audit as audit_plans
+from siteloom.plans import reports as report_plans
 from siteloom.sources import sinks
 
 ANSWER = {
@@ -191,3 +192,13 @@ def test_order_of_findings_by_the_brief_path(spark):
     key = ["site", "ordinal", "audit", "check_id", "type", "severity"]
     whole, _ = audit_plans._kept(spark, d)
     assert sorted(map(tuple, audit_plans._ordered(spark, d).select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
+
+
+def test_dashboard_shows_every_row_of_the_reports(spark):
+    d = "/root/testdata/sf0.001"
+    key = ["site", "position", "id", "category", "priority"]
+    got = report_plans.q_dashboard(spark, d).select(*key, "shown_at").collect()
+    rows = sorted(map(tuple, report_plans.q_report_findings(spark, d).select(key).collect()))
+    assert sorted(tuple(r)[:5] for r in got) == rows and len({r["category"] for r in got}) > 2
+    order = [(r["site"], r["priority"], r["position"]) for r in sorted(got, key=lambda r: (r["site"], r["shown_at"]))]
+    assert order == sorted(order)
