@@ -10,7 +10,7 @@ from siteloom.plans import pages as page_plans
 from siteloom.plans.inputs import CTES, frame, with_inputs
 from siteloom.plans.pages import SIGNALS, _normal
 from siteloom.plans.site import _CH, _h
-from siteloom.sources.files import read_files, sitemap_files
+from siteloom.sources.files import MOST_CELL, file_rows, sitemap_files
 from siteloom.sources.scratch import scratch
 from siteloom.sources.tables import table
 from siteloom.streaming import incremental
@@ -77,18 +77,19 @@ def q_sitemap_urls(spark, d):
 
 
 def q_collected_files(spark, d):
-    """The sitemaps written as files, some compressed and some no text, and read again: bodies by file, and what is wrong with the others."""
+    """The sitemaps written as files, some compressed and some no text, and read again, whole and once: bodies by file, and what is wrong with those that have none."""
     folder = scratch(spark, "sitemap-folder")
-    rows = frame(spark, d, "sitemap_files").withColumns({"file": F.url_encode("sitemap_url"), "k": F.length("sitemap_url") % 11})
-    shown = rows.select(F.when(F.col("k") == 5, F.concat(F.lit("\u0000"), "body")).otherwise(F.col("body")).alias("value"), "run_id", "site", "file", "k")
+    rows = frame(spark, d, "sitemap_files", nulls=True).withColumns({"file": F.url_encode("sitemap_url"), "k": F.length("sitemap_url") % 11})
+    # a folder's name cannot be empty and would be read as null; no site holds a slash
+    named = rows.withColumn("site", F.when(F.col("site") == "", "/").otherwise(F.col("site")))
+    shown = named.select(F.when(F.col("k") == 5, F.concat(F.lit("\u0000"), "body")).otherwise(F.col("body")).alias("value"), "run_id", "site", "file", "k")
     # a file takes its time however short it is, so files are dealt to tasks by number, not by size
     shown = shown.repartition(4 * spark.sparkContext.defaultParallelism, "site", "file")
     for packed, codec in ((True, "gzip"), (False, "none")):
         part = shown.where((F.col("k") % 3 == 0) == packed).drop("k")
         part.write.mode("append").option("compression", codec).partitionBy("run_id", "site", "file").text(folder)
-    good, bad = read_files(spark, folder)
-    out = sitemap_files(good).withColumn("error", F.lit(None).cast("string")).unionByName(sitemap_files(bad.withColumn("body", F.lit(None).cast("string")).select("run_id", "site", "file", "body", "error")).withColumn("error", F.lit("not a text file")))
-    return out.select("site", "sitemap_url", F.sha2("body", 256).alias("body_sha256"), "error")
+    out = sitemap_files(file_rows(spark, folder, MOST_CELL, MOST_CELL), "error")
+    return out.select(F.when(F.col("site") == "/", "").otherwise(F.col("site")).alias("site"), "sitemap_url", F.sha2("body", 256).alias("body_sha256"), "error")
 
 
 def q_url_set(spark, d):

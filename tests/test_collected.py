@@ -4,7 +4,11 @@ import gzip
 import random
 import re
 import urllib.parse
+from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from siteloom.operators import collected
@@ -159,3 +163,24 @@ def test_collected_files_are_dealt_by_number(spark, tmp_path, monkeypatch):
     plans.q_collected_files(spark, "/root/testdata/sf0.001").count()
     tasks = [re.match(r"part-(\d+)", p.name)[1] for p in tmp_path.rglob("part-*")]
     assert len(tasks) > 50 and max(tasks.count(t) for t in set(tasks)) < len(tasks) / 4
+
+
+def test_collected_files_tell_what_is_wrong(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans, "scratch", lambda spark, name: str(tmp_path / name))
+    out = plans.q_collected_files(spark, "/root/testdata/sf0.001")
+    packed = next(tmp_path.rglob("part-*.gz"))
+    packed.with_name(f".{packed.name}.crc").unlink()
+    packed.write_bytes(packed.read_bytes()[:-9])
+    errors = [r["error"] for r in out.where("error is not null").collect()]
+    assert errors.count("compressed file ends early") == 1 and set(errors) == {"compressed file ends early", "not a text file"}
+    assert out.where("(error is null) = (body_sha256 is null)").count() == 0
+
+
+def test_collected_files_are_whole(spark, tmp_path):
+    urls = [None, "", "/only/path", "https:///nohost", "https://a+b.example/", "https://sp ace.example/x", "https://ex%20am.example/q", "https://big.example/" + "u" * (65 << 20)]
+    pq.write_table(pa.table({"page_id": list(range(1, 25)), "url": [*urls, *urls[:-1], None, *urls[:-1], ""], "html": [""] * 24}), tmp_path / "pages.parquet")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    want = con.execute(plans.ORACLE_SQL["collected_files"]).fetchall()
+    # pages without a site and sites without a name have their files too, and no file is too large
+    assert Counter(map(tuple, plans.q_collected_files(spark, str(tmp_path)).collect())) == Counter(want) and {r[0] for r in want} > {None, "", "big.example"}
