@@ -79,7 +79,9 @@ def q_sitemap_urls(spark, d):
 def q_collected_files(spark, d):
     """The sitemaps written as files, some compressed and some no text, and read again, whole and once: bodies by file, and what is wrong with those that have none."""
     folder = scratch(spark, "sitemap-folder")
-    rows = frame(spark, d, "sitemap_files", nulls=True).withColumns({"file": F.url_encode("sitemap_url"), "k": F.length("sitemap_url") % 11})
+    # a file is called by its path on the site, which is short however long the host is; without a host, by its whole URL
+    name = F.url_encode(F.regexp_replace("sitemap_url", "^https://[^/]+/", ""))
+    rows = frame(spark, d, "sitemap_files", nulls=True).withColumns({"file": name, "k": F.length("sitemap_url") % 11})
     # a folder's name cannot be empty and would be read as null; no site holds a slash
     named = rows.withColumn("site", F.when(F.col("site") == "", "/").otherwise(F.col("site")))
     shown = named.select(F.when(F.col("k") == 5, F.concat(F.lit("\u0000"), "body")).otherwise(F.col("body")).alias("value"), "run_id", "site", "file", "k")

@@ -177,10 +177,10 @@ def test_collected_files_tell_what_is_wrong(spark, tmp_path, monkeypatch):
 
 
 def test_collected_files_are_whole(spark, tmp_path):
-    urls = [None, "", "/only/path", "https:///nohost", "https://a+b.example/", "https://sp ace.example/x", "https://ex%20am.example/q", "https://big.example/" + "u" * (65 << 20)]
-    pq.write_table(pa.table({"page_id": list(range(1, 25)), "url": [*urls, *urls[:-1], None, *urls[:-1], ""], "html": [""] * 24}), tmp_path / "pages.parquet")
+    urls = [None, "", "/only/path", "https:///nohost", "https://a+b.example/", "https://sp ace.example/x", "https://ex%20am.example/q", "https://" + "日本" * 30 + ".example/", "https://big.example/" + "u" * (65 << 20)]
+    pq.write_table(pa.table({"page_id": list(range(1, 28)), "url": [*urls, *urls[:-1], None, *urls[:-1], ""], "html": [""] * 27}), tmp_path / "pages.parquet")
     con = pytest.importorskip("duckdb").connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
     want = con.execute(plans.ORACLE_SQL["collected_files"]).fetchall()
-    # pages without a site and sites without a name have their files too, and no file is too large
+    # pages without a site and sites without a name have their files too, and no host is too long and no file too large
     assert Counter(map(tuple, plans.q_collected_files(spark, str(tmp_path)).collect())) == Counter(want) and {r[0] for r in want} > {None, "", "big.example"}
